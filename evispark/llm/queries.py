@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import common, mixing, simhash
+import corpus_pipeline
+from evispark.llm import common, decontaminate, mixing, quality, simhash, tokenstore
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op4_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.encode_table(common.table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +65,10 @@ FROM run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_tokenids": op4_tokenids,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
