@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,27 @@ from evispark.llm import common
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 64, 16384
 #: Words that a worker keeps encoded.
-CACHE = 300_000
+CACHE = 500_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
 
 
+class _Words(dict):
+    """The ids of words after a space, as bytes; a word that is not there is encoded."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.one, self.code = encoder.tokenizer.encode, "H" if encoder.width == 2 else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        found = array(self.code, self.one(" " + word, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        self[word] = raw = found.tobytes()
+        return raw
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, with a cache of words.
 
@@ -54,7 +71,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self)
         split = self.tokenizer.pre_tokenizer.__class__.__name__
         self.by_word = split == "ByteLevel" and self.tokenizer.normalizer is None
 
@@ -70,10 +87,6 @@ class Encoder:
         first, rest = parts[0], parts[1:]
         if len(known) > CACHE:
             known.clear()
-        new = [w for w in set(rest) if w not in known]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.type).tobytes()
         head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, self.type).tobytes()
         return np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self.type)
 
