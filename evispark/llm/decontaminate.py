@@ -88,18 +88,21 @@ class Matcher:
         seen: dict[int, set[int]] = {}
         for end, (size, of) in self.automaton.iter(text):
             for i, a in of:
-                # hits of one alignment fall into one window of the item's length
-                m = len(self.items[i][1])
-                seen.setdefault(i, set()).add((end - size + 1 - a + m) // m)
+                seen.setdefault(i, set()).add(end - size + 1 - a)
         out = []
-        for i, places in seen.items():
+        for i, starts in seen.items():
             item_id, item, k, grams = self.items[i]
-            m, best = len(item), None
-            for w in sorted(places):
-                lo, hi = max(0, (w - 1) * m - k), (w + 1) * m + k
+            m, best, windows = len(item), None, []
+            for s in sorted(starts):  # starts of one alignment differ by the budget at most
+                if windows and s - windows[-1][1] <= k:
+                    windows[-1][1] = s
+                else:
+                    windows.append([s, s])
+            for first, last in windows:
+                lo, hi = max(0, first - k), last + m + k
                 part = text[lo:hi]
                 # an edit changes at most _Q grams
-                if k and len(grams) - sum(g in part for g in grams) > k * _Q:
+                if k and len(grams) - len(grams.intersection([part[x:x + _Q] for x in range(len(part) - _Q + 1)])) > k * _Q:
                     continue
                 edits, at = myers(item, part) if k else (0, part.find(item) + m) if item in part else (1, 0)
                 if edits <= k and (best is None or edits < best[0]):
