@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from evispark.llm import common
 
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
-WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 64, 16384
-#: Words that a worker keeps encoded.
-CACHE = 500_000
+WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
+#: Words that a worker keeps encoded, about 200 bytes each.
+CACHE = 1_200_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
