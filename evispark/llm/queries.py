@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evispark.llm import common, decontaminate, mixing, quality, simhash, tokenstore
+from evispark.llm import common, decontaminate, mixing, mixlm, quality, simhash, tokenstore
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score(common.table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ FROM run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_lm": op2_lm,
     "op3_decontaminate": op3_decontaminate,
     "op4_tokenids": op4_tokenids,
     "op9_quality": op9_quality,
