@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,25 +35,53 @@ from evispark.llm import common
 
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
-#: Words that a worker keeps encoded, about 200 bytes each.
-CACHE = 1_200_000
+#: Words that a worker keeps encoded, about 300 bytes each.
+CACHE = 900_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
 
 
-class _Words(dict):
-    """The ids of words after a space, as bytes; a word that is not there is encoded."""
+#: Fixed pattern of the byte-level pre-tokenizer that the vocabulary files name.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """The ids of pre-tokenizer pieces, as bytes; one that is not there goes through the library's model."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.one, self.code = encoder.tokenizer.encode, "H" if encoder.width == 2 else "I"
+        self.model, self.code, self.chars = encoder.tokenizer.model.tokenize, "H" if encoder.width == 2 else "I", _byte_chars()
 
-    def __missing__(self, word: str) -> bytes:
-        found = array(self.code, self.one(" " + word, add_special_tokens=False).ids)
+    def __missing__(self, piece: str) -> bytes:
+        found = array(self.code, [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.chars))])
         if sys.byteorder == "big":
             found.byteswap()
-        self[word] = raw = found.tobytes()
+        self[piece] = raw = found.tobytes()
+        return raw
+
+
+class _Words(dict):
+    """The ids of words after a space, as bytes."""
+
+    def __init__(self, pieces: _Pieces):
+        super().__init__()
+        self.pieces, self.split = pieces, regex.compile(PIECES).findall
+
+    def __missing__(self, word: str) -> bytes:
+        text = " " + word
+        if word.isalpha():
+            raw = self.pieces.__missing__(text) if text not in self.pieces else self.pieces[text]
+        else:
+            raw = b"".join([self.pieces[x] for x in self.split(text)])
+        self[word] = raw
         return raw
 
 
@@ -71,9 +100,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known = _Words(self)
         split = self.tokenizer.pre_tokenizer.__class__.__name__
         self.by_word = split == "ByteLevel" and self.tokenizer.normalizer is None
+        self.pieces = _Pieces(self)
+        self.known = _Words(self.pieces)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -87,6 +117,7 @@ class Encoder:
         first, rest = parts[0], parts[1:]
         if len(known) > CACHE:
             known.clear()
+            self.pieces.clear()
         head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, self.type).tobytes()
         return np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self.type)
 
@@ -94,15 +125,28 @@ class Encoder:
 _gear = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 4096, np.uint64)
 
 
+_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd factor and of its inverse modulo 2**64, for places up to ``n``."""
+    if len(_power[0]) < n:
+        for i, b in enumerate((_B, pow(_B, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 16), b, np.uint64)
+            steps[0] = 1
+            _power[i] = np.cumprod(steps)
+    return _power
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream; they depend on the ids in the window alone, but for the limits."""
     n = len(ids)
     ends: list[int] = []
     if n > LEAST:
-        g = _gear[ids & 4095] ^ (ids.astype(np.uint64) * np.uint64(_B))
-        h = g.copy()
-        for j in range(1, min(WINDOW, n)):
-            h[j:] += g[:-j] * np.uint64(pow(_B, j, 1 << 64))
+        up, down = _powers(n)
+        run = np.cumsum((_gear[ids & 4095] ^ ids) * down[:n])
+        run[WINDOW:] -= run[:-WINDOW].copy()
+        h = run * up[:n]
         last = 0
         for at in (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
             while at - last > MOST:
