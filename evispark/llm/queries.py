@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evispark.llm import common, decontaminate, mixing, mixlm, quality, simhash, tokenstore
+from evispark.llm import annforest, common, decontaminate, mixing, mixlm, quality, simhash, tokenstore
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.encode_table(common.table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return annforest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm": op2_lm,
     "op3_decontaminate": op3_decontaminate,
     "op4_tokenids": op4_tokenids,
+    "op5_ann": op5_ann,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "pipeline": corpus_pipeline.run,
