@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evispark.llm import annforest, common, decontaminate, mixing, mixlm, quality, simhash, tokenstore
+from evispark.llm import annforest, common, decontaminate, mixing, mixlm, passages, quality, simhash, tokenstore
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_tokenids": op4_tokenids,
     "op5_ann": op5_ann,
+    "op6_passages": op6_passages,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "pipeline": corpus_pipeline.run,
