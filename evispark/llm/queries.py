@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evispark.llm import annforest, common, decontaminate, htmltext, mixing, mixlm, passages, quality, simhash, tokenstore
+from evispark.llm import annforest, common, decontaminate, htmltext, mixing, mixlm, passages, quality, simhash, substrings, tokenstore
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(common.table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(common.table(spark, sf_dir, "pages"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokenids": op4_tokenids,
     "op5_ann": op5_ann,
     "op6_passages": op6_passages,
+    "op7_substrings": op7_substrings,
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,

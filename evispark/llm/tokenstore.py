@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -35,8 +36,8 @@ from evispark.llm import common
 
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
-#: Words that a worker keeps encoded, about 300 bytes each.
-CACHE = 900_000
+#: Words that a worker keeps encoded, about 200 bytes each.
+CACHE = 800_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
@@ -53,37 +54,35 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """The ids of pre-tokenizer pieces, as bytes; one that is not there goes through the library's model."""
+class _Words(dict):
+    """The ids of words after a space, as bytes; new ones go through the library's model, piece by piece."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.model, self.code, self.chars = encoder.tokenizer.model.tokenize, "H" if encoder.width == 2 else "I", _byte_chars()
+        self.split, self.ends = regex.compile(PIECES).findall, {c: self.piece(c) for c in ".,"}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = array(self.code, [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.chars))])
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer."""
+        found = array(self.code, [t.id for t in self.model(text.encode().decode("latin-1").translate(self.chars))])
         if sys.byteorder == "big":
             found.byteswap()
-        self[piece] = raw = found.tobytes()
-        return raw
-
-
-class _Words(dict):
-    """The ids of words after a space, as bytes."""
-
-    def __init__(self, pieces: _Pieces):
-        super().__init__()
-        self.pieces, self.split = pieces, regex.compile(PIECES).findall
+        return found.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        text = " " + word
         if word.isalpha():
-            raw = self.pieces.__missing__(text) if text not in self.pieces else self.pieces[text]
+            raw = self.piece(" " + word)
+        elif word[-1:] in self.ends and word[:-1].isalpha():
+            raw = self[word[:-1]] + self.ends[word[-1]]
         else:
-            raw = b"".join([self.pieces[x] for x in self.split(text)])
+            raw = self.whole(" " + word)
         self[word] = raw
         return raw
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text in which no place is known to start a piece."""
+        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.piece(x) for x in self.split(text)])
+
 
 class Encoder:
     """Ids of texts by a tokenizer file, with a cache of words.
@@ -102,64 +101,79 @@ class Encoder:
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         split = self.tokenizer.pre_tokenizer.__class__.__name__
         self.by_word = split == "ByteLevel" and self.tokenizer.normalizer is None
-        self.pieces = _Pieces(self)
-        self.known = _Words(self.pieces)
+        self.known = _Words(self)
 
     def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one text."""
         if not text:
             return np.empty(0, self.type)
         if not self.by_word:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
-        parts = _SPACE.split(text) if "  " in text or " \n" in text or "\n " in text or "\t" in text else None
-        if parts is None:
-            parts = text.split(" ") if text[0] != " " and text[-1] != " " and not re.search(r"[^\S\n ]", text) else _SPACE.split(text)
-        known = self.known
-        first, rest = parts[0], parts[1:]
-        if len(known) > CACHE:
-            known.clear()
-            self.pieces.clear()
-        head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, self.type).tobytes()
-        return np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self.type)
+        first, *rest = _SPACE.split(text)
+        return np.frombuffer(self.known.whole(first) + b"".join(map(self.known.__getitem__, rest)), self.type)
+
+    def encode_many(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text. The texts' distinct words are looked up once."""
+        if not self.by_word:
+            return [self.encode(t.as_py()) for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        parts = pc.split_pattern(texts.fill_null(""), " ")
+        at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        code, distinct = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        edge = re.compile(r"\s|.*\s\Z|\Z", re.S).match
+        odd = np.fromiter((not w.isalnum() and edge(w) is not None for w in distinct), bool, len(distinct))
+        # a text in which a space is beside white space goes by itself
+        alone = np.logical_or.reduceat(odd[code], at[:-1]) if len(texts) else []
+        raw = list(map(self.known.__getitem__, distinct))
+        code[at[:-1]] = len(raw) + np.arange(len(texts), dtype=np.int32)
+        raw += [b"" if x else self.known.whole(distinct[w]) for x, w in zip(alone, words.indices.to_numpy()[at[:-1]])]
+        size = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(self.type.itemsize)
+        start = np.cumsum(size, dtype=np.int32) - size
+        many = size[code]
+        end = np.cumsum(many, dtype=np.int32)
+        ids = np.frombuffer(b"".join(raw), self.type)[np.repeat(start[code] - (end - many), many) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+        to = np.concatenate(([0], end))[at]
+        return [self.encode(t.as_py()) if x else ids[i:j] for t, x, i, j in zip(texts, alone, to[:-1], to[1:])]
 
 
 _gear = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 4096, np.uint64)
 
 
-_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEPS = 1 << 20
+_up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_STEPS + WINDOW, _B, np.uint64))))
+_down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_STEPS + WINDOW, pow(_B, -1, 1 << 64), np.uint64))))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd factor and of its inverse modulo 2**64, for places up to ``n``."""
-    if len(_power[0]) < n:
-        for i, b in enumerate((_B, pow(_B, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 16), b, np.uint64)
-            steps[0] = 1
-            _power[i] = np.cumprod(steps)
-    return _power
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last ``WINDOW`` ids lets a stream be cut."""
+    out = []
+    for lo in range(0, len(ids), _STEPS):
+        first = max(0, lo - WINDOW)
+        part = ids[first:lo + _STEPS]
+        run = np.cumsum((_gear[part & 4095] ^ part) * _down[:len(part)])
+        run[WINDOW:] -= run[:-WINDOW].copy()
+        at = np.flatnonzero((run * _up[:len(part)]) >> np.uint64(64 - CUT_BITS) == 0) + 1 + first
+        out.append(at[at > lo] if lo else at)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; they depend on the ids in the window alone, but for the limits."""
-    n = len(ids)
+def cuts(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids with marks ``at``, within the limits of size."""
     ends: list[int] = []
-    if n > LEAST:
-        up, down = _powers(n)
-        run = np.cumsum((_gear[ids & 4095] ^ ids) * down[:n])
-        run[WINDOW:] -= run[:-WINDOW].copy()
-        h = run * up[:n]
-        last = 0
-        for at in (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
-            while at - last > MOST:
-                last += MOST
-                ends.append(last)
-            if at - last >= LEAST:
-                ends.append(at)
-                last = at
-        while n - last > MOST:
+    last = 0
+    for x in at:
+        while x - last > MOST:
             last += MOST
             ends.append(last)
-    if not ends or ends[-1] < n:
-        ends.append(n)
+        if x - last >= LEAST and x < n:
+            ends.append(x)
+            last = x
+    while n - last > MOST:
+        last += MOST
+        ends.append(last)
+    ends.append(n)
     return ends
 
 
@@ -179,6 +193,20 @@ def merkle(leaves: list[bytes]) -> bytes:
 _encoders: dict[str, Encoder] = {}
 
 
+def _by_slice(enc: Encoder, texts: pa.StringArray, end: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Ids of each text with the end, and its chunks' ends, some megabytes of texts at once."""
+    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 20_000_000
+    cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(texts) else []
+    for a, b in zip(cut[:-1], cut[1:]):
+        some = [np.concatenate([x, end]) for x in enc.encode_many(texts[a:b])]
+        stops = np.cumsum([len(x) for x in some])
+        # windows over two texts end before the least size of a chunk, and so cut none
+        at = marks(np.concatenate(some))
+        first = np.searchsorted(at, stops, "right").tolist()
+        for x, stop, i, j in zip(some, stops.tolist(), [0, *first], first):
+            yield x, cuts(len(x), (at[i:j] - (stop - len(x))).tolist())
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -187,10 +215,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     for batch in batches:
         out: list[tuple] = []
         held = 0
-        for d, tie, t in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
-            ids = np.concatenate([enc.encode(t.as_py()), end])
+        for d, tie, (ids, ends) in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), _by_slice(enc, batch.column("text"), end)):
             last, names = 0, []
-            for at in cuts(ids):
+            for at in ends:
                 raw = ids[last:at].tobytes()
                 name = hashlib.sha256(raw).digest()
                 names.append(name)
