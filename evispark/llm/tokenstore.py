@@ -198,7 +198,7 @@ def _by_slice(enc: Encoder, texts: pa.StringArray, end: np.ndarray) -> Iterator[
     size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 20_000_000
     cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(texts) else []
     for a, b in zip(cut[:-1], cut[1:]):
-        some = [np.concatenate([x, end]) for x in enc.encode_many(texts[a:b])]
+        some = [np.concatenate([x, end]) for x in enc.encode_many(texts.take(pa.array(np.arange(a, b))))]
         stops = np.cumsum([len(x) for x in some])
         # windows over two texts end before the least size of a chunk, and so cut none
         at = marks(np.concatenate(some))
