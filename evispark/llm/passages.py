@@ -3,7 +3,7 @@
 Units are a text's paragraphs (lines) of ``LEAST`` words or more, and passages of
 ``SPAN`` words that start at content-defined places, so that a passage repeated
 inside other paragraphs is met wherever it stands: of any ``SPAN + PLACES +
-SHINGLE - 1`` words that repeat (51), one passage lies inside and starts at the
+SHINGLE - 2`` words that repeat (50), one passage lies inside and starts at the
 same word. Passages repeat if they are equal. Paragraphs are near-duplicates at a
 Jaccard similarity of 0.8 of their shingles of five words: signatures are banded,
 paragraphs that collide are compared by signature, and the links of a spanning
@@ -18,23 +18,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import common
 
-LEAST, SPAN, PLACES, SHINGLE = 16, 32, 15, 5
-#: A pair at the threshold of 0.8 shares one of these bands with a probability of 0.999.
-BANDS, ROWS = 10, 3
+LEAST, SPAN, PLACES, SHINGLE = 16, 24, 23, 5
+#: A pair at the threshold of 0.8 shares one of these bands with a probability of 0.997.
+BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
 #: Share of equal signature places from which a link is verified.
 PROMISING = 0.55
 _K = BANDS * ROWS
 _A = np.random.default_rng(11).integers(1, 1 << 63, _K, np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_UNITS = "kind string, h long, g int, doc_id long, tie long, start int, end int, sig binary"
+_P = 0x9E3779B97F4A7C15
+_UNITS = "h long, doc_id long, start int, end int, sig binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,81 +42,116 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words, and the places where its lines end."""
-    lines = [x.split() for x in (text or "").encode().lower().split(b"\n")]
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(w) for x in lines for w in x], np.uint64), np.cumsum([len(x) for x in lines])
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Running sums of hashes times powers, from which :func:`_run` takes any run of words."""
+    n = len(words) + 1
+    if len(_powers[0]) < n:
+        for i, b in enumerate((_P, pow(_P, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 16), b, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return np.concatenate(([np.uint64(0)], np.cumsum(_mixed(words) * _powers[0][:len(words)])))
+
 
+def _run(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of words, the same wherever it stands."""
+    return _mixed((sums[end] - sums[start]) * _powers[1][start])
 
-def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` words."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    up = np.full(len(words), _P)
-    up[0] = 1
-    up = np.cumprod(up)
-    down = np.full(len(words), _INV)
-    down[0] = 1
-    down = np.cumprod(down)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(words) * up)))
-    return _mixed((total[n:] - total[:-n]) * down[:len(words) - n + 1])
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Least value of each window of ``n``."""
+    wide = 1
+    while 2 * wide <= n:
+        x = np.minimum(x[:-wide], x[wide:])
+        wide *= 2
+    return np.minimum(x[:len(x) - (n - wide)], x[n - wide:]) if n > wide else x
 
 
 def places(anchors: np.ndarray) -> np.ndarray:
     """Positions that have the least anchor, the last of those, in some window of ``PLACES``."""
     if len(anchors) < PLACES:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(anchors, PLACES)
-    return np.unique(PLACES - 1 - view[:, ::-1].argmin(1) + np.arange(len(view)))
+    low = np.uint64((1 << 24) - 1)
+    at = (low - (_least((anchors & ~low) | (low - np.arange(len(anchors), dtype=np.uint64)), PLACES) & low)).astype(np.int64)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+
+
+def signatures(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(paragraphs, places): least values, as 32 bits, of each run's shingles under the fixed permutations."""
+    count = np.maximum(end - start - SHINGLE + 1, 1)
+    of = np.cumsum(count) - count
+    first = np.repeat(start - of, count) + np.arange(int(count.sum()))
+    h = _run(sums, first, np.minimum(first + SHINGLE, np.repeat(end, count)))
+    out = np.empty((len(start), _K), np.uint32)
+    for k in range(_K):
+        out[:, k] = np.minimum.reduceat(h * _A[k], of) >> np.uint64(32)
+    return out
+
+
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    n = len(words)
+    at = np.arange(max(n - SHINGLE + 1, 1))
+    return np.unique(_run(_sums(words), at, np.minimum(at + SHINGLE, n)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Least values, as 32 bits, of ``shingles`` under the fixed permutations."""
-    out = np.full(_K, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 4096):
-        np.minimum(out, (shingles[k:k + 4096, None] * _A).min(0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+def _hashes(words: pa.Array) -> np.ndarray:
+    coded = words.dictionary_encode()
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)[coded.indices.to_numpy()]
 
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    return np.unique(_runs(words, min(SHINGLE, max(1, len(words)))))
+def word_hashes(text: str | None) -> np.ndarray:
+    parts = (text or "").encode().lower().split()
+    return _hashes(pa.array(parts, pa.large_binary()).cast(pa.large_string())) if parts else np.empty(0, np.uint64)
+
+
+def units(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """``text, hash, start, end, signatures`` of the paragraphs and then, without signatures, of the passages."""
+    lines = pc.split_pattern(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())), "\n")
+    parts = pc.ascii_split_whitespace(lines.flatten())
+    flat = parts.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    flat = flat.filter(pa.array(full))
+    if not len(flat):
+        return
+    at = np.concatenate(([0], np.cumsum(full)))[parts.offsets.to_numpy()]  # words before each line
+    to = at[lines.offsets.to_numpy()]  # words before each text
+    words = _hashes(flat)
+    sums = _sums(words)
+    a, b = at[:-1], at[1:]
+    of = np.repeat(np.arange(len(texts)), np.diff(lines.offsets.to_numpy()))
+    whole = b - a >= LEAST
+    if whole.any():
+        a, b, of = a[whole], b[whole], of[whole]
+        yield of, _run(sums, a, b), a - to[of], b - to[of], signatures(sums, a, b)
+    i = np.arange(max(len(words) - SHINGLE + 1, 0))
+    anchors = _run(sums, i, i + SHINGLE)
+    for lo in range(0, max(len(anchors) - PLACES + 1, 0), 1 << 23):
+        # windows that cross two texts are taken too, and dropped with their passages or kept: a place more
+        p = places(anchors[lo:lo + (1 << 23) + PLACES - 1]) + lo
+        of = np.searchsorted(to, p, "right") - 1
+        inside = p + SPAN <= to[of + 1]
+        p, of = p[inside], of[inside]
+        if len(p):
+            yield of, _run(sums, p, p + SPAN), p - to[of], p - to[of] + SPAN, None
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "h", "g", "doc_id", "tie", "start", "end", "sig"]
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            h, g, of, start, end, kind, sig = [], [], [], [], [], [], []
-            for row, t in enumerate(part.column("text")):
-                words, lines = _words(t.as_py())
-                if len(words) < LEAST:
-                    continue
-                at = places(_runs(words, SHINGLE))
-                spans = _runs(words, SPAN)
-                at = at[at < len(spans)]
-                a = np.concatenate(([0], lines[:-1]))
-                whole = lines - a >= LEAST
-                for x, y in zip(a[whole].tolist(), lines[whole].tolist()):
-                    own = words[x:y]
-                    v = int(_runs(own, len(own))[0])
-                    h.append(np.array([v], np.uint64)), g.append(np.array([v >> 7 & 0x7FFFFFFF])), start.append([x]), end.append([y])
-                    sig.append(signature(shingle_set(own)).tobytes())
-                    of.append([row]), kind.append("P")
-                if len(at):
-                    v = spans[at]
-                    h.append(v), g.append((_runs(words[::-1], SPAN)[::-1][at] & np.uint64(0x7FFFFFFF)).astype(np.int64))
-                    start.append(at), end.append(at + SPAN), of.append(np.full(len(at), row))
-                    sig += [None] * len(at)
-                    kind += ["W"] * len(at)
-            if not kind:
-                continue
-            rows = pa.array(np.concatenate(of).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(kind), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(g).astype(np.int32)),
-                part.column("doc_id").take(rows), part.column("tie").take(rows),
-                pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(end).astype(np.int32)), pa.array(sig, pa.binary())], names)
+        size = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // 12_000_000
+        cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(size) else []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            part = batch.take(pa.array(np.arange(lo, hi)))
+            for of, h, start, end, sig in units(part.column("text")):
+                for k in range(0, len(of), 50_000):
+                    s = slice(k, k + 50_000)
+                    rows = pa.nulls(len(of[s]), pa.binary()) if sig is None else pa.array([x.tobytes() for x in sig[s]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(h[s].view(np.int64)), part.column("doc_id").take(pa.array(of[s])),
+                        pa.array(start[s].astype(np.int32)), pa.array(end[s].astype(np.int32)), rows], ["h", "doc_id", "start", "end", "sig"])
 
 
 def _bucket_links(sigs: np.ndarray) -> list[tuple[int, int]]:
@@ -176,35 +211,40 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more. Null, empty and short texts have no units; rows that repeat with one id
     are one row; empty tables give no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    units = common.stage(rows.mapInArrow(_units, _UNITS), "units")
-    place = F.struct("doc_id", "start", "tie", "end")
-    spans = units.where("kind = 'W'")
-    often = spans.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "tie")).alias("last"), F.min(F.struct("doc_id", "tie")).alias("least"))
-    often = often.where(~F.col("last").eqNullSafe(F.col("least"))).select("h", "g", "first")
-    w = spans.join(often, ["h", "g"]).select("doc_id", "kind", "tie", "start", "end", "first")
-
-    paras = units.where("kind = 'P'")
-    one = common.stage(paras.groupBy("h").agg(F.first("sig").alias("sig"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "paragraphs")
-    banded = F.pandas_udf(lambda s: pd.Series([[int(xxhash.xxh3_64_intdigest(x[12 * b:12 * b + 12], b) >> 1) for b in range(BANDS)] for x in s]), "array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = common.stage(rows.mapInArrow(_units, _UNITS), "units")
+    spans = every.where("sig is null").select("h", "doc_id", "start", "end")
+    often = spans.groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-1 << 62))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1 << 62))).alias("b")).where("a < b")
+    met = common.stage(spans.join(often.select("h"), "h"), "passages")
+    first = met.groupBy("h").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"))
+    w = met.join(first, "h").select("doc_id", F.lit("W").alias("kind"), "start", "end", "first")
+
+    paras = every.where("sig is not null")
+    one = common.stage(paras.groupBy("h").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")), "paragraphs")
+    banded = F.pandas_udf(lambda s: pd.Series([[int(xxhash.xxh3_64_intdigest(x[4 * ROWS * b:4 * ROWS * (b + 1)], b) >> 1) for b in range(BANDS)] for x in s]), "array<long>")
     keys = common.stage(one.select("h", F.explode(banded("sig")).alias("key")), "bands")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = keys.join(many, "key").join(one.select("h", "sig"), "h").select("key", "h", "sig")
-    pairs = common.stage(met.repartition("key").mapInArrow(_candidates, "u long, v long").distinct(), "pairs")
+    many = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+    near = keys.join(many, "key").join(one.select("h", "sig"), "h").select("key", "h", "sig")
+    pairs = common.stage(near.repartition("key").mapInArrow(_candidates, "u long, v long").distinct(), "pairs")
+    common.unstage(keys)
 
     need = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct().join(one, "h").select("h", "first.*")
-    need = need.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("h", "start", "end")).alias("parts"))
-    need = common.small(common.stage(need.withColumnRenamed("doc_id", "i").withColumnRenamed("tie", "t"), "wanted"))
+    need = need.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("parts"))
+    need = common.small(common.stage(need.withColumnRenamed("doc_id", "i"), "wanted"))
 
     @F.pandas_udf("array<struct<h: long, s: array<long>>>")
     def sets(text: pd.Series, parts: pd.Series) -> pd.Series:
         out = []
         for t, ps in zip(text, parts):
-            words, _ = _words(t)
-            out.append([{"h": p["h"], "s": shingle_set(words[p["start"]:p["end"]]).view(np.int64).tolist()} for p in ps])
+            words = word_hashes(t)
+            sums, got = _sums(words), []
+            for p in ps:  # rows with one id may have other texts
+                if p["end"] <= len(words) and int(_run(sums, np.array([p["start"]]), np.array([p["end"]])).view(np.int64)[0]) == p["h"]:
+                    got.append({"h": p["h"], "s": shingle_set(words[p["start"]:p["end"]]).view(np.int64).tolist()})
+            out.append(got)
         return pd.Series(out)
 
-    text = rows.join(need, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select(F.inline(sets("text", "parts"))).dropDuplicates(["h"])
+    text = rows.join(need, F.col("doc_id").eqNullSafe(F.col("i"))).select(F.inline(sets("text", "parts"))).dropDuplicates(["h"])
     text = common.stage(text, "shingles")
     both = pairs.join(text.select(F.col("h").alias("u"), F.col("s").alias("a")), "u").join(text.select(F.col("h").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -212,7 +252,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     comps = common.components(links, "passage-links")
     group = common.stage(one.join(comps, one.h == comps.node, "left").select("h", F.coalesce("component", "h").alias("c"), "first", "n"), "groups")
     firsts = group.groupBy("c").agg(F.min("first").alias("top"), F.sum("n").alias("m")).where("m > 1")
-    p = paras.join(group.join(firsts, "c").select("h", F.col("top").alias("first")), "h").select("doc_id", "kind", "tie", "start", "end", "first")
-    here = F.struct("doc_id", "start", "tie", "end")
+    p = paras.join(group.join(firsts, "c").select("h", F.col("top").alias("first")), "h").select("doc_id", F.lit("P").alias("kind"), "start", "end", "first")
+    here = F.struct("doc_id", "start", "end")
     return w.unionByName(p).distinct().select(
         "doc_id", "kind", "start", "end", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), (~here.eqNullSafe(F.col("first"))).alias("removed"))
