@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +92,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.array(np.concatenate([p for _, p in got]))], ["a", "b", "h", "pos"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """A few rows at once: what Python makes of nested columns is many times their size."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 _SEGMENTS = "h long, g long, a long, b long, pos long, left binary, right binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _SEGMENTS.split(", ")]
-    for batch in batches:
+    for batch in _parts(batches):
         out: list[tuple] = []
         for a, b, t, want in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), batch.column("want").to_pylist()):
             raw = t.as_py().encode()
@@ -190,22 +196,27 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "l", "d", "a", "b", "lo", "hi"])
 
 
-def _kept(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, rs in zip(text, ranges):
-        raw, removed, spans, last, kept = t.encode(), 0, 0, 0, hashlib.sha256()
-        merged: list[list[int]] = []
-        for r in sorted((r["lo"], r["hi"]) for r in rs):
-            if merged and r[0] <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], r[1])
-            else:
-                merged.append(list(r))
-        for lo, hi in merged:
-            kept.update(raw[last:lo])
-            removed, spans, last = removed + hi - lo, spans + 1, hi
-        kept.update(raw[last:])
-        rows.append((removed, spans, kept.hexdigest()))
-    return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
+_KEPT = "a long, b long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text without its ranges."""
+    for batch in _parts(batches):
+        rows = []
+        for a, b, t, rs in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist()):
+            raw, removed, spans, last, kept = t.as_py().encode(), 0, 0, 0, hashlib.sha256()
+            merged: list[list[int]] = []
+            for lo, hi in sorted((r["lo"], r["hi"]) for r in rs):
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], hi)
+                else:
+                    merged.append([lo, hi])
+            for lo, hi in merged:
+                kept.update(raw[last:lo])
+                removed, spans, last = removed + hi - lo, spans + 1, hi
+            kept.update(raw[last:])
+            rows.append((a, b, removed, spans, kept.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], [x.split()[0] for x in _KEPT.split(", ")])
 
 
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -246,14 +257,13 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     ranges = ranges.unionByName(strings.join(twice, ["h", "l", "d"]).select("a", "b", "lo", "hi"))
     ranges = ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
-    kept = F.pandas_udf(_kept, "n_removed long, n_spans long, kept_sha256 string")
-    cut = met.select("a", "b", "text").join(ranges, ["a", "b"]).select("a", "b", kept("text", "ranges").alias("k"))
+    cut = met.select("a", "b", "text").join(ranges, ["a", "b"]).select("a", "b", "text", "ranges").mapInArrow(_kept, _KEPT)
     of = common.stage(often.join(cut, ["a", "b"], "left"), "cuts")
     out = facts.join(of, ["a", "b"])
     all_ = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     none = F.lit(hashlib.sha256(b"").hexdigest())
     zero = F.lit(0).cast("long")
     return out.select(
-        "doc_id", "n_bytes", F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("k.n_removed", zero)).alias("n_removed"),
-        F.when(all_, F.lit(1).cast("long")).otherwise(F.coalesce("k.n_spans", zero)).alias("n_spans"),
-        F.when(all_, none).otherwise(F.coalesce("k.kept_sha256", "sha")).alias("kept_sha256"))
+        "doc_id", "n_bytes", F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(all_, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(all_, none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
