@@ -37,7 +37,7 @@ from evispark.llm import common
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
 #: Words that a worker keeps encoded, about 200 bytes each.
-CACHE = 800_000
+CACHE = 1_000_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
@@ -209,7 +209,7 @@ def _by_slice(enc: Encoder, texts: pa.StringArray, end: np.ndarray) -> Iterator[
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=1).compress
     task, made, sent = TaskContext.get().partitionId(), 0, set()
     end = np.array([end_id], enc.type)
     for batch in batches:
