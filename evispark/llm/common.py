@@ -7,11 +7,17 @@ so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +65,25 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim() -> None:
+    """Give back to the system what a Python worker has freed; workers live on after a task and idle beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over batches, with :func:`trim` at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``rows`` rows.
 

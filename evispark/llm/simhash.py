@@ -198,7 +198,7 @@ def links(nodes: DataFrame, budget: int = 3) -> DataFrame:
     keys = F.explode(F.array(*[
         F.shiftrightunsigned(F.col("fp"), BITS - BLOCK * (t + 1)).bitwiseAND(F.lit(0xFFFF)) + F.lit(t << BLOCK).cast("long") for t in range(4)]))
     dealt = nodes.select(keys.alias("k"), "fp", "node").repartition("k")
-    return dealt.mapInArrow(lambda it: _forest(it, budget), "u long, v long")
+    return dealt.mapInArrow(common.trimmed(lambda it: _forest(it, budget)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, seed: int = 42) -> DataFrame:
@@ -285,7 +285,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
     nodes = common.stage(rows.groupBy("sketch").agg(F.min("doc_id").alias("node")), "sketch-nodes")
     dealt = nodes.where("node is not null").select("node", "sketch", F.explode(keys("sketch")).alias("kv")).select(
         F.shiftrightunsigned("kv", 2 * HALF).alias("k"), F.col("kv").bitwiseAND(F.lit((1 << 2 * HALF) - 1)).alias("v"), "node", "sketch")
-    edges = dealt.repartition("k").mapInArrow(lambda it: _sketch_forest(it, 1, most), "u long, v long")
+    edges = dealt.repartition("k").mapInArrow(common.trimmed(lambda it: _sketch_forest(it, 1, most)), "u long, v long")
     comps = common.components(edges, "sketch-links")
     of = nodes.join(comps, "node", "left").select("sketch", F.coalesce("component", "node").alias("component"))
     return rows.join(of, "sketch")

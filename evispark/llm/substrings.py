@@ -237,7 +237,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     facts = common.stage(rows.select("doc_id", "a", "b", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     often = facts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
 
-    found = common.stage(rows.where(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(_anchor_rows, "a long, b long, h long, pos long"), "anchors")
+    found = common.stage(rows.where(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(common.trimmed(_anchor_rows), "a long, b long, h long, pos long"), "anchors")
     spot = F.struct("a", "b", "pos")
     again = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("h", "n")
     want = found.join(again, "h").groupBy("a", "b").agg(F.collect_set(F.struct("pos", "h", (F.col("n") > hot).alias("hot"))).alias("want"))
@@ -248,16 +248,16 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
         some = some.join(F.broadcast(listed), ["a", "b"], "left_semi")
     met = common.stage(some.dropDuplicates(["a", "b"]).join(want, ["a", "b"]), "repeating")
 
-    calm = met.withColumn("want", F.filter("want", lambda x: ~x["hot"])).mapInArrow(_segments, _SEGMENTS)
-    ranges = calm.repartition("h").mapInArrow(_decide, "a long, b long, lo long, hi long")
+    calm = met.withColumn("want", F.filter("want", lambda x: ~x["hot"])).mapInArrow(common.trimmed(_segments), _SEGMENTS)
+    ranges = calm.repartition("h").mapInArrow(common.trimmed(_decide), "a long, b long, lo long, hi long")
     hot_ones = met.withColumn("want", F.filter("want", lambda x: x["hot"])).where(F.size("want") > 0)
-    strings = hot_ones.mapInArrow(_segments, _SEGMENTS).mapInArrow(_hashed, "h long, l int, d binary, a long, b long, lo long, hi long")
+    strings = hot_ones.mapInArrow(common.trimmed(_segments), _SEGMENTS).mapInArrow(common.trimmed(_hashed), "h long, l int, d binary, a long, b long, lo long, hi long")
     here = F.struct("a", "b", "lo")
     twice = strings.groupBy("h", "l", "d").agg(F.min(here).alias("x"), F.max(here).alias("y")).where("x <> y").select("h", "l", "d")
     ranges = ranges.unionByName(strings.join(twice, ["h", "l", "d"]).select("a", "b", "lo", "hi"))
     ranges = ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
-    cut = met.select("a", "b", "text").join(ranges, ["a", "b"]).select("a", "b", "text", "ranges").mapInArrow(_kept, _KEPT)
+    cut = met.select("a", "b", "text").join(ranges, ["a", "b"]).select("a", "b", "text", "ranges").mapInArrow(common.trimmed(_kept), _KEPT)
     of = common.stage(often.join(cut, ["a", "b"], "left"), "cuts")
     out = facts.join(of, ["a", "b"])
     all_ = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
