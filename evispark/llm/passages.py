@@ -212,7 +212,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     are one row; empty tables give no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = common.stage(rows.mapInArrow(_units, _UNITS), "units")
+    every = common.stage(rows.mapInArrow(common.trimmed(_units), _UNITS), "units")
     spans = every.where("sig is null").select("h", "doc_id", "start", "end")
     often = spans.groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-1 << 62))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1 << 62))).alias("b")).where("a < b")
     met = common.stage(spans.join(often.select("h"), "h"), "passages")
@@ -225,7 +225,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     keys = common.stage(one.select("h", F.explode(banded("sig")).alias("key")), "bands")
     many = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
     near = keys.join(many, "key").join(one.select("h", "sig"), "h").select("key", "h", "sig")
-    pairs = common.stage(near.repartition("key").mapInArrow(_candidates, "u long, v long").distinct(), "pairs")
+    pairs = common.stage(near.repartition("key").mapInArrow(common.trimmed(_candidates), "u long, v long").distinct(), "pairs")
     common.unstage(keys)
 
     need = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct().join(one, "h").select("h", "first.*")
