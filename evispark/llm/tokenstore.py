@@ -37,7 +37,7 @@ from evispark.llm import common
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
 #: Words that a worker keeps encoded, about 200 bytes each.
-CACHE = 850_000
+CACHE = 600_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
@@ -195,7 +195,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _by_slice(enc: Encoder, texts: pa.StringArray, end: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
     """Ids of each text with the end, and its chunks' ends, some megabytes of texts at once."""
-    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 10_000_000
+    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 6_000_000
     cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(texts) else []
     for a, b in zip(cut[:-1], cut[1:]):
         some = [np.concatenate([x, end]) for x in enc.encode_many(texts.take(pa.array(np.arange(a, b))))]
@@ -250,8 +250,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     empty table gives a store without documents; other columns are ignored.
     """
     spark = docs.sparkSession
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(
-        lambda it: _encode(it, tokenizer, end_id), _PARTS)
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(common.trimmed(lambda it: _encode(it, tokenizer, end_id)), _PARTS)
     made.dropDuplicates(["key"]).write.partitionBy("kind").parquet(f"{path}/parts")
     whole = spark.read.schema(_PARTS).parquet(f"{path}/parts")
     raw = whole.where("kind = 'R'").select("doc_id", "tie", "n", "chunks")
@@ -371,7 +370,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     documents get their chunks' sums through their digests, so ids do not move.
     """
     chunks = spark.read.schema(_PARTS).parquet(f"{path}/parts").where("kind = 'C'").select("key", "n", "payload")
-    sums = chunks.mapInArrow(_chunk_sums, "key binary, m long, crc long")
+    sums = chunks.mapInArrow(common.trimmed(_chunk_sums), "key binary, m long, crc long")
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     each = recipes.select("doc_id", "start", "n", F.posexplode("chunks").alias("pos", "key")).join(sums, "key", "left")
     of = each.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n_tokens"), F.sum("m").alias("got"),
