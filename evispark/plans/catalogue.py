@@ -1,6 +1,636 @@
-"""Registered queries over the reference's operators and their SQL twins."""
+"""Registered queries over the operators, each with its SQL twin where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from evispark.functions import lexicon as L
+from evispark.functions import text as X
+from evispark.operators import bias, cite, compare, extract, funnel, keywords, layout, library, locate, telemetry, vocab
+from evispark.plans import fixtures as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- SQL texts that several twins share
+
+_WS = r"[\s\x0b\x{a0}\x{3000}]"
+Q = lambda s: s.replace("'", "''")
+
+
+def sq(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'))"
+
+
+def sents(c: str) -> str:
+    s = sq(f"coalesce({c}, '')")
+    for a in L.ABBREVIATIONS:
+        s = f"replace({s}, '{a}.', '{a}§')"
+    return (f"list_filter(list_transform(string_split(regexp_replace({s}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(replace(p, '§', '.'))), lambda p: length(p) > 10)")
+
+
+def hit(low: str, cues: list[str]) -> str:
+    """Whether a cue of a list is in a lower-case text."""
+    parts = []
+    for c in cues:
+        k = Q(c.strip()).replace(".", r"\.")
+        parts.append(rf"\b{k}\b" if c.isascii() and c.isalnum() else rf"(?:^|[^a-z0-9]){k}(?:$|[^a-z0-9])" if c != c.strip() else k)
+    return f"regexp_matches({low}, '{'|'.join(parts)}')"
+
+
+_NUM = r"\d+(?:[.·]\d+)?"
+_STEM = """CASE WHEN length(w) <= 4 OR contains(w, '-') OR regexp_matches(w, '[0-9]') THEN w ELSE
+ CASE WHEN length(c) < 3 THEN w ELSE c END END"""
+_CAND = """CASE WHEN ends_with(w, 'ies') AND length(w) > 5 THEN left(w, length(w)-3) || 'y' WHEN ends_with(w, 'sses') AND length(w) > 5 THEN left(w, length(w)-2)
+ WHEN ends_with(w, 'es') AND length(w) > 5 THEN CASE WHEN substr(w, length(w)-2, 1) IN ('s','x','z') THEN left(w, length(w)-2) ELSE left(w, length(w)-1) END
+ WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') AND NOT ends_with(w, 'is') THEN left(w, length(w)-1) ELSE w END"""
+
+
+# --- texts ---------------------------------------------------------------------
+
+@query(f"SELECT doc_id, len({sents('text')})::INT AS sentences FROM documents")
+def sentence_counts(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+
+
+def _value_sql() -> str:
+    pats = {k: Q(p) for k, p in X.VALUE_PATTERNS.items()}
+    arms = " UNION ALL ".join(f"SELECT doc_id, pos, '{k}' AS kind, unnest(regexp_extract_all(s, '{p}')) AS v FROM s" for k, p in pats.items())
+    return f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM ({S.values(S.TEXTS, 'id long, text string')})),
+ s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {sents('text')} AS l FROM d)), h AS ({arms}),
+ n AS (SELECT doc_id, kind, {sq("replace(v, '·', '.')")} AS value FROM h WHERE kind <> '百分比' OR ends_with(v, '%'))
+ SELECT kind, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, kind, lower(regexp_replace(value, '{_WS}+', '', 'g')) FROM n) GROUP BY kind"""
+
+
+@query(_value_sql())
+def value_hits_by_type(spark, d):
+    own = S.frame(spark, S.TEXTS, "id long, text string").select((-F.col("id")).alias("doc_id"), "text")
+    hits = locate.values(t(spark, d, "documents").select("doc_id", "text").unionByName(own), per_type=1_000_000)
+    return hits.groupBy("kind").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"))
+
+
+_STOPS = ", ".join(f"'{Q(w)}'" for w in L.ENGLISH_STOP + L.GENERIC_STOP)
+_TOKENS = f"""raw AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\\-]*'))) AS r FROM documents WHERE lang = 'en'),
+ a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(r, '^[''\\-]+|[''\\-]+$', '', 'g'), '''(s|re|ve|ll|d|m|t)$', ''), '[''\\-]+$', '') AS w FROM raw),
+ b AS (SELECT doc_id, w, {_CAND} AS c FROM a WHERE w <> ''), tok AS (SELECT doc_id, {_STEM} AS term FROM b)"""
+
+
+@query(f"""WITH {_TOKENS}, k AS (SELECT * FROM tok WHERE term NOT IN ({_STOPS}) AND (term IN ({', '.join(f"'{w}'" for w in L.SHORT_KEEP)}) OR (length(term) >= 3 AND replace(term, left(term, 1), '') <> ''))),
+ g AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM k GROUP BY term), n AS (SELECT count(*) AS units FROM documents WHERE lang = 'en')
+ SELECT term, tf, df, round(tf * (0.35::DOUBLE + ln(1 + units / (1 + df))), 6) AS weight FROM g, n WHERE df >= 3""")
+def token_weights(spark, d):
+    en = t(spark, d, "documents").where("lang = 'en'")
+    return keywords.token_weights(en, "doc_id").where("df >= 3").withColumn("weight", F.round("weight", 6))
+
+
+@query("""SELECT lang, count(*) AS docs, count(*) FILTER (WHERE la > cjk * 2 AND la > 20) AS english FROM
+ (SELECT lang, len(regexp_extract_all(text, '[A-Za-z]')) AS la, len(regexp_extract_all(text, '[一-鿿]')) AS cjk FROM documents) GROUP BY lang""")
+def mostly_english_by_lang(spark, d):
+    return t(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(X.mostly_english(F.col("text"))).alias("english"))
+
+
+_MASK = r"""regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '[邮箱已隐去]', 'g'), '(^|[^0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}($|[^0-9])', '\1[手机号已隐去]\2', 'g')"""
+
+
+@query(f"""SELECT doc_id, md5({_MASK}) AS masked, {_MASK} <> text AS changed FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM ({S.values(S.TEXTS, 'id long, text string')}) UNION ALL SELECT 1000000 + conv_id * 100 + turn, text FROM conversations)""")
+def pii_masked(spark, d):
+    own = S.frame(spark, S.TEXTS, "id long, text string").select((-F.col("id")).alias("doc_id"), "text")
+    talk = t(spark, d, "conversations").select((F.lit(1000000) + F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
+    rows = t(spark, d, "documents").select("doc_id", "text").unionByName(own).unionByName(talk)
+    return rows.select("doc_id", F.md5(X.sanitize(F.col("text"))).alias("masked"), (X.sanitize(F.col("text")) != F.col("text")).alias("changed"))
+
+
+_IDX = f"s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {sents('text')} AS l FROM documents))"
+
+
+@query(f"""WITH {_IDX}, h AS (SELECT doc_id, pos::INT AS pos, ((length(s) - length(replace(lower(s), 'the', ''))) / 3 + (length(s) - length(replace(lower(s), 'with', ''))) / 4)::INT AS count
+ FROM s WHERE contains(lower(s), 'the') AND contains(lower(s), 'with')) SELECT doc_id, pos, count FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 80""")
+def keyword_search(spark, d):
+    return locate.search(t(spark, d, "documents"), "the With")
+
+
+_NT = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_NUMS = "list_filter(list_distinct(regexp_extract_all({}, '\\d+(?:\\.\\d+)?')), lambda x: NOT (regexp_full_match(x, '\\d{{4}}') AND x::DOUBLE BETWEEN 1900 AND 2100))"
+_LATIN = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z\\-'']{{2,}}'), lambda x: lower(x)))"
+
+
+@query(f"""WITH {_IDX}, q AS (SELECT item_id AS query_id, s AS q FROM (SELECT item_id, ({sents('text')})[1] AS s FROM benchmark) WHERE s IS NOT NULL),
+ qq AS (SELECT query_id, {_NT.format('q')} AS qn, {_NUMS.format('q')} AS qnum, {_LATIN.format('q')} AS qterm FROM q), ss AS (SELECT doc_id, pos, {_NT.format('s')} AS sn, {_NUMS.format('s')} AS snum, {_LATIN.format('s')} AS sterm FROM s),
+ p AS (SELECT query_id, doc_id, pos, CASE WHEN sn = qn THEN 1 WHEN sn <> '' AND (contains(qn, sn) OR (length(qn) > 40 AND contains(sn, qn))) THEN 2 ELSE 3 END AS tier,
+  len(list_intersect(qnum, snum)) AS a, len(list_intersect(qterm, sterm)) AS b, len(qnum) * 3 + len(qterm) * 2 AS of, len(snum) AS nums FROM qq, ss),
+ r AS (SELECT *, CASE tier WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.95::DOUBLE ELSE (a * 3 + b * 2)::DOUBLE / of * CASE WHEN nums > 3 AND a < nums * 0.5 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END END AS raw FROM p WHERE tier < 3 OR (of > 0 AND a + b > 0)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, raw DESC, doc_id, pos) AS n, min(tier) OVER (PARTITION BY query_id) AS first FROM r WHERE raw >= 0.3)
+ SELECT query_id, doc_id, pos::INT AS pos, round_even(raw, 2) AS score FROM k WHERE n <= 2 AND tier = first""")
+def locate_benchmark(spark, d):
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.get(X.sentences(F.col("text")), F.lit(0)).alias("sentence")).where("sentence is not null")
+    return locate.locate(q, t(spark, d, "documents"))
+
+
+_PLAIN = "regexp_replace(html, '<[^>]*>', chr(10), 'g')"
+
+
+@query(f"""WITH l AS (SELECT page_id, list_filter(list_transform(string_split_regex({_PLAIN}, '\\r\\n|\\n|\\r'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pages),
+ s AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: regexp_full_match(x, '(?i)abstract|summary|highlights')), true), 1) - 1 AS st FROM l),
+ e AS (SELECT *, coalesce(list_min(list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i - 1 >= st + 10 AND regexp_full_match(ls[i], '(?i)references?|bibliography') THEN i - 1 END), lambda i: i IS NOT NULL)), len(ls)) AS en FROM s)
+ SELECT page_id, md5(CASE WHEN length(array_to_string(ls[st + 1:en], chr(10))) > 1500 THEN array_to_string(ls[st + 1:en], chr(10)) ELSE array_to_string(ls, chr(10)) END) AS text FROM e""")
+def page_text_clean(spark, d):
+    return t(spark, d, "pages").select("page_id", F.md5(X.page_text(F.regexp_replace("html", "<[^>]*>", "\n"))).alias("text"))
+
+
+@query("""SELECT min(doc_id) AS doc_id, count(*) AS copies, k AS title_key FROM (SELECT doc_id, left(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9一-鿿]', '', 'g'), 80) AS k FROM documents) GROUP BY k""")
+def title_dedupe_first(spark, d):
+    k = compare.title_key(F.split_part("text", F.lit("\n"), F.lit(1)))
+    return t(spark, d, "documents").groupBy(k.alias("title_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("""SELECT doc_id, lower(text[1:0]) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, sha1(url || chr(31) || doc_id || chr(31)) AS digest FROM (SELECT page_id AS doc_id, url, html AS text FROM pages)""")
+def url_digests(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), X.host_of(F.col("url")).alias("host"), X.digest(F.col("url"), F.col("page_id")).alias("digest"))
+
+
+# --- extraction ------------------------------------------------------------------
+
+_ART = S.values(S.ARTICLES, S.ARTICLE_COLUMNS)
+
+
+def _sizes_sql() -> str:
+    arms = " UNION ALL ".join(f"SELECT ord, unnest(regexp_extract_all(a, '{Q(p)}', 1)) AS v FROM x" for p in extract.SIZE_PATTERNS)
+    return f"""WITH x AS (SELECT ord, coalesce(abstract, '') AS a FROM ({_ART})), h AS ({arms}), n AS (SELECT ord, max(v) AS n FROM (SELECT ord, TRY_CAST(replace(v, ',', '') AS BIGINT) AS v FROM h) WHERE v BETWEEN 10 AND 5000000 GROUP BY ord)
+ SELECT x.ord, n.n FROM x LEFT JOIN n USING (ord)"""
+
+
+@query(_sizes_sql())
+def sample_size(spark, d):
+    return S.articles(spark).select("ord", extract.largest_size(F.col("abstract")).alias("n"))
+
+
+def _effects_sql() -> str:
+    a = "coalesce(abstract, '')"
+    keep = lambda p: f"list_filter(regexp_extract_all({a}, '{Q(p)}', 1), lambda x: true)"
+    ratios = ", ".join(f"array_to_string({keep(p)}, '/') AS {k}" for k, p in extract.RATIOS.items())
+    ci = f"array_to_string(list_transform(regexp_extract_all({a}, '{Q(extract.INTERVAL)}', 1), lambda c: regexp_replace(c, '^[ ,;，；]+|[ ,;，；]+$', '', 'g')), '|')"
+    return f"SELECT ord, {ratios}, {ci} AS ci, array_to_string(regexp_extract_all({a}, '{Q(extract.P_VALUE)}'), '|') AS p FROM ({_ART})"
+
+
+@query(_effects_sql())
+def effects(spark, d):
+    e = S.articles(spark).select("ord", extract.effects(F.col("abstract")).alias("e"))
+    return e.select("ord", *[F.array_join(F.col("e")[k], "/").alias(k) for k in extract.RATIOS], F.array_join(F.transform(F.col("e")["CI"], lambda c: F.replace(c, F.lit("95% CI "), F.lit(""))), "|").alias("ci"), F.array_join(F.col("e")["P"], "|").alias("p"))
+
+
+def _polarity_sql() -> str:
+    neg = "(?:" + "|".join(L.NEGATORS) + ")\\s*$"
+    neg = Q(neg)
+
+    def alone(c):
+        k = Q(c)
+        return (f"list_bool_or(list_transform(range(2, len(string_split(low, '{k}')) + 1), lambda i: NOT regexp_matches(right(array_to_string(string_split(low, '{k}')[1:i - 1], '{k}'), 14), '{neg}')))")
+
+    def first(cues):
+        return "coalesce(" + ", ".join(f"CASE WHEN contains(low, '{Q(c)}') AND {alone(c)} THEN '{Q(c)}' END" for c in cues) + ")"
+
+    return f"""WITH x AS (SELECT ord, lower(coalesce(abstract, '')) AS low FROM ({_ART})), c AS (SELECT ord, {first(L.NULL_CUES)} AS n, {first(L.HARM_CUES)} AS h, {first(L.POSITIVE_CUES)} AS g FROM x)
+ SELECT ord, CASE WHEN n IS NOT NULL THEN '{L.NULL}' WHEN h IS NOT NULL THEN '{L.HARM}' WHEN g IS NOT NULL THEN '{L.POSITIVE}' ELSE '{L.UNCLEAR}' END AS polarity, coalesce(n, h, g, '') AS cue FROM c"""
+
+
+@query(_polarity_sql())
+def polarity(spark, d):
+    return S.articles(spark).select("ord", extract.polarity(F.col("abstract")).alias("p")).select("ord", F.col("p.label").alias("polarity"), "p.cue")
+
+
+def _design_sql() -> str:
+    arms = [f"WHEN list_bool_or(list_transform(types, lambda p: starts_with(lower(p), '{n}'))) THEN '{k}'" for k, ns in L.PUBTYPES.items() for n in ns]
+    arms += [f"WHEN {' OR '.join(f'''contains(low, '{c}')''' for c in cs)} THEN '{k}'" for k, cs in L.DESIGN_CUES.items()]
+    return f"WITH x AS (SELECT ord, coalesce(pubtypes, []) AS types, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS low FROM ({_ART})) SELECT ord, CASE {' '.join(arms)} ELSE '{L.UNKNOWN_DESIGN}' END AS design FROM x"
+
+
+@query(_design_sql())
+def design(spark, d):
+    a = extract.with_sections(S.articles(spark))
+    return a.select("ord", extract.design()["label"].alias("design"))
+
+
+@query(f"""WITH x AS (SELECT ord, coalesce(abstract, '') AS a FROM ({_ART})), m AS (SELECT ord, regexp_extract(a, '{extract.FOLLOW_EN}', 1) AS v, lower(regexp_extract(a, '{extract.FOLLOW_EN}', 2)) AS u FROM x)
+ SELECT ord, CASE WHEN v = '' THEN NULL ELSE round_even(CASE WHEN u IN ('month', 'mo') THEN v::DOUBLE WHEN u IN ('year', 'yr') THEN v::DOUBLE * 12 WHEN u = 'week' THEN v::DOUBLE / 4.345::DOUBLE ELSE v::DOUBLE / 30.44::DOUBLE END, 1) END AS months FROM m""")
+def followup_months(spark, d):
+    return S.articles(spark).select("ord", extract.followup(F.coalesce("abstract", F.lit("")))["months"].alias("months"))
+
+
+_DIM = S.values(L.DESIGN_DIM, "design string, base double, layer string, cebm string, grade string, toolkit string")
+
+
+@query(f"""SELECT r.row_key, d.layer, d.cebm, d.grade, d.toolkit, round(s, 1) AS score, CASE WHEN s >= 4 THEN '强' WHEN s >= 2.5 THEN '中' ELSE '弱' END AS strength FROM
+ (SELECT row_key, design, base + CASE WHEN n >= 1000 THEN 1 WHEN n >= 100 THEN 0.5 ELSE 0 END + CASE WHEN has_interval THEN 0.5 ELSE 0 END AS s FROM ({S.values(S.ROWS, S.ROW_COLUMNS)})) r LEFT JOIN ({_DIM}) d USING (design)""")
+def evidence_strength(spark, d):
+    r = S.frame(spark, S.ROWS, S.ROW_COLUMNS).drop("cebm").join(F.broadcast(extract.dimension(spark).drop("base")), "design", "left")
+    s = extract.strength(F.col("base"), F.col("n"), F.col("has_interval"))
+    return r.select("row_key", "layer", "cebm", "grade", "toolkit", s["score"].alias("score"), s["label"].alias("strength"))
+
+
+_LOWS = f"x AS (SELECT ord, coalesce(abstract, '') AS a, lower(coalesce(title, '') || '. ' || coalesce(abstract, '')) AS low FROM ({_ART}))"
+
+
+@query(f"WITH {_LOWS} SELECT ord, " + ", ".join(f"{hit('low', c)} AS {k}" for k, c in L.CUES.items()) + " FROM x")
+def bias_cues(spark, d):
+    low = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit(""))))
+    return S.articles(spark).select("ord", *[(X.first_hit(low, c) != "").alias(k) for k, c in L.CUES.items()])
+
+
+def _flag_sql() -> str:
+    """The rules over the cue, size, effect, design, polarity and follow-up twins; fixtures have no full text, and one has labels."""
+    o, e = ORACLES, "e.HR || e.\"OR\" || e.RR || e.IRR"
+    trial, syn, obs = "g.design = '随机对照试验'", "g.design IN ('系统评价 / Meta 分析', '临床指南 / 专家共识', '叙述性综述')", "g.design IN ('队列研究', '病例对照研究', '横断面研究', '病例报告 / 病例系列')"
+    lost = " UNION ALL ".join(f"SELECT ord, unnest(regexp_extract_all(a, '{Q(p)}', 1)) AS v FROM x" for p in extract.ATTRITION)
+    rule = {
+        "n_unknown": "s.n IS NULL", "small_n": "s.n < 100", "basic": "g.design = '基础 / 动物实验'", "no_control_case": "g.design = '病例报告 / 病例系列'", "no_control_desc": f"{trial} AND NOT control", "single_arm": "single_arm",
+        "retrospective": "retrospective", "cross_sectional": "g.design = '横断面研究'", "no_blinding": f"{trial} AND NOT blind", "self_report": "self_report", "no_itt": f"{trial} AND NOT itt", "no_power": f"{trial} AND NOT power",
+        "industry_funding": "industry", "funding_unknown": "NOT industry AND NOT funding AND NOT coi", "posthoc_subgroup": f"NOT {syn} AND posthoc", "baseline_imbalance": "imbalance", "composite_outcome": "composite",
+        "no_adjustment": "g.design IN ('队列研究', '病例对照研究') AND NOT adjustment", "high_attrition": "coalesce(l.v, 0) >= 20", "pilot": f"{trial} AND pilot", "no_precision": "e.ci = '' AND e.p = ''", "no_ci_point": f"e.ci = '' AND {e} <> ''",
+        "no_registration": f"{trial} AND NOT regexp_matches(x.a, '{Q(bias.REGISTRY)}')", "no_heterogeneity": "g.design = '系统评价 / Meta 分析' AND NOT heterogeneity", "single_center": f"NOT {syn} AND NOT multicenter AND single_center",
+        "center_unknown": f"NOT {syn} AND NOT multicenter AND NOT single_center", "surrogate": "NOT hard_outcome AND surrogate", "followup_unknown": "f.months IS NULL", "short_followup": "f.months < 6"}
+    arms = " UNION ALL ".join(f"SELECT ord, '{k}' AS key FROM j WHERE {c.replace('s.n', 'n').replace('g.design', 'design').replace('e.', '').replace('l.v', 'v').replace('x.a', 'a').replace('f.months', 'months')}" for k, c in rule.items())
+    del obs
+    return f"""WITH {_LOWS}, lost AS ({lost}), j AS (SELECT x.a, c.*, s.n, e.HR, e."OR", e.RR, e.IRR, e.ci, e.p, g.design, f.months, l.v FROM x JOIN ({o['bias_cues']}) c USING (ord) JOIN ({o['sample_size']}) s USING (ord) JOIN ({o['effects']}) e USING (ord)
+ JOIN ({o['design']}) g USING (ord) JOIN ({o['followup_months']}) f USING (ord) LEFT JOIN (SELECT ord, max(v::DOUBLE) AS v FROM lost GROUP BY ord) l USING (ord) WHERE trim(x.a) <> '')
+ SELECT ord, 'no_abstract' AS key FROM x WHERE trim(a) = '' UNION ALL {arms}"""
+
+
+@query(_flag_sql())
+def bias_flags(spark, d):
+    p = extract.profile(S.articles(spark))
+    return p.select("ord", F.explode_outer("flags").alias("f")).select("ord", "f.key").where("key not in ('causal_claim', 'no_effect_size')")
+
+
+@query()
+def profiles(spark, d):
+    p = extract.profile(S.articles(spark))
+    return p.select("ord", "design", "n", "population", "intervention", "primary_outcome", "effects_text", "conclusion", "polarity", "polarity_cue", "bias_label", "bias_brief", "evidence.label", "setting", "source_label")
+
+
+@query()
+def comparison_table(spark, d):
+    return compare.comparison(extract.profile(S.articles(spark)))
+
+
+@query()
+def bias_overview(spark, d):
+    return bias.overview(extract.profile(S.articles(spark)))
+
+
+# --- across articles ---------------------------------------------------------------
+
+_ROWS = S.values(S.ROWS, S.ROW_COLUMNS)
+
+
+def _rows(spark):
+    return S.frame(spark, S.ROWS, S.ROW_COLUMNS)
+
+
+@query(f"""SELECT CASE WHEN design IS NOT NULL THEN 'design' WHEN polarity IS NOT NULL THEN 'polarity' ELSE 'cebm' END AS dimension, coalesce(design, polarity, cebm) AS value, count(*) AS n FROM ({_ROWS}) GROUP BY GROUPING SETS ((design), (polarity), (cebm))""")
+def summary_stats(spark, d):
+    return compare.summary(_rows(spark))
+
+
+@query(f"""SELECT count(*) AS total, min(y) AS year_from, max(y) AS year_to, coalesce(sum(n), 0)::BIGINT AS n_total, count(*) FILTER (WHERE n IS NULL) AS n_missing, count(*) FILTER (WHERE coalesce(pmcid, '') <> '') AS with_fulltext
+ FROM (SELECT *, TRY_CAST(left(year, 4) AS INT) AS y FROM ({_ROWS}))""")
+def summary_totals(spark, d):
+    return compare.totals(_rows(spark))
+
+
+@query(f"""SELECT row_key, (CASE WHEN design <> '未识别' THEN 1 ELSE 0 END + CASE WHEN n IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN population <> '' THEN 1 ELSE 0 END + CASE WHEN primary_outcome <> '' THEN 1 ELSE 0 END
+ + CASE WHEN effects_text <> '' THEN 1 ELSE 0 END + CASE WHEN conclusion <> '' THEN 1 ELSE 0 END)::INT AS filled FROM ({_ROWS})""")
+def completeness(spark, d):
+    return compare.completeness(_rows(spark)).select("row_key", "filled")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE design <> '未识别') AS recognized, count(*) FILTER (WHERE design <> '未识别') * 100.0::DOUBLE / count(*) AS rate FROM ({_ROWS})")
+def design_report(spark, d):
+    return compare.design_report(_rows(spark))
+
+
+@query(f"""WITH c AS (SELECT row_key, max(value) FILTER (WHERE field = '样本量') AS n1, max(value) FILTER (WHERE field = '人群') AS p1, max(value) FILTER (WHERE field = '结论') AS c1 FROM ({S.values(S.CORRECTIONS, 'row_key string, field string, value string')}) GROUP BY row_key)
+ SELECT row_key, CASE WHEN n1 IS NOT NULL THEN TRY_CAST(nullif(regexp_extract(n1, '\\d[\\d,]*'), '') AS BIGINT) ELSE n END AS n, coalesce(p1, population) AS population, coalesce(c1, conclusion) AS conclusion,
+ CASE WHEN c1 IS NULL THEN polarity WHEN contains(lower(c1), 'no benefit') THEN '{L.NULL}' ELSE polarity END AS polarity FROM ({_ROWS}) LEFT JOIN c USING (row_key)""")
+def corrections_applied(spark, d):
+    none = F.array().cast("array<string>")
+    r = _rows(spark).withColumn("effects", F.struct(*[none.alias(k) for k in ("HR", "OR", "RR", "IRR", "CI", "P", "MD")]))
+    return compare.correct(r, S.frame(spark, S.CORRECTIONS, "row_key string, field string, value string")).select("row_key", "n", "population", "conclusion", "polarity")
+
+
+def _conflict_sql() -> str:
+    pol = {"good": f"polarity = '{L.POSITIVE}'", "nul": f"polarity = '{L.NULL}'", "harm": f"polarity = '{L.HARM}'", "down": "direction < 0", "up": "direction > 0"}
+    aggs = ", ".join(f"coalesce(list(DISTINCT row_key) FILTER (WHERE {c}), []) AS {k}" for k, c in pol.items())
+    return f"""WITH r AS (SELECT *, lower(title || ' ' || conclusion) AS doc FROM ({_ROWS})), t AS ({S.values(S.TERMS, 'term string')}), h AS (SELECT * FROM r JOIN t ON regexp_matches(doc, term || '($|[^\\p{{L}}])')),
+ g AS (SELECT term, {aggs}, count(*) AS docs FROM h GROUP BY term HAVING count(*) >= 2),
+ b AS (SELECT '结论极性' AS type, term, CASE WHEN len(good) > 0 THEN '高' ELSE '中' END AS confidence, list_sort(list_distinct(good || nul || harm)) AS studies FROM g WHERE (len(good) > 0)::INT + (len(nul) > 0)::INT + (len(harm) > 0)::INT >= 2
+  UNION ALL SELECT '效应方向', term, '高', list_sort(list_distinct(down || up)) FROM g WHERE len(down) > 0 AND len(up) > 0)
+ SELECT type, term, confidence, len(studies)::INT AS count, array_to_string(studies, ',') AS studies FROM b a WHERE NOT EXISTS (SELECT 1 FROM b c WHERE c.type = a.type AND list_has_all(c.studies, a.studies) AND (len(c.studies) > len(a.studies) OR (len(c.studies) = len(a.studies) AND c.term < a.term)))"""
+
+
+@query(_conflict_sql())
+def conflicts_by_term(spark, d):
+    return compare.conflicts(_rows(spark), S.frame(spark, S.TERMS, "term string")).withColumn("studies", F.array_join("studies", ","))
+
+
+_PR = "id int, total_hits int, retrieved int, duplicates int, excluded_screening int, excluded_fulltext int"
+
+
+@query(f"""WITH p AS (SELECT coalesce(total_hits, 0) AS identified, coalesce(retrieved, 0) AS retrieved, coalesce(duplicates, 0) AS duplicates, coalesce(excluded_screening, 0) AS excluded_screening, coalesce(excluded_fulltext, 0) AS excluded_fulltext FROM ({S.values(S.PRISMA, _PR)})),
+ s AS (SELECT *, greatest(retrieved - duplicates, 0) AS screened FROM p), a AS (SELECT *, greatest(screened - excluded_screening, 0) AS assessed FROM s)
+ SELECT identified, retrieved, duplicates, screened, excluded_screening, assessed, excluded_fulltext, greatest(assessed - excluded_fulltext, 0) AS included, greatest(identified - retrieved, 0) AS unretrieved FROM a""")
+def prisma_flow(spark, d):
+    return compare.prisma(S.frame(spark, S.PRISMA, _PR))
+
+
+@query()
+def duplicate_count(spark, d):
+    return compare.duplicates(S.articles(spark))
+
+
+# --- vocabulary -----------------------------------------------------------------------
+
+_SE = "id int, keyword string, secondary string, logic string, author string, journal string, country string, start_date string, end_date string"
+
+
+@query(f"""WITH x AS (SELECT id, trim(keyword) AS k, trim(coalesce(secondary, '')) AS s, CASE WHEN logic IN ('AND', 'OR', 'NOT') THEN logic ELSE 'AND' END AS op, trim(coalesce(author, '')) AS a, trim(coalesce(journal, '')) AS j, trim(coalesce(country, '')) AS c, trim(coalesce(start_date, '')) AS d1, trim(coalesce(end_date, '')) AS d2 FROM ({S.values(S.SEARCHES, _SE)})),
+ y AS (SELECT *, list_transform(list_filter(list_transform(string_split_regex(s, '[,，;；]'), lambda t: trim(t)), lambda t: t <> ''), lambda t: CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END) AS ts FROM x),
+ w AS (SELECT *, CASE WHEN s = '' THEN k ELSE '(' || k || ') ' || op || ' (' || CASE WHEN op = 'AND' THEN array_to_string(ts, ' AND ') ELSE array_to_string(ts, ' OR ') END || ')' END AS q,
+  list_filter([CASE WHEN a <> '' THEN a || '[Author]' END, CASE WHEN j <> '' THEN CASE WHEN contains(j, ' ') THEN '"' || j || '"' ELSE j END || '[Journal]' END, CASE WHEN c <> '' THEN c || '[Affiliation]' END, CASE WHEN d1 <> '' AND d2 <> '' THEN d1 || ':' || d2 || '[Date - Publication]' END], lambda f: f IS NOT NULL) AS fs FROM y)
+ SELECT id, CASE WHEN len(fs) = 0 THEN q ELSE CASE WHEN s <> '' THEN '(' || q || ')' ELSE q END || ' AND ' || array_to_string(fs, ' AND ') END AS query FROM w""")
+def query_build(spark, d):
+    return S.frame(spark, S.SEARCHES, _SE).select("id", vocab.build_query().alias("query"))
+
+
+_VO = "term string, ord int, ui string, heading string, entry_terms array<string>, type string"
+_KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
+
+@query(f"""WITH v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('term')} THEN 0 WHEN list_contains(list_transform(entry_terms[2:], lambda x: {_KEY.format('x')}), {_KEY.format('term')}) THEN 1 END AS tier FROM ({S.values(S.VOCAB, _VO)}) WHERE type <> 'qualifier'),
+ b AS (SELECT term, ui, heading, CASE tier WHEN 0 THEN 'heading' ELSE 'entry_term' END AS matched_by FROM v WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, ord) = 1)
+ SELECT t.term, b.ui, b.heading, b.matched_by FROM ({S.values(S.LOOKUPS, 'term string')}) t LEFT JOIN b USING (term) WHERE length(trim(t.term)) >= 2""")
+def vocab_lookup(spark, d):
+    return vocab.lookup(S.frame(spark, S.LOOKUPS, "term string"), S.frame(spark, S.VOCAB, _VO)).drop("entry_terms")
+
+
+@query("""SELECT * FROM (VALUES ('aspirin', '("Aspirin"[MeSH Terms] OR "Acetylsalicylic Acid"[tiab] OR "ASA"[tiab])'), ('heart attack', '("Myocardial Infarction"[MeSH Terms] OR "Heart Attack"[tiab] OR "Infarct, Myocardial"[tiab])'), ('diabetes', 'diabetes'), ('nothing', 'nothing')) v(term, expression)""")
+def concept_expressions(spark, d):
+    found = vocab.lookup(S.frame(spark, S.LOOKUPS, "term string"), S.frame(spark, S.VOCAB, _VO))
+    return found.select("term", vocab.concept_expression().alias("expression"))
+
+
+@query()
+def concept_cover(spark, d):
+    k = S.frame(spark, [(1, "aspirin after heart attack in elderly"), (2, "the of"), (3, "diabetes")], "id int, keyword string")
+    return vocab.split_concepts(k, S.frame(spark, [("aspirin", "Aspirin"), ("heart attack", "Myocardial Infarction")], "term string, heading string"))
+
+
+# --- citations ---------------------------------------------------------------------------
+
+_G = lambda c: f"trim(coalesce({c}, ''))"
+_NAME = "list_transform(list_filter(coalesce(authors, []), lambda a: trim(a) <> ''), lambda a: {})"
+_PERSON = "regexp_full_match(a, '.* [A-Z]{1,4}')"
+_FAM, _INI = "trim(regexp_extract(a, '^(.*) [A-Z]{1,4}$', 1))", "regexp_extract(a, ' ([A-Z]{1,4})$', 1)"
+_COMMA = f"CASE WHEN {_PERSON} THEN {_FAM} || ', ' || {_INI} ELSE a END"
+_Y = f"CASE WHEN regexp_extract({_G('year')}, '(1[89]\\d\\d|20\\d\\d)', 1) = '' THEN {_G('year')} ELSE regexp_extract({_G('year')}, '(1[89]\\d\\d|20\\d\\d)', 1) END"
+_PG = f"replace({_G('pages')}, '--', '-')"
+_ISS = f"{_G('volume')} || CASE WHEN {_G('issue')} <> '' THEN '(' || {_G('issue')} || ')' ELSE '' END"
+
+
+def _ln(tag: str, v: str, after: str = "") -> str:
+    return f"CASE WHEN {v} <> '' THEN '{tag}' || {v} || '{after}' END"
+
+
+def _lines(parts: list[str], sep: str = "chr(10)") -> str:
+    return f"concat_ws({sep}, {', '.join(parts)})"
+
+
+def _each(tag: str, body: str) -> str:
+    return f"nullif(array_to_string({_NAME.format(f'''{chr(39)}{tag}{chr(39)} || ({body})''')}, chr(10)), '')"
+
+
+_RIS = _lines(["'TY  - JOUR'", _each("AU  - ", _COMMA), _ln("TI  - ", _G("title")), _ln("JO  - ", _G("journal")), _ln("SP  - ", f"trim(string_split({_PG}, '-')[1])"), _ln("EP  - ", f"CASE WHEN contains({_PG}, '-') THEN trim(regexp_extract({_PG}, '-(.*)$', 1)) ELSE '' END"),
+              _ln("VL  - ", _G("volume")), _ln("IS  - ", _G("issue")), _ln("PY  - ", f"({_Y})"), _ln("SN  - ", _G("issn")), _ln("DO  - ", _G("doi")), _ln("AN  - ", _G("pmid")), _ln("UR  - ", _G("url")), _ln("LA  - ", _G("language")), "'ER  - '"])
+
+
+@query(f"SELECT ord, {_RIS} AS text FROM ({_ART})")
+def cite_ris(spark, d):
+    return cite.ris(S.articles(spark))
+
+
+_END = _lines(["'%0 Journal Article'", _each("%A ", _COMMA), _ln("%T ", _G("title")), _ln("%J ", _G("journal")), _ln("%D ", f"({_Y})"), _ln("%V ", _G("volume")), _ln("%N ", _G("issue")), _ln("%P ", _PG), _ln("%@ ", _G("issn")), _ln("%R ", _G("doi")), _ln("%U ", _G("url")), _ln("%M ", _G("pmid"))])
+
+
+@query(f"SELECT ord, {_END} AS text FROM ({_ART})")
+def cite_endnote(spark, d):
+    return cite.endnote(S.articles(spark))
+
+
+_MED = _lines([_ln("PMID- ", _G("pmid")), _each("AU  - ", f"CASE WHEN {_PERSON} THEN {_FAM} || ' ' || {_INI} ELSE a END"), "nullif(array_to_string(list_transform(list_filter(coalesce(pubtypes, []), lambda p: trim(p) <> ''), lambda p: 'PT  - ' || trim(p)), chr(10)), '')", _ln("TI  - ", _G("title")), _ln("JT  - ", _G("journal")),
+              _ln("DP  - ", f"({_Y})"), _ln("VI  - ", _G("volume")), _ln("IP  - ", _G("issue")), _ln("PG  - ", _PG), _ln("IS  - ", _G("issn")), f"nullif(array_to_string(list_transform(list_filter(string_split({_G('abstract')}, chr(10)), lambda p: trim(p) <> ''), lambda p: 'AB  - ' || trim(p)), chr(10)), '')",
+              _ln("LID - ", _G("doi"), " [doi]"), _ln("AID - ", _G("doi"), " [doi]"), _ln("AID - ", _G("pmcid"), " [pmc]")])
+
+
+@query(f"SELECT ord, {_MED} AS text FROM ({_ART})")
+def cite_medline(spark, d):
+    return cite.medline(S.articles(spark))
+
+
+_VN = _NAME.format(f"CASE WHEN {_PERSON} THEN {_FAM} || ' ' || {_INI} ELSE a END")
+_FEW = lambda n, k: f"array_to_string(({n})[1:{k}], ', ') || CASE WHEN len({n}) > {k} THEN ', et al' ELSE '' END"
+_VP = f"CASE WHEN ({_Y}) <> '' THEN CASE WHEN {_G('journal')} <> '' THEN {_G('journal')} || '. ' ELSE '' END || ({_Y}) || CASE WHEN ({_ISS}) <> '' THEN ';' || ({_ISS}) ELSE '' END || CASE WHEN {_PG} <> '' THEN ':' || {_PG} ELSE '' END || '.' WHEN {_G('journal')} <> '' THEN {_G('journal')} || '.' END"
+_VAN = _lines([_ln("", f"({_FEW(_VN, 6)})", "."), _ln("", f"rtrim({_G('title')}, '.')", "."), _VP, _ln("doi:", _G("doi"), "."), _ln("PMID: ", _G("pmid"), ".")], "' '")
+
+
+@query(f"SELECT ord, row_number() OVER (ORDER BY ord) || '. ' || {_VAN} AS text FROM ({_ART})")
+def cite_vancouver(spark, d):
+    return cite.vancouver(S.articles(spark))
+
+
+_GN = _NAME.format(f"CASE WHEN {_PERSON} THEN upper({_FAM}) || ' ' || array_to_string(regexp_extract_all({_INI}, '[A-Z]'), ' ') ELSE upper(a) END")
+_GT = f"concat_ws(', ', nullif({_G('journal')}, ''), nullif(({_Y}), ''), nullif(({_ISS}), ''))"
+_GBT = _lines([_ln("", f"({_FEW(_GN, 3)})", "."), _ln("", f"rtrim({_G('title')}, '.')", "[J]."), f"CASE WHEN {_GT} <> '' THEN {_GT} || CASE WHEN {_PG} <> '' THEN ': ' || {_PG} ELSE '' END || '.' END", _ln("DOI:", _G("doi"), ".")], "' '")
+
+
+@query(f"SELECT ord, '[' || row_number() OVER (ORDER BY ord) || '] ' || {_GBT} AS text FROM ({_ART})")
+def cite_gbt7714(spark, d):
+    return cite.gbt7714(S.articles(spark))
+
+
+@query()
+def cite_bibtex(spark, d):
+    return cite.bibtex(S.articles(spark))
+
+
+@query(f"""SELECT ord, array_to_string(list_filter([CASE WHEN len(coalesce(authors, [])) = 0 THEN '作者' END, CASE WHEN {_G('title')} = '' THEN '标题' END, CASE WHEN {_G('journal')} = '' THEN '期刊' END, CASE WHEN ({_Y}) = '' THEN '年份' END], lambda x: x IS NOT NULL), ',') AS missing FROM ({_ART})""")
+def cite_missing(spark, d):
+    return cite.complete(S.articles(spark)).select("ord", F.array_join(cite.missing(), ",").alias("missing"))
+
+
+# --- library ---------------------------------------------------------------------------------
+
+_ME, _FO = "pmid string, folder string, tags array<string>, note string, note_updated string", "id string, name string, created_at string"
+
+
+def _lib(spark):
+    f = S.frame(spark, S.FOLDERS, _FO)
+    return f, library.normalise(S.frame(spark, S.META, _ME), f)
+
+
+_NORM = f"m AS (SELECT pmid, CASE WHEN folder IN ('f1', 'f2', 'f3') THEN folder ELSE '' END AS folder, list_transform(tags, lambda t: trim(t)) AS tags, coalesce(note, '') AS note FROM ({S.values(S.META, _ME)}) WHERE folder IN ('f1', 'f2', 'f3') OR len(tags) > 0)"
+
+
+@query(f"WITH {_NORM}, t AS (SELECT pmid, unnest(tags) AS tag FROM m) SELECT arg_min(tag, pmid) AS tag, count(*) AS n FROM t GROUP BY lower(tag)")
+def library_tags(spark, d):
+    return library.all_tags(_lib(spark)[1])
+
+
+@query(f"WITH {_NORM} SELECT id, name, count(pmid) AS n FROM ({S.values(S.FOLDERS, _FO)}) f LEFT JOIN m ON m.folder = f.id GROUP BY id, name")
+def library_folders(spark, d):
+    return library.folder_counts(*_lib(spark))
+
+
+@query(f"WITH {_NORM} SELECT a.pmid FROM ({_ART}) a JOIN m USING (pmid) WHERE m.folder = 'f1' AND list_contains(list_transform(m.tags, lambda t: lower(t)), 'rct') AND contains(lower(a.title || ' ' || array_to_string(a.authors, ' ')), 'lee')")
+def library_filter(spark, d):
+    f, m = _lib(spark)
+    return library.filtered(S.articles(spark).select("pmid", "title", "authors"), m, f, "f1", ["RCT"], "Lee")
+
+
+@query(f"""WITH {_NORM}, i AS (SELECT pmid, CASE folder WHEN 'g1' THEN 'f1' ELSE 'g2' END AS folder, tags, note FROM ({S.values(S.IN_META, _ME)}))
+ SELECT coalesce(m.pmid, i.pmid) AS pmid, coalesce(nullif(i.folder, ''), m.folder) AS folder, CASE coalesce(m.pmid, i.pmid) WHEN '101' THEN 'RCT,heart,new' WHEN '106' THEN 'fresh' ELSE array_to_string(m.tags, ',') END AS tags, coalesce(nullif(trim(coalesce(i.note, '')), ''), m.note, '') AS note FROM m FULL JOIN i ON m.pmid = i.pmid""")
+def library_import(spark, d):
+    f, m = _lib(spark)
+    return library.merge(f, m, S.frame(spark, S.IN_FOLDERS, _FO), S.frame(spark, S.IN_META, _ME))[1].withColumn("tags", F.array_join("tags", ","))
+
+
+# --- telemetry over events -----------------------------------------------------------------------
+
+def _epoch():
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6D")
+
+
+def _hits(spark, d):
+    return t(spark, d, "events").select("ts", F.col("user_id").cast("string").alias("visitor"), F.col("event_type").alias("channel"))
+
+
+_DAILY = "SELECT day, channel, count(*) AS n FROM (SELECT ts::DATE AS day, user_id, event_type AS channel FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_type) = 1) GROUP BY day, channel"
+
+
+@query(_DAILY)
+def daily_unique_by_channel(spark, d):
+    return funnel.daily_uniques(_hits(spark, d))
+
+
+@query(f"SELECT strftime(day, '%G-W%V') AS week, channel, sum(n)::BIGINT AS n FROM ({_DAILY}) GROUP BY ALL")
+def weekly_by_channel(spark, d):
+    return funnel.week_rollup(funnel.daily_uniques(_hits(spark, d)))
+
+
+@query("""WITH e AS (SELECT ts::DATE AS day, event_type AS dep, value >= 5 AS ok, (SELECT max(ts)::DATE FROM events) AS last FROM events) SELECT dep, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS fail, round_even(count(*) FILTER (WHERE ok) * 100.0::DOUBLE / count(*), 1) AS rate FROM e WHERE day > last - 7 GROUP BY dep""")
+def health_7d(spark, d):
+    e = t(spark, d, "events").select("ts", F.col("event_type").alias("dep"), (F.col("value") >= 5).alias("ok"))
+    last = F.lit(e.agg(F.to_date(F.max("ts"))).first()[0])
+    return telemetry.health(e, last)
+
+
+@query("SELECT count(*) AS requests, count(*) FILTER (WHERE value < 5) AS failed, round_even(avg(value), 1) AS mean_ms FROM events")
+def http_totals(spark, d):
+    return telemetry.totals(t(spark, d, "events").select((F.col("value") >= 5).alias("ok"), F.col("value").alias("ms")))
+
+
+@query("""WITH c AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'search' ELSE 'fulltext' END AS kind, user_id || '-' || (event_id % 97) AS key, epoch(ts) AS t, event_id FROM events), l AS (SELECT kind, key, max(t) AS t FROM c GROUP BY ALL)
+ SELECT kind, key, t FROM l QUALIFY row_number() OVER (PARTITION BY kind ORDER BY t DESC, key DESC) <= CASE kind WHEN 'search' THEN 150 ELSE 120 END""")
+def cache_evict(spark, d):
+    kind = F.when(F.col("event_id") % 2 == 0, "search").otherwise("fulltext")
+    e = t(spark, d, "events").select(kind.alias("kind"), F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 97).cast("string")).alias("key"), F.lit("").alias("value"), _epoch().alias("t"))
+    return telemetry.cache_evict(e).drop("value")
+
+
+@query()
+def quota_admission(spark, d):
+    r = t(spark, d, "events").select(F.col("user_id").alias("scope"), "ts", F.col("event_id").alias("seq"), F.col("value").cast("long").alias("amount"), F.lit(False).alias("own_key"))
+    return telemetry.quota_admission(r, 50, 300).groupBy("scope").agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("requests"))
+
+
+@query("""WITH e AS (SELECT event_type AS host, epoch(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events), r AS (SELECT host, t, n, max(t - n * 600.0::DOUBLE) OVER (PARTITION BY host ORDER BY n) + n * 600.0::DOUBLE AS r FROM e) SELECT host, count(*) AS calls, count(*) FILTER (WHERE r - t > 1e-3) AS delayed FROM r GROUP BY host""")
+def throttle_delays(spark, d):
+    e = t(spark, d, "events").select(F.col("event_type").alias("host"), _epoch().alias("t"))
+    r = telemetry.releases(e, 600.0)
+    return r.groupBy("host").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("release") - F.col("t") > 1e-3).alias("delayed"))
+
+
+@query("SELECT attempt, retry_after, CASE WHEN retry_after > 0 THEN least(retry_after, 8.0::DOUBLE) ELSE least(pow(2, attempt), 8.0::DOUBLE) END AS seconds FROM (SELECT range::INT AS attempt FROM range(5)), (VALUES (0.0::DOUBLE), (3.0), (20.0)) v(retry_after)")
+def backoff_schedule(spark, d):
+    a = spark.range(5).select(F.col("id").cast("int").alias("attempt")).crossJoin(S.frame(spark, [(0.0,), (3.0,), (20.0,)], "retry_after double"))
+    return a.select("attempt", "retry_after", telemetry.backoff(F.col("attempt"), F.col("retry_after")).alias("seconds"))
+
+
+@query("""SELECT user_id, count(*) AS uses, count(*) >= 15 AS due FROM events GROUP BY user_id""")
+def survey_due(spark, d):
+    u = t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("uses"))
+    return u.select("user_id", "uses", telemetry.should_prompt(F.col("uses"), F.lit(0), F.lit(False), F.lit(False)).alias("due"))
+
+
+_CH, _TO = "week string, channel string, impressions string, landing_uv string, note string", "week string, members_end string, joins string, active_next_week string, note string"
+_INT = lambda c: f"CASE WHEN trim({c}) IN ('', '-', '—', '?') THEN NULL ELSE TRY_CAST(trim({c}) AS DOUBLE)::BIGINT END"
+_FW = f"""WITH c AS (SELECT week, nullif(sum(coalesce({_INT('impressions')}, 0)), 0)::BIGINT AS l1, nullif(sum(coalesce({_INT('landing_uv')}, 0)), 0)::BIGINT AS l2 FROM ({S.values(S.CHANNEL_ROWS, _CH)}) GROUP BY week),
+ t AS (SELECT week, {_INT('joins')} AS l3, {_INT('active_next_week')} AS l4, {_INT('members_end')} AS members FROM ({S.values(S.TOTAL_ROWS, _TO)}))
+ SELECT week, l1, l2, l3, l4, members, l2 / nullif(l1, 0) * 100.0::DOUBLE AS ctr, l3 / nullif(l2, 0) * 100.0::DOUBLE AS join_rate, l4 / nullif(l3, 0) * 100.0::DOUBLE AS retention, l3 / nullif(l1, 0) * 100.0::DOUBLE AS conversion FROM c FULL JOIN t USING (week)"""
+
+
+@query(_FW)
+def funnel_week(spark, d):
+    return funnel.weeks(S.frame(spark, S.CHANNEL_ROWS, _CH), S.frame(spark, S.TOTAL_ROWS, _TO))
+
+
+@query(f"""WITH w AS ({_FW}), s AS (SELECT coalesce(sum(l1), 0) AS a, coalesce(sum(l2), 0) AS b, coalesce(sum(l3), 0) AS c, coalesce(sum(l4), 0) AS d FROM w)
+ SELECT coalesce(b / nullif(a, 0) * 100 < 0.5, false) AS low_ctr, coalesce(c / nullif(b, 0) * 100 < 3, false) AS low_join, coalesce(d / nullif(c, 0) * 100 < 10, false) AS low_retention, c < 30 AS small_sample FROM s""")
+def funnel_diagnosis(spark, d):
+    return funnel.diagnose(funnel.weeks(S.frame(spark, S.CHANNEL_ROWS, _CH), S.frame(spark, S.TOTAL_ROWS, _TO)))
+
+
+# --- summaries, layout -----------------------------------------------------------------------------
+
+@query()
+def summaries(spark, d):
+    return keywords.summaries(t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", "pos")
+
+
+@query()
+def keyword_picks(spark, d):
+    return keywords.keywords(t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"), 20, "doc_id")
+
+
+@query()
+def pdf_sections(spark, d):
+    words = [("d", 1, x, x + 40.0, y, y + 10.0, 14.0 if h else 10.0, "Times", w) for y, h, ws in [(50.0, 1, ["Introduction"]), (70.0, 0, ["Some", "words", "here"]), (90.0, 1, ["Methods"]), (110.0, 0, ["More", "words"])] for x, w in zip([50.0, 95.0, 140.0], ws)]
+    return layout.sections(S.frame(spark, words, "doc_id string, page int, x0 double, x1 double, top double, bottom double, size double, fontname string, text string"))
+
+
+# --- relational shapes ---------------------------------------------------------------------------------
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))""")
+def order_counters(spark, d):
+    return t(spark, d, "orders").groupingSets([["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2""")
+def top_orders(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t(spark, d, "orders").withColumn("n", F.row_number().over(w)).where("n <= 2").select("o_custkey", "o_orderkey", "o_totalprice")
