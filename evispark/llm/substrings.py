@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,20 +103,37 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.Re
 _SEGMENTS = "h long, g long, a long, b long, pos long, left binary, right binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Segments of texts around their anchors.
+
+    Of equal segments all strings repeat, and two of them are enough for others to
+    meet. So unless ``whole``, a task's third and later ones are a range at once:
+    rows whose ``left`` is null, with the range's end as ``g``.
+    """
     names = [x.split()[0] for x in _SEGMENTS.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+    seen: dict[bytes, int] = {}
     for batch in _parts(batches):
         out: list[tuple] = []
         for a, b, t, want in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), batch.column("want").to_pylist()):
             raw = t.as_py().encode()
             for x in want:
                 p = x["pos"]
-                out.append((x["h"], zlib.crc32(raw[p:p + GRAM]), a, b, p, raw[max(0, p - SIDE):p], raw[p + GRAM:p + LENGTH]))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+                lo, hi = max(0, p - SIDE), min(len(raw), p + LENGTH)
+                if not whole:
+                    name = hashlib.blake2b(b"%d|" % (p - lo) + raw[lo:hi], digest_size=12).digest()
+                    n = seen[name] = seen.get(name, 0) + 1
+                    if n > 2:
+                        out.append((a, hi, a, b, lo, None, None))  # dealt by its text, not by the anchor
+                        continue
+                out.append((x["h"], zlib.crc32(raw[p:p + GRAM]), a, b, p, raw[lo:p], raw[p + GRAM:hi]))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        if len(seen) > 500_000:
+            seen.clear()
 
 
 def _side(parts: list[bytes], group: np.ndarray, away: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +179,14 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.nda
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    held = []
+    for batch in batches:
+        known = pc.is_null(batch.column("left"))
+        done = batch.filter(known)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("a", "b", "pos", "g")], ["a", "b", "lo", "hi"])
+        held.append(batch.filter(pc.invert(known)))
+    table = pa.Table.from_batches(held) if held else None
     if table is None or not table.num_rows:
         return
     h, g = table.column("h").to_numpy(), table.column("g").to_numpy()
@@ -251,7 +276,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     calm = met.withColumn("want", F.filter("want", lambda x: ~x["hot"])).mapInArrow(common.trimmed(_segments), _SEGMENTS)
     ranges = calm.repartition("h").mapInArrow(common.trimmed(_decide), "a long, b long, lo long, hi long")
     hot_ones = met.withColumn("want", F.filter("want", lambda x: x["hot"])).where(F.size("want") > 0)
-    strings = hot_ones.mapInArrow(common.trimmed(_segments), _SEGMENTS).mapInArrow(common.trimmed(_hashed), "h long, l int, d binary, a long, b long, lo long, hi long")
+    strings = hot_ones.mapInArrow(common.trimmed(lambda it: _segments(it, True)), _SEGMENTS).mapInArrow(common.trimmed(_hashed), "h long, l int, d binary, a long, b long, lo long, hi long")
     here = F.struct("a", "b", "lo")
     twice = strings.groupBy("h", "l", "d").agg(F.min(here).alias("x"), F.max(here).alias("y")).where("x <> y").select("h", "l", "d")
     ranges = ranges.unionByName(strings.join(twice, ["h", "l", "d"]).select("a", "b", "lo", "hi"))
