@@ -36,6 +36,8 @@ LENGTH, GRAM = 200, 100
 SIDE = LENGTH - GRAM
 #: Segments of one anchor from which on its strings are counted by hash and not sorted in one task.
 HOT = 200_000
+#: Anchors that are treated as hot at most; above, the limit for them is doubled.
+CROWDED = 1000
 #: Texts up to which a list of those with repeated anchors is sent to the tasks that read.
 LISTED = 1_000_000
 _LOW = 20
@@ -264,9 +266,14 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     found = common.stage(rows.where(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(common.trimmed(_anchor_rows), "a long, b long, h long, pos long"), "anchors")
     spot = F.struct("a", "b", "pos")
-    again = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("h", "n")
-    want = found.join(again, "h").groupBy("a", "b").agg(F.collect_set(F.struct("pos", "h", (F.col("n") > hot).alias("hot"))).alias("want"))
+    again = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
+    want = found.join(again, "h").groupBy("a", "b").agg(F.collect_set(F.struct("pos", "h")).alias("want"))
     want = common.stage(want, "wanted")
+    often_met = common.stage(want.select(F.explode("want.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
+    while len(crowded := often_met.where(F.col("n") > hot).select("h").limit(CROWDED + 1).collect()) > CROWDED:
+        hot *= 2
+    crowd = F.array(*[F.lit(r.h) for r in crowded]).cast("array<long>")
+    want = want.withColumn("want", F.transform("want", lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.array_contains(crowd, x["h"]).alias("hot"))))
     listed = want.select("a", "b")
     some = rows.select("a", "b", "text")
     if listed.limit(LISTED + 1).count() <= LISTED:
