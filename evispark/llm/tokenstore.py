@@ -37,7 +37,7 @@ from evispark.llm import common
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
 #: Words that a worker keeps encoded, about 200 bytes each.
-CACHE = 600_000
+CACHE = 800_000
 _B = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
@@ -195,7 +195,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _by_slice(enc: Encoder, texts: pa.StringArray, end: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
     """Ids of each text with the end, and its chunks' ends, some megabytes of texts at once."""
-    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 6_000_000
+    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 12_000_000
     cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(texts) else []
     for a, b in zip(cut[:-1], cut[1:]):
         some = [np.concatenate([x, end]) for x in enc.encode_many(texts.take(pa.array(np.arange(a, b))))]
