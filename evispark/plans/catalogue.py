@@ -389,7 +389,14 @@ def vocab_lookup(spark, d):
     return vocab.lookup(S.frame(spark, S.LOOKUPS, "term string"), S.frame(spark, S.VOCAB, _VO)).drop("entry_terms")
 
 
-@query("""SELECT * FROM (VALUES ('aspirin', '("Aspirin"[MeSH Terms] OR "Acetylsalicylic Acid"[tiab] OR "ASA"[tiab])'), ('heart attack', '("Myocardial Infarction"[MeSH Terms] OR "Heart Attack"[tiab] OR "Infarct, Myocardial"[tiab])'), ('diabetes', 'diabetes'), ('nothing', 'nothing')) v(term, expression)""")
+_FOUND = f"""v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('term')} THEN 0 WHEN list_contains(list_transform(entry_terms[2:], lambda x: {_KEY.format('x')}), {_KEY.format('term')}) THEN 1 END AS tier FROM ({S.values(S.VOCAB, _VO)}) WHERE type <> 'qualifier'),
+ b AS (SELECT t.term, heading, entry_terms FROM ({S.values(S.LOOKUPS, 'term string')}) t LEFT JOIN (SELECT * FROM v WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, ord) = 1) USING (term) WHERE length(trim(t.term)) >= 2)"""
+
+
+@query(f"""WITH {_FOUND}, e AS (SELECT term, heading, list_filter(coalesce(entry_terms, []), lambda x: length({_KEY.format('x')}) >= 3 AND {_KEY.format('x')} <> {_KEY.format('heading')}) AS ts FROM b),
+ k AS (SELECT *, list_transform(ts, lambda x: {_KEY.format('x')}) AS ks FROM e), u AS (SELECT *, list_filter(ts, lambda x, i: list_position(ks, {_KEY.format('x')}) = i)[1:6] AS us FROM k),
+ p AS (SELECT *, ['"' || heading || '"[MeSH Terms]'] || list_transform(us, lambda x: '"' || x || '"[tiab]') || CASE WHEN list_contains([{_KEY.format('heading')}] || ks, {_KEY.format('term')}) THEN [] ELSE [CASE WHEN contains(term, ' ') THEN '"' || term || '"' ELSE term END || '[tiab]'] END AS ps FROM u)
+ SELECT term, CASE WHEN heading IS NULL THEN CASE WHEN contains(term, ' ') THEN '"' || term || '"' ELSE term END WHEN len(ps) > 1 THEN '(' || array_to_string(ps, ' OR ') || ')' ELSE ps[1] END AS expression FROM p""")
 def concept_expressions(spark, d):
     found = vocab.lookup(S.frame(spark, S.LOOKUPS, "term string"), S.frame(spark, S.VOCAB, _VO))
     return found.select("term", vocab.concept_expression().alias("expression"))
