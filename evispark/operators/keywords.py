@@ -40,37 +40,42 @@ def chinese_grams(units: DataFrame, unit: str = "unit", text: str = "text", leas
     return tf.join(cover, "gram", "left").where(F.col("over").isNull() | (F.col("tf") > F.col("over"))).select("gram", "tf")
 
 
-def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
-    """``key, pos, n, sentence, tokens, score``: mean token weight times position, numbers, title words and length."""
+def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = None, stop: list[str] | None = None) -> DataFrame:
+    """``key, pos, n, sentence, tokens, score``: mean weight of content tokens, ``tf / (1 + ln df)``, times section label, position, numbers, title words and length.
+
+    ``stop`` are the words without content; the default has function words. Lists
+    of academic phrases are long, so they are the caller's.
+    """
+    stop = L.ENGLISH_STOP + L.GENERIC_STOP if stop is None else stop
     s = docs.select(key, (F.col(title) if title else F.lit("")).alias("title"), F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
-    stop = L.ENGLISH_STOP + L.GENERIC_STOP
-    s = s.withColumn("tokens", F.filter(X.tokens(F.col("sentence")), lambda t: ~t.isin(*stop)))
-    by = Window.partitionBy(key)
-    s = s.withColumn("n", F.count(F.lit(1)).over(by))
-    each = s.select(key, "pos", F.explode("tokens").alias("term"))
+    content = lambda a: F.filter(a, lambda t: ~t.isin(*stop) & (F.length(t) > 1))
+    s = s.withColumn("tokens", X.tokens(F.col("sentence"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    each = s.select(key, "pos", F.explode(content(F.col("tokens"))).alias("term"))
     tf = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("pos").alias("df"))
     mean = each.join(tf, [key, "term"]).groupBy(key, "pos").agg(F.avg(F.col("tf") / (1 + F.log("df"))).alias("mean"))
+    named = F.lower(F.regexp_extract("sentence", r"^\s*([A-Za-z一-鿿]{2,20}?)\s*[:：]", 1))
+    label = F.coalesce(F.try_element_at(X._map(L.SENTENCE_WEIGHTS), named), F.lit(1.0))
     place = F.when(F.col("pos") == 0, 1.25).when(F.col("pos") < F.col("n") * 0.25, 1.1).otherwise(1.0)
     number = F.when(F.size(X.numbers(F.col("sentence"))) > 0, 1.15).otherwise(1.0)
-    words = F.array_distinct(X.tokens(F.col("title")))
-    title_ = 1 + F.least(F.lit(0.5), F.coalesce(F.try_divide(F.size(F.array_intersect("tokens", words)) * 0.5, F.size(words)), F.lit(0.0)))
+    words = F.filter(F.array_distinct(X.tokens(F.col("title"))), lambda t: ~t.isin(*stop))
+    title_ = 1 + F.least(F.lit(0.5), F.coalesce(F.try_divide(F.size(F.array_intersect("tokens", words)), F.size(words)), F.lit(0.0)))
     length = F.least(F.size("tokens") / 15.0, F.lit(1.15))
     out = s.join(mean, [key, "pos"], "left")
-    return out.select(key, "pos", "n", "sentence", "tokens", (F.coalesce("mean", F.lit(0.0)) * place * number * title_ * length).alias("score"))
+    return out.select(key, "pos", "n", "sentence", "tokens", (F.coalesce("mean", F.lit(0.0)) * label * place * number * title_ * length).alias("score"))
 
 
 def _similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def summaries(docs: DataFrame, ratio: float = 0.3, most: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def summaries(docs: DataFrame, ratio: float = 0.3, most: int = 5, key: str = "doc_id", text: str = "text", title: str | None = None, stop: list[str] | None = None) -> DataFrame:
     """``key, pos, sentence``: the chosen sentences in text order.
 
     Three passes over the sentences by score take what differs enough from those
     taken before: Jaccard at most 0.55, then 0.75, then any. A choice depends on
     earlier ones, so it is a fold over each text's own array.
     """
-    s = sentence_scores(docs, key, text)
+    s = sentence_scores(docs, key, text, title, stop)
     row = F.struct((-F.col("score")).alias("w"), "pos", "sentence", "tokens")
     a = s.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("a"), F.first("n").alias("n"))
     keep = F.greatest(F.lit(1), F.least(F.lit(most), F.bround(F.col("n") * ratio).cast("int")))
@@ -81,11 +86,13 @@ def summaries(docs: DataFrame, ratio: float = 0.3, most: int = 5, key: str = "do
     def within(limit: float):
         def step(acc, x):
             near = F.exists(acc, lambda y: (y["pos"] == x["pos"]) | (_similarity(x["tokens"], y["tokens"]) > limit))
-            return F.when((F.size(acc) >= F.col("keep")) | near, acc).otherwise(F.array_append(acc, x))
+            return F.when((F.size(acc) >= F.col("keep")) | near | (x["w"] >= 0), acc).otherwise(F.array_append(acc, x))
         return step
 
     for limit in (0.55, 0.75, 1.0):
         a = a.withColumn("t", F.aggregate("a", F.col("t"), within(limit)))
+    # where no sentence has a score, the first one stands
+    a = a.withColumn("t", F.when(F.size("t") == 0, F.slice("a", 1, 1)).otherwise(F.col("t")))
     return a.select(key, F.explode("t").alias("x")).select(key, "x.pos", "x.sentence")
 
 
