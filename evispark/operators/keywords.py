@@ -100,3 +100,36 @@ def fulltext_stats(sections: DataFrame) -> DataFrame:
     """``doc_id, section, words, chars, boilerplate`` of ``sections(doc_id, title, text)``."""
     words = F.regexp_count("text", F.lit(r"[A-Za-z][A-Za-z'\-]*|[一-鿿]"))
     return sections.select("doc_id", F.col("title").alias("section"), words.alias("words"), F.length("text").alias("chars"), X.is_boilerplate(F.col("title")).alias("boilerplate"))
+
+
+def fulltext_summary(sections: DataFrame, most: int = 10) -> DataFrame:
+    """``doc_id, ord, title, title_zh, quota, sentences`` of ``sections(doc_id, ord, title, text)``.
+
+    Boilerplate and short sections are left out. Places go to sections by weight and
+    length, the heaviest first, one at least while there are any, and the rest to
+    the heaviest: a fold over a document's sections. A section gives its best
+    sentences in score order.
+    """
+    s = sections.where(~X.is_boilerplate(F.col("title")) & (F.length("text") > 200))
+    weight = F.coalesce(F.try_element_at(X._map(L.SECTION_WEIGHTS), F.lower(F.trim("title"))), F.lit(1.0))
+    s = s.withColumn("w", weight * (F.length("text") + 300))
+    g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "ord"))).alias("a"), F.sum("w").alias("total"))
+    zero = F.struct(F.lit(most).alias("left"), F.array().cast("array<struct<ord:int,quota:int>>").alias("q"))
+
+    def step(z, x):
+        k = F.least(F.greatest(F.lit(1), F.bround(most * -x["w"] / F.col("total")).cast("int")), z["left"])
+        return F.when(z["left"] <= 0, z).otherwise(F.struct((z["left"] - k).alias("left"), F.array_append(z["q"], F.struct(x["ord"].cast("int").alias("ord"), k.alias("quota"))).alias("q")))
+
+    g = g.withColumn("z", F.aggregate("a", zero, step)).withColumn("q", F.transform("z.q", lambda x, i: F.struct(x["ord"].alias("ord"), (x["quota"] + F.when(i == 0, F.greatest(F.col("z.left"), F.lit(0))).otherwise(0)).alias("quota"))))
+    quota = g.select("doc_id", F.inline("q"))
+    s = s.join(quota, ["doc_id", "ord"]).withColumn("unit", F.struct("doc_id", "ord"))
+    best = sentence_scores(s, "unit").groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("w"), "pos", "sentence"))).alias("a"))
+    picked = F.filter(F.transform(F.slice("a", 1, F.col("quota")), lambda x: X.clean_lead(x["sentence"])), lambda x: F.length(x) > 10)
+    return s.join(best, "unit").select("doc_id", "ord", X.plain_title(F.col("title")).alias("title"), X.zh_title(F.col("title")).alias("title_zh"), "quota", picked.alias("sentences"))
+
+
+def metrics(sections: DataFrame, samples: int = 12) -> DataFrame:
+    """``doc_id, kind, count, samples``: values of full texts without boilerplate, and the first distinct ones."""
+    s = sections.where(~X.is_boilerplate(F.col("title"))).select("doc_id", "ord", F.explode(X.values(F.col("text"))).alias("v")).select("doc_id", "ord", F.col("v.ord").alias("pos"), "v.kind", "v.value")
+    g = s.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct("ord", "pos", "value"))).alias("a"))
+    return g.select("doc_id", "kind", "count", F.slice(F.array_distinct(F.transform("a", lambda x: x["value"])), 1, samples).alias("samples"))

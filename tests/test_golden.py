@@ -99,3 +99,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("uniq").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("uniq").collect())) == sorted(map(tuple, funnel.daily_uniques(hits).select("day", "channel", "n").collect()))
+
+
+def test_fulltext_summary_quota(spark):
+    from evispark.operators import keywords as K
+
+    long = "Alpha beta gamma was seen in many places. Delta words stand in this second sentence. Other things are told in a third one. "
+    rows = [(1, 0, "Funding", long * 3), (1, 1, "1. Results", long * 4), (1, 2, "Methods", long * 2 + "The HR was 0.8 here."), (1, 3, "Short", "Too short.")]
+    s = spark.createDataFrame(rows, "doc_id int, ord int, title string, text string")
+    got = {r.ord: r for r in K.fulltext_summary(s, 4).collect()}
+    assert set(got) == {1, 2} and got[1].quota + got[2].quota == 4 and got[1].title == "Results" and got[1].title_zh == "结果"
+    assert [tuple(r) for r in K.metrics(s).collect()] == [(1, "风险比/比值比", 1, ["HR was 0.8"])]
+
+
+def test_report_lines(spark):
+    from evispark.operators import reports
+    from evispark.sources import sinks
+
+    p = extract.profile(fixtures.articles(spark).where("ord in (1, 7)"))
+    lines = [r.line for r in reports.flags(p).orderBy("ord", "pos").collect()]
+    assert lines[-1] == "- **信息缺失** 无摘要，无法评估" and lines[0].startswith("### Drug A in heart failure: a trial — ")
+    flow = compare.prisma(spark.createDataFrame(fixtures.PRISMA[:1], "id int, total_hits int, retrieved int, duplicates int, excluded_screening int, excluded_fulltext int"))
+    assert sinks.joined(reports.prisma(flow), "pos", "line", "\n").splitlines()[-1] == "- 纳入: 5"
+    refs = reports.references(fixtures.articles(spark)).where("ord = 3").first().line
+    assert refs == "O'Neil P. Harms of drug A. BMJ. 2019. PMID: 103"
