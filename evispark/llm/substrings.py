@@ -264,7 +264,10 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     facts = common.stage(rows.select("doc_id", "a", "b", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     often = facts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
 
-    found = common.stage(rows.where(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(common.trimmed(_anchor_rows), "a long, b long, h long, pos long"), "anchors")
+    # of equal texts one is searched
+    twins = common.stage(facts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep")).where("n > 1").select("a", "b", "keep"), "twins")
+    once = rows.join(common.small(twins, LISTED), ["a", "b"], "left").where("keep is null or doc_id is null or doc_id = keep")
+    found = common.stage(once.where(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(common.trimmed(_anchor_rows), "a long, b long, h long, pos long"), "anchors")
     spot = F.struct("a", "b", "pos")
     again = found.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("h")
     want = found.join(again, "h").groupBy("a", "b").agg(F.collect_set(F.struct("pos", "h")).alias("want"))
