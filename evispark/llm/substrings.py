@@ -105,11 +105,11 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.Re
 _SEGMENTS = "h long, g long, a long, b long, pos long, left binary, right binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of texts around their anchors.
 
     Of equal segments all strings repeat, and two of them are enough for others to
-    meet. So unless ``whole``, a task's third and later ones are a range at once:
+    meet. So a task's third and later ones are a range at once:
     rows whose ``left`` is null, with the range's end as ``g``.
     """
     names = [x.split()[0] for x in _SEGMENTS.split(", ")]
@@ -122,12 +122,11 @@ def _segments(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterato
             for x in want:
                 p = x["pos"]
                 lo, hi = max(0, p - SIDE), min(len(raw), p + LENGTH)
-                if not whole:
-                    name = hashlib.blake2b(b"%d|" % (p - lo) + raw[lo:hi], digest_size=12).digest()
-                    n = seen[name] = seen.get(name, 0) + 1
-                    if n > 2:
-                        out.append((a, hi, a, b, lo, None, None))  # dealt by its text, not by the anchor
-                        continue
+                name = hashlib.blake2b(b"%d|" % (p - lo) + raw[lo:hi], digest_size=12).digest()
+                n = seen[name] = seen.get(name, 0) + 1
+                if n > 2:
+                    out.append((a, hi, a, b, lo, None, None))  # dealt by its text, not by the anchor
+                    continue
                 out.append((x["h"], zlib.crc32(raw[p:p + GRAM]), a, b, p, raw[lo:p], raw[p + GRAM:hi]))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -216,6 +215,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for h, g, a, b, p, x, y in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if x is None:  # a range already
+                out.append((h, -1, b"", a, b, p, g))
+                continue
             for l in range(max(0, SIDE - len(y)), min(SIDE, len(x)) + 1):  # noqa: E741
                 out.append((h, l, hashlib.blake2b(b"%d|" % g + x[len(x) - l:] + y[:SIDE - l], digest_size=16).digest(), a, b, p - l, p - l + LENGTH))
         if out:
@@ -286,10 +288,10 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     calm = met.withColumn("want", F.filter("want", lambda x: ~x["hot"])).mapInArrow(common.trimmed(_segments), _SEGMENTS)
     ranges = calm.repartition("h").mapInArrow(common.trimmed(_decide), "a long, b long, lo long, hi long")
     hot_ones = met.withColumn("want", F.filter("want", lambda x: x["hot"])).where(F.size("want") > 0)
-    strings = hot_ones.mapInArrow(common.trimmed(lambda it: _segments(it, True)), _SEGMENTS).mapInArrow(common.trimmed(_hashed), "h long, l int, d binary, a long, b long, lo long, hi long")
+    strings = hot_ones.mapInArrow(common.trimmed(_segments), _SEGMENTS).mapInArrow(common.trimmed(_hashed), "h long, l int, d binary, a long, b long, lo long, hi long")
     here = F.struct("a", "b", "lo")
-    twice = strings.groupBy("h", "l", "d").agg(F.min(here).alias("x"), F.max(here).alias("y")).where("x <> y").select("h", "l", "d")
-    ranges = ranges.unionByName(strings.join(twice, ["h", "l", "d"]).select("a", "b", "lo", "hi"))
+    twice = strings.where("l >= 0").groupBy("h", "l", "d").agg(F.min(here).alias("x"), F.max(here).alias("y")).where("x <> y").select("h", "l", "d")
+    ranges = ranges.unionByName(strings.join(twice, ["h", "l", "d"]).select("a", "b", "lo", "hi")).unionByName(strings.where("l < 0").select("a", "b", "lo", "hi"))
     ranges = ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
     cut = met.select("a", "b", "text").join(ranges, ["a", "b"]).select("a", "b", "text", "ranges").mapInArrow(common.trimmed(_kept), _KEPT)
