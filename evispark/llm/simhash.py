@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm import common
+from evispark.llm import common, verified
 
 BITS, BLOCK = 64, 16
 #: Node pairs handled at once; bounds a task's memory.
@@ -30,7 +30,9 @@ DIRECT = 16
 #: Leaf pairs compared at once.
 PIECE = 250_000
 #: A sketch is this many fingerprints side by side; its tables take HALF * 2 bits each.
-WIDE, TABLES, HALF = 7, 20, 11
+WIDE, TABLES, HALF = 9, 26, 11
+#: Bits of a table in which two sketches may differ, all in one half.
+APART = 2
 
 
 def hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -234,13 +236,19 @@ def sketch(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
 
 
 def most_bits(similarity: float) -> int:
-    """Bits of a sketch that differ, in the mean, at a Jaccard similarity, and a deviation."""
+    """Bits of a sketch that differ, in the mean, at a Jaccard similarity, and four deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = WIDE * BITS
-    return int(round(n * p + np.sqrt(n * p * (1 - p))))
+    return int(round(n * p + 4 * np.sqrt(n * p * (1 - p))))
+
+
+def apart(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bits in which each sketch differs from one."""
+    return np.bitwise_count(sketches ^ one).sum(1, dtype=np.int64)
 
 
 def _sketch_forest(batches: Iterator[pa.RecordBatch], budget: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Groups of candidates: each group's least node with all others."""
     got = [(b.column("k").to_numpy(), b.column("v").to_numpy(), b.column("node").to_numpy(),
             np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE)) for b in batches if b.num_rows]
     if not got:
@@ -249,9 +257,13 @@ def _sketch_forest(batches: Iterator[pa.RecordBatch], budget: int, most: int) ->
     v = v.astype(np.uint64) << np.uint64(BITS - 2 * HALF)
     order = np.lexsort((v, k))
     k, v, node, full = k[order], v[order], node[order], full[order]
-    lab = trie_links(k, v, budget, HALF, 2 * HALF, lambda i, j: np.bitwise_count(full[i] ^ full[j]).sum(1, dtype=np.int64) <= most)
-    on = lab != np.arange(len(lab))
-    yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[lab[on]])], ["u", "v"])
+    lab = trie_links(k, v, budget, HALF, 2 * HALF, lambda i, j: apart(full[i], full[j]) <= most)
+    least = node.copy()
+    np.minimum.at(least, lab, node)
+    least = least[lab]
+    on = least != node
+    group = (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ least.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    yield pa.RecordBatch.from_arrays([pa.array(group[on].view(np.int64)), pa.array(least[on]), pa.array(node[on])], ["g", "u", "v"])
 
 
 def _keys(sketches: pd.Series) -> pd.Series:
@@ -269,10 +281,11 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
     """``docs`` with ``sketch`` and ``component``, by similarity of shingle sets.
 
     At a Jaccard similarity of 0.8 a seventh of all bits differ, too many for the
-    four blocks of a fingerprint. A sketch of 448 bits gives 20 tries of 22 bits,
-    joined with a budget of one bit; a link must also agree in the whole sketch.
-    A pair at the threshold is met by a trie with a probability of 0.95, one at
-    0.9 of 0.999. Blank texts are one group.
+    four blocks of a fingerprint. A sketch of 576 bits gives 26 tries of 22 bits,
+    joined with a budget of two bits, and a loose bound on the whole sketch. These
+    give candidates only: a link holds by exact Jaccard of the shingle sets. A pair
+    at the threshold is met by a trie with a probability of 0.999. Blank texts are
+    one group.
     """
 
     @F.pandas_udf("binary")
@@ -285,7 +298,14 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
     nodes = common.stage(rows.groupBy("sketch").agg(F.min("doc_id").alias("node")), "sketch-nodes")
     dealt = nodes.where("node is not null").select("node", "sketch", F.explode(keys("sketch")).alias("kv")).select(
         F.shiftrightunsigned("kv", 2 * HALF).alias("k"), F.col("kv").bitwiseAND(F.lit((1 << 2 * HALF) - 1)).alias("v"), "node", "sketch")
-    edges = dealt.repartition("k").mapInArrow(common.trimmed(lambda it: _sketch_forest(it, 1, most)), "u long, v long")
+    first = dealt.repartition("k").mapInArrow(common.trimmed(lambda it: _sketch_forest(it, APART, most)), "g long, u long, v long")
+    shingles = F.pandas_udf(lambda col: pd.Series([np.unique(hashes(t, words)).view(np.int64) for t in col]), "array<long>")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").distinct()
+        return texts.select("node", shingles("text").alias("s"))
+
+    edges = verified.links(first, nodes.select("node", F.col("sketch").alias("sig")), sets, similarity, apart, np.uint64, most, "sketch")
     comps = common.components(edges, "sketch-links")
     of = nodes.join(comps, "node", "left").select("sketch", F.coalesce("component", "node").alias("component"))
     return rows.join(of, "sketch")
