@@ -96,7 +96,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens; a text with one of them is encoded as a whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         split = self.tokenizer.pre_tokenizer.__class__.__name__
@@ -107,7 +108,7 @@ class Encoder:
         """Ids of one text."""
         if not text:
             return np.empty(0, self.type)
-        if not self.by_word:
+        if not self.by_word or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
         first, *rest = _SPACE.split(text)
         return np.frombuffer(self.known.whole(first) + b"".join(map(self.known.__getitem__, rest)), self.type)
@@ -126,6 +127,8 @@ class Encoder:
         odd = np.fromiter((not w.isalnum() and edge(w) is not None for w in distinct), bool, len(distinct))
         # a text in which a space is beside white space goes by itself
         alone = np.logical_or.reduceat(odd[code], at[:-1]) if len(texts) else []
+        for x in self.added if len(texts) else []:
+            alone |= pc.match_substring(texts.fill_null(""), x).to_numpy(zero_copy_only=False)
         raw = list(map(self.known.__getitem__, distinct))
         code[at[:-1]] = len(raw) + np.arange(len(texts), dtype=np.int32)
         raw += [b"" if x else self.known.whole(distinct[w]) for x, w in zip(alone, words.indices.to_numpy()[at[:-1]])]

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from evispark.llm import simhash
+from evispark.llm import simhash, tokenstore
 
 DOCS = "doc_id long, text string"
 
@@ -58,3 +58,20 @@ def test_near_dedup_equals_all_pairs(spark):
     want = {d for d, t in top.items() if d == t}
     assert not want - got, "clean texts removed"
     assert got == want
+
+
+def test_tokens_equal_the_library(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    vocab = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(vocab)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n it's", "plain text here", "a  b <|endoftext|", None, "", "end <|endoftext|>"]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    enc = tokenstore.Encoder(vocab)
+    assert [enc.encode(t).tolist() for t in texts] == want
+    path = f"file://{tmp_path}/store"
+    tokenstore.write(spark.createDataFrame(list(enumerate(texts)), DOCS), path, vocab)
+    got = {r.doc_id: list(r.ids) for r in tokenstore.read_ids(spark, path).collect()}
+    assert [got[i] for i in range(len(texts))] == [w + [0] for w in want]
