@@ -2,10 +2,9 @@
 
 import random
 
-import numpy as np
 import pytest
 
-from evispark.llm import simhash, tokenstore
+from evispark.llm import passages, simhash, tokenstore
 
 DOCS = "doc_id long, text string"
 
@@ -75,3 +74,11 @@ def test_tokens_equal_the_library(spark, tmp_path):
     tokenstore.write(spark.createDataFrame(list(enumerate(texts)), DOCS), path, vocab)
     got = {r.doc_id: list(r.ids) for r in tokenstore.read_ids(spark, path).collect()}
     assert [got[i] for i in range(len(texts))] == [w + [0] for w in want]
+
+
+def test_passages_equal_all_pairs(spark):
+    rows = near_pairs(60, seed=8)
+    sets = {d: set(passages.shingle_set(passages.word_hashes(t)).tolist()) for d, t in rows}
+    want = {d for d, _ in rows if d % 2 and len(sets[d] & sets[d - 1]) >= 0.8 * len(sets[d] | sets[d - 1])}
+    got = passages.repeats(spark.createDataFrame(rows, DOCS)).where("kind = 'P' and removed").collect()
+    assert 5 < len(want) < 50 and {r.doc_id for r in got} == want and all(r.keep_doc_id == r.doc_id - 1 for r in got)
