@@ -13,7 +13,6 @@ import functools
 import gc
 import itertools
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,13 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where unset (tests), a local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, named by ``spark.checkpoint.dir`` or set as the context's checkpoint folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="evispark-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/evispark-stages"
     return found.rstrip("/")
 
 
@@ -65,6 +63,14 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def trim() -> None:
     """Give back to the system what a Python worker has freed; workers live on after a task and idle beside others."""
     gc.collect()

@@ -15,7 +15,7 @@ from evispark.llm import common
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-BINS = 65536
+BINS, BLOCKS = 65536, 256
 
 
 def words(text: Column) -> Column:
@@ -49,21 +49,18 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return w.select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, importance: str | None = None) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for each row of ``docs``.
-
-    ``importance`` names a non-negative column by which a source's documents
-    share its copies; without it all have the same expectation. Null texts have
-    size 0 and, like empty ones, take no words; a null source is a source; rows
-    that repeat are ranked one by one; an empty table gives no rows.
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, importance: str | None, whole_rows: bool) -> DataFrame:
+    """The columns of :func:`mix` and, with ``whole_rows``, each row of ``docs`` as a struct ``row``.
 
-    Of a hot source no task gets all documents: sums by (source, bin of the
-    rank) are combined before they are shuffled, and only the documents of the
-    one bin in which the target is met are sorted.
+    The row travels along as it is, so its columns may have any names. Its words and
+    ties are read from it once; of a hot source no task gets all documents: sums by
+    (source, bin of the rank) are combined before they are shuffled, and only the
+    documents of the one bin in which the target is met are sorted.
     """
     cols = [F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size")]
     weight = F.coalesce(F.col(importance).cast("double"), F.lit(0.0)) if importance else F.lit(1.0)
-    sized = common.stage(docs.select(*cols, weight.alias("weight"), F.xxhash64(F.col("text")).alias("tie")), "mix-sizes")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    sized = common.stage(docs.select(*cols, weight.alias("weight"), F.xxhash64(F.col("text")).alias("tie"), *row), "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("mass"))
     per = common.stage(per, "mix-sources")
     goal = targets(per.select("source", "source_size"), weights, most)
@@ -78,14 +75,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     odds = F.when(F.col("p") > 0, (u / (1.0 - u)) / (F.col("p") / (1.0 - F.col("p"))))
     ranked = ranked.withColumn("q", odds).withColumn("bin", F.floor(F.col("q") / (1.0 + F.col("q")) * BINS).cast("int"))
 
-    sums = ranked.groupBy("source", "bin").agg(
-        F.sum("size").alias("n"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"))
-    of = Window.partitionBy("source")
-    sums = sums.withColumn("need", F.col("target") - F.sum("sure").over(of))
-    along = of.orderBy(F.col("bin").asc_nulls_last())
-    sums = sums.withColumn("upto", F.sum("n").over(along)).where(F.col("bin").isNotNull() & (F.col("upto") > F.col("need")))
-    met = sums.groupBy("source").agg(F.min(F.struct("bin", "need", (F.col("upto") - F.col("n")).alias("before"))).alias("m"))
-    met = common.small(common.stage(met.select(F.col("source").alias("s"), F.col("m.bin").alias("cut"), "m.need", "m.before"), "mix-cuts"))
+    # the target is met in one bin of all; first the block of bins, then the bin, so that no window has more than BLOCKS rows of a source
+    sums = common.stage(ranked.groupBy("source", "bin").agg(
+        F.sum("size").alias("n"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target")), "mix-bins")
+    blocked = sums.withColumn("block", F.floor(F.col("bin") / BLOCKS).cast("int"))
+    by_block = blocked.groupBy("source", "block").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"), F.first("target").alias("target"))
+    found = _met(by_block.withColumn("need", F.col("target") - F.sum("sure").over(Window.partitionBy("source"))).withColumn("from", F.lit(0)), "block")
+    found = common.small(common.stage(found, "mix-blocks"))
+    inner = blocked.join(found, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("cut"))).select("source", "bin", "n", "need", F.col("before").alias("from"))
+    met = common.small(common.stage(_met(inner, "bin"), "mix-cuts"))
 
     cut = ranked.join(met, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     sure = F.col("q").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
@@ -94,19 +92,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     near = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2.0 <= F.col("need")
     rest = cut.where(~edge).withColumn("extra", sure.cast("long"))
     last = cut.where(edge).withColumn("extra", near.cast("long"))
-    out = rest.unionByName(last)
     copies = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("extra"), F.lit(most))).otherwise(F.lit(0)).cast("long")
-    out = out.withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "tie")
-
-
-def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``docs`` as the mix has them: each document as often as it is taken."""
-    got = mix(docs, weights, most).where("copies > 0").groupBy("doc_id", "source", "tie").agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    got = got.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("tie").alias("t"), "copies", "rows")
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.xxhash64("text") == F.col("t"))
-    taken = docs.join(got, on)
-    # rows that repeat share the copies of all of them
-    share = (F.col("copies") / F.col("rows")).cast("int")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(share, F.lit(1))))).select(*[docs[c] for c in docs.columns])
+    return rest.unionByName(last).withColumn("copies", copies)
+
+
+def _met(sums: DataFrame, by: str) -> DataFrame:
+    """``s, cut, need, before``: where a source's running words, ``from`` on, pass what it needs, and the words before that."""
+    along = Window.partitionBy("source").orderBy(F.col(by).asc_nulls_last())
+    over = sums.withColumn("upto", F.col("from") + F.sum("n").over(along)).where(F.col(by).isNotNull() & (F.col("upto") > F.col("need")))
+    first = over.groupBy("source").agg(F.min(F.struct(by, "need", (F.col("upto") - F.col("n")).alias("before"))).alias("m"))
+    return first.select(F.col("source").alias("s"), F.col(f"m.{by}").alias("cut"), "m.need", "m.before")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, importance: str | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` for each row of ``docs``.
+
+    ``importance`` names a non-negative column by which a source's documents
+    share its copies; without it all have the same expectation. Null texts have
+    size 0 and, like empty ones, take no words; a null source is a source; rows
+    that repeat are ranked one by one; an empty table gives no rows; other columns
+    are ignored, whatever their names.
+    """
+    out = _taken(docs, weights, most, importance, False)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, importance: str | None = None) -> DataFrame:
+    """``docs`` as the mix has them: each row as often as :func:`mix` takes it, with its own columns.
+
+    Rows that repeat are counted one by one, so words taken are those of :func:`mix`.
+    """
+    got = _taken(docs, weights, most, importance, True).where("copies > 0").select("row", "copies")
+    return got.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

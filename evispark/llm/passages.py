@@ -1,14 +1,16 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Units are a text's paragraphs (lines) of ``LEAST`` words or more, and passages of
-``SPAN`` words that start at content-defined places, so that a passage repeated
-inside other paragraphs is met wherever it stands: of any ``SPAN + PLACES +
-SHINGLE - 2`` words that repeat (50), one passage lies inside and starts at the
-same word. Passages repeat if they are equal. Paragraphs are near-duplicates at a
-Jaccard similarity of 0.8 of their shingles of five words: signatures are banded,
-paragraphs that collide are compared by signature, and the links of a spanning
-forest of each bucket, best first, are verified by exact Jaccard. Components of
-verified links are the groups; all but a group's first unit are to be removed.
+Units are a text's paragraphs (lines) of ``LEAST`` words or more, which is the least
+that has a shingle, and passages of ``SPAN`` words that start at content-defined
+places, so that a passage repeated inside other paragraphs is met wherever it
+stands: of any ``SPAN + PLACES + SHINGLE - 2`` words that repeat (50), one passage
+lies inside and starts at the same word. Passages repeat if they are equal; of a
+longer run up to ``PLACES - 1`` words at each end may lie outside all of its
+passages. Paragraphs are near-duplicates at a Jaccard similarity of 0.8 of their
+sets of five-word shingles: signatures of distinct paragraphs are banded, those of
+one bucket are candidates, and links are verified by exact Jaccard
+(:mod:`evispark.llm.verified`). Components of verified links are the groups; all but
+a group's first unit are to be removed.
 """
 
 from __future__ import annotations
@@ -23,18 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm import common
+from evispark.llm import common, verified
 
-LEAST, SPAN, PLACES, SHINGLE = 16, 24, 23, 5
-#: A pair at the threshold of 0.8 shares one of these bands with a probability of 0.997.
-BANDS, ROWS = 8, 3
+LEAST, SPAN, PLACES, SHINGLE = 5, 32, 15, 5
+#: A pair at the threshold of 0.8 shares one of these bands with a probability of 0.9992.
+BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
-#: Share of equal signature places from which a link is verified.
-PROMISING = 0.55
+#: Bytes of text that a worker takes apart at once.
+SLICE = 4_000_000
 _K = BANDS * ROWS
 _A = np.random.default_rng(11).integers(1, 1 << 63, _K, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-_UNITS = "h long, doc_id long, start int, end int, sig binary"
+_UNITS = "h long, doc_id long, start int, end int, bands array<long>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,6 +93,15 @@ def signatures(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def bands(sigs: np.ndarray) -> np.ndarray:
+    """(paragraphs, bands): a hash of each band of a signature and of the band's number."""
+    parts = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * np.uint64(_P), parts.shape[:2])
+    for r in range(ROWS):
+        out = _mixed((out ^ parts[:, :, r]) * np.uint64(_P))
+    return out.view(np.int64)
+
+
 def shingle_set(words: np.ndarray) -> np.ndarray:
     n = len(words)
     at = np.arange(max(n - SHINGLE + 1, 1))
@@ -109,7 +120,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def units(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """``text, hash, start, end, signatures`` of the paragraphs and then, without signatures, of the passages."""
+    """``text, hash, start, end, bands`` of the paragraphs and then, without bands, of the passages."""
     lines = pc.split_pattern(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())), "\n")
     parts = pc.ascii_split_whitespace(lines.flatten())
     flat = parts.flatten()
@@ -126,7 +137,7 @@ def units(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     whole = b - a >= LEAST
     if whole.any():
         a, b, of = a[whole], b[whole], of[whole]
-        yield of, _run(sums, a, b), a - to[of], b - to[of], signatures(sums, a, b)
+        yield of, _run(sums, a, b), a - to[of], b - to[of], bands(signatures(sums, a, b))
     i = np.arange(max(len(words) - SHINGLE + 1, 0))
     anchors = _run(sums, i, i + SHINGLE)
     for lo in range(0, max(len(anchors) - PLACES + 1, 0), 1 << 23):
@@ -141,65 +152,18 @@ def units(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // 12_000_000
+        size = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
         cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(size) else []
         for lo, hi in zip(cut[:-1], cut[1:]):
             part = batch.take(pa.array(np.arange(lo, hi)))
             for of, h, start, end, sig in units(part.column("text")):
                 for k in range(0, len(of), 50_000):
                     s = slice(k, k + 50_000)
-                    rows = pa.nulls(len(of[s]), pa.binary()) if sig is None else pa.array([x.tobytes() for x in sig[s]], pa.binary())
+                    n = len(of[s])
+                    rows = pa.nulls(n, pa.list_(pa.int64())) if sig is None else pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, np.int32)), pa.array(sig[s].ravel()))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h[s].view(np.int64)), part.column("doc_id").take(pa.array(of[s])),
-                        pa.array(start[s].astype(np.int32)), pa.array(end[s].astype(np.int32)), rows], ["h", "doc_id", "start", "end", "sig"])
-
-
-def _bucket_links(sigs: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a best-first spanning forest of the promising pairs of a bucket."""
-    n = len(sigs)
-    found = []
-    for i in range(n - 1):
-        same = (sigs[i + 1:] == sigs[i]).mean(1)
-        j = np.flatnonzero(same >= PROMISING)
-        # of many equal partners the best ones suffice; the forest takes the others through them
-        found += zip((-same[j]).tolist(), [i] * len(j), (j + i + 1).tolist())
-        if len(found) > 500_000:
-            found = _forest(found, n)
-    return [(i, j) for _, i, j in _forest(found, n)]
-
-
-def _forest(links: list, n: int) -> list:
-    root = list(range(n))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for s, i, j in sorted(links):
-        a, b = top(i), top(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((s, i, j))
-    return out
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = h = sig = None
-    parts = [(b.column("key").to_numpy(), b.column("h").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, _K)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, h, sig = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((h, key))
-    key, h, sig = key[order], h[order], sig[order]
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    u, v = [], []
-    for a, b in zip(cut[:-1], cut[1:]):
-        for i, j in _bucket_links(sig[a:b]):
-            u.append(h[a + i]), v.append(h[a + j])
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                        pa.array(start[s].astype(np.int32)), pa.array(end[s].astype(np.int32)), rows], ["h", "doc_id", "start", "end", "bands"])
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -213,24 +177,18 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = common.stage(rows.mapInArrow(common.trimmed(_units), _UNITS), "units")
-    spans = every.where("sig is null").select("h", "doc_id", "start", "end")
+    spans = every.where("bands is null").select("h", "doc_id", "start", "end")
     often = spans.groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-1 << 62))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1 << 62))).alias("b")).where("a < b")
     met = common.stage(spans.join(often.select("h"), "h"), "passages")
     first = met.groupBy("h").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"))
     w = met.join(first, "h").select("doc_id", F.lit("W").alias("kind"), "start", "end", "first")
 
-    paras = every.where("sig is not null")
-    one = common.stage(paras.groupBy("h").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")), "paragraphs")
-    banded = F.pandas_udf(lambda s: pd.Series([[int(xxhash.xxh3_64_intdigest(x[4 * ROWS * b:4 * ROWS * (b + 1)], b) >> 1) for b in range(BANDS)] for x in s]), "array<long>")
-    keys = common.stage(one.select("h", F.explode(banded("sig")).alias("key")), "bands")
-    many = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    near = keys.join(many, "key").join(one.select("h", "sig"), "h").select("key", "h", "sig")
-    pairs = common.stage(near.repartition("key").mapInArrow(common.trimmed(_candidates), "u long, v long").distinct(), "pairs")
-    common.unstage(keys)
-
-    need = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct().join(one, "h").select("h", "first.*")
-    need = need.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("parts"))
-    need = common.small(common.stage(need.withColumnRenamed("doc_id", "i"), "wanted"))
+    # equal paragraphs are one row from here on
+    paras = every.where("bands is not null")
+    one = common.stage(paras.groupBy("h").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")), "paragraphs")
+    keys = one.select("h", F.explode("bands").alias("g"))
+    least = keys.groupBy("g").agg(F.min("h").alias("u"), F.max("h").alias("b")).where("u < b").select("g", "u")
+    pairs = keys.join(least, "g").where("h <> u").select("g", "u", F.col("h").alias("v"))
 
     @F.pandas_udf("array<struct<h: long, s: array<long>>>")
     def sets(text: pd.Series, parts: pd.Series) -> pd.Series:
@@ -244,12 +202,13 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             out.append(got)
         return pd.Series(out)
 
-    text = rows.join(need, F.col("doc_id").eqNullSafe(F.col("i"))).select(F.inline(sets("text", "parts"))).dropDuplicates(["h"])
-    text = common.stage(text, "shingles")
-    both = pairs.join(text.select(F.col("h").alias("u"), F.col("s").alias("a")), "u").join(text.select(F.col("h").alias("v"), F.col("s").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    comps = common.components(links, "passage-links")
+    def shingles(wanted: DataFrame) -> DataFrame:
+        need = one.join(wanted.withColumnRenamed("node", "h"), "h", "left_semi").select("h", "first.*")
+        need = common.stage(need.groupBy(F.coalesce("doc_id", F.lit(-1 << 62)).alias("i")).agg(F.collect_list(F.struct("h", "start", "end")).alias("parts")), "wanted")
+        some = rows.withColumn("i", F.coalesce("doc_id", F.lit(-1 << 62))).join(common.small(need.select("i")), "i", "left_semi")
+        return some.join(need, "i").select(F.inline(sets("text", "parts"))).withColumnRenamed("h", "node").dropDuplicates(["node"])
+
+    comps = common.components(verified.links(pairs, shingles, similarity, "passage"), "passage-links")
     group = common.stage(one.join(comps, one.h == comps.node, "left").select("h", F.coalesce("component", "h").alias("c"), "first", "n"), "groups")
     firsts = group.groupBy("c").agg(F.min("first").alias("top"), F.sum("n").alias("m")).where("m > 1")
     p = paras.join(group.join(firsts, "c").select("h", F.col("top").alias("first")), "h").select("doc_id", F.lit("P").alias("kind"), "start", "end", "first")

@@ -1,4 +1,4 @@
-"""The queries ``opN_<name>`` and ``pipeline``, over whole tables, and their SQL."""
+"""The queries ``opN_<name>``, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from evispark.llm import annforest, common, decontaminate, htmltext, mixing, mixlm, passages, quality, simhash, substrings, tokenstore
 
 
@@ -23,7 +22,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenstore.encode_table(common.table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
+    return tokenstore.encode_table(common.table(spark, sf_dir, "documents"), tokenstore.tokenizer_path())
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}

@@ -220,26 +220,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, seed: int
 
 def sketch(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """``WIDE`` fingerprints of 64 bits, over the set of the text's shingles."""
-    h = np.unique(hashes(text, words, seed))
-    out = np.zeros(WIDE, np.uint64)
-    for w in range(WIDE):
-        g = h * np.uint64(0x9E3779B97F4A7C15 + 2 * w * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
-        g ^= g >> np.uint64(29)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(32)
-        counts = np.zeros(BITS, np.int64)
-        for k in range(0, len(g), 65536):
-            part = g[k:k + 65536]
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[w] = np.packbits(2 * counts > len(g), bitorder="little").view(np.uint64)[0] if len(g) else 0
-    return out
-
-
-def most_bits(similarity: float) -> int:
-    """Bits of a sketch that differ, in the mean, at a Jaccard similarity, and four deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = WIDE * BITS
-    return int(round(n * p + 4 * np.sqrt(n * p * (1 - p))))
+    return verified.long_sketch(np.unique(hashes(text, words, seed)), WIDE)
 
 
 def apart(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -278,14 +259,14 @@ def _keys(sketches: pd.Series) -> pd.Series:
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """``docs`` with ``sketch`` and ``component``, by similarity of shingle sets.
+    """``doc_id, tie, sketch, component`` of each row of ``docs``, by similarity of shingle sets.
 
     At a Jaccard similarity of 0.8 a seventh of all bits differ, too many for the
     four blocks of a fingerprint. A sketch of 576 bits gives 26 tries of 22 bits,
     joined with a budget of two bits, and a loose bound on the whole sketch. These
     give candidates only: a link holds by exact Jaccard of the shingle sets. A pair
-    at the threshold is met by a trie with a probability of 0.999. Blank texts are
-    one group.
+    at the threshold is met by a trie with a probability of 0.999. Null and blank
+    texts are one group; an empty table gives no rows; other columns are ignored.
     """
 
     @F.pandas_udf("binary")
@@ -293,48 +274,39 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
         return pd.Series([sketch(t, words).tobytes() for t in col])
 
     keys = F.pandas_udf(_keys, "array<long>")
-    most = most_bits(similarity)
-    rows = common.stage(docs.select("doc_id", sketched("text").alias("sketch")), "sketch")
-    nodes = common.stage(rows.groupBy("sketch").agg(F.min("doc_id").alias("node")), "sketch-nodes")
-    dealt = nodes.where("node is not null").select("node", "sketch", F.explode(keys("sketch")).alias("kv")).select(
+    most = verified.most_bits(similarity, WIDE * BITS)
+    rows = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), sketched("text").alias("sketch")), "sketch")
+    # texts of one sketch are one node, named by a hash of it
+    nodes = common.stage(rows.select(F.xxhash64("sketch").alias("node"), "sketch").distinct(), "sketch-nodes")
+    dealt = nodes.select("node", "sketch", F.explode(keys("sketch")).alias("kv")).select(
         F.shiftrightunsigned("kv", 2 * HALF).alias("k"), F.col("kv").bitwiseAND(F.lit((1 << 2 * HALF) - 1)).alias("v"), "node", "sketch")
     first = dealt.repartition("k").mapInArrow(common.trimmed(lambda it: _sketch_forest(it, APART, most)), "g long, u long, v long")
     shingles = F.pandas_udf(lambda col: pd.Series([np.unique(hashes(t, words)).view(np.int64) for t in col]), "array<long>")
+    one = rows.groupBy(F.xxhash64("sketch").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("m"))
+    one = one.select("node", F.coalesce("m.doc_id", F.lit(0)).alias("i"), F.col("m.tie").alias("t"))
 
     def sets(wanted: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").distinct()
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.xxhash64("text").alias("t"), "text")
+        texts = texts.join(one.join(wanted, "node", "left_semi"), ["i", "t"]).dropDuplicates(["node"])
         return texts.select("node", shingles("text").alias("s"))
 
-    edges = verified.links(first, nodes.select("node", F.col("sketch").alias("sig")), sets, similarity, apart, np.uint64, most, "sketch")
+    edges = verified.links(first, sets, similarity, "sketch")
     comps = common.components(edges, "sketch-links")
     of = nodes.join(comps, "node", "left").select("sketch", F.coalesce("component", "node").alias("component"))
     return rows.join(of, "sketch")
 
 
 def keep_similar_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of :func:`similar`: its smallest doc_id.
+    """``docs`` with one row of each group of :func:`similar`.
 
-    Of rows that repeat a kept doc_id one stays, and so do rows without a doc_id.
+    It is the row of the smallest doc_id, of the smallest hash of the text if rows
+    of that id differ, and one of those that repeat. A row without a doc_id stays
+    only if no row of its group has one.
     """
     found = similar(docs, similarity, words)
-    gone = found.where("doc_id <> component").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
-
-
-def keep_one(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: its smallest doc_id.
-
-    Of rows that repeat a kept doc_id, one stays. Rows without a doc_id stay if
-    no document with an id is in their group.
-    """
-    found = near_duplicates(docs, words, budget)
-    ids = found.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = docs.where("doc_id is null")
-    if lone.limit(1).count():
-        fps = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-        lone = with_fingerprint(lone, words).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-        lone = lone.join(fps, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*docs.columns)
-        kept = kept.select(*docs.columns).union(lone)
-    return kept.select(*docs.columns)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("b"))
+    # names that no column of docs has
+    i, n, t = (common.free_name(docs, x) for x in ("id_", "none_", "tie_"))
+    one = best.select(F.coalesce("b.doc_id", F.lit(0)).alias(i), F.col("b.none").alias(n), F.col("b.tie").alias(t))
+    every = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), n: F.col("doc_id").isNull(), t: F.xxhash64("text")})
+    return every.join(one, [i, n, t], "left_semi").dropDuplicates([i, n, t]).select(*[F.col(f"`{c}`") for c in docs.columns])

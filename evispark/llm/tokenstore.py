@@ -20,13 +20,14 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,10 +37,9 @@ from evispark.llm import common
 
 #: Ids in the rolling window; a chunk has 2**CUT_BITS ids in the mean, within the two limits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
-#: Words that a worker keeps encoded, about 200 bytes each.
-CACHE = 800_000
+#: Words that a worker keeps encoded, about 30 bytes each, and pieces of texts that go by themselves.
+CACHE, PIECES_KEPT = 1_500_000, 50_000
 _B = 0x9E3779B97F4A7C15
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
 
 
@@ -47,6 +47,13 @@ _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the query and the pipeline take."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,34 +61,34 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """The ids of words after a space, as bytes; new ones go through the library's model, piece by piece."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.model, self.code, self.chars = encoder.tokenizer.model.tokenize, "H" if encoder.width == 2 else "I", _byte_chars()
-        self.split, self.ends = regex.compile(PIECES).findall, {c: self.piece(c) for c in ".,"}
-
-    def piece(self, text: str) -> bytes:
-        """Ids of one piece of the pre-tokenizer."""
-        found = array(self.code, [t.id for t in self.model(text.encode().decode("latin-1").translate(self.chars))])
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            raw = self.piece(" " + word)
-        elif word[-1:] in self.ends and word[:-1].isalpha():
-            raw = self[word[:-1]] + self.ends[word[-1]]
-        else:
-            raw = self.whole(" " + word)
-        self[word] = raw
-        return raw
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a text in which no place is known to start a piece."""
-        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.piece(x) for x in self.split(text)])
+class _Words:
+    """The ids of words after a space, by the words' 64-bit hashes: sorted hashes, and where each one's ids lie in one array."""
+
+    def __init__(self, kind: np.dtype):
+        self.hash, self.start, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, kind)
+
+    def find(self, words: list[bytes], encode: Callable[[str], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of some distinct words start in ``ids``, and how many; new words are encoded and kept."""
+        if len(self.hash) > CACHE:
+            self.__init__(self.ids.dtype)
+        digest = xxhash.xxh3_64_intdigest
+        h = np.fromiter(map(digest, words), np.uint64, len(words))
+        at = np.searchsorted(self.hash, h)
+        known = at < len(self.hash)
+        known[known] = self.hash[at[known]] == h[known]
+        start, size = np.empty(len(h), np.int32), np.empty(len(h), np.int32)
+        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = [encode(words[i].decode()) for i in new.tolist()]
+            many = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(self.ids.dtype.itemsize)
+            first = np.cumsum(many, dtype=np.int32) - many + np.int32(len(self.ids))
+            start[new], size[new] = first, many
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(raw), self.ids.dtype)))
+            order = np.argsort(h[new], kind="stable")
+            place = at[new][order]
+            self.hash, self.start, self.size = (np.insert(x, place, y[order]) for x, y in ((self.hash, h[new]), (self.start, first), (self.size, many)))
+        return start, size
 
 
 class Encoder:
@@ -102,7 +109,36 @@ class Encoder:
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         split = self.tokenizer.pre_tokenizer.__class__.__name__
         self.by_word = split == "ByteLevel" and self.tokenizer.normalizer is None
-        self.known = _Words(self)
+        self.model, self.code, self.chars = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I", _byte_chars()
+        self.split, self.pieces = regex.compile(PIECES).findall, {}
+        self.ends = {c: self.piece(c) for c in ".,"} if self.by_word else {}
+        self.words = _Words(self.type)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer."""
+        found = array(self.code, [t.id for t in self.model(text.encode().decode("latin-1").translate(self.chars))])
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word after a space."""
+        if word.isalpha():
+            return self.piece(" " + word)
+        if word[-1:] in self.ends and word[:-1].isalpha():
+            return self.piece(" " + word[:-1]) + self.ends[word[-1]]
+        return self.whole(" " + word)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text in which no place is known to start a piece."""
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces.clear()
+        out = []
+        for x in self.split(text):
+            if (raw := self.pieces.get(x)) is None:
+                raw = self.pieces[x] = self.piece(x)
+            out.append(raw)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text."""
@@ -110,33 +146,35 @@ class Encoder:
             return np.empty(0, self.type)
         if not self.by_word or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
-        first, *rest = _SPACE.split(text)
-        return np.frombuffer(self.known.whole(first) + b"".join(map(self.known.__getitem__, rest)), self.type)
+        return np.frombuffer(self.whole(text), self.type)
 
     def encode_many(self, texts: pa.StringArray) -> list[np.ndarray]:
         """Ids of each text. The texts' distinct words are looked up once."""
         if not self.by_word:
             return [self.encode(t.as_py()) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         parts = pc.split_pattern(texts.fill_null(""), " ")
         at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         words = parts.flatten().dictionary_encode()
-        code, distinct = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        code, distinct = words.indices.to_numpy().copy(), words.dictionary.cast(pa.binary()).to_pylist()
         edge = re.compile(r"\s|.*\s\Z|\Z", re.S).match
-        odd = np.fromiter((not w.isalnum() and edge(w) is not None for w in distinct), bool, len(distinct))
+        plain = pc.utf8_is_alnum(words.dictionary).to_numpy(zero_copy_only=False)
+        odd = np.zeros(len(distinct), bool)
+        odd[~plain] = [edge(distinct[i].decode()) is not None for i in np.flatnonzero(~plain).tolist()]
         # a text in which a space is beside white space goes by itself
         alone = np.logical_or.reduceat(odd[code], at[:-1]) if len(texts) else []
         for x in self.added if len(texts) else []:
             alone |= pc.match_substring(texts.fill_null(""), x).to_numpy(zero_copy_only=False)
-        raw = list(map(self.known.__getitem__, distinct))
-        code[at[:-1]] = len(raw) + np.arange(len(texts), dtype=np.int32)
-        raw += [b"" if x else self.known.whole(distinct[w]) for x, w in zip(alone, words.indices.to_numpy()[at[:-1]])]
-        size = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(self.type.itemsize)
-        start = np.cumsum(size, dtype=np.int32) - size
+        start, size = self.words.find(distinct, self.word)
+        # a text's first word has no space before it
+        raw = [b"" if x else self.whole(distinct[w].decode()) for x, w in zip(alone, code[at[:-1]].tolist())]
+        first = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(self.type.itemsize)
+        start = np.concatenate((start, np.cumsum(first, dtype=np.int32) - first + np.int32(len(self.words.ids))))
+        size = np.concatenate((size, first))
+        code[at[:-1]] = len(distinct) + np.arange(len(texts), dtype=np.int32)
         many = size[code]
         end = np.cumsum(many, dtype=np.int32)
-        ids = np.frombuffer(b"".join(raw), self.type)[np.repeat(start[code] - (end - many), many) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+        ids = np.concatenate((self.words.ids, np.frombuffer(b"".join(raw), self.type)))
+        ids = ids[np.repeat(start[code] - (end - many), many) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
         to = np.concatenate(([0], end))[at]
         return [self.encode(t.as_py()) if x else ids[i:j] for t, x, i, j in zip(texts, alone, to[:-1], to[1:])]
 
@@ -198,7 +236,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _by_slice(enc: Encoder, texts: pa.StringArray, end: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
     """Ids of each text with the end, and its chunks' ends, some megabytes of texts at once."""
-    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 12_000_000
+    size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)) // 6_000_000
     cut = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1], [True]))).tolist() if len(texts) else []
     for a, b in zip(cut[:-1], cut[1:]):
         some = [np.concatenate([x, end]) for x in enc.encode_many(texts.take(pa.array(np.arange(a, b))))]

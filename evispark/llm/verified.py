@@ -1,9 +1,12 @@
 """Links between sets that hold by exact Jaccard, from groups of candidates.
 
-A group's first links connect all of its candidates. If one of them fails, all of
-the group's pairs that are near by their sketches and lie in two parts not yet
-linked are tried, best first: a few for each node, four times as many in each
-round, until no such pair is left untried.
+The first links of a group connect all of its candidates. Each is verified on the
+sets. A group whose nodes are then not all in one component of the links found so
+far, in whichever group, is open: its pairs across two components are tried, best
+first, a few for each node and eight times as many in each round, until no such
+pair is left. Of an open group's nodes a long SimHash is taken, so that only pairs
+that may reach the similarity are tried: one at the threshold is passed over with
+a probability of 3 in 100,000.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,42 +22,52 @@ from pyspark.sql import functions as F
 from evispark.llm import common
 
 #: Partners of a node that are tried in the first round after the first links.
-WIDTH = 4
-
-
-def untried(nodes: np.ndarray, u: np.ndarray, v: np.ndarray, ok: np.ndarray, far: Callable[[int], np.ndarray], most: float, width: int) -> tuple[list, bool]:
-    """Pairs of a group to be tried next, and whether these are all. ``far(i)`` are the distances of node i to all."""
-    n = len(nodes)
-    order = np.argsort(nodes, kind="stable")
-    a, b = (order[np.searchsorted(nodes, x, sorter=order)] for x in (u, v))
-    lab = np.arange(n)
-    while True:  # labels are least numbers of what is linked
-        low = np.minimum(lab[a[ok]], lab[b[ok]])
-        new = lab.copy()
-        np.minimum.at(new, lab[a[ok]], low)
-        np.minimum.at(new, lab[b[ok]], low)
-        new = new[new]
-        if np.array_equal(new, lab):
-            break
-        lab = new
-    tried: dict[int, list[int]] = {}
-    for i, j in zip(a[~ok].tolist(), b[~ok].tolist()):
-        tried.setdefault(i, []).append(j)
-        tried.setdefault(j, []).append(i)
+WIDTH = 8
+#: Words of 64 bits in the long SimHash.
+LONG = 64
+
+
+def long_sketch(s: np.ndarray, words: int = LONG) -> np.ndarray:
+    """``words`` fingerprints of 64 bits over a set of hashes; zero for an empty one."""
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(s) else 0):
+        g = s * np.uint64(0x9E3779B97F4A7C15 + 2 * w * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
+        g ^= g >> np.uint64(29)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        counts = np.zeros(64, np.int64)
+        for k in range(0, len(g), 65536):
+            counts += np.unpackbits(g[k:k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * counts > len(g), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Of ``bits``, those that differ, in the mean, at a Jaccard similarity, and four deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+
+
+def untried(size: np.ndarray, lab: np.ndarray, sigs: np.ndarray, tried: dict[int, list[int]], similarity: float, width: int) -> tuple[set, bool]:
+    """Pairs of a group to be tried next, as places, and whether these are all."""
+    most = most_bits(similarity, 64 * sigs.shape[1])
+    _, lab = np.unique(lab, return_inverse=True)
     largest = np.bincount(lab).argmax()
     found, all_ = set(), True
     for i in np.flatnonzero(lab != largest).tolist():
-        d = far(i)
-        on = (d <= most) & (lab != lab[i])
+        on = (lab != lab[i]) & (size >= similarity * size[i]) & (size * similarity <= size[i])
         on[tried.get(i, [])] = False
         j = np.flatnonzero(on)
+        d = np.bitwise_count(sigs[j] ^ sigs[i]).sum(1, dtype=np.int64)
+        j, d = j[d <= most], d[d <= most]
         if len(j) > width:
-            j, all_ = j[np.argsort(d[j], kind="stable")[:width]], False
+            j, all_ = j[np.argsort(d, kind="stable")[:width]], False
         found.update((min(i, k), max(i, k)) for k in j.tolist())
-    return [(nodes[i], nodes[j]) for i, j in found], all_
+    return found, all_
 
 
-def _more(batches: Iterator[pa.RecordBatch], distance: Callable, dtype, most: float, width: int) -> Iterator[pa.RecordBatch]:
+def _more(batches: Iterator[pa.RecordBatch], similarity: float, width: int) -> Iterator[pa.RecordBatch]:
+    """``g, u, v, whole`` from a group's nodes ``(u, size, lab, sig)`` and failed links ``(u, v)``."""
     table = [b for b in batches if b.num_rows]
     if not table:
         return
@@ -62,25 +76,30 @@ def _more(batches: Iterator[pa.RecordBatch], distance: Callable, dtype, most: fl
     cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist()
     for lo, hi in zip(cut[:-1], cut[1:]):
         part = t.slice(lo, hi - lo)
-        is_node = part.column("sig").is_valid()
-        ends, links = part.filter(is_node), part.filter(part.column("v").is_valid())
+        ends, failed = part.filter(part.column("sig").is_valid()), part.filter(part.column("v").is_valid())
         if ends.num_rows < 3:
             continue
-        sigs = np.frombuffer(b"".join(ends.column("sig").to_pylist()), dtype).reshape(ends.num_rows, -1)
-        pairs, all_ = untried(ends.column("u").to_numpy(), links.column("u").to_numpy(), links.column("v").to_numpy(), links.column("ok").to_numpy().astype(bool),
-                              lambda i: distance(sigs, sigs[i]), most, width)
+        node = ends.column("u").to_numpy()
+        order = np.argsort(node, kind="stable")
+        a, b = (order[np.searchsorted(node, failed.column(x).to_numpy(), sorter=order)].tolist() for x in ("u", "v"))
+        tried: dict[int, list[int]] = {}
+        for i, j in zip(a, b):
+            tried.setdefault(i, []).append(j)
+            tried.setdefault(j, []).append(i)
+        sigs = np.frombuffer(b"".join(ends.column("sig").to_pylist()), np.uint64).reshape(ends.num_rows, -1)
+        pairs, all_ = untried(ends.column("size").to_numpy(), ends.column("lab").to_numpy(), sigs, tried, similarity, width)
         if pairs:
-            u, v = zip(*((min(p), max(p)) for p in pairs))
-            n = len(u)
-            yield pa.RecordBatch.from_arrays([pa.array([int(g[lo])] * n, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([all_] * n)], ["g", "u", "v", "whole"])
+            i, j = (node[list(x)] for x in zip(*pairs))
+            n = len(i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g[lo])), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array([all_] * n)], ["g", "u", "v", "whole"])
 
 
-def links(first: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, distance: Callable, dtype, most: float, what: str) -> DataFrame:
+def links(first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, what: str) -> DataFrame:
     """Links ``(u, v)`` at ``similarity`` or more.
 
-    ``first(g, u, v)`` has the first links of each group, u < v; ``sketches(node, sig)``
-    what ``distance`` compares, near up to ``most``; ``sets`` gives ``(node, s)``, the
-    set as an array, for a table of nodes. A node may have several sets.
+    ``first(g, u, v)`` has the first links of each group, u < v; ``sets`` gives
+    ``(node, s)``, the set as an array of hashes, for a table of nodes. A node has one
+    set. Empty sets are alike.
     """
     known = common.stage(first.distinct(), f"{what}-first")
     nodes = common.stage(known.select(F.col("u").alias("node")).union(known.select("v")).distinct(), f"{what}-nodes")
@@ -89,24 +108,31 @@ def links(first: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], Dat
 
     def judge(pairs: DataFrame) -> DataFrame:
         both = pairs.select("u", "v").distinct().join(of.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        seen = common.stage(both.select("u", "v", (shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).alias("ok")), f"{what}-judged")
-        return seen.groupBy("u", "v").agg(F.max("ok").alias("ok"))
+        return common.stage(both.select("u", "v", (shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).alias("ok")), f"{what}-judged")
 
     verdict = judge(known)
-    good = verdict.where("ok").select("u", "v")
-    known = known.join(verdict, ["u", "v"]).select("g", "u", "v", "ok")
+    good, failed = verdict.where("ok").select("u", "v"), known.join(verdict.where("not ok"), ["u", "v"]).select("g", "u", "v")
+    members = known.select("g", F.col("u").alias("node")).union(known.select("g", "v")).distinct()
     # a group of one link has no other pair
-    still = known.groupBy("g").agg(F.min("ok").alias("every"), F.count(F.lit(1)).alias("n")).where("not every and n > 1").select("g")
-    width = WIDTH
+    open_ = members.join(failed.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("g")
+    sketched = F.pandas_udf(lambda col: pd.Series([long_sketch(np.asarray(s, np.int64).view(np.uint64)).tobytes() for s in col]), "binary")
+    long_, width = None, WIDTH
     while True:
-        known = common.stage(known.join(still, "g", "left_semi"), f"{what}-known")
-        if not known.limit(1).count():
+        some = common.stage(members.join(open_, "g", "left_semi"), f"{what}-open")
+        if not some.limit(1).count():
             return good
-        ends = known.select("g", "u").union(known.select("g", "v")).distinct().join(sketches.withColumnRenamed("node", "u"), "u")
-        rows = ends.select("g", "u", F.lit(None).cast("long").alias("v"), F.lit(None).cast("boolean").alias("ok"), "sig").union(known.withColumn("sig", F.lit(None).cast("binary")))
-        found = common.stage(rows.repartition("g").mapInArrow(common.trimmed(lambda it, w=width: _more(it, distance, dtype, most, w)), "g long, u long, v long, whole boolean"), f"{what}-more")
+        if long_ is None:
+            long_ = common.stage(of.join(some.select("node").distinct(), "node", "left_semi").select("node", F.size("s").alias("size"), sketched("s").alias("sig")), f"{what}-long")
+        comps = common.components(good, f"{what}-parts").withColumnRenamed("component", "c")
+        marked = common.stage(some.join(comps, "node", "left").select("g", "node", F.coalesce("c", "node").alias("lab")), f"{what}-marked")
+        parted = marked.groupBy("g").agg(F.min("lab").alias("a"), F.max("lab").alias("b")).where("a < b").select("g")
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = marked.join(parted, "g", "left_semi").join(long_, "node").select("g", F.col("node").alias("u"), none("long").alias("v"), "size", "lab", "sig")
+        rows = rows.union(failed.join(parted, "g", "left_semi").select("g", "u", "v", none("int"), none("long"), none("binary")))
+        found = rows.repartition("g").mapInArrow(common.trimmed(lambda it, w=width: _more(it, similarity, w)), "g long, u long, v long, whole boolean")
+        found = common.stage(found, f"{what}-more")
         verdict = judge(found)
         good = good.union(verdict.where("ok").select("u", "v"))
-        known = known.union(found.join(verdict, ["u", "v"]).select("g", "u", "v", "ok"))
-        still = found.where("not whole").select("g").distinct()
-        width *= 4
+        failed = failed.union(found.join(verdict.where("not ok"), ["u", "v"]).select("g", "u", "v"))
+        members, open_ = some, found.where("not whole").select("g").distinct()
+        width *= 8
