@@ -11,12 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from evispark.llm import common, decontaminate, mixing, quality, simhash, tokenstore
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
@@ -39,7 +33,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from a content-addressed store."""
-    return tokenstore.encode_table(docs, tokenizer_path())
+    return tokenstore.encode_table(docs, tokenstore.tokenizer_path())
 
 
 STAGES = [
@@ -54,7 +48,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.unstage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
