@@ -218,9 +218,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, seed: int
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def bits_of(s: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """``words`` fingerprints of 64 bits over a set of hashes; zero for an empty one."""
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(s) else 0):
+        g = s * np.uint64(0x9E3779B97F4A7C15 + 2 * w * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
+        g ^= g >> np.uint64(29)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        counts = np.zeros(64, np.int64)
+        for k in range(0, len(g), 65536):
+            counts += np.unpackbits(g[k:k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * counts > len(g), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Of ``bits``, those that differ, in the mean, at a Jaccard similarity, and four deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+
+
 def sketch(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """``WIDE`` fingerprints of 64 bits, over the set of the text's shingles."""
-    return verified.long_sketch(np.unique(hashes(text, words, seed)), WIDE)
+    return bits_of(np.unique(hashes(text, words, seed)))
 
 
 def apart(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -274,7 +295,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFra
         return pd.Series([sketch(t, words).tobytes() for t in col])
 
     keys = F.pandas_udf(_keys, "array<long>")
-    most = verified.most_bits(similarity, WIDE * BITS)
+    most = most_bits(similarity, WIDE * BITS)
     rows = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), sketched("text").alias("sketch")), "sketch")
     # texts of one sketch are one node, named by a hash of it
     nodes = common.stage(rows.select(F.xxhash64("sketch").alias("node"), "sketch").distinct(), "sketch-nodes")

@@ -2,11 +2,11 @@
 
 The first links of a group connect all of its candidates. Each is verified on the
 sets. A group whose nodes are then not all in one component of the links found so
-far, in whichever group, is open: its pairs across two components are tried, best
-first, a few for each node and eight times as many in each round, until no such
-pair is left. Of an open group's nodes a long SimHash is taken, so that only pairs
-that may reach the similarity are tried: one at the threshold is passed over with
-a probability of 3 in 100,000.
+far, in whichever group, is open: there each node outside of the largest component
+is held against all nodes of other components, and a link for each component met is
+kept. So no pair is passed over, and no pairs are listed: a group gives fewer links
+than it has nodes. The sets of a large group are dealt into shards, and each two
+shards meet in a task of their own, so a task holds two shards at most.
 """
 
 from __future__ import annotations
@@ -14,88 +14,80 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import common
 
-#: Partners of a node that are tried in the first round after the first links.
-WIDTH = 8
-#: Words of 64 bits in the long SimHash.
-LONG = 64
-
-
-def long_sketch(s: np.ndarray, words: int = LONG) -> np.ndarray:
-    """``words`` fingerprints of 64 bits over a set of hashes; zero for an empty one."""
-    out = np.zeros(words, np.uint64)
-    for w in range(words if len(s) else 0):
-        g = s * np.uint64(0x9E3779B97F4A7C15 + 2 * w * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
-        g ^= g >> np.uint64(29)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(32)
-        counts = np.zeros(64, np.int64)
-        for k in range(0, len(g), 65536):
-            counts += np.unpackbits(g[k:k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[w] = np.packbits(2 * counts > len(g), bitorder="little").view(np.uint64)[0]
-    return out
-
+#: Hashes in a shard of a group, in the mean.
+SHARD = 1_000_000
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Of ``bits``, those that differ, in the mean, at a Jaccard similarity, and four deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(round(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
 
+def joined(size: np.ndarray, flat: np.ndarray, lab: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links, as places, that join the parts ``lab`` of some sets as all links of ``similarity`` would.
 
-def untried(size: np.ndarray, lab: np.ndarray, sigs: np.ndarray, tried: dict[int, list[int]], similarity: float, width: int) -> tuple[set, bool]:
-    """Pairs of a group to be tried next, as places, and whether these are all."""
-    most = most_bits(similarity, 64 * sigs.shape[1])
+    Sets lie after each other in ``flat``, none is empty. If there are two sides, links are between them.
+    """
+    _, flat = np.unique(flat, return_inverse=True)
     _, lab = np.unique(lab, return_inverse=True)
-    largest = np.bincount(lab).argmax()
-    found, all_ = set(), True
+    start = np.cumsum(size) - size
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
+    across = side.min() != side.max()
+    largest, out = np.bincount(lab).argmax(), []
     for i in np.flatnonzero(lab != largest).tolist():
+        if lab[i] == largest:
+            continue
         on = (lab != lab[i]) & (size >= similarity * size[i]) & (size * similarity <= size[i])
-        on[tried.get(i, [])] = False
-        j = np.flatnonzero(on)
-        d = np.bitwise_count(sigs[j] ^ sigs[i]).sum(1, dtype=np.int64)
-        j, d = j[d <= most], d[d <= most]
-        if len(j) > width:
-            j, all_ = j[np.argsort(d, kind="stable")[:width]], False
-        found.update((min(i, k), max(i, k)) for k in j.tolist())
-    return found, all_
-
-
-def _more(batches: Iterator[pa.RecordBatch], similarity: float, width: int) -> Iterator[pa.RecordBatch]:
-    """``g, u, v, whole`` from a group's nodes ``(u, size, lab, sig)`` and failed links ``(u, v)``."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    t = pa.Table.from_batches(table).combine_chunks().sort_by("g")
-    g = t.column("g").to_numpy()
-    cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist()
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        part = t.slice(lo, hi - lo)
-        ends, failed = part.filter(part.column("sig").is_valid()), part.filter(part.column("v").is_valid())
-        if ends.num_rows < 3:
+        if across:
+            on &= side != side[i]
+        if not on.any():
             continue
-        node = ends.column("u").to_numpy()
-        order = np.argsort(node, kind="stable")
-        a, b = (order[np.searchsorted(node, failed.column(x).to_numpy(), sorter=order)].tolist() for x in ("u", "v"))
-        tried: dict[int, list[int]] = {}
-        for i, j in zip(a, b):
-            tried.setdefault(i, []).append(j)
-            tried.setdefault(j, []).append(i)
-        sigs = np.frombuffer(b"".join(ends.column("sig").to_pylist()), np.uint64).reshape(ends.num_rows, -1)
-        pairs, all_ = untried(ends.column("size").to_numpy(), ends.column("lab").to_numpy(), sigs, tried, similarity, width)
-        if pairs:
-            i, j = (node[list(x)] for x in zip(*pairs))
-            n = len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g[lo])), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array([all_] * n)], ["g", "u", "v", "whole"])
+        own = flat[start[i]:start[i] + size[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[flat], start)
+        mark[own] = 0
+        j = np.flatnonzero(on & (shared >= similarity * (size + size[i] - shared)))
+        parts, first = np.unique(lab[j], return_index=True)
+        for part, k in zip(parts.tolist(), j[first].tolist()):
+            out.append((i, k))
+        if len(parts):
+            one = np.append(parts, lab[i])
+            lab[np.isin(lab, one)] = largest if largest in one else one.min()
+    return out
+
+
+def _open_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """``u, v`` from the nodes ``(key, node, lab, side, s)`` of open groups, which come in the order of ``key``."""
+    held: list[pa.RecordBatch] = []
+
+    def links_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        if t.num_rows < 2:
+            return None
+        node, sets = t.column("node").to_numpy(), t.column("s").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        got = joined(size, sets.flatten().to_numpy(), t.column("lab").to_numpy(), t.column("side").to_numpy(), similarity)
+        if not got:
+            return None
+        u, v = (node[list(x)] for x in zip(*got))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist() if len(key) else []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if held and held[0].column("key")[0].as_py() != int(key[lo]):
+                if (got := links_of(held)) is not None:
+                    yield got
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held and (got := links_of(held)) is not None:
+        yield got
 
 
 def links(first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, what: str) -> DataFrame:
-    """Links ``(u, v)`` at ``similarity`` or more.
+    """Links ``(u, v)`` whose components are those of all pairs of a group at ``similarity`` or more.
 
     ``first(g, u, v)`` has the first links of each group, u < v; ``sets`` gives
     ``(node, s)``, the set as an array of hashes, for a table of nodes. A node has one
@@ -103,36 +95,21 @@ def links(first: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity:
     """
     known = common.stage(first.distinct(), f"{what}-first")
     nodes = common.stage(known.select(F.col("u").alias("node")).union(known.select("v")).distinct(), f"{what}-nodes")
-    of = common.stage(sets(nodes), f"{what}-sets")
+    of = common.stage(sets(nodes).select("node", F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(0).cast("long"))).alias("s")), f"{what}-sets")
     shared = F.size(F.array_intersect("a", "b"))
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("u", "v").distinct().join(of.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        return common.stage(both.select("u", "v", (shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).alias("ok")), f"{what}-judged")
-
-    verdict = judge(known)
-    good, failed = verdict.where("ok").select("u", "v"), known.join(verdict.where("not ok"), ["u", "v"]).select("g", "u", "v")
-    members = known.select("g", F.col("u").alias("node")).union(known.select("g", "v")).distinct()
-    # a group of one link has no other pair
-    open_ = members.join(failed.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("g")
-    sketched = F.pandas_udf(lambda col: pd.Series([long_sketch(np.asarray(s, np.int64).view(np.uint64)).tobytes() for s in col]), "binary")
-    long_, width = None, WIDTH
-    while True:
-        some = common.stage(members.join(open_, "g", "left_semi"), f"{what}-open")
-        if not some.limit(1).count():
-            return good
-        if long_ is None:
-            long_ = common.stage(of.join(some.select("node").distinct(), "node", "left_semi").select("node", F.size("s").alias("size"), sketched("s").alias("sig")), f"{what}-long")
-        comps = common.components(good, f"{what}-parts").withColumnRenamed("component", "c")
-        marked = common.stage(some.join(comps, "node", "left").select("g", "node", F.coalesce("c", "node").alias("lab")), f"{what}-marked")
-        parted = marked.groupBy("g").agg(F.min("lab").alias("a"), F.max("lab").alias("b")).where("a < b").select("g")
-        none = lambda kind: F.lit(None).cast(kind)
-        rows = marked.join(parted, "g", "left_semi").join(long_, "node").select("g", F.col("node").alias("u"), none("long").alias("v"), "size", "lab", "sig")
-        rows = rows.union(failed.join(parted, "g", "left_semi").select("g", "u", "v", none("int"), none("long"), none("binary")))
-        found = rows.repartition("g").mapInArrow(common.trimmed(lambda it, w=width: _more(it, similarity, w)), "g long, u long, v long, whole boolean")
-        found = common.stage(found, f"{what}-more")
-        verdict = judge(found)
-        good = good.union(verdict.where("ok").select("u", "v"))
-        failed = failed.union(found.join(verdict.where("not ok"), ["u", "v"]).select("g", "u", "v"))
-        members, open_ = some, found.where("not whole").select("g").distinct()
-        width *= 8
+    both = known.select("u", "v").distinct().join(of.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    good = common.stage(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), f"{what}-good")
+
+    comps = common.components(good, f"{what}-parts").withColumnRenamed("component", "c")
+    labels = nodes.join(comps, "node", "left").join(of.select("node", F.size("s").alias("n")), "node").select("node", F.coalesce("c", "node").alias("lab"), "n")
+    members = known.select("g", F.col("u").alias("node")).union(known.select("g", "v")).distinct().join(labels, "node")
+    # a group of one link that fails has no other pair
+    parted = members.groupBy("g").agg(F.min("lab").alias("a"), F.max("lab").alias("b"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("a < b and c > 2")
+    parted = common.stage(parted.select("g", F.ceil(F.col("n") / SHARD).cast("int").alias("shards")), f"{what}-open")
+    if not parted.limit(1).count():
+        return good
+    own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
+    dealt = members.join(parted, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = dealt.select(F.xxhash64("g", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "node", "lab", "side").join(of, "node")
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(common.trimmed(lambda it: _open_links(it, similarity)), "u long, v long")
+    return good.union(common.stage(found, f"{what}-more"))
