@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evispark.functions import lexicon as L
 
 SPACE = r"[\s\u00a0\u3000]"
-_MARK = "\u0001"
 NUM = r"\d+(?:[.·]\d+)?"
 RANGE = NUM + r"(?:\s*[–—-]\s*" + NUM + ")?"
 #: Patterns of the six value kinds; the lookahead of a percentage is a filter in :func:`values`.
@@ -28,9 +27,13 @@ def lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+#: White space that is not already one plain space; single spaces are passed over and not written anew.
+_UNEVEN = r" *[\t-\r\u00a0\u3000][\s\u00a0\u3000]*| {2,}"
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN, " "))
 
 
 def filled(c: Column) -> Column:
@@ -43,12 +46,14 @@ def snippet(c: Column, limit: int = 160) -> Column:
     return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, limit)), F.lit("…")))
 
 
+#: A dot after an abbreviation. The dot comes first in the pattern, so other characters are passed over at once.
+_ABBREVIATED = r"\.(?<=(?:" + "|".join(re.escape(a) for a in L.ABBREVIATIONS if a[-1] != ".") + r")\.)"
+
+
 def sentences(c: Column) -> Column:
     """Array of sentences over ten characters; dots of known abbreviations do not end one."""
-    s = squeeze(F.coalesce(c, F.lit("")))
-    for a in L.ABBREVIATIONS:
-        s = F.replace(s, F.lit(a + "."), F.lit(a + "§"))
-    parts = F.split(F.regexp_replace(s, r"([.!?。！？])\s+", "$1" + _MARK), _MARK)
+    s = F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), _ABBREVIATED, "§")
+    parts = F.split(s, " (?<=[.!?。！？] )")
     parts = F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("§"), F.lit("."))))
     return F.filter(parts, lambda p: F.length(p) > 10)
 
@@ -60,8 +65,8 @@ def stem(w: Column) -> Column:
     es = F.when(F.substring(w, n - 2, F.lit(1)).isin("s", "x", "z"), cut(2)).otherwise(cut(1))
     cand = (F.when(ends("ies") & (n > 5), F.concat(cut(3), F.lit("y"))).when(ends("sses") & (n > 5), cut(2))
             .when(ends("es") & (n > 5), es).when(ends("s") & ~ends("ss") & ~ends("is"), cut(1)).otherwise(w))
-    keep = (n <= 4) | F.contains(w, F.lit("-")) | w.rlike("[0-9]")
-    return F.when(keep | (F.length(cand) < 3), w).otherwise(cand)
+    # cheap tests first: few words end in s, and only those are looked at closely
+    return F.when(~ends("s") | (n <= 4), w).when(F.contains(w, F.lit("-")) | w.rlike("[0-9]"), w).when(F.length(cand) < 3, w).otherwise(cand)
 
 
 def tokens(c: Column) -> Column:
@@ -69,11 +74,12 @@ def tokens(c: Column) -> Column:
     raw = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9'\-]*|[一-鿿]+"), F.lit(0))
 
     def one(w):
-        low = F.regexp_replace(F.lower(w), r"^['\-]+|['\-]+$", "")
-        low = F.regexp_replace(F.regexp_replace(low, "'(s|re|ve|ll|d|m|t)$", ""), r"['\-]+$", "")
+        bare = F.regexp_replace(F.lower(w), r"^['\-]+|['\-]+$", "")
+        bare = F.regexp_replace(F.regexp_replace(bare, "'(s|re|ve|ll|d|m|t)$", ""), r"['\-]+$", "")
+        low = F.when(F.contains(w, F.lit("'")) | F.contains(w, F.lit("-")), bare).otherwise(F.lower(w))
         latin = F.when(low == "", F.array().cast("array<string>")).otherwise(F.array(stem(low)))
         pairs = F.when(F.length(w) == 1, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2))))
-        return F.when(w.rlike("^[A-Za-z]"), latin).otherwise(pairs)
+        return F.when(F.ascii(w) < 128, latin).otherwise(pairs)
 
     return F.flatten(F.transform(raw, one))
 
@@ -82,7 +88,7 @@ def is_candidate(w: Column, stop: list[str] | None = None) -> Column:
     """Whether a token may be a keyword: no stop word, three characters or a known short form, not one letter repeated."""
     stops = L.ENGLISH_STOP + L.GENERIC_STOP if stop is None else stop
     same = F.replace(w, F.substring(w, 1, 1), F.lit("")) == ""
-    return w.rlike("^[A-Za-z]") & ~w.isin(*stops) & (w.isin(*L.SHORT_KEEP) | ((F.length(w) >= 3) & ~same))
+    return (F.ascii(w) < 128) & ~w.isin(*stops) & (w.isin(*L.SHORT_KEEP) | ((F.length(w) >= 3) & ~same))
 
 
 def norm_metric(c: Column) -> Column:
@@ -206,7 +212,7 @@ def numbers(c: Column) -> Column:
 
 
 def latin_terms(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z\-']{2,}"), F.lit(0)), lambda x: F.lower(x)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z\-']{2,}"), F.lit(0)))
 
 
 def page_text(c: Column) -> Column:
@@ -214,8 +220,9 @@ def page_text(c: Column) -> Column:
     lines = F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("(?i)^(abstract|summary|highlights)$"), i)), lambda i: i.isNotNull()))
     start = F.coalesce(at, F.lit(0))
-    ends = F.filter(F.transform(lines, lambda x, i: F.when((i >= start + 10) & x.rlike("(?i)^(references?|bibliography)$"), i)), lambda i: i.isNotNull())
-    end = F.coalesce(F.array_min(ends), F.size(lines))
+    # all places first: a lambda over the lines that names another array is slow, since it makes that array anew for each line
+    ends = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("(?i)^(references?|bibliography)$"), i)), lambda i: i.isNotNull())
+    end = F.coalesce(F.array_min(F.filter(ends, lambda i: i >= start + 10)), F.size(lines))
     cut = F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n")
     return F.when(F.length(cut) > 1500, cut).otherwise(F.array_join(lines, "\n"))
 
@@ -244,3 +251,32 @@ def cue_pattern(cues: list[str]) -> str:
 def first_hit(low: Column, cues: list[str]) -> Column:
     """The leftmost cue in a lower-case text, or ''."""
     return F.trim(F.regexp_extract(low, cue_pattern(cues), 0))
+
+
+def with_places(text: Column, parts: Column) -> Column:
+    """Array of ``(sentence, start, end)``: each part's first place after the part before, or anywhere; parts that are not there are left out."""
+    kind = "array<struct<sentence:string,start:int,end:int>>"
+    zero = F.struct(F.lit(0).alias("base"), F.array().cast(kind).alias("out"))
+
+    def step(z, p):
+        onward = F.call_function("locate", p, text, z["base"] + 1)
+        at = F.when(onward > 0, onward).otherwise(F.call_function("locate", p, text)) - 1
+        end = (at + F.length(p)).cast("int")
+        one = F.struct(p.alias("sentence"), at.cast("int").alias("start"), end.alias("end"))
+        return F.when(at < 0, z).otherwise(F.struct(end.alias("base"), F.array_append(z["out"], one).alias("out")))
+
+    return F.aggregate(parts, zero, step)["out"]
+
+
+def tagged(text: Column, spans: Column, css: str) -> Column:
+    """HTML of a text, escaped, with ``spans(start, end)``, sorted and apart, in ``<span class=...>``."""
+    def escaped(c: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    cut = lambda a, b: escaped(F.substring(text, a + 1, b - a))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda z, s: F.struct(s["end"].alias("at"), F.concat(z["out"], cut(z["at"], s["start"]), F.lit(f'<span class="{css}">'), cut(s["start"], s["end"]), F.lit("</span>")).alias("out"))
+    done = F.aggregate(spans, zero, step)
+    return F.concat(done["out"], escaped(F.substring(text, done["at"] + 1, F.length(text))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,64 @@ def design_report(profiles: DataFrame) -> DataFrame:
     return profiles.agg(F.count(F.lit(1)).alias("total"), known.alias("recognized"), (F.coalesce(F.try_divide(known * 100.0, F.count(F.lit(1))), F.lit(0.0))).alias("rate"))
 
 
+def completeness_overview(profiles: DataFrame) -> DataFrame:
+    """``total, avg, low``: articles, filled fields in the mean with one decimal, and articles with half of them or fewer."""
+    c = completeness(profiles)
+    return c.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.bround(F.avg("filled"), 1), F.lit(0.0)).alias("avg"), F.count_if(F.col("filled") <= len(L.STRUCT_FIELDS) / 2).alias("low"))
+
+
+def missing_counts(profiles: DataFrame) -> DataFrame:
+    """``field, n``: how many articles lack a field."""
+    return profiles.select(F.explode(missing_fields()).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unrecognised(profiles: DataFrame) -> DataFrame:
+    """``title, year, pubtypes`` of articles without a known design."""
+    types = F.coalesce("pubtypes", F.array().cast("array<string>")) if "pubtypes" in profiles.columns else F.array().cast("array<string>")
+    return profiles.where(F.coalesce("design", F.lit(L.UNKNOWN_DESIGN)) == L.UNKNOWN_DESIGN).select("title", F.substring("year", 1, 4).alias("year"), types.alias("pubtypes"))
+
+
+def by_design(profiles: DataFrame) -> DataFrame:
+    """``design, n, cites``: a design's articles by first author and year, in their order."""
+    who = F.coalesce(F.get(F.coalesce("authors", F.array().cast("array<string>")), F.lit(0)), F.lit("佚名"))
+    year = F.coalesce(F.nullif(F.col("year"), F.lit("")), F.lit("年份不详"))
+    cite = F.concat(who, F.lit(" 等（"), year, F.lit("）"))
+    g = profiles.groupBy("design").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", cite.alias("c")))).alias("a"))
+    return g.select("design", "n", F.array_join(F.transform("a", lambda x: x["c"]), "、").alias("cites"))
+
+
+def fill_targets(profiles: DataFrame) -> DataFrame:
+    """``row_key, title, fields``: editable fields without a value, not corrected by hand, of articles with a text."""
+    open_ = F.filter(F.map_keys("states"), lambda k: k.isin(*L.EDITABLE) & F.try_element_at("states", k).isin("not_extracted", "not_mentioned"))
+    ordered = F.filter(X.lits(L.EDITABLE), lambda f: F.array_contains(open_, f))
+    return profiles.where(F.col("has_source") | F.col("has_abstract")).select("row_key", "title", ordered.alias("fields")).where(F.size("fields") > 0)
+
+
+def parse_fills(replies: DataFrame, targets: DataFrame) -> DataFrame:
+    """``row_key, field, value, quote`` of JSON replies ``(text)``: ``{"fills": [{"id": n, field: {"value", "quote"}}]}``.
+
+    ``targets(id, row_key, fields)`` says what was asked; anything else, values
+    without their quotes, and text that is no JSON give no rows.
+    """
+    body = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
+    rows = replies.select(F.explode(F.from_json(F.get_json_object(body, "$.fills"), "array<map<string,string>>")).alias("m"))
+    one = rows.select(F.col("m")["id"].try_cast("int").alias("id"), F.explode("m").alias("field", "raw")).where("field <> 'id'")
+    got = one.select("id", "field", F.trim(F.get_json_object("raw", "$.value")).alias("value"), F.trim(F.get_json_object("raw", "$.quote")).alias("quote"))
+    asked = targets.select("id", "row_key", F.explode("fields").alias("field"))
+    return got.join(asked, ["id", "field"]).where(X.filled(F.col("value")) & X.filled(F.col("quote"))).select("row_key", "field", "value", "quote")
+
+
+def topic_terms(profiles: DataFrame, top: int = 8, least: int = 2) -> DataFrame:
+    """``term, docs``: the first ``top`` keywords of titles and conclusions that stand in ``least`` articles or more."""
+    from evispark.operators import keywords
+
+    blob = profiles.select(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("conclusion", F.lit(""))).alias("t"))
+    units = blob.select(F.explode(F.split("t", r"[.!?;:\n]+")).alias("text")).where("trim(text) <> ''").withColumn("unit", F.monotonically_increasing_id())
+    words = keywords.keywords(units, 4 * top).where((F.length("term") >= 4) & ~F.lower("term").isin(*L.CONFLICT_STOP))
+    hits = term_documents(profiles, words).groupBy("term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
+    return words.join(hits, "term").orderBy("rank").limit(top).select("term", "docs")
+
+
 def correct(profiles: DataFrame, corrections: DataFrame) -> DataFrame:
     """Manual values ``(row_key, field, value)`` over the five editable fields; evidence and polarity follow, nothing else does."""
     kept = corrections.where(F.col("field").isin(*L.EDITABLE)).groupBy("row_key").agg(
@@ -85,9 +144,10 @@ def annotate(value: Column, state: Column, corrected: Column, filled: Column, fu
 
 
 def term_documents(profiles: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, row_key`` where a term stands in title or conclusion and ends cleanly there. ``terms`` is a short list and is sent to all."""
+    """``term, row_key`` where a term stands in title or conclusion and ends cleanly there. ``terms`` is a short list; up to 10,000 are sent to all tasks."""
     doc = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("conclusion", F.lit(""))))
-    t = F.broadcast(terms.select("term"))
+    few = terms.select("term").distinct()
+    t = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few
     low = F.lower("term")
     tails = F.slice(F.split("doc", F.concat(F.lit(r"\Q"), low, F.lit(r"\E"))), 2, 100_000)
     clean = F.when(low.rlike(r"\p{L}$"), F.exists(tails, lambda x: ~x.rlike(r"^\p{L}"))).otherwise(F.size(tails) > 0)
@@ -115,17 +175,32 @@ def title_key(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9一-鿿]", ""), 1, 80)
 
 
-def duplicates(articles: DataFrame, order: str = "ord") -> DataFrame:
-    """``n``: rows whose pmid or title a kept row had before. A fold in reading order over one review's articles, since what counts depends on what was kept."""
-    rows = articles.select(F.struct(F.col(order).alias("ord"), F.trim(F.coalesce("pmid", F.lit(""))).alias("p"), title_key(F.col("title")).alias("t")).alias("r"))
-    zero = F.struct(F.array().cast("array<string>").alias("p"), F.array().cast("array<string>").alias("t"), F.lit(0).alias("n"))
-
-    def step(s, r):
-        dup = ((r["p"] != "") & F.array_contains(s["p"], r["p"])) | ((r["t"] != "") & F.array_contains(s["t"], r["t"]))
-        return F.when(dup, F.struct(s["p"].alias("p"), s["t"].alias("t"), (s["n"] + 1).alias("n"))).otherwise(
-            F.struct(F.array_append(s["p"], r["p"]).alias("p"), F.array_append(s["t"], r["t"]).alias("t"), s["n"].alias("n")))
-
-    return rows.agg(F.aggregate(F.array_sort(F.collect_list("r")), zero, step)["n"].alias("n"))
+def duplicates(articles: DataFrame, order: str = "ord", review: str | None = None) -> DataFrame:
+    """``n``, for each ``review`` if named: rows whose pmid or title a kept row had before.
+
+    What counts depends on what was kept, so a review's articles go by in reading
+    order; only the keys of those kept are held, as sets.
+    """
+    group = F.col(review).cast("string") if review else F.lit("")
+    rows = articles.select(group.alias("review"), F.col(order).alias("ord"), F.trim(F.coalesce("pmid", F.lit(""))).alias("p"), title_key(F.col("title")).alias("t"))
+
+    def count(batches):
+        now, pmids, titles, n = None, set(), set(), 0
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.review != now:
+                    if now is not None:
+                        yield pd.DataFrame({"review": [now], "n": [n]})
+                    now, pmids, titles, n = r.review, set(), set(), 0
+                if (r.p and r.p in pmids) or (r.t and r.t in titles):
+                    n += 1
+                else:
+                    pmids.add(r.p), titles.add(r.t)
+        if now is not None:
+            yield pd.DataFrame({"review": [now], "n": [n]})
+
+    got = rows.repartition("review").sortWithinPartitions("review", "ord").mapInPandas(count, "review string, n int")
+    return got if review else got.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n"))
 
 
 def prisma(records: DataFrame) -> DataFrame:

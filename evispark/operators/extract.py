@@ -96,10 +96,9 @@ def with_sections(articles: DataFrame) -> DataFrame:
 
 # --- sample size, effects -----------------------------------------------------
 
-_NOUNS = "patients|participants|subjects|individuals|adults|children|neonates|infants|cases|records|people|women|men|pregnancies|eyes|lesions|samples|pairs|centers|centres"
 #: Fixed patterns of sample sizes; the tight ones are for full texts.
 SIZE_PATTERNS = [
-    r"\b[Nn]\s*=\s*(\d[\d,]{1,})", rf"\b(\d[\d,]{{1,}})\s+(?:{_NOUNS})\b",
+    r"\b[Nn]\s*=\s*(\d[\d,]{1,})", r"\b(\d[\d,]{1,})\s+(?:patients|participants|subjects|individuals|adults|children|neonates|infants|cases|records|people|women|men|pregnancies|eyes|lesions|samples|pairs|centers|centres)\b",
     r"\b(?:total of|enrolled|included|analyzed|analysed|recruited|randomized|randomised)\s+(\d[\d,]{1,})",
     r"共\s*(?:纳入|收集|分析)?\s*(\d[\d,]{1,})\s*(?:例|名|位|篇)",
     r"(?i)\b(\d[\d,]{2,})\s+(?:[a-z][a-z-]*\s+){0,3}(?:patients|participants|subjects|individuals|adults|children|women|men|persons|people|neonates|infants)\b"]
@@ -123,8 +122,11 @@ def sample_size() -> Column:
 
 
 #: Fixed patterns of effect sizes.
-RATIOS = {k: rf"(?i)\b(?:{n})\s*[=:]?\s*(\d+(?:\.\d+)?)" for k, n in
-          {"HR": "aHR|HR|hazard ratio", "OR": "aOR|OR|odds ratio", "RR": "aRR|RR|risk ratio|relative risk", "IRR": "IRR"}.items()}
+RATIOS = {
+    "HR": r"(?i)\b(?:aHR|HR|hazard ratio)\s*[=:]?\s*(\d+(?:\.\d+)?)",
+    "OR": r"(?i)\b(?:aOR|OR|odds ratio)\s*[=:]?\s*(\d+(?:\.\d+)?)",
+    "RR": r"(?i)\b(?:aRR|RR|risk ratio|relative risk)\s*[=:]?\s*(\d+(?:\.\d+)?)",
+    "IRR": r"(?i)\b(?:IRR)\s*[=:]?\s*(\d+(?:\.\d+)?)"}
 INTERVAL = r"(?i)95%\s*(?:CI|confidence interval)\s*[:：]?\s*([0-9][0-9.,\-–—\s]{2,28})"
 P_VALUE = r"\b[Pp]\s*(?:<|>|=|≤|≥)\s*0?\.\d+"
 DIFFERENCE = r"(?i)\b(?:WMD|SMD|MD)\s*[=:]?\s*[-−]?\s*\d+(?:\.\d+)?"
@@ -319,10 +321,10 @@ def outcome_class(low: Column) -> Column:
     return F.when(hard != "", pair(L.HARD_OUTCOME, hard)).when(surrogate != "", pair(L.SURROGATE_OUTCOME, surrogate)).otherwise(pair(L.OUTCOME_UNCLEAR, F.lit("")))
 
 
-_LOST = r"lost to follow[- ]?up"
+#: Fixed patterns of shares lost to follow-up.
 ATTRITION = [
-    rf"(?i)(?:{_LOST}|loss to follow[- ]?up|withdrew|withdrawal|dropped out|discontinued|attrition|失访|退出|脱落)[^.;\n%]{{0,40}}?(\d+(?:\.\d+)?)\s*%",
-    rf"(?i)(\d+(?:\.\d+)?)\s*%[^.;\n]{{0,30}}?(?:{_LOST}|withdrawn|withdrew|dropped out|discontinued|attrition|失访|退出|脱落)"]
+    r"(?i)(?:lost to follow[- ]?up|loss to follow[- ]?up|withdrew|withdrawal|dropped out|discontinued|attrition|失访|退出|脱落)[^.;\n%]{0,40}?(\d+(?:\.\d+)?)\s*%",
+    r"(?i)(\d+(?:\.\d+)?)\s*%[^.;\n]{0,30}?(?:lost to follow[- ]?up|withdrawn|withdrew|dropped out|discontinued|attrition|失访|退出|脱落)"]
 
 
 def attrition(text: Column) -> Column:

@@ -2,98 +2,184 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
 
 
-def token_weights(units: DataFrame, unit: str = "unit", text: str = "text") -> DataFrame:
-    """``term, tf, df, weight`` of candidate tokens: ``tf * (0.35 + ln(1 + N / (1 + df)))`` over N units."""
-    rows = units.select(unit, F.explode(X.tokens(F.col(text))).alias("term")).where(X.is_candidate(F.col("term")))
-    per = rows.groupBy("term", unit).agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+def _runs(terms: Column) -> Column:
+    """Sorted terms as ``(term, new)``, where ``new`` counts the first of equal ones; no term is blank."""
+    before = F.concat(F.array(F.lit("")), terms)
+    return F.filter(F.zip_with(terms, before, lambda t, b: F.struct(t.alias("term"), (t != b).cast("long").alias("new"))), lambda x: x["term"].isNotNull())
+
+
+def _weigh(terms: DataFrame, units: DataFrame, unit: str) -> DataFrame:
+    """``term, tf, df, weight`` of ``terms(unit, a array)``. A term's units are told apart in the array, so one shuffle is enough."""
+    per = terms.select(F.sort_array("a").alias("a")).select(F.inline(_runs(F.col("a")))).groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.sum("new").alias("df"))
     n = units.agg(F.count(F.lit(1)).alias("units"))
     return per.crossJoin(F.broadcast(n)).withColumn("weight", F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).drop("units")
 
 
-def keywords(units: DataFrame, top: int = 20, unit: str = "unit", text: str = "text") -> DataFrame:
-    """``rank, term, weight``: best tokens, without those that a better phrase or token holds. The fold is over the ``20 * top`` best."""
-    best = token_weights(units, unit, text).orderBy(F.desc("weight"), "term").limit(20 * top)
-    rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("a"))
-    held = lambda acc, x: F.exists(acc, lambda y: F.contains(y["term"], x["term"]) | F.contains(x["term"], y["term"]))
-    pick = F.aggregate("a", F.array().cast("array<struct<w:double,term:string>>"), lambda acc, x: F.when((F.size(acc) >= top) | held(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return rows.select(F.posexplode(pick).alias("rank", "x")).select((F.col("rank") + 1).alias("rank"), "x.term", (-F.col("x.w")).alias("weight"))
+def token_weights(units: DataFrame, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
+    """``term, tf, df, weight`` of candidate tokens: ``tf * (0.35 + ln(1 + N / (1 + df)))`` over N units."""
+    return _weigh(units.select(F.filter(X.tokens(F.col(text)), lambda t: X.is_candidate(t, stop)).alias("a")), units, unit)
+
+
+def phrase_weights(units: DataFrame, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
+    """``term, tf, df, weight`` of two candidates side by side, twice or more, at 1.45 times a token's weight."""
+    t = units.select(X.tokens(F.col(text)).alias("t"))
+    t = t.withColumn("ok", F.transform("t", lambda w: X.is_candidate(w, stop)))
+    pair = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b))
+    good = F.zip_with(F.slice("ok", 1, F.greatest(F.size("ok") - 1, F.lit(0))), F.slice("ok", 2, F.size("ok")), lambda a, b: a & b)
+    kept = F.filter(F.zip_with(pair, good, lambda p, g: F.when(g, p)), lambda p: p.isNotNull())
+    return _weigh(t.select(kept.alias("a")), units, unit).where("tf >= 2").withColumn("weight", F.col("weight") * 1.45)
+
+
+def keywords(units: DataFrame, top: int = 20, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
+    """``rank, term, weight, count``: tokens, phrases and Chinese terms, best first.
+
+    A phrase is passed over if one of its words is in a phrase taken before; if it
+    is taken, words taken before that hardly stand outside of it (at most 1.2 times
+    its count) give their places up, and later ones are passed over. A Chinese term
+    that shares a character with one taken is passed over. Each choice depends on
+    those before, so it is a fold, over the ``20 * top`` best.
+    """
+    zh = chinese_grams(units, unit, text)
+    n = units.agg(F.count(F.lit(1)).alias("units"))
+    zh = zh.crossJoin(F.broadcast(n)).select("gram", "tf", "df", (F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).alias("weight")).withColumnRenamed("gram", "term")
+    every = token_weights(units, unit, text, stop).unionByName(phrase_weights(units, unit, text, stop)).unionByName(zh)
+    best = every.orderBy(F.desc("weight"), "term").limit(20 * top)
+    rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term", "tf"))).alias("a"))
+    kind = "struct<p:array<struct<w:double,term:string,tf:bigint>>,c:array<struct<word:string,n:bigint>>>"
+    zero = F.struct(F.array().alias("p"), F.array().alias("c")).cast(kind)
+    little = lambda a, b: a <= b * 1.2
+    chars = lambda t: F.split(t, "")
+
+    def step(z, x):
+        words = F.split(x["term"], " ")
+        latin = x["term"].rlike("^[A-Za-z]")
+        covered = F.exists(z["c"], lambda c: F.array_contains(words, c["word"]))
+        given = F.filter(z["p"], lambda t: ~(F.array_contains(words, t["term"]) & little(t["tf"], x["tf"])))
+        phrase = F.struct(F.array_append(given, x).alias("p"), F.concat(z["c"], F.transform(words, lambda w: F.struct(w.alias("word"), x["tf"].alias("n")))).alias("c")).cast(kind)
+        held = F.exists(z["c"], lambda c: (c["word"] == x["term"]) & little(x["tf"], c["n"]))
+        shared = ~latin & F.exists(z["p"], lambda t: ~t["term"].rlike("^[A-Za-z]") & F.arrays_overlap(chars(t["term"]), chars(x["term"])))
+        token = F.struct(F.array_append(z["p"], x).alias("p"), z["c"].alias("c")).cast(kind)
+        return (F.when(F.size(z["p"]) >= top, z).when(F.size(words) > 1, F.when(covered, z).otherwise(phrase)).when(held | shared, z).otherwise(token))
+
+    picked = rows.select(F.posexplode(F.aggregate("a", zero, step)["p"]).alias("rank", "x"))
+    return picked.select((F.col("rank") + 1).alias("rank"), "x.term", (-F.col("x.w")).alias("weight"), F.col("x.tf").alias("count"))
 
 
 def chinese_grams(units: DataFrame, unit: str = "unit", text: str = "text", least: int = 2) -> DataFrame:
-    """``gram, tf``: runs of 2 to 4 Chinese characters with ``least`` places that no longer frequent gram covers equally often."""
-    runs = units.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("[一-鿿]{2,}"), F.lit(0))).alias("run"))
-    grams = None
-    for n in (2, 3, 4):
-        starts = F.sequence(F.lit(1), F.length("run") - n + 1)
-        one = runs.where(F.length("run") >= n).select("run", F.explode(starts).alias("i")).select(F.substring("run", F.col("i"), F.lit(n)).alias("gram"))
-        grams = one if grams is None else grams.unionByName(one)
-    tf = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") >= least)
+    """``gram, tf, df``: runs of 2 to 4 Chinese characters with ``least`` places that no longer gram, one character wider, covers equally often.
+
+    Grams with a function character and stock words of papers are none.
+    """
+    runs = units.select(F.col(unit).alias("u"), F.explode(F.regexp_extract_all(F.col(text), F.lit("[一-鿿]{2,}"), F.lit(0))).alias("run"))
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(1)))
+    cut = lambda n: F.when(F.length("run") >= n, F.transform(starts(n), lambda i: F.substring("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = runs.select("u", F.explode(F.concat(cut(2), cut(3), cut(4))).alias("gram")).where(~F.col("gram").rlike(f"[{L.ZH_STOP}]") & ~F.col("gram").isin(*L.ZH_WORD_STOP))
+    tf = grams.groupBy("gram", "u").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df")).where(F.col("tf") >= least)
     wide = tf.where(F.length("gram") > 2).select("tf", F.explode(F.array(F.expr("left(gram, length(gram)-1)"), F.expr("right(gram, length(gram)-1)"))).alias("gram"))
     cover = wide.groupBy("gram").agg(F.max("tf").alias("over"))
-    return tf.join(cover, "gram", "left").where(F.col("over").isNull() | (F.col("tf") > F.col("over"))).select("gram", "tf")
+    return tf.join(cover, "gram", "left").where(F.col("over").isNull() | (F.col("tf") > F.col("over"))).select("gram", "tf", "df")
+
+
+_SCORED = "array<struct<pos:int,n:int,sentence:string,tokens:array<string>,score:double>>"
+
+
+def _scores(tokens, title, label, number, stops: frozenset) -> list[float]:
+    """Scores of one text's sentences from their tokens, the title's tokens, label weights and whether they hold a number."""
+    content = [[t for t in s if t not in stops and len(t) > 1] for s in tokens]
+    tf = Counter(t for s in content for t in s)
+    df = Counter(t for s in content for t in set(s))
+    words, n, out = {t for t in title if t not in stops}, len(tokens), []
+    for i, (own, s) in enumerate(zip(content, tokens)):
+        mean = sum(tf[t] / (1 + math.log(df[t])) for t in own) / len(own) if own else 0.0
+        place = 1.25 if i == 0 else 1.1 if i < n * 0.25 else 1.0
+        topic = 1 + min(0.5, len(words.intersection(s)) / len(words) if words else 0.0)
+        out.append(mean * label[i] * place * (1.15 if number[i] else 1.0) * topic * min(len(s) / 15.0, 1.15))
+    return out
+
+
+def _chosen(tokens, scores: list[float], keep: int) -> list[int]:
+    """The sentences of a summary, in text order: by score, those that differ enough from those taken before, in three passes."""
+    order = sorted((i for i, x in enumerate(scores) if x > 0), key=lambda i: (-scores[i], i))
+    sets, taken = [set(t) for t in tokens], []
+    for limit in (0.55, 0.75, 1.0):
+        for i in order:
+            if len(taken) >= keep:
+                break
+            if i in taken or any(len(sets[i] & sets[j]) > limit * len(sets[i] | sets[j]) for j in taken):
+                continue
+            taken.append(i)
+    return sorted(taken) or [0]
+
+
+def _with_scores(docs: DataFrame, text: str, title: str | None, stop: list[str] | None) -> DataFrame:
+    """``docs`` with ``_p``: sentences, tokens and all that their scores take, by column expressions."""
+    named = lambda s: F.lower(F.regexp_extract(s, r"^\s*([A-Za-z一-鿿]{2,20}?)\s*[:：]", 1))
+    one = lambda s: F.struct(s.alias("sentence"), X.tokens(s).alias("tokens"), F.coalesce(F.try_element_at(X._map(L.SENTENCE_WEIGHTS), named(s)), F.lit(1.0)).alias("label"), (F.size(X.numbers(s)) > 0).alias("number"))
+    d = docs.withColumn("_s", X.sentences(F.col(text)))
+    return d.withColumn("_p", F.transform("_s", one)).withColumn("_t", F.array_distinct(X.tokens(F.col(title) if title else F.lit("")))).drop("_s")
+
+
+def _stops(stop: list[str] | None) -> frozenset:
+    return frozenset(L.ENGLISH_STOP + L.GENERIC_STOP + list(L.ZH_STOP) if stop is None else stop)
 
 
 def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = None, stop: list[str] | None = None) -> DataFrame:
     """``key, pos, n, sentence, tokens, score``: mean weight of content tokens, ``tf / (1 + ln df)``, times section label, position, numbers, title words and length.
 
-    ``stop`` are the words without content; the default has function words. Lists
-    of academic phrases are long, so they are the caller's.
+    A score takes nothing from other texts, so a text's sentences are scored in one
+    batch function, without a shuffle. ``stop`` are the words without content; the
+    default has function words. The list of academic phrases is long, so it is the
+    caller's.
     """
-    stop = L.ENGLISH_STOP + L.GENERIC_STOP if stop is None else stop
-    s = docs.select(key, (F.col(title) if title else F.lit("")).alias("title"), F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
-    content = lambda a: F.filter(a, lambda t: ~t.isin(*stop) & (F.length(t) > 1))
-    s = s.withColumn("tokens", X.tokens(F.col("sentence"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    each = s.select(key, "pos", F.explode(content(F.col("tokens"))).alias("term"))
-    tf = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("pos").alias("df"))
-    mean = each.join(tf, [key, "term"]).groupBy(key, "pos").agg(F.avg(F.col("tf") / (1 + F.log("df"))).alias("mean"))
-    named = F.lower(F.regexp_extract("sentence", r"^\s*([A-Za-z一-鿿]{2,20}?)\s*[:：]", 1))
-    label = F.coalesce(F.try_element_at(X._map(L.SENTENCE_WEIGHTS), named), F.lit(1.0))
-    place = F.when(F.col("pos") == 0, 1.25).when(F.col("pos") < F.col("n") * 0.25, 1.1).otherwise(1.0)
-    number = F.when(F.size(X.numbers(F.col("sentence"))) > 0, 1.15).otherwise(1.0)
-    words = F.filter(F.array_distinct(X.tokens(F.col("title"))), lambda t: ~t.isin(*stop))
-    title_ = 1 + F.least(F.lit(0.5), F.coalesce(F.try_divide(F.size(F.array_intersect("tokens", words)), F.size(words)), F.lit(0.0)))
-    length = F.least(F.size("tokens") / 15.0, F.lit(1.15))
-    out = s.join(mean, [key, "pos"], "left")
-    return out.select(key, "pos", "n", "sentence", "tokens", (F.coalesce("mean", F.lit(0.0)) * label * place * number * title_ * length).alias("score"))
-
-
-def _similarity(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+    stops = _stops(stop)
+
+    @F.pandas_udf(_SCORED)
+    def scored(parts: pd.Series, title: pd.Series) -> pd.Series:
+        out = []
+        for p, t in zip(parts, title):
+            tokens = [list(x["tokens"]) for x in p]
+            s = _scores(tokens, list(t), [x["label"] for x in p], [x["number"] for x in p], stops)
+            out.append([{"pos": i, "n": len(p), "sentence": x["sentence"], "tokens": k, "score": v} for i, (x, k, v) in enumerate(zip(p, tokens, s))])
+        return pd.Series(out)
+
+    return _with_scores(docs, text, title, stop).select(key, F.inline(scored("_p", "_t")))
 
 
 def summaries(docs: DataFrame, ratio: float = 0.3, most: int = 5, key: str = "doc_id", text: str = "text", title: str | None = None, stop: list[str] | None = None) -> DataFrame:
     """``key, pos, sentence``: the chosen sentences in text order.
 
     Three passes over the sentences by score take what differs enough from those
-    taken before: Jaccard at most 0.55, then 0.75, then any. A choice depends on
-    earlier ones, so it is a fold over each text's own array.
+    taken before: Jaccard at most 0.55, then 0.75, then any. Where no sentence has a
+    score, the first one stands; texts without sentences give no rows.
     """
-    s = sentence_scores(docs, key, text, title, stop)
-    row = F.struct((-F.col("score")).alias("w"), "pos", "sentence", "tokens")
-    a = s.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("a"), F.first("n").alias("n"))
-    keep = F.greatest(F.lit(1), F.least(F.lit(most), F.bround(F.col("n") * ratio).cast("int")))
-    kind = "array<struct<w:double,pos:int,sentence:string,tokens:array<string>>>"
-    taken = F.array().cast(kind)
-    a = a.withColumn("keep", keep).withColumn("t", taken)
-
-    def within(limit: float):
-        def step(acc, x):
-            near = F.exists(acc, lambda y: (y["pos"] == x["pos"]) | (_similarity(x["tokens"], y["tokens"]) > limit))
-            return F.when((F.size(acc) >= F.col("keep")) | near | (x["w"] >= 0), acc).otherwise(F.array_append(acc, x))
-        return step
-
-    for limit in (0.55, 0.75, 1.0):
-        a = a.withColumn("t", F.aggregate("a", F.col("t"), within(limit)))
-    # where no sentence has a score, the first one stands
-    a = a.withColumn("t", F.when(F.size("t") == 0, F.slice("a", 1, 1)).otherwise(F.col("t")))
-    return a.select(key, F.explode("t").alias("x")).select(key, "x.pos", "x.sentence")
+    stops = _stops(stop)
+
+    @F.pandas_udf("array<struct<pos:int,sentence:string>>")
+    def chosen(parts: pd.Series, title: pd.Series) -> pd.Series:
+        out = []
+        for p, t in zip(parts, title):
+            if not len(p):
+                out.append([])
+                continue
+            tokens = [list(x["tokens"]) for x in p]
+            s = _scores(tokens, list(t), [x["label"] for x in p], [x["number"] for x in p], stops)
+            half = len(p) * ratio
+            keep = max(1, min(most, round(half)))
+            out.append([{"pos": i, "sentence": p[i]["sentence"]} for i in _chosen(tokens, s, keep)])
+        return pd.Series(out)
+
+    return _with_scores(docs, text, title, stop).select(key, F.inline(chosen("_p", "_t")))
 
 
 def fulltext_stats(sections: DataFrame) -> DataFrame:

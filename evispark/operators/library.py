@@ -77,7 +77,7 @@ def prune(meta: DataFrame, valid: DataFrame) -> DataFrame:
 
 def filtered(articles: DataFrame, meta: DataFrame, folders: DataFrame, folder: str | None = None, tags: list[str] | None = None, words: str = "") -> DataFrame:
     """``pmid`` of articles in a folder, with all tags, and with the words somewhere in title, authors, tags, note or folder name."""
-    j = articles.join(meta, "pmid", "left").join(F.broadcast(folders.select(F.col("id").alias("folder"), F.col("name").alias("folder_name"))), "folder", "left")
+    j = articles.join(meta, "pmid", "left").join(folders.select(F.col("id").alias("folder"), F.col("name").alias("folder_name")), "folder", "left")
     low = F.transform(F.coalesce("tags", none()), lambda t: F.lower(t))
     conds = [F.lit(True)]
     if folder is not None:
@@ -93,7 +93,7 @@ def merge(folders: DataFrame, meta: DataFrame, in_folders: DataFrame, in_meta: D
     new = in_folders.withColumn("k", F.lower("name")).join(folders.select(F.lower("name").alias("k"), F.col("id").alias("own")), "k", "left")
     ids = new.select(F.col("id").alias("in_id"), F.coalesce("own", "id").alias("to"))
     out = folders.unionByName(new.where("own is null").select("id", "name", "created_at"))
-    m = in_meta.join(F.broadcast(ids), in_meta.folder == ids.in_id, "left").select("pmid", F.coalesce("to", F.lit("")).alias("b_folder"), F.col("tags").alias("b_tags"), F.col("note").alias("b_note"))
+    m = in_meta.join(ids, in_meta.folder == ids.in_id, "left").select("pmid", F.coalesce("to", F.lit("")).alias("b_folder"), F.col("tags").alias("b_tags"), F.col("note").alias("b_note"))
     j = meta.join(m, "pmid", "full_outer")
     pick = lambda a, b: F.when(F.coalesce(F.trim(b), F.lit("")) != "", F.col(b)).otherwise(F.coalesce(a, F.lit("")))
     return out, j.select("pmid", pick("folder", "b_folder").alias("folder"), add_tags(F.col("tags"), F.coalesce("b_tags", none())).alias("tags"), pick("note", "b_note").alias("note"))

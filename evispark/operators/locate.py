@@ -15,10 +15,52 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence"))
 
 
-def with_offsets(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``start`` and ``end`` of ``sentence`` in the text; sentences that are not there verbatim are dropped."""
-    at = F.instr(F.col(text), F.col("sentence")) - 1
-    return rows.withColumn("start", at).where("start >= 0").withColumn("end", F.col("start") + F.length("sentence"))
+def index_with_offsets(sections: DataFrame, keys: tuple[str, ...] = ("doc_id", "section"), text: str = "text") -> DataFrame:
+    """``*keys, pos, sentence, start, end`` of sections; ``pos`` counts the sentences that stand in the section verbatim.
+
+    A repeated sentence gets its next place: places are searched onward from the
+    sentence before, in one fold over a section's sentences.
+    """
+    return sections.select(*keys, F.posexplode(X.with_places(F.col(text), X.sentences(F.col(text)))).alias("pos", "x")).select(*keys, "pos", "x.*")
+
+
+def index_stats(index: DataFrame, section: str = "section") -> DataFrame:
+    """``sentences, sections`` of an index."""
+    return index.agg(F.count(F.lit(1)).alias("sentences"), F.countDistinct(F.coalesce(section, F.lit(""))).alias("sections"))
+
+
+def term_spans(text, query: str):
+    """Array of ``(start, end)``, merged: where a query's words stand in a text, whatever the case."""
+    low, out = F.lower(text), F.array().cast("array<struct<start:int,end:int>>")
+    for w in dict.fromkeys(query.lower().split()):
+        parts = F.split(low, r"\Q" + w + r"\E")
+        sizes = F.transform(parts, lambda x: F.length(x))
+        at = F.aggregate(F.slice(sizes, 1, F.size(parts) - 1), F.array().cast("array<int>"),
+                         lambda acc, n, w=w: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(w), F.lit(0)) + n))
+        out = F.concat(out, F.transform(at, lambda i, w=w: F.struct(i.alias("start"), (i + len(w)).cast("int").alias("end"))))
+    return merge_spans(out)
+
+
+def value_spans(text):
+    """Array of ``(start, end)``, merged: where values of the six kinds stand in a text."""
+    out = F.array().cast("array<struct<start:int,end:int>>")
+    for k, p in X.VALUE_PATTERNS.items():
+        found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        placed = X.with_places(text, found)
+        if k == "百分比":
+            placed = F.filter(placed, lambda x: x["sentence"].endswith("%"))
+        out = F.concat(out, F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return merge_spans(out)
+
+
+def highlight_query(text, query: str, css: str = "loc-kw"):
+    """A sentence as HTML with the query's words marked."""
+    return X.tagged(text, term_spans(text, query), css)
+
+
+def highlight_values(text, css: str = "loc-val"):
+    """A sentence as HTML with its values marked."""
+    return X.tagged(text, value_spans(text), css)
 
 
 def values(docs: DataFrame, key: str = "doc_id", text: str = "text", per_type: int = PER_TYPE) -> DataFrame:
@@ -42,32 +84,82 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     return rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit).select(key, "pos", "count")
 
 
+#: Letters of the grams by which a query and a sentence that holds it meet, and the query's least length.
+GRAM, LONG = 8, 40
+#: Characters with which a gram that is a key begins: rare enough letters, digits, all ideographs.
+KEYED = "bgkpvwxyz0-9一-鿿"
+#: Rows up to which the queries' keys are sent to all tasks; above, sentences are shuffled to them.
+BROADCAST_ROWS = 50_000
+
+
+def _sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint where a count shows that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _grams(c, n: int):
+    """All runs of ``n`` characters: the places at which one can be read ahead."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _keys(c):
+    """Content-defined grams of a text: the same wherever they stand."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=([{KEYED}].{{{GRAM - 1}}}))"), F.lit(1)))
+
+
 def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", best: int = BEST) -> DataFrame:
     """``query_id, key, pos, score``: where the sentences ``(query_id, sentence)`` stand in texts, over all texts.
 
     Equal after normalising scores 1, containing 0.95. Then numbers (3) and Latin
     words (2) that both have, over all of the query's; sentences with more than
-    three numbers of which less than half agree count three quarters. Candidates
-    of the last kind come from an inverted index: both sides' features meet in an
-    equi-join, and only features that some query has leave the scan.
+    three numbers of which less than half agree count three quarters.
+
+    No pairs are compared but those that share a key, and each text is read once. A
+    sentence gives as keys itself, its first letters, its content-defined grams and
+    its features; a query gives itself, all grams that a sentence inside it may begin
+    with, one of its content-defined grams, and its features but the most common
+    ones. It may leave those out as long as they weigh less than the least score
+    together: a sentence that reaches the score has one of the others. The few long
+    queries without a content-defined gram are held against all sentences.
     """
-    q = queries.select("query_id", F.col("sentence").alias("q")).withColumns({"qn": X.norm_text(F.col("q")), "qnum": X.numbers(F.col("q")), "qterm": X.latin_terms(F.col("q"))}).where("qn <> ''")
-    s = index(docs, key, text).withColumns({"sn": X.norm_text(F.col("sentence")), "snum": X.numbers(F.col("sentence")), "sterm": X.latin_terms(F.col("sentence"))})
-    exact = s.join(q, s.sn == q.qn).select("query_id", key, "pos", F.lit(1.0).alias("score"))
-    inside = s.where("sn <> ''").join(F.broadcast(q.select("query_id", "qn")), (F.contains("qn", F.col("sn")) | ((F.length("qn") > 40) & F.contains("sn", F.col("qn")))) & (F.col("sn") != F.col("qn")))
-    inside = inside.select("query_id", key, "pos", F.lit(0.95).alias("score"))
-    qf = q.select("query_id", F.explode(F.concat(F.transform("qnum", lambda x: F.struct(F.lit(3).alias("w"), x.alias("f"))), F.transform("qterm", lambda x: F.struct(F.lit(2).alias("w"), x.alias("f"))))).alias("x")).select("query_id", "x.w", "x.f")
-    sf = s.select(key, "pos", F.size("snum").alias("nums"), F.explode(F.concat(F.transform("snum", lambda x: F.struct(F.lit(3).alias("w"), x.alias("f"))), F.transform("sterm", lambda x: F.struct(F.lit(2).alias("w"), x.alias("f"))))).alias("x"))
-    sf = sf.select(key, "pos", "nums", "x.w", "x.f")
-    share = sf.join(qf, ["w", "f"]).groupBy("query_id", key, "pos", "nums").agg(F.sum("w").alias("got"), F.count_if(F.col("w") == 3).alias("same"))
-    all_ = q.select("query_id", (F.size("qnum") * 3 + F.size("qterm") * 2).alias("of")).where("of > 0")
-    fuzzy = share.join(F.broadcast(all_), "query_id").withColumn("score", F.col("got") / F.col("of") * F.when((F.col("nums") > 3) & (F.col("same") < F.col("nums") * 0.5), 0.75).otherwise(1.0))
-    fuzzy = fuzzy.where(F.col("score") >= MIN_SCORE).select("query_id", key, "pos", F.bround("score", 2).alias("score"), F.col("score").alias("raw"))
-    tiers = exact.withColumn("tier", F.lit(1)).unionByName(inside.withColumn("tier", F.lit(2))).withColumn("raw", F.col("score")).unionByName(fuzzy.withColumn("tier", F.lit(3)))
+    q = queries.select("query_id", F.col("sentence").alias("q")).withColumns({"qn": X.norm_text(F.col("q")), "qnum": X.numbers(F.col("q")), "qterm": X.latin_terms(F.col("q"))}).where("qn <> ''").drop("q")
+    s = index(docs, key, text).select(key, "pos", X.norm_text(F.col("sentence")).alias("sn"), X.numbers(F.col("sentence")).alias("snum"), X.latin_terms(F.col("sentence")).alias("sterm"))
+
+    def named(kind: str, c):
+        return F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("f")))
+
+    none = F.array().cast("array<string>")
+    starts = F.flatten(F.array(*[_grams(F.col("qn"), n) for n in range(1, GRAM + 1)]))
+    one = q.withColumn("keys", F.when(F.length("qn") > LONG, F.slice(_keys(F.col("qn")), 1, 1)).otherwise(none))
+    fixed = one.select("query_id", F.explode(F.concat(named("whole", F.array("qn")), named("start", starts), named("gram", F.col("keys")))).alias("x")).select("query_id", "x.kind", "x.f")
+    qf = q.select("query_id", F.explode(F.concat(named("number", F.col("qnum")), named("term", F.col("qterm")))).alias("x")).select("query_id", "x.kind", "x.f")
+    qf = qf.withColumn("w", F.when(F.col("kind") == "number", 3).otherwise(2))
+    df = qf.groupBy("kind", "f").agg(F.count(F.lit(1)).alias("df"))
+    whole = Window.partitionBy("query_id")
+    sum_out = F.sum("w").over(whole.orderBy(F.desc("df"), F.length("f"), "kind", "f").rowsBetween(Window.unboundedPreceding, 0))
+    rare = qf.join(df, ["kind", "f"]).withColumn("out", sum_out).withColumn("all", F.sum("w").over(whole)).where(F.col("out") > MIN_SCORE * F.col("all") - 1e-9)
+    wanted = _sent(fixed.unionByName(rare.select("query_id", "kind", "f")).join(q, "query_id"))
+    grams = F.when(F.length("sn") > LONG, _keys(F.col("sn"))).otherwise(none)
+    full = F.col("sn") != ""
+    first = F.when(full, F.array("sn")).otherwise(none), F.when(full, F.array(F.substring("sn", 1, GRAM))).otherwise(none)
+    dealt = s.withColumn("x", F.explode(F.concat(named("whole", first[0]), named("start", first[1]), named("gram", grams), named("number", F.col("snum")), named("term", F.col("sterm")))))
+    met = dealt.select("*", "x.kind", "x.f").drop("x").join(wanted, ["kind", "f"]).drop("kind", "f")
+    lone = one.where((F.length("qn") > LONG) & (F.size("keys") == 0)).drop("keys")
+    if lone.limit(1).count():
+        met = met.unionByName(s.join(_sent(lone), F.contains("sn", F.col("qn"))))
+
+    same, nums = F.size(F.array_intersect("snum", "qnum")), F.size("snum")
+    of = F.size("qnum") * 3 + F.size("qterm") * 2
+    raw = F.coalesce(F.try_divide(same * 3 + F.size(F.array_intersect("sterm", "qterm")) * 2, of), F.lit(0.0)) * F.when((nums > 3) & (same < nums * 0.5), 0.75).otherwise(1.0)
+    inside = full & (F.contains("qn", F.col("sn")) | ((F.length("qn") > LONG) & F.contains("sn", F.col("qn"))))
+    tier = F.when(F.col("sn") == F.col("qn"), 1).when(inside, 2).otherwise(3)
+    place = ["query_id", key, "pos"]
+    hits = met.select(*place, tier.alias("tier"), raw.alias("raw")).where((F.col("tier") < 3) | (F.col("raw") >= MIN_SCORE))
+    score = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.95).otherwise(F.col("raw"))
+    hits = hits.groupBy(*place).agg(F.first("tier").alias("tier"), F.first(score).alias("raw"))
     per = Window.partitionBy("query_id").orderBy("tier", F.desc("raw"), key, "pos")
-    top = tiers.withColumn("n", F.row_number().over(per)).where(F.col("n") <= best)
-    first = Window.partitionBy("query_id")
-    return top.withColumn("t", F.min("tier").over(first)).where("tier = t").select("query_id", key, "pos", "score")
+    top = hits.withColumn("n", F.row_number().over(per)).where(F.col("n") <= best)
+    return top.withColumn("t", F.min("tier").over(whole)).where("tier = t").select(*place, F.bround("raw", 2).alias("score"))
 
 
 def merge_spans(spans):

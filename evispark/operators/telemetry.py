@@ -22,33 +22,72 @@ def cache_evict(entries: DataFrame) -> DataFrame:
     return last.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.try_element_at(limit, F.col("kind"))).drop("_n")
 
 
-def quota_admission(requests: DataFrame, session_limit: int, day_limit: int) -> DataFrame:
-    """Requests ``(scope, ts, seq, amount, own_key)`` with ``admitted``: in time order, refused amounts are not added.
+def cache_stats(counters: DataFrame, entries: DataFrame) -> DataFrame:
+    """``hits, misses, hit_rate, total`` of ``counters(hits, misses)`` and the entries; the rate has one decimal, null without calls."""
+    c = counters.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("misses"), F.lit(0)).alias("misses"))
+    rate = F.bround(F.try_divide(F.col("hits") * 100.0, F.col("hits") + F.col("misses")), 1)
+    return c.crossJoin(F.broadcast(entries.agg(F.count(F.lit(1)).alias("total")))).select("hits", "misses", rate.alias("hit_rate"), "total")
 
-    Whether a request is admitted depends on what was admitted before, so it is a
-    fold over a scope's requests of a day; own keys are recorded and not limited.
-    """
-    day = F.to_date("ts")
-    row = F.struct("ts", "seq", "amount", F.coalesce("own_key", F.lit(False)).alias("own"))
-    g = requests.withColumn("day", day).groupBy("scope", "day").agg(F.array_sort(F.collect_list(row)).alias("a"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(s, r):
-        ok = r["own"] | (r["amount"] <= 0) | (s["used"] + r["amount"] <= min(session_limit, day_limit))
-        return F.struct((s["used"] + F.when(ok, F.greatest(r["amount"], F.lit(0))).otherwise(0)).cast("long").alias("used"), F.array_append(s["ok"], ok).alias("ok"))
 
-    got = g.withColumn("s", F.aggregate("a", zero, step))
-    return got.select("scope", F.explode(F.arrays_zip("a", F.col("s")["ok"].alias("ok"))).alias("x")).select("scope", "x.a.ts", "x.a.seq", "x.a.amount", F.col("x.ok").alias("admitted"))
+def quota_admission(requests: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``kind, scope, ts, seq, amount, admitted`` of requests ``(kind, scope, ts, seq, amount, own_key)``, in time order.
 
-
-def health(calls: DataFrame, last_day: Column, days: int = 7) -> DataFrame:
-    """``dep, ok, fail, rate`` of calls ``(ts, dep, ok)`` in the last days; the rate has one decimal, null without calls."""
+    ``limits`` has for each kind the most of a session, a scope's sum over all days,
+    and of a day, the sum of all scopes. A request that would pass either is refused
+    and adds nothing. Own keys, amounts up to zero and kinds without a limit are
+    always admitted, and count. What is admitted depends on what was before, in
+    all scopes of a kind, so a kind's requests go by in order; only its sums are held.
+    """
+    limits = L.QUOTA if limits is None else limits
+
+    def admit(batches):
+        kind, session, daily = None, {}, {}
+        for pdf in batches:
+            ok = []
+            for r in pdf.itertuples(index=False):
+                if r.kind != kind:
+                    kind, session, daily = r.kind, {}, {}
+                most = limits.get(r.kind)
+                used, today = session.get(r.scope, 0), daily.get(r.day, 0)
+                good = most is None or r.amount <= 0 or bool(r.own_key) or (used + r.amount <= most[0] and today + r.amount <= most[1])
+                if good:
+                    session[r.scope], daily[r.day] = used + r.amount, today + r.amount
+                ok.append(good)
+            yield pdf.drop(columns=["day", "own_key"]).assign(admitted=ok)
+
+    rows = requests.select("kind", "scope", "ts", "seq", F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"), F.coalesce("own_key", F.lit(False)).alias("own_key"), F.to_date("ts").cast("string").alias("day"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("own_key", "day"))
+    return rows.repartition("kind").sortWithinPartitions("kind", "ts", "seq").mapInPandas(admit, kinds + ", admitted boolean")
+
+
+def remaining(usage: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``kind, scope, left`` of ``usage(kind, scope, session, day)``: what a scope may still take, never below zero; null without a limit."""
+    limits = L.QUOTA if limits is None else limits
+    most = F.create_map(*[x for k, (s, d) in limits.items() for x in (F.lit(k), F.struct(F.lit(s).alias("s"), F.lit(d).alias("d")))])
+    m = F.try_element_at(most, F.col("kind"))
+    return usage.select("kind", "scope", F.when(m.isNotNull(), F.greatest(F.lit(0), F.least(m["s"] - F.col("session"), m["d"] - F.col("day")))).alias("left"))
+
+
+def health(calls: DataFrame, last_day: Column, days: int = 7, known: list[str] | None = None) -> DataFrame:
+    """``dep, ok, fail, rate`` of calls ``(ts, dep, ok)`` in the last days; the rate has one decimal, null without calls.
+
+    With ``known`` names, a call to any other is one of ``other``.
+    """
     d = F.to_date("ts")
     c = calls.where((d > F.date_sub(last_day, days)) & (d <= last_day))
+    if known is not None:
+        c = c.withColumn("dep", F.when(F.col("dep").isin(*known), F.col("dep")).otherwise("other"))
     ok, fail = F.count_if("ok"), F.count_if(~F.col("ok"))
     return c.groupBy("dep").agg(ok.alias("ok"), fail.alias("fail"), F.bround(F.try_divide(ok * 100.0, F.count(F.lit(1))), 1).alias("rate"))
 
 
+def errors(log: DataFrame, last_day: Column, days: int = 7) -> DataFrame:
+    """``errors, last_error`` of ``log(ts, detail)`` in the last days: how many with a detail, and the latest, cut to 200 characters."""
+    d = F.to_date("ts")
+    c = log.where((d > F.date_sub(last_day, days)) & (d <= last_day) & (F.coalesce("detail", F.lit("")) != ""))
+    return c.agg(F.count(F.lit(1)).alias("errors"), F.coalesce(F.substring(F.max_by("detail", "ts"), 1, 200), F.lit("")).alias("last_error"))
+
+
 def totals(calls: DataFrame) -> DataFrame:
     return calls.agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("failed"), F.bround(F.avg("ms"), 1).alias("mean_ms"))
 

@@ -264,18 +264,18 @@ def _flag_sql() -> str:
         "industry_funding": "industry", "funding_unknown": "NOT industry AND NOT funding AND NOT coi", "posthoc_subgroup": f"NOT {syn} AND posthoc", "baseline_imbalance": "imbalance", "composite_outcome": "composite",
         "no_adjustment": "g.design IN ('队列研究', '病例对照研究') AND NOT adjustment", "high_attrition": "coalesce(l.v, 0) >= 20", "pilot": f"{trial} AND pilot", "no_precision": "e.ci = '' AND e.p = ''", "no_ci_point": f"e.ci = '' AND {e} <> ''",
         "no_registration": f"{trial} AND NOT regexp_matches(x.a, '{Q(bias.REGISTRY)}')", "no_heterogeneity": "g.design = '系统评价 / Meta 分析' AND NOT heterogeneity", "single_center": f"NOT {syn} AND NOT multicenter AND single_center",
-        "center_unknown": f"NOT {syn} AND NOT multicenter AND NOT single_center", "surrogate": "NOT hard_outcome AND surrogate", "followup_unknown": "f.months IS NULL", "short_followup": "f.months < 6"}
+        "center_unknown": f"NOT {syn} AND NOT multicenter AND NOT single_center", "surrogate": "NOT hard_outcome AND surrogate", "followup_unknown": "f.months IS NULL", "short_followup": "f.months < 6",
+        "causal_claim": f"{obs} AND known AND causal", "no_effect_size": f"known AND {e} = '' AND e.ci = '' AND e.p = ''"}
     arms = " UNION ALL ".join(f"SELECT ord, '{k}' AS key FROM j WHERE {c.replace('s.n', 'n').replace('g.design', 'design').replace('e.', '').replace('l.v', 'v').replace('x.a', 'a').replace('f.months', 'months')}" for k, c in rule.items())
-    del obs
-    return f"""WITH {_LOWS}, lost AS ({lost}), j AS (SELECT x.a, c.*, s.n, e.HR, e."OR", e.RR, e.IRR, e.ci, e.p, g.design, f.months, l.v FROM x JOIN ({o['bias_cues']}) c USING (ord) JOIN ({o['sample_size']}) s USING (ord) JOIN ({o['effects']}) e USING (ord)
- JOIN ({o['design']}) g USING (ord) JOIN ({o['followup_months']}) f USING (ord) LEFT JOIN (SELECT ord, max(v::DOUBLE) AS v FROM lost GROUP BY ord) l USING (ord) WHERE trim(x.a) <> '')
+    return f"""WITH {_LOWS}, lost AS ({lost}), j AS (SELECT x.a, c.*, pp.polarity <> '{L.UNCLEAR}' AS known, s.n, e.HR, e."OR", e.RR, e.IRR, e.ci, e.p, g.design, f.months, l.v FROM x JOIN ({o['bias_cues']}) c USING (ord) JOIN ({o['sample_size']}) s USING (ord) JOIN ({o['effects']}) e USING (ord)
+ JOIN ({o['design']}) g USING (ord) JOIN ({o['followup_months']}) f USING (ord) JOIN ({o['polarity']}) pp USING (ord) LEFT JOIN (SELECT ord, max(v::DOUBLE) AS v FROM lost GROUP BY ord) l USING (ord) WHERE trim(x.a) <> '')
  SELECT ord, 'no_abstract' AS key FROM x WHERE trim(a) = '' UNION ALL {arms}"""
 
 
 @query(_flag_sql())
 def bias_flags(spark, d):
     p = extract.profile(S.articles(spark))
-    return p.select("ord", F.explode_outer("flags").alias("f")).select("ord", "f.key").where("key not in ('causal_claim', 'no_effect_size')")
+    return p.select("ord", F.explode_outer("flags").alias("f")).select("ord", "f.key")
 
 
 @query()
@@ -569,10 +569,29 @@ def cache_evict(spark, d):
     return telemetry.cache_evict(e).drop("value")
 
 
-@query()
+_ASKED = [("chars", "a", "2024-01-01 08:00:00", 1, 60, False), ("chars", "b", "2024-01-01 09:00:00", 2, 60, False), ("chars", "a", "2024-01-02 09:00:00", 3, 60, False), ("chars", "a", "2024-01-02 10:00:00", 4, 40, False),
+          ("chars", "b", "2024-01-02 11:00:00", 5, 500, True), ("chars", "c", "2024-01-02 12:00:00", 6, 1, False), ("calls", "a", "2024-01-02 12:30:00", 7, 3, False), ("calls", "a", "2024-01-02 12:40:00", 8, 0, False),
+          ("other", "a", "2024-01-02 13:00:00", 9, 9999, False), ("chars", "c", "2024-01-03 12:00:00", 10, 100, False), ("chars", "c", "2024-01-03 13:00:00", 11, 1, False), ("calls", "b", "2024-01-03 13:30:00", 12, 2, False)]
+_ASKED_COLUMNS = "kind string, scope string, moment string, seq int, amount long, own_key boolean"
+
+
+@query(f"""WITH RECURSIVE v AS ({S.values(_ASKED, _ASKED_COLUMNS)}), lim AS (SELECT * FROM (VALUES ('chars', 100, 100), ('calls', 4, 4)) x(kind, s, d)),
+ o AS (SELECT v.*, left(moment, 10) AS day, row_number() OVER (PARTITION BY kind ORDER BY moment, seq) AS n, lim.s, lim.d FROM v LEFT JOIN lim USING (kind)),
+ w AS (SELECT kind, 0::BIGINT AS n, []::STRUCT(scope VARCHAR, day VARCHAR, amount BIGINT)[] AS taken, -1 AS seq, false AS admitted FROM (SELECT DISTINCT kind FROM o)
+  UNION ALL SELECT kind, n, CASE WHEN ok THEN list_append(taken, struct_pack(scope := scope, day := day, amount := amount::BIGINT)) ELSE taken END, seq, ok FROM (SELECT w.kind, o.n, w.taken, o.scope, o.day, o.amount, o.seq,
+   o.s IS NULL OR o.own_key OR o.amount <= 0 OR (coalesce(list_sum(list_transform(list_filter(w.taken, lambda x: x.scope = o.scope), lambda x: x.amount)), 0) + o.amount <= o.s
+    AND coalesce(list_sum(list_transform(list_filter(w.taken, lambda x: x.day = o.day), lambda x: x.amount)), 0) + o.amount <= o.d) AS ok FROM w JOIN o ON o.kind = w.kind AND o.n = w.n + 1))
+ SELECT kind, seq, admitted FROM w WHERE n > 0""")
 def quota_admission(spark, d):
-    r = t(spark, d, "events").select(F.col("user_id").alias("scope"), "ts", F.col("event_id").alias("seq"), F.col("value").cast("long").alias("amount"), F.lit(False).alias("own_key"))
-    return telemetry.quota_admission(r, 50, 300).groupBy("scope").agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("requests"))
+    r = S.frame(spark, _ASKED, _ASKED_COLUMNS).withColumn("ts", F.to_timestamp("moment"))
+    return telemetry.quota_admission(r, {"chars": (100, 100), "calls": (4, 4)}).select("kind", "seq", "admitted")
+
+
+@query()
+def quota_admission_events(spark, d):
+    r = t(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("scope"), "ts", F.col("event_id").alias("seq"), F.col("value").cast("long").alias("amount"), F.lit(False).alias("own_key"))
+    kinds = ["click", "view", "purchase", "signup", "scroll"]
+    return telemetry.quota_admission(r, {k: (50, 300) for k in kinds}).groupBy("kind", "scope").agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("requests"))
 
 
 @query("""WITH e AS (SELECT event_type AS host, epoch(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events), r AS (SELECT host, t, n, max(t - n * 600.0::DOUBLE) OVER (PARTITION BY host ORDER BY n) + n * 600.0::DOUBLE AS r FROM e) SELECT host, count(*) AS calls, count(*) FILTER (WHERE r - t > 1e-3) AS delayed FROM r GROUP BY host""")
