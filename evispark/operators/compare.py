@@ -85,7 +85,7 @@ def fill_targets(profiles: DataFrame) -> DataFrame:
     """``row_key, title, fields``: editable fields without a value, not corrected by hand, of articles with a text."""
     open_ = F.filter(F.map_keys("states"), lambda k: k.isin(*L.EDITABLE) & F.try_element_at("states", k).isin("not_extracted", "not_mentioned"))
     ordered = F.filter(X.lits(L.EDITABLE), lambda f: F.array_contains(open_, f))
-    return profiles.where(F.col("has_source") | F.col("has_abstract")).select("row_key", "title", ordered.alias("fields")).where(F.size("fields") > 0)
+    return profiles.where(X.filled(F.col("source"))).select("row_key", "title", ordered.alias("fields")).where(F.size("fields") > 0)
 
 
 def parse_fills(replies: DataFrame, targets: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def correct(profiles: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def fill(profiles: DataFrame, fills: DataFrame) -> DataFrame:
-    """Values ``(row_key, field, value, quote)`` for cells that are not ok; each needs its value and its quote."""
+    """Values ``(row_key, field, value, quote)`` for cells that are not ok; each needs its value and its quote. ``profiles`` is a stored table: what is derived again in each expression of a plan makes it too large."""
     good = fills.where(X.filled(F.col("value")) & X.filled(F.col("quote")))
     open_ = profiles.select("row_key", F.explode("states").alias("field", "state")).where("state <> 'ok'")
     return correct(profiles, good.join(open_, ["row_key", "field"], "left_semi"))

@@ -334,7 +334,7 @@ def attrition(text: Column) -> Column:
 
 
 def article_key() -> Column:
-    return F.coalesce(F.nullif(F.trim("pmid"), F.lit("")), F.substring(X.squeeze(F.lower(F.coalesce("title", F.lit("")))), 1, 60))
+    return F.coalesce(F.nullif(F.trim("pmid"), F.lit("")), F.substring(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9一-鿿]", ""), 1, 60))
 
 
 def mesh_topics(limit: int = 6) -> Column:

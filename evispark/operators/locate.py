@@ -31,14 +31,15 @@ def index_stats(index: DataFrame, section: str = "section") -> DataFrame:
 
 def term_spans(text, query: str):
     """Array of ``(start, end)``, merged: where a query's words stand in a text, whatever the case."""
-    low, out = F.lower(text), F.array().cast("array<struct<start:int,end:int>>")
-    for w in dict.fromkeys(query.lower().split()):
-        parts = F.split(low, r"\Q" + w + r"\E")
-        sizes = F.transform(parts, lambda x: F.length(x))
-        at = F.aggregate(F.slice(sizes, 1, F.size(parts) - 1), F.array().cast("array<int>"),
-                         lambda acc, n, w=w: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(w), F.lit(0)) + n))
-        out = F.concat(out, F.transform(at, lambda i, w=w: F.struct(i.alias("start"), (i + len(w)).cast("int").alias("end"))))
-    return merge_spans(out)
+    low = F.lower(text)
+
+    def of(word: str):
+        parts, size = F.split(low, r"\Q" + word + r"\E"), len(word)
+        before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.length(x))
+        at = F.aggregate(before, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + size, F.lit(0)) + n))
+        return F.transform(at, lambda i: F.struct(i.alias("start"), (i + size).cast("int").alias("end")))
+
+    return merge_spans(F.concat(F.array().cast("array<struct<start:int,end:int>>"), *map(of, dict.fromkeys(query.lower().split()))))
 
 
 def value_spans(text):

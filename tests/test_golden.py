@@ -55,11 +55,6 @@ def test_bibtex_suffix(spark):
     assert got == ["@article{smith2020heart", "@article{smith2020hearta"]
 
 
-def test_quota_refused_amounts_do_not_count(spark):
-    r = spark.createDataFrame([("s", f"2024-01-01 00:00:0{i}", i, a, False) for i, a in enumerate([60, 50, 30, 20])], "scope string, t string, seq int, amount long, own_key boolean")
-    got = telemetry.quota_admission(r.withColumn("ts", F.col("t").cast("timestamp")), 100, 1000).orderBy("seq").collect()
-    assert [x.admitted for x in got] == [True, False, True, False]
-
 
 def test_concept_cover(spark):
     k = spark.createDataFrame([(1, "aspirin heart attack")], "id int, keyword string")
