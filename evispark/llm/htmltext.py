@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|noscript|iframe|svg|select|math)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|noscript|iframe|svg|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _BLOCKS = frozenset(
@@ -132,7 +132,7 @@ def features(of: list[Block]) -> np.ndarray:
         tags, n = set(b.path), len(b.text)
         on = {"one": True, "first": i == 0, "last": i == len(of) - 1, "tiny": n < 15, "short": n < 50, "long": n > 120, "longer": n > 300,
               "linked": b.linked > 0.8 * n, "half_linked": b.linked > 0.3 * n, "sentence": b.text[-1] in ".!?。！？\"”", "points": b.text.count(". ") > 1,
-              "commas": b.text.count(",") > 2, "copyright": "©" in b.text, "rights": "rights reserved" in b.text.lower(), "digits": sum(c.isdigit() for c in b.text[:200]) > 0.2 * min(n, 200)}
+              "commas": b.text.count(",") > 2, "copyright": "©" in b.text, "rights": "rights reserved" in b.text.lower(), "digits": sum(map(b.text.count, "0123456789")) > 0.2 * n}
         inner = tags & {"article", "main"}
         on |= {"article_header": inner and "header" in tags, "article_aside": inner and "aside" in tags, "article_footer": inner and "footer" in tags,
                "article_nav": inner and "nav" in tags, "article_list": inner and "li" in tags, "main_hint_comment": inner and "comment" in b.hints,
@@ -315,7 +315,9 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``.
 
     Null and empty pages, and pages without an article, have an empty text; a page
-    that is no markup is one block; rows that repeat have a row each; an empty
+    without block-level markup is one block, which the field may take for no article;
+    scripts, styles, forms' lists and text areas, drawings and frames have no text,
+    formulas do; rows that repeat have a row each; an empty
     table gives no rows; other columns are ignored.
     """
     field = field or model()

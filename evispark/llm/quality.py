@@ -129,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **how) -> Tr
     good = good.groupBy("doc_id").agg(F.max("quality").alias("y"))
     good = good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     stats = F.pandas_udf(lambda col: pd.Series([statistics(t) for t in col]), "array<double>")
-    rows = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id").select("doc_id", "y", stats("text").alias("x")).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # of rows that repeat an id one is read, with the least text
+    one = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = one.select("doc_id", "y", stats("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["y"].to_numpy(float), **how)
 
