@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
-from evispark.operators import bias, cite, compare, extract, funnel, keywords, layout, library, locate, telemetry, vocab
+from evispark.operators import bias, cite, compare, extract, funnel, keywords, layout, library, locate, services, telemetry, vocab
 from evispark.plans import fixtures as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -660,3 +660,35 @@ def order_counters(spark, d):
 def top_orders(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return t(spark, d, "orders").withColumn("n", F.row_number().over(w)).where("n <= 2").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# --- overviews and bookkeeping -------------------------------------------------------
+
+_GAPS = f"""SELECT row_key, unnest(list_filter(['研究设计', '样本量', '人群', '主要终点', '关键效应量', '结论'], lambda f: CASE f WHEN '研究设计' THEN coalesce(design, '未识别') = '未识别' WHEN '样本量' THEN n IS NULL
+ WHEN '人群' THEN coalesce(population, '') = '' WHEN '主要终点' THEN coalesce(primary_outcome, '') = '' WHEN '关键效应量' THEN coalesce(effects_text, '') = '' ELSE coalesce(conclusion, '') = '' END)) AS field FROM ({_ROWS})"""
+
+
+@query(f"SELECT field, count(*) AS n FROM ({_GAPS}) GROUP BY field")
+def missing_fields_by_name(spark, d):
+    return compare.missing_counts(_rows(spark))
+
+
+@query(f"""WITH g AS ({_GAPS}), f AS (SELECT row_key, 6 - (SELECT count(*) FROM g WHERE g.row_key = r.row_key) AS filled FROM ({_ROWS}) r)
+ SELECT count(*) AS total, round_even(avg(filled), 1) AS avg, count(*) FILTER (WHERE filled <= 3) AS low FROM f""")
+def completeness_overview(spark, d):
+    return compare.completeness_overview(_rows(spark))
+
+
+@query("""WITH j AS (SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN 'running' WHEN event_id % 7 = 0 THEN 'error' ELSE 'done' END AS status, epoch(ts) AS created FROM events)
+ SELECT id, status FROM j WHERE status = 'running' UNION ALL (SELECT id, status FROM j WHERE status <> 'running' ORDER BY created DESC, id DESC LIMIT 30)""")
+def jobs_kept(spark, d):
+    status = F.when(F.col("event_id") % 50 == 0, "running").when(F.col("event_id") % 7 == 0, "error").otherwise("done")
+    return services.kept_jobs(t(spark, d, "events").select(F.col("event_id").alias("id"), status.alias("status"), _epoch().alias("created"))).select("id", "status")
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS dep, event_id % 10 <> 0 AS ok, ts::DATE AS d FROM events), m AS (SELECT max(d) AS last FROM e)
+ SELECT dep, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS fail, round_even(count(*) FILTER (WHERE ok) * 100.0::DOUBLE / count(*), 1) AS rate FROM e, m WHERE d > last - 7 AND d <= last GROUP BY dep""")
+def health_known_names(spark, d):
+    e = t(spark, d, "events").select("ts", F.col("event_type").alias("dep"), (F.col("event_id") % 10 != 0).alias("ok"))
+    last = e.agg(F.to_date(F.max("ts")).alias("last"))
+    return telemetry.health(e.crossJoin(F.broadcast(last)), F.col("last"), known=["click", "view"])
