@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def test_components_chain(spark):
 
 
 def test_lm_counts_and_probability(spark, docs, empty):
-    got = {r.doc_id: r for r in mixlm.score(docs.where("doc_id <> 103"), hot=50, deep=50).collect()}
+    got = {r.doc_id: r for r in mixlm.score(docs.where("doc_id <> 103"), hot=50).collect()}
     train = {}
     for r in docs.where("doc_id <> 103").collect():
         if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
@@ -95,9 +96,91 @@ def test_lm_counts_and_probability(spark, docs, empty):
         assert abs(g.base_score - sum(np.log10((train.get(x, 0) + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w)
         assert g.score < 0
     assert mixlm.score(empty).count() == 0
-    m = mixlm.Model(np.zeros((mixlm.SLOTS, 2), np.int8))
-    one = [bytes([b]) for b in range(33, 127)]
-    assert np.exp(m.score([b"", *one], np.zeros(len(one) + 1, np.int64))).sum() < 1
+
+
+def stream(texts):
+    (_, s), = mixlm.Texts(pa.array(texts, pa.string())).streams()
+    return s
+
+
+def model(texts):
+    """Tables, weights and map learned from ``texts``, counted bit by bit."""
+    s, bits = stream(texts), (12,) * len(mixlm.TABLES)
+    b, counts = mixlm.Bits(s), np.zeros((mixlm._offsets(bits)[-1], 2), np.uint16)
+    np.add.at(counts, (b.slots(s, bits, slice(None)), b.bit), 1)
+    m = mixlm.Model(bits, mixlm.squeeze(*counts.astype(np.float32).T))
+    m.learn(s, counts, False)
+    m.learn(s, counts, True)
+    return m, counts
+
+
+def test_lm_bits_spell_the_text():
+    """The codes give the bytes back, and a match expects the byte after the last place with the same bytes before."""
+    texts = ["Ab  c\u00e9 ~x" + " once more this goes on" * 3, None, "", "q"]
+    s = stream(texts)
+    want = [b" ".join([*mixlm.words_of(t), b""]) + b" " for t in texts]
+    assert bytes(s.raw) == b"".join(want)
+    b, got = mixlm.Bits(s), []
+    for i in range(len(s.raw)):
+        x = "".join(map(str, b.bit[b.of == i]))
+        got.append(int(x[5:], 2) if x[:5] == "11111" else mixlm.USUAL[int(x[:5], 2)])
+    assert bytes(got) == bytes(s.raw)
+    first = want[0]
+    for i in range(len(first)):
+        at = max((j for j in range(mixlm.REACH, i) if i >= mixlm.REACH and first[j - mixlm.REACH:j] == first[i - mixlm.REACH:i]), default=-1)
+        assert s.guess[i] == (first[at] if at >= 0 else -1)
+
+
+def test_lm_mix_brute_force():
+    """Lanes equal a plain loop over the bits of each segment, weight by weight."""
+    r = random.Random(3)
+    m, _ = model([sentence(r, 80) for _ in range(30)])
+    s = stream([sentence(r, 900), "", sentence(r, 30), "again and again " * 40])
+    b = mixlm.Bits(s)
+    z = m.mixed(s, b)
+    at, first = b.slots(s, m.bits, slice(None)), {0, *s.end.tolist()}
+    begin = 0
+    for i in range(len(b.of)):
+        byte = int(b.of[i])
+        if b.place[i] == 0:
+            begin = byte if byte in first else begin
+            if (byte - begin) % mixlm.SEGMENT == 0:
+                w = m.weights.astype(float).copy()
+        cell = [int(x) for x in m.cells[at[:, i]]]
+        st, conf = [((c & 255) - 128) / 12 for c in cell] + [int(b.match[i]) * 2.0], [c >> 8 for c in cell] + [int(b.run[i])]
+        known = min((max(conf[5], conf[4] if conf[5] == 0 else 0) + 1) // 2, mixlm.KNOWN - 1)
+        gate = int(b.place[i]) * mixlm.KNOWN + known
+        mix = sum(w[gate, k, c] * x for k, (c, x) in enumerate(zip(conf, st)))
+        assert abs(max(-15, min(15, mix)) - z[i]) < 2e-3
+        for k, (c, x) in enumerate(zip(conf, st)):
+            w[gate, k, c] += mixlm.LANE_RATE * (b.bit[i] - 1 / (1 + np.exp(-mix))) * x
+
+
+def test_lm_is_a_distribution_and_sequential():
+    r = random.Random(4)
+    m, _ = model([sentence(r, 80) for _ in range(20)])
+    one = [bytes([b]).decode() for b in range(33, 127) if not 65 <= b <= 90]
+    assert 0 < sum(10 ** float(m.score(stream([x]))[0]) for x in ["", *one]) < 1
+    words = (sentence(r, 30) + " ") * 3
+    mixed = words.split()
+    r.shuffle(mixed)
+    whole, shuffled = m.score(stream([words, " ".join(mixed)]))
+    assert whole > shuffled
+    alone = m.score(stream([words]))[0]
+    assert abs(whole - alone) < 1e-3
+
+
+def test_lm_long_texts_in_runs(monkeypatch):
+    r = random.Random(5)
+    texts = [sentence(r, 400), "", sentence(r, 3), None, sentence(r, 300), ""]
+    monkeypatch.setattr(mixlm, "SLICE", 500)
+    owner, raw = [], [b""] * len(texts)
+    for o, s in mixlm.Texts(pa.array(texts, pa.string())).streams():
+        for i, (a, b) in enumerate(zip([0, *s.end[:-1]], s.end)):
+            raw[o[i]] += bytes(s.raw[a:b])
+            owner.append(int(o[i]))
+    assert raw == [b"".join(w + b" " for w in [*mixlm.words_of(t), b""]) for t in texts]
+    assert owner == sorted(owner) and len(owner) > len(texts)
 
 
 def test_decontaminate(spark, docs, empty):
