@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.llm import common, verified
@@ -186,9 +186,11 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # equal paragraphs are one row from here on
     paras = every.where("bands is not null")
     one = common.stage(paras.groupBy("h").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")), "paragraphs")
+    paras = common.stage(paras.select("h", "doc_id", "start", "end"), "paragraph-places")
+    common.unstage(every)  # the bands are most of it
     keys = one.select("h", F.explode("bands").alias("g"))
-    least = keys.groupBy("g").agg(F.min("h").alias("u"), F.max("h").alias("b")).where("u < b").select("g", "u")
-    pairs = keys.join(least, "g").where("h <> u").select("g", "u", F.col("h").alias("v"))
+    # one shuffle of the keys, which are the most that is on disk at once
+    pairs = keys.withColumn("u", F.min("h").over(Window.partitionBy("g"))).where("h <> u").select("g", "u", F.col("h").alias("v"))
 
     @F.pandas_udf("array<struct<h: long, s: array<long>>>")
     def sets(text: pd.Series, parts: pd.Series) -> pd.Series:
