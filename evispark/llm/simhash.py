@@ -27,10 +27,14 @@ BITS, BLOCK = 64, 16
 CHUNK = 200_000
 #: Leaf pairs of a node pair below which the leaves are compared directly.
 DIRECT = 16
+#: Leaf pairs of a node pair below which a crowded trie's leaves are compared as one matrix.
+MATRIX = 1 << 16
 #: Leaf pairs compared at once.
 PIECE = 250_000
 #: A sketch is this many fingerprints side by side; its tables take HALF * 2 bits each.
 WIDE, TABLES, HALF = 9, 26, 11
+#: Fingerprints of a sketch that are compared before all are; texts with nothing in common differ in more bits of them than like ones in all.
+HEAD = 5
 #: Bits of a table in which two sketches may differ, all in one half.
 APART = 2
 
@@ -85,12 +89,14 @@ def _settle(lab: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             lab[:] = up
 
 
-def trie_links(groups: np.ndarray, values: np.ndarray, budget: int = 3, skip: int = BLOCK, depth: int = BITS, agree=None) -> np.ndarray:
+def trie_links(groups: np.ndarray, values: np.ndarray, budget: int = 3, skip: int = BLOCK, depth: int = BITS, agree=None, matrix: int = 0) -> np.ndarray:
     """Root of each row after linking rows of one group within ``budget`` bits.
 
     ``groups`` and ``values`` (uint64) are sorted together. The ``skip`` highest
     bits of ``values`` are equal inside a group, and so are not traversed; below
-    ``depth`` bits all are zero. ``agree(i, j)``, if given, must hold too.
+    ``depth`` bits all are zero. ``agree(i, j)``, if given, must hold too. Where tries
+    of few bits hold many rows, most leaf pairs of a node pair are visited one by one:
+    node pairs of up to ``matrix`` leaf pairs are then compared at once instead.
     """
     n = len(values)
     lab = np.arange(n)
@@ -105,6 +111,28 @@ def trie_links(groups: np.ndarray, values: np.ndarray, budget: int = 3, skip: in
             i, j = i[ok], j[ok]
         _settle(lab, i, j)
 
+    if matrix:
+        low = values >> np.uint64(BITS - depth) & np.uint64((1 << depth - skip) - 1)
+        low = low.astype(np.uint16 if depth - skip <= 16 else np.uint64)
+
+    def crosswise(alo, ahi, blo, bhi):
+        held, count = [], 0
+        for a0, a1, b0, b1 in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist()):
+            close = np.bitwise_count(low[a0:a1, None] ^ low[b0:b1]) <= budget
+            close &= lab[a0:a1, None] != lab[b0:b1]
+            at = np.flatnonzero(close.ravel())
+            if len(at):
+                i, j = np.divmod(at, b1 - b0)
+                if a0 == b0:
+                    i, j = i[i < j], j[i < j]
+                held.append((i + a0, j + b0))
+                count += len(i)
+            if count > PIECE:
+                link(*map(np.concatenate, zip(*held)))
+                held, count = [], 0
+        if held:
+            link(*map(np.concatenate, zip(*held)))
+
     near = np.flatnonzero(groups[1:] == groups[:-1])
     for k in range(0, len(near), PIECE):
         link(near[k:k + PIECE], near[k:k + PIECE] + 1)
@@ -132,6 +160,10 @@ def trie_links(groups: np.ndarray, values: np.ndarray, budget: int = 3, skip: in
         one = (change[ahi - 1] == change[alo]) & (change[bhi - 1] == change[blo]) & (lab[alo] == lab[blo])
         alo, ahi, blo, bhi, err = (x[~one] for x in (alo, ahi, blo, bhi, err))
         area = (ahi - alo) * (bhi - blo)
+        square = (area > DIRECT) & (area <= matrix) & (d < depth)
+        if square.any():
+            crosswise(alo[square], ahi[square], blo[square], bhi[square])
+            alo, ahi, blo, bhi, err, area = (x[~square] for x in (alo, ahi, blo, bhi, err, area))
         end = (area <= DIRECT) | (d >= depth)
         if end.any():
             # each left leaf is a row; rows against their first right leaf, then all
@@ -249,17 +281,30 @@ def apart(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(sketches ^ one).sum(1, dtype=np.int64)
 
 
+def _sketches(col: pa.Array) -> np.ndarray:
+    """(rows, words) of a column of sketches, none of which is null."""
+    first = np.frombuffer(col.buffers()[1], np.int32)[col.offset]
+    return np.frombuffer(col.buffers()[2], np.uint8)[first:first + len(col) * WIDE * 8].view(np.uint64).reshape(-1, WIDE)
+
+
 def _sketch_forest(batches: Iterator[pa.RecordBatch], budget: int, most: int) -> Iterator[pa.RecordBatch]:
     """Groups of candidates: each group's least node with all others."""
     got = [(b.column("k").to_numpy(), b.column("v").to_numpy(), b.column("node").to_numpy(),
-            np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE)) for b in batches if b.num_rows]
+            _sketches(b.column("sketch"))) for b in batches if b.num_rows]
     if not got:
         return
     k, v, node, full = (np.concatenate(x) for x in zip(*got))
     v = v.astype(np.uint64) << np.uint64(BITS - 2 * HALF)
     order = np.lexsort((v, k))
     k, v, node, full = k[order], v[order], node[order], full[order]
-    lab = trie_links(k, v, budget, HALF, 2 * HALF, lambda i, j: apart(full[i], full[j]) <= most)
+    head = np.ascontiguousarray(full[:, :HEAD])
+
+    def agree(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = apart(head[i], head[j]) <= most
+        ok[ok] = apart(full[i[ok]], full[j[ok]]) <= most
+        return ok
+
+    lab = trie_links(k, v, budget, HALF, 2 * HALF, agree, MATRIX)
     least = node.copy()
     np.minimum.at(least, lab, node)
     least = least[lab]

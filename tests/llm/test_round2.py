@@ -2,13 +2,15 @@
 
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("xxhash")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from evispark.llm import common, passages  # noqa: E402
+from evispark.llm import common, passages, simhash  # noqa: E402
 
 
 def shuffle_files(spark):
@@ -47,3 +49,37 @@ def test_passages_drop_bands_from_disk(spark, monkeypatch):
     units = dict(left)["units"]
     path = spark._jvm.org.apache.hadoop.fs.Path(units._staged_path)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_crowded_tries_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    for rows, bits, matrix in ((700, 11, simhash.MATRIX), (700, 11, 3000), (90, 4, 64)):
+        g = np.sort(rng.integers(0, 3, rows)).astype(np.int64)
+        v = rng.integers(0, 1 << bits, rows).astype(np.uint64) << np.uint64(64 - 2 * bits)
+        order = np.lexsort((v, g))
+        v, odd = v[order], rng.integers(0, 40, rows)
+        lab = simhash.trie_links(g, v, 2, bits, 2 * bits, lambda i, j: odd[i] == odd[j], matrix)  # noqa: B023
+        i, j = np.nonzero((np.bitwise_count(v[:, None] ^ v[None]) <= 2) & (g[:, None] == g[None]) & (odd[:, None] == odd[None]))
+        want = np.arange(rows)
+        simhash._settle(want, i, j)
+        assert (lab == want).all() and len(np.unique(lab)) < rows
+
+
+def test_crowded_tries_list_no_pairs(monkeypatch):
+    """Rows of a crowded trie with nothing in common are compared as matrices; they were listed pair by pair."""
+    rng = np.random.default_rng(7)
+    n, listed, spread = 1500, [0], simhash._spread
+
+    def counted(start, size):
+        listed[0] += int(size.sum())
+        return spread(start, size)
+
+    monkeypatch.setattr(simhash, "_spread", counted)
+    sketches = rng.integers(0, 1 << 63, (n, simhash.WIDE), np.uint64)
+    sketches[1] = sketches[0] ^ np.uint64(5)
+    v = rng.integers(0, 1 << simhash.HALF, n)
+    v[1] = v[0]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(v), pa.array(np.arange(n)), pa.array([x.tobytes() for x in sketches])], ["k", "v", "node", "sketch"])
+    (out,) = simhash._sketch_forest(iter([batch]), simhash.APART, simhash.most_bits(0.8, simhash.WIDE * simhash.BITS))
+    assert (out.column("u").to_pylist(), out.column("v").to_pylist()) == ([0], [1])
+    assert listed[0] < 10 * n
