@@ -11,8 +11,8 @@ each context is known; the weights move after every bit, and an adaptive map
 refines the mix.
 
 Counts of a context are additive, so they are gathered in parallel, from all
-training tokens. The mixer's first weights are learned online from one in
-``TUNED`` training documents, each bit without its own count. Scoring starts from
+training tokens. The mixer's first weights and the map are learned online in one pass
+over all training documents, each bit without its own count. Scoring starts from
 them in each segment of ``SEGMENT`` bytes and goes on learning inside it, causally,
 so segments are lanes that numpy advances together, a bit at a time; contexts cross
 their borders. The order in which tasks meet training texts moves the first weights a little.
@@ -20,7 +20,6 @@ their borders. The order in which tasks meet training texts moves the first weig
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +55,8 @@ PLACES = 13
 MAP_BINS = 33
 #: Steps of the shared weights in training, and of a lane's in scoring.
 RATE, LANE_RATE = 1.6, 0.012
-#: One in so many training documents teaches the mixer.
-TUNED = 8
+#: Bits after which the shared weights are moved.
+PIECE = 1 << 13
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _CONF = np.array([1, 2, 4, 8, 16, 64, 256])
 STEPS = len(_CONF) + 1
@@ -209,6 +208,16 @@ def squeeze(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.searchsorted(_CONF, zeros + ones, side="right") << 8 | (st + 128).astype(np.int64)).astype(np.uint16)
 
 
+_LOGS = (np.log(np.arange(1 << 16) + 0.05) * 12).astype(np.float32)
+_STEP = (np.searchsorted(_CONF, np.arange(_CONF[-1] + 1), side="right") << 8).astype(np.uint16)
+
+
+def _cells(own: np.ndarray, other: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """:func:`squeeze` of 16-bit counts of ``bit`` and of the other bit, by tables."""
+    st = np.clip(np.rint(_LOGS.take(own) - _LOGS.take(other)), -127, 127) * (2 * bit - 1) + 128
+    return _STEP.take(own.astype(np.int32) + other, mode="clip") | st.astype(np.uint16)
+
+
 class Model:
     """Cells of the tables, weights by gate, input and confidence, and the adaptive map."""
 
@@ -228,20 +237,20 @@ class Model:
         gate = bits.place[part].astype(np.int16) * KNOWN + known
         return st, (gate[:, None] * INPUTS + np.arange(INPUTS, dtype=np.int16)) * STEPS + conf
 
-    def learn(self, s: Stream, counts: np.ndarray, into_map: bool) -> int:
-        """Predict bits without their own counts, and move the shared weights (or fill the map) after each piece."""
+    def learn(self, s: Stream, counts: np.ndarray, into_map: bool | None) -> int:
+        """Predict bits without their own counts, and move the shared weights or fill the map (None: both) after each piece."""
         bits = Bits(s)
-        for part in _pieces(len(bits.of), 1 << 13):
-            at, bit = bits.slots(s, self.bits, part), bits.bit[part].astype(np.int64)
-            c = counts[at].astype(np.float32)
-            own = np.maximum(c[:, np.arange(len(bit)), bit] - 1, 0)
-            other = c[:, np.arange(len(bit)), 1 - bit]
-            st, flat = self.inputs(bits, squeeze(np.where(bit == 1, other, own), np.where(bit == 1, own, other)), part)
+        for part in _pieces(len(bits.of), PIECE):
+            at, bit = bits.slots(s, self.bits, part) * 2, bits.bit[part].astype(np.int64)
+            own, other = counts.ravel().take(at + bit), counts.ravel().take(at + (1 - bit))
+            own -= own > 0
+            st, flat = self.inputs(bits, _cells(own, other, bit), part)
             st = st * np.float32(1 / 12)
             z = np.clip((self.weights.ravel()[flat] * st).sum(1), -15, 15)
-            if into_map:
+            if into_map is not False:
                 x = np.clip(np.rint(z * 2) + MAP_BINS // 2, 0, MAP_BINS - 1).astype(np.int64)
                 self.map += np.bincount((bits.node[part].astype(np.int64) * MAP_BINS + x) * 2 + bit, minlength=self.map.size).reshape(self.map.shape)
+            if into_map:
                 continue
             err = (bit - 1 / (1 + np.exp(-z)))[:, None]
             up = np.bincount(flat.ravel(), (err * st).ravel(), self.weights.size)
@@ -364,10 +373,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks().to_batches(100_000)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes, kind: type, slots: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, slots * 2 * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
 def _counts(texts: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
     """Counts (slots, 2) of all contexts of ``texts``: dense sums of each task, added by block."""
-    offsets = _offsets(bits)
-    slots = int(offsets[-1])
+    slots = int(_offsets(bits)[-1])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots * 2, np.uint32)
@@ -381,25 +397,25 @@ def _counts(texts: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
         for k in range(0, slots, BLOCK):
             cells = total[k * 2:(k + BLOCK) * 2]
             if cells.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)])], ["block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([_packed(cells)])], ["block", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = 0
+        k, total = int(pdf["block"].iloc[0]), 0
         for x in pdf["sums"]:
-            total = total + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+            total = total + _unpacked(x, np.uint32, min(BLOCK, slots - k * BLOCK)).astype(np.int64)
         most = total.reshape(-1, 2).max(1, keepdims=True)
         cells = total.reshape(-1, 2) * np.minimum(1, 65535 / np.maximum(most, 1))  # a ratio is kept where a count is too large
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [zlib.compress(np.ceil(cells).astype(np.uint16).tobytes(), 1)]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [_packed(np.ceil(cells).astype(np.uint16))]})
 
     out = np.zeros((slots, 2), np.uint16)
     for r in texts.mapInArrow(common.trimmed(gather), "block int, sums binary").groupBy("block").applyInPandas(add, "block int, cells binary").toLocalIterator():
-        cells = np.frombuffer(zlib.decompress(r.cells), np.uint16).reshape(-1, 2)
-        out[r.block * BLOCK:r.block * BLOCK + len(cells)] = cells
+        at = slice(r.block * BLOCK, min((r.block + 1) * BLOCK, slots))
+        out[at] = _unpacked(bytes(r.cells), np.uint16, at.stop - at.start).reshape(-1, 2)
     return out
 
 
-def _tuned(texts: DataFrame, model: Model, counts, into_map: bool) -> tuple[float, np.ndarray]:
-    """Weights or map after a pass over ``texts``, and its bits; states of tasks are added up on executors first."""
+def _taught(texts: DataFrame, model: Model, counts) -> tuple[float, np.ndarray]:
+    """Bits of ``texts``, and after a pass over them the weights, times bits, and the map; states of tasks are added up on executors first."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,32 +424,30 @@ def _tuned(texts: DataFrame, model: Model, counts, into_map: bool) -> tuple[floa
         for batch in batches:
             for part in _slices(batch):
                 for _, s in Texts(part.column("text")).streams():
-                    mass += own.learn(s, counts.value, into_map)
+                    mass += own.learn(s, counts.value, None)
         if mass:
-            state = own.map if into_map else own.weights * mass
+            state = np.concatenate((own.weights.ravel() * mass, own.map.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([mass]), pa.array([state.astype(np.float64).tobytes()])], ["part", "mass", "state"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in pdf["state"])
         return pd.DataFrame({"mass": [pdf["mass"].sum()], "state": [total.tobytes()]})
 
-    rows = texts.mapInArrow(run, "part long, mass double, state binary").groupBy("part").applyInPandas(add, "mass double, state binary").collect()
-    return sum(r.mass for r in rows), sum((np.frombuffer(r.state) for r in rows), np.zeros(model.map.size if into_map else model.weights.size))
+    rows = texts.mapInArrow(common.trimmed(run), "part long, mass double, state binary").groupBy("part").applyInPandas(add, "mass double, state binary").collect()
+    return sum(r.mass for r in rows), sum((np.frombuffer(r.state) for r in rows), np.zeros(model.weights.size + model.map.size))
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of ``docs(doc_id, text)``; without rows every bit is even."""
+    """A model of ``docs(text)``, from all rows; without rows every bit is even."""
     texts = docs.select("text")
     bits = table_bits(int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]))
     found = _counts(texts, bits)
     counts = docs.sparkSession.sparkContext.broadcast(found)
     model = Model(bits, None)
-    some = docs.where(F.coalesce(F.floor(F.crc32(F.col("doc_id").cast("string")) / 7) % TUNED == 0, F.lit(True))).select("text")
-    for _ in range(2):
-        mass, w = _tuned(some, model, counts, False)
-        if mass:
-            model.weights = (w / mass).astype(np.float32).reshape(model.weights.shape)
-    model.map = _tuned(some, model, counts, True)[1].reshape(model.map.shape)
+    mass, state = _taught(texts, model, counts)
+    if mass:
+        model.map = state[model.weights.size:].reshape(model.map.shape)
+        model.weights = (state[:model.weights.size] / mass).astype(np.float32).reshape(model.weights.shape)
     model.cells = np.concatenate([squeeze(*found[p].astype(np.float32).T) for p in _pieces(len(found))])
     counts.destroy()
     return model

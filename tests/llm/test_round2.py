@@ -1,5 +1,6 @@
 """Faults found in round 2, each small."""
 
+import random
 import time
 
 import numpy as np
@@ -10,7 +11,7 @@ pytest.importorskip("xxhash")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from evispark.llm import common, passages, simhash  # noqa: E402
+from evispark.llm import common, mixlm, passages, simhash  # noqa: E402
 
 
 def shuffle_files(spark):
@@ -83,3 +84,27 @@ def test_crowded_tries_list_no_pairs(monkeypatch):
     (out,) = simhash._sketch_forest(iter([batch]), simhash.APART, simhash.most_bits(0.8, simhash.WIDE * simhash.BITS))
     assert (out.column("u").to_pylist(), out.column("v").to_pylist()) == ([0], [1])
     assert listed[0] < 10 * n
+
+
+def lm_texts(n, words=40):
+    r = random.Random(8)
+    return [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 7))) for _ in range(words)) for _ in range(n)]
+
+
+def test_lm_learns_from_every_training_document(spark):
+    """The map has each bit of each document that the model is given: weights and map were taught by one in eight."""
+    rows = list(enumerate(lm_texts(60))) + [(60, None), (61, "")]
+    got = mixlm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    bits = sum(len(mixlm.Bits(s).of) for _, s in mixlm.Texts(pa.array([t for _, t in rows], pa.string())).streams())
+    assert got.map.sum() == bits
+    assert (got.weights != mixlm.Model(got.bits, None).weights).any()
+
+
+def test_lm_cells_of_16_bit_counts():
+    rng = np.random.default_rng(9)
+    own, other = (np.minimum(rng.exponential(m, 20000), 65535).astype(np.uint16) for m in (3, 900))
+    own[:2], other[:2] = (65535, 0), (65535, 0)
+    bit = rng.integers(0, 2, 20000)
+    want = mixlm.squeeze(np.where(bit == 1, other, own).astype(np.float32), np.where(bit == 1, own, other).astype(np.float32)).astype(int)
+    got = mixlm._cells(own, other, bit).astype(int)
+    assert (got >> 8 == want >> 8).all() and abs((got & 255) - (want & 255)).max() <= 1 and (got != want).mean() < 1e-3
