@@ -40,6 +40,8 @@ INPUTS = len(TABLES) + 1
 BYTES_PER_SLOT = 1
 #: Bytes of text that are taken at once, and bytes of a segment.
 SLICE, SEGMENT = 3 << 18, 2048
+#: Bytes of text that are taken at once where there are no lanes to fill, and where lanes are.
+FEW, MANY = 1 << 18, 1 << 19
 #: Bytes before a place that predict it by an earlier place, and hits in a row up to which matches are told apart.
 REACH, RUN = 12, 7
 #: Words that each task holds for the base score.
@@ -124,9 +126,13 @@ class Stream:
         o2 = last[0] | last[1] << np.uint64(9)
         o3 = o2 | last[2] << np.uint64(18)
         o4 = o3 | last[3] << np.uint64(27)
-        ctx = np.stack([last[0], o2, o3, o4, prefix, prefix + _spread(word)[token]])
-        ctx = (ctx + np.arange(1, len(TABLES) + 1, dtype=np.uint64)[:, None] * _P[2]) * _P[0]
-        self.ctx = ctx ^ ctx >> np.uint64(31)
+        self.ctx = np.stack([last[0], o2, o3, o4, prefix, prefix + _spread(word)[token]])
+        del last, o2, o3, o4, before, summed
+        salt = np.arange(1, len(TABLES) + 1, dtype=np.uint64) * _P[2]
+        for k, x in enumerate(self.ctx):  # in place: the tables of a large stream are a worker's memory
+            x += salt[k]
+            x *= _P[0]
+            x ^= x >> np.uint64(31)
         self.guess, self.run = self._matches(val, pos)
 
     def _matches(self, val: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +142,8 @@ class Stream:
             return guess, run
         key = self.doc[REACH:].astype(np.uint64) * _P[2]
         for j in range(REACH):
-            key = (key ^ val[j:n - REACH + j]) * _P[1]
+            key ^= val[j:n - REACH + j]
+            key *= _P[1]
             key ^= key >> np.uint64(29)
         order = np.argsort(key, kind="stable")
         whole = pos[order + REACH] >= REACH
@@ -171,15 +178,15 @@ class Bits:
 
     def __init__(self, s: Stream):
         width = np.where(_CODE[s.raw] == 31, PLACES, 5)
-        self.start = np.cumsum(width) - width
+        self.start = (np.cumsum(width) - width).astype(np.int32)
         self.of = np.repeat(np.arange(len(width), dtype=np.int32), width)
-        self.place = (np.arange(len(self.of)) - np.repeat(self.start, width)).astype(np.uint8)
+        self.place = (np.arange(len(self.of), dtype=np.int32) - np.repeat(self.start, width)).astype(np.uint8)
         at = np.repeat(s.raw.astype(np.int32) * PLACES, width) + self.place
         self.node, self.bit = _NODE.take(at), _BIT.take(at)
         self.match, self.run = np.zeros(len(at), np.int8), np.zeros(len(at), np.int8)
-        on = np.flatnonzero(np.repeat(s.guess >= 0, width))
+        on = np.flatnonzero(np.repeat(s.guess >= 0, width)).astype(np.int32)
         by = self.of[on]
-        other = s.guess[by] * PLACES + self.place[on]
+        other = s.guess.astype(np.int32)[by] * np.int32(PLACES) + self.place[on]
         agrees = _NODE.take(other) == self.node[on]
         on, other, by = on[agrees], other[agrees], by[agrees]
         self.match[on] = _BIT.take(other).astype(np.int8) * 2 - 1
@@ -266,7 +273,7 @@ class Model:
             st[part], flat[part] = self.inputs(bits, self.cells[bits.slots(s, self.bits, part)], part)
         first = s.end - np.diff(s.end, prepend=0)
         cut = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(first.tolist(), s.end.tolist())])
-        begin = bits.start[cut]
+        begin = bits.start[cut].astype(np.int64)
         long = np.diff(begin, append=n)
         order = np.argsort(-long, kind="stable")
         begin, long = begin[order], long[order]
@@ -283,7 +290,7 @@ class Model:
             out[r] = z
             w += ((bits.bit.take(r) - 1 / (1 + np.exp(np.clip(-z, -30, 30)))) * LANE_RATE).astype(np.float32)[:, None] * x
             own[at] = w
-        return np.clip(out, -15, 15)
+        return np.clip(out, -15, 15, out=out)
 
     def refine(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
         """The mean, in the logistic domain, of the mix and of what the map learned for it."""
@@ -325,8 +332,8 @@ class Texts:
         self.pair_doc, self.pair_code = np.divmod(pair.field("values").to_numpy(), max(len(self.words), 1))
         self.pair_count = pair.field("counts").to_numpy()
 
-    def streams(self) -> Iterator[tuple[np.ndarray, Stream]]:
-        """Streams of about ``SLICE`` bytes, each with the text of each of its runs.
+    def streams(self, most: int = SLICE) -> Iterator[tuple[np.ndarray, Stream]]:
+        """Streams of whole runs of about ``most`` bytes, each with the text of each of its runs.
 
         A text is one run. One of more than ``SLICE`` bytes is cut between tokens into
         runs of about as many, so memory is bounded; contexts begin anew in each.
@@ -340,7 +347,7 @@ class Texts:
         order = np.argsort(start, kind="stable")
         start, owner = np.append(start[order], len(doc)), owner[order]
         last = np.append(owner[1:] != owner[:-1], True)[:len(owner)]
-        for a, b in _cuts(upto[start[1:]]):
+        for a, b in _cuts(upto[start[1:]], most):
             lo, hi = start[a], start[b]
             closed = pc.binary_join_element_wise(self.flat.slice(lo, hi - lo), pa.scalar(" ", self.flat.type), pa.scalar("", self.flat.type))
             yield owner[a:b], Stream(pa.LargeListArray.from_arrays(pa.array(start[a:b + 1] - lo, pa.int64()), closed), last[a:b])
@@ -389,7 +396,7 @@ def _counts(texts: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
         total = np.zeros(slots * 2, np.uint32)
         for batch in batches:
             for part in _slices(batch):
-                for _, s in Texts(part.column("text")).streams():
+                for _, s in Texts(part.column("text")).streams(FEW):
                     b = Bits(s)
                     for piece in _pieces(len(b.of)):
                         for at in b.slots(s, bits, piece):
@@ -423,7 +430,7 @@ def _taught(texts: DataFrame, model: Model, counts) -> tuple[float, np.ndarray]:
         own.weights = shared.value.weights.copy()
         for batch in batches:
             for part in _slices(batch):
-                for _, s in Texts(part.column("text")).streams():
+                for _, s in Texts(part.column("text")).streams(FEW):
                     mass += own.learn(s, counts.value, None)
         if mass:
             state = np.concatenate((own.weights.ravel() * mass, own.map.ravel()))
@@ -501,7 +508,7 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 known = add(t.pair_count * (c > 0)) + (end > 0)
                 base = add(np.where(c < 0, 0.0, log_of(np.maximum(c, 0))) * t.pair_count) + log_of(end)
                 got = np.zeros(size)
-                for owner, s in t.streams():
+                for owner, s in t.streams(MANY):
                     got += np.bincount(owner, model.value.score(s), size)
                 rid = task + made + np.arange(size)
                 made += size
