@@ -39,6 +39,8 @@ from evispark.llm import common
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 64, 16384
 #: Words that a worker keeps encoded, about 30 bytes each, and pieces of texts that go by themselves.
 CACHE, PIECES_KEPT = 1_500_000, 50_000
+#: Words whose ids are put together at once, and bytes of rows that a worker is sent at once: memory beside a full JVM heap.
+GATHERED, SENT = 1 << 16, 6_000_000
 _B = 0x9E3779B97F4A7C15
 _PARTS = "kind string, key binary, doc_id long, tie long, n long, payload binary, chunks array<binary>"
 
@@ -91,6 +93,18 @@ class _Words:
         return start, size
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, many: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``many`` ids from each ``start``, one after another up to each ``end``; a part of the places is made at once."""
+    out = np.empty(end[-1] if len(end) else 0, ids.dtype)
+    for lo in range(0, len(end), GATHERED):
+        part = slice(lo, lo + GATHERED)
+        first, last = end[lo] - many[lo], end[part][-1]
+        at = np.repeat(start[part] - (end[part] - many[part]), many[part])
+        at += np.arange(first, last, dtype=np.int32)
+        ids.take(at, out=out[first:last], mode="clip")
+    return out
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, with a cache of words.
 
@@ -174,7 +188,7 @@ class Encoder:
         many = size[code]
         end = np.cumsum(many, dtype=np.int32)
         ids = np.concatenate((self.words.ids, np.frombuffer(b"".join(raw), self.type)))
-        ids = ids[np.repeat(start[code] - (end - many), many) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+        ids = _gathered(ids, start[code], many, end)
         to = np.concatenate(([0], end))[at]
         return [self.encode(t.as_py()) if x else ids[i:j] for t, x, i, j in zip(texts, alone, to[:-1], to[1:])]
 
@@ -182,7 +196,7 @@ class Encoder:
 _gear = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 4096, np.uint64)
 
 
-_STEPS = 1 << 20
+_STEPS = 1 << 17
 _up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_STEPS + WINDOW, _B, np.uint64))))
 _down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_STEPS + WINDOW, pow(_B, -1, 1 << 64), np.uint64))))
 
@@ -292,7 +306,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """
     spark = docs.sparkSession
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(common.trimmed(lambda it: _encode(it, tokenizer, end_id)), _PARTS)
-    made.dropDuplicates(["key"]).write.partitionBy("kind").parquet(f"{path}/parts")
+    with common.setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(SENT)):
+        made.dropDuplicates(["key"]).write.partitionBy("kind").parquet(f"{path}/parts")
     whole = spark.read.schema(_PARTS).parquet(f"{path}/parts")
     raw = whole.where("kind = 'R'").select("doc_id", "tie", "n", "chunks")
     leaves = F.pandas_udf(lambda d, n, c: pd.Series([leaf(None if pd.isna(a) else int(a), b, list(x)) for a, b, x in zip(d, n, c)]), "binary")
