@@ -14,8 +14,11 @@ Counts of a context are additive, so they are gathered in parallel, from all
 training tokens. The mixer's first weights and the map are learned online in one pass
 over all training documents, each bit without its own count. Scoring starts from
 them in each segment of ``SEGMENT`` bytes and goes on learning inside it, causally,
-so segments are lanes that numpy advances together, a bit at a time; contexts cross
+so segments are lanes that numpy can advance together, a bit at a time; contexts cross
 their borders. The order in which tasks meet training texts moves the first weights a little.
+
+The query runs ``Mixer.java``, a compiled loop over the same bits; :class:`Stream`, :class:`Bits` and
+:class:`Model` are the same model in numpy, which tests hold it against.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.java_gateway import JavaObject
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import common
+from evispark.llm import common, compiled
 
 #: Most bits of the table of each context: last 1, 2, 3, 4 bytes, word so far, word so far with the word before.
 TABLES = (16, 18, 20, 22, 22, 22)
@@ -40,8 +44,8 @@ INPUTS = len(TABLES) + 1
 BYTES_PER_SLOT = 1
 #: Bytes of text that are taken at once, and bytes of a segment.
 SLICE, SEGMENT = 3 << 18, 2048
-#: Bytes of text that are taken at once where there are no lanes to fill, and where lanes are.
-FEW, MANY = 1 << 18, 1 << 19
+#: Bytes of text that numpy takes at once where lanes are to be filled.
+MANY = 1 << 19
 #: Bytes before a place that predict it by an earlier place, and hits in a row up to which matches are told apart.
 REACH, RUN = 12, 7
 #: Words that each task holds for the base score.
@@ -66,6 +70,8 @@ STEPS = len(_CONF) + 1
 KNOWN = 4
 GATES = PLACES * KNOWN
 END = b""
+#: What the compiled loop does.
+COUNT, LEARN, SCORE = range(3)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -232,7 +238,7 @@ class Model:
         self.bits, self.cells = bits, cells
         self.weights = np.full((GATES, INPUTS, STEPS), 0.3, np.float32)
         self.weights[:, :-1, 0] = 0
-        self.map, self.learned = np.zeros((NODES, MAP_BINS, 2)), None
+        self.map, self.learned, self.shared = np.zeros((NODES, MAP_BINS, 2)), None, None
 
     def inputs(self, bits: Bits, cell: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
         """Estimates (bits, inputs) in 1/12, and the weight that each is given."""
@@ -292,11 +298,15 @@ class Model:
             own[at] = w
         return np.clip(out, -15, 15, out=out)
 
+    def logits(self) -> np.ndarray:
+        """The map in the logistic domain, by node and bin."""
+        prior = 1 / (1 + np.exp(-(np.arange(MAP_BINS) - MAP_BINS // 2) / 2.0))
+        return np.log((self.map[:, :, 1] + 32 * prior) / (self.map[:, :, 0] + 32 * (1 - prior))).astype(np.float32).ravel()
+
     def refine(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
         """The mean, in the logistic domain, of the mix and of what the map learned for it."""
         if self.learned is None:
-            prior = 1 / (1 + np.exp(-(np.arange(MAP_BINS) - MAP_BINS // 2) / 2.0))
-            self.learned = np.log((self.map[:, :, 1] + 32 * prior) / (self.map[:, :, 0] + 32 * (1 - prior))).astype(np.float32).ravel()
+            self.learned = self.logits()
         x = np.clip(z * np.float32(2) + np.float32(MAP_BINS // 2), 0, np.float32(MAP_BINS - 1.001))
         lo = x.astype(np.int32)
         at, x = node * np.int32(MAP_BINS) + lo, x - lo
@@ -388,23 +398,17 @@ def _unpacked(x: bytes, kind: type, slots: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, slots * 2 * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _counts(texts: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
-    """Counts (slots, 2) of all contexts of ``texts``: dense sums of each task, added by block."""
-    slots = int(_offsets(bits)[-1])
+def _loop(spark: SparkSession, mode: int, bits: tuple[int, ...], weights: np.ndarray | None = None, learned: np.ndarray | None = None, tables: JavaObject | None = None) -> JavaObject:
+    """The compiled loop over bits; ``tables`` are counts or cells that :class:`Mixer` has on the executors."""
+    loop = compiled.instance(spark, "Mixer")
+    ints = np.array([SLICE, SEGMENT, REACH, RUN, PIECE, BLOCK, *bits], "<i4").tobytes()
+    loop.set(mode, ints, USUAL, RATE, LANE_RATE, *(b"" if x is None else x.astype("<f4").tobytes() for x in (weights, learned)), tables)
+    return loop
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots * 2, np.uint32)
-        for batch in batches:
-            for part in _slices(batch):
-                for _, s in Texts(part.column("text")).streams(FEW):
-                    b = Bits(s)
-                    for piece in _pieces(len(b.of)):
-                        for at in b.slots(s, bits, piece):
-                            np.add.at(total, at * 2 + b.bit[piece], np.uint32(1))
-        for k in range(0, slots, BLOCK):
-            cells = total[k * 2:(k + BLOCK) * 2]
-            if cells.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([_packed(cells)])], ["block", "sums"])
+
+def _counts(texts: DataFrame, bits: tuple[int, ...]) -> JavaObject:
+    """Counts (slot, bit) of all contexts of ``texts``, on all executors: dense sums of each task, added by block."""
+    slots = int(_offsets(bits)[-1])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         k, total = int(pdf["block"].iloc[0]), 0
@@ -414,52 +418,48 @@ def _counts(texts: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
         cells = total.reshape(-1, 2) * np.minimum(1, 65535 / np.maximum(most, 1))  # a ratio is kept where a count is too large
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [_packed(np.ceil(cells).astype(np.uint16))]})
 
-    out = np.zeros((slots, 2), np.uint16)
-    for r in texts.mapInArrow(common.trimmed(gather), "block int, sums binary").groupBy("block").applyInPandas(add, "block int, cells binary").toLocalIterator():
-        at = slice(r.block * BLOCK, min((r.block + 1) * BLOCK, slots))
-        out[at] = _unpacked(bytes(r.cells), np.uint16, at.stop - at.start).reshape(-1, 2)
+    spark = texts.sparkSession
+    loop = _loop(spark, COUNT, bits)
+    blocks = common.stage(compiled.map_partitions(texts, loop, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, cells binary"), "counts")
+    out = loop.gathered(spark.sparkContext._jsc, blocks._jdf, slots)
+    common.unstage(blocks)
     return out
 
 
-def _taught(texts: DataFrame, model: Model, counts) -> tuple[float, np.ndarray]:
+def _taught(texts: DataFrame, model: Model, counts: JavaObject) -> tuple[float, np.ndarray]:
     """Bits of ``texts``, and after a pass over them the weights, times bits, and the map; states of tasks are added up on executors first."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mass = Model(shared.value.bits, None), 0.0
-        own.weights = shared.value.weights.copy()
-        for batch in batches:
-            for part in _slices(batch):
-                for _, s in Texts(part.column("text")).streams(FEW):
-                    mass += own.learn(s, counts.value, None)
-        if mass:
-            state = np.concatenate((own.weights.ravel() * mass, own.map.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([mass]), pa.array([state.astype(np.float64).tobytes()])], ["part", "mass", "state"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in pdf["state"])
         return pd.DataFrame({"mass": [pdf["mass"].sum()], "state": [total.tobytes()]})
 
-    rows = texts.mapInArrow(common.trimmed(run), "part long, mass double, state binary").groupBy("part").applyInPandas(add, "mass double, state binary").collect()
+    made = compiled.map_partitions(texts, _loop(texts.sparkSession, LEARN, model.bits, model.weights, None, counts), "part long, mass double, state binary")
+    rows = made.groupBy("part").applyInPandas(add, "mass double, state binary").collect()
     return sum(r.mass for r in rows), sum((np.frombuffer(r.state) for r in rows), np.zeros(model.weights.size + model.map.size))
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of ``docs(text)``, from all rows; without rows every bit is even."""
-    texts = docs.select("text")
+    """A model of ``docs(text)``, from all rows; without rows every bit is even. Its cells are on the executors, as ``shared``."""
+    spark, texts = docs.sparkSession, docs.select(F.col("text").cast("binary").alias("text"))
     bits = table_bits(int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]))
-    found = _counts(texts, bits)
-    counts = docs.sparkSession.sparkContext.broadcast(found)
+    counts = _counts(texts, bits)
     model = Model(bits, None)
     mass, state = _taught(texts, model, counts)
     if mass:
         model.map = state[model.weights.size:].reshape(model.map.shape)
         model.weights = (state[:model.weights.size] / mass).astype(np.float32).reshape(model.weights.shape)
-    model.cells = np.concatenate([squeeze(*found[p].astype(np.float32).T) for p in _pieces(len(found))])
+    model.shared = compiled.instance(spark, "Mixer").cells(spark.sparkContext._jsc, counts)
     counts.destroy()
     return model
 
 
+def coded(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows(doc_id, held_out, text)`` with ``model``, log10 of the probability of each text."""
+    loop = _loop(rows.sparkSession, SCORE, model.bits, model.weights, model.logits(), model.shared)
+    made = compiled.map_partitions(rows.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")), loop, "doc_id long, held_out boolean, text binary, model double")
+    return made.withColumn("text", F.col("text").cast("string"))
+
+
 _DOC = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, model double, word binary, n long"
 
 
@@ -482,7 +482,7 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     learned = rows.where("not held_out")
     vocab = common.stage(learned.select("text").mapInArrow(common.trimmed(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     n, v = (int(x) for x in vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first())
-    model = spark.sparkContext.broadcast(train(learned))
+    rows = coded(rows, train(learned))
     top = vocab.orderBy(F.desc("c"), "word").limit(hot).toPandas()
     near = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), top["c"].tolist())))
 
@@ -507,12 +507,9 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 add = lambda w: np.bincount(t.pair_doc, w, size)  # noqa: E731, B023
                 known = add(t.pair_count * (c > 0)) + (end > 0)
                 base = add(np.where(c < 0, 0.0, log_of(np.maximum(c, 0))) * t.pair_count) + log_of(end)
-                got = np.zeros(size)
-                for owner, s in t.streams(MANY):
-                    got += np.bincount(owner, model.value.score(s), size)
                 rid = task + made + np.arange(size)
                 made += size
-                yield table_of(rid=rid, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=t.size + 1, n_bytes=pc.binary_length(part.column("text").fill_null("")), n_known=known, base=base, model=got)
+                yield table_of(rid=rid, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=t.size + 1, n_bytes=pc.binary_length(part.column("text").fill_null("")), n_known=known, base=base, model=part.column("model"))
                 if len(far):
                     yield table_of(rid=rid[t.pair_doc[far]], word=t.words.take(pa.array(t.pair_code[far])), n=t.pair_count[far])
 

@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+import time
 import tracemalloc
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from evispark.llm import tokenstore  # noqa: E402
+from evispark.llm import compiled, mixlm, tokenstore  # noqa: E402
 
 
 def test_encoding_a_slice_takes_little_memory():
@@ -28,3 +29,66 @@ def test_encoding_a_slice_takes_little_memory():
         tracemalloc.stop()
     assert len(got) == 1000 and all((a == b).all() for a, b in zip(got, want))
     assert peak < 30e6  # 34.7 MB before, 25.0 now
+
+
+def lm_model(texts, bits):
+    """A model learned by numpy from ``texts``, its counts, and their stream."""
+    (_, s), = mixlm.Texts(pa.array(texts, pa.string())).streams()
+    b, counts = mixlm.Bits(s), np.zeros((mixlm._offsets(bits)[-1], 2), np.uint16)
+    np.add.at(counts, (b.slots(s, bits, slice(None)), b.bit), 1)
+    return mixlm.Model(bits, mixlm.squeeze(*counts.astype(np.float32).T)), counts, s
+
+
+ODD = [None, "", " \t\x0b", "Ab  cé ~x中文 \U0001f600 " * 9, "q", "x" * 5000, "again and again " * 400]
+
+
+def test_lm_compiled_loop_equals_numpy(spark, monkeypatch):
+    """Counts, learned weights and map, and scores of the loop in the executors are those of the numpy form; there was no such loop."""
+    monkeypatch.setattr(mixlm, "SLICE", 1 << 20)
+    r = random.Random(12)
+    texts = [*(" ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 6))) for _ in range(r.choice([5, 60, 700]))) for _ in range(25)), *ODD]
+    bits = (12,) * len(mixlm.TABLES)
+    m, counts, s = lm_model(texts, bits)
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1)
+    raw = rows.selectExpr("cast(text as binary) text")
+    shared = mixlm._counts(raw, bits)
+    got = np.array(list(shared.value()), "U1").view(np.uint32).reshape(-1, 2)
+    got[got == ord("\0")] = 0
+    assert (got == counts).all()
+    mass, state = mixlm._taught(raw, m, shared)
+    want = mixlm.Model(bits, m.cells)
+    assert want.learn(s, counts, None) == mass
+    assert abs(state[:m.weights.size] / mass - want.weights.ravel()).max() < 2e-3
+    assert abs(state[m.weights.size:] - want.map.ravel()).sum() < 2e-3 * mass
+    want.shared = compiled.instance(spark, "Mixer").cells(spark.sparkContext._jsc, shared)
+    scores = {x.doc_id: x.model for x in mixlm.coded(rows, want).collect()}
+    for i, t in enumerate(texts):
+        (owner, one), *rest = mixlm.Texts(pa.array([t], pa.string())).streams()
+        assert not rest and abs(want.score(one).sum() - scores[i]) < 1e-3 * abs(scores[i]) + 1e-3
+
+
+def test_lm_compiled_loop_cuts_long_texts(spark, monkeypatch):
+    """A text of more than SLICE bytes has the runs that Texts.streams gives it."""
+    r = random.Random(13)
+    text = " ".join("".join(r.choice("etaoin") for _ in range(r.randint(1, 6))) for _ in range(900))
+    m, counts, _ = lm_model([text[:400]], (12,) * len(mixlm.TABLES))
+    monkeypatch.setattr(mixlm, "SLICE", 500)
+    rows = spark.createDataFrame([(1, False, text)], "doc_id long, held_out boolean, text string")
+    m.shared = compiled.instance(spark, "Mixer").cells(spark.sparkContext._jsc, mixlm._counts(spark.createDataFrame([(text[:400].encode(),)], "text binary"), m.bits))
+    runs = list(mixlm.Texts(pa.array([text], pa.string())).streams())
+    want = sum(float(m.score(s).sum()) for _, s in runs)
+    assert sum(len(s.end) for _, s in runs) > 4
+    assert abs(mixlm.coded(rows, m).first().model - want) < 1e-3 * abs(want)
+
+
+def test_lm_takes_few_seconds_a_byte(spark):
+    """Two megabytes of text are learned from in a fraction of the time that numpy took."""
+    r = random.Random(14)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 8))) for _ in range(4000)]
+    rows = [(i, False, " ".join(r.choices(words, k=1000))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(4).cache()
+    size = sum(len(t) for _, _, t in rows)
+    mixlm.coded(docs.limit(4), mixlm.train(docs.limit(4))).count()  # compiled, workers started
+    began = time.perf_counter()
+    assert mixlm.coded(docs, mixlm.train(docs)).agg({"model": "sum"}).first()[0] < 0
+    assert (time.perf_counter() - began) / size < 4e-6
