@@ -416,7 +416,7 @@ def _counts(texts: DataFrame, bits: tuple[int, ...]) -> JavaObject:
             total = total + _unpacked(x, np.uint32, min(BLOCK, slots - k * BLOCK)).astype(np.int64)
         most = total.reshape(-1, 2).max(1, keepdims=True)
         cells = total.reshape(-1, 2) * np.minimum(1, 65535 / np.maximum(most, 1))  # a ratio is kept where a count is too large
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [_packed(np.ceil(cells).astype(np.uint16))]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [_packed(np.minimum(np.ceil(cells), 65535).astype(np.uint16))]})
 
     spark = texts.sparkSession
     loop = _loop(spark, COUNT, bits)
