@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import annforest, common, decontaminate, htmltext, mixing, mixlm, passages, quality, simhash, substrings, tokenstore
+from evispark.llm import annforest, common, covertree, decontaminate, htmltext, mixing, mixlm, passages, phrases, prefixtrie, quality, simhash, substrings, tokenstore
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -83,6 +95,73 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
+#: CRC-32 of the decimal digits, one bit at a time.
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS d,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), taken AS (
+  SELECT c.conv_id, c.base, c.h, count(t.d) AS k FROM convs c LEFT JOIN turns t ON t.conv_id = c.base AND t.d <= c.h GROUP BY ALL
+), rebuilt AS (
+  SELECT c.conv_id, t.d, t.role, t.text FROM taken c JOIN turns t ON t.conv_id = c.base AND t.d <= c.h
+  UNION ALL SELECT c.conv_id, t.d - c.h + c.k, t.role, t.text FROM taken c JOIN turns t ON t.conv_id = c.conv_id AND t.d > c.h
+), path AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS node, NULL::VARCHAR AS up, 0::BIGINT AS size FROM convs
+  UNION ALL SELECT p.conv_id, r.d, sha256(p.node || sha256(r.role) || sha256(r.text)), p.node, length(r.text) FROM path p JOIN rebuilt r ON r.conv_id = p.conv_id AND r.d = p.d + 1
+), ending AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(node, d) AS node FROM path GROUP BY conv_id) GROUP BY node
+), nodes AS (
+  SELECT node, up, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved FROM path GROUP BY node, up, d
+), kids AS (
+  SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), above AS (
+  SELECT a.node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens
+  FROM nodes n JOIN path a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN kids k ON k.node = n.node GROUP BY a.node
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN above a ON a.node = n.node LEFT JOIN nodes u ON u.node = n.up LEFT JOIN kids k ON k.node = n.node LEFT JOIN ending e ON e.node = n.node
+"""
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+  SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places, (VALUES (1), (2), (3)) sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), total AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang
+), cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cand WHERE size = 3) GROUP BY ALL
+)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n, score::BIGINT AS score
+FROM worst w JOIN total t ON t.lang = w.lang LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase WHERE g.most IS NULL OR 100 * g.most < 50 * a
+QUALIFY row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) <= 2000
+"""
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.v FROM reach r JOIN links l ON l.u = r.other
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lm": op2_lm,
@@ -94,5 +173,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_trie": op11_trie,
+    "op12_phrases": op12_phrases,
+    "op13_embeddings": op13_embeddings,
 }
-ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL, "op11_trie": OP11_SQL, "op12_phrases": OP12_SQL, "op13_embeddings": OP13_SQL}
