@@ -692,3 +692,6 @@ def health_known_names(spark, d):
     e = t(spark, d, "events").select("ts", F.col("event_type").alias("dep"), (F.col("event_id") % 10 != 0).alias("ok"))
     last = e.agg(F.to_date(F.max("ts")).alias("last"))
     return telemetry.health(e.crossJoin(F.broadcast(last)), F.col("last"), known=["click", "view"])
+
+
+from evispark.plans import derived  # noqa: E402, F401  it registers its own

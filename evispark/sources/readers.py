@@ -4,54 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evispark.functions import text as X
-
-_S = T.StringType()
-
-
-def _st(**f) -> T.StructType:
-    return T.StructType([T.StructField(k, v) for k, v in f.items()])
-
-
-_TEXT = _st(_VALUE=_S, _Label=_S)
-ARTICLE = _st(MedlineCitation=_st(
-    PMID=_st(_VALUE=_S), MeshHeadingList=_st(MeshHeading=T.ArrayType(_st(DescriptorName=_st(_VALUE=_S, _UI=_S, _MajorTopicYN=_S)))),
-    Article=_st(ArticleTitle=_S, Abstract=_st(AbstractText=T.ArrayType(_TEXT)), Language=_S,
-                Journal=_st(Title=_S, ISSN=_st(_VALUE=_S), JournalIssue=_st(Volume=_S, Issue=_S, PubDate=_st(Year=_S, MedlineDate=_S))), Pagination=_st(MedlinePgn=_S),
-                AuthorList=_st(Author=T.ArrayType(_st(LastName=_S, Initials=_S, CollectiveName=_S))), PublicationTypeList=_st(PublicationType=T.ArrayType(_st(_VALUE=_S))))),
-    PubmedData=_st(ArticleIdList=_st(ArticleId=T.ArrayType(_st(_VALUE=_S, _IdType=_S)))))
-
+from evispark.sources import xmlrecords
 
 def articles_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of an XML export; book records have another row tag and are left out. Group authors stay, labels that repeat are joined."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path)
-    a = F.col("MedlineCitation.Article")
-    parts = F.filter(F.coalesce(a["Abstract"]["AbstractText"], F.array().cast(T.ArrayType(_TEXT))), lambda t: X.filled(t["_VALUE"]))
-    labels = F.array_distinct(F.transform(F.filter(parts, lambda t: X.filled(t["_Label"])), lambda t: F.upper(F.trim(t["_Label"]))))
-    of = lambda k: F.array_join(F.transform(F.filter(parts, lambda t: F.upper(F.trim(t["_Label"])) == k), lambda t: F.trim(t["_VALUE"])), " ")
-    names = F.transform(a["AuthorList"]["Author"], lambda x: F.coalesce(F.nullif(F.trim(x["CollectiveName"]), F.lit("")), F.concat_ws(" ", x["LastName"], x["Initials"])))
-    ident = lambda k: F.get(F.filter("PubmedData.ArticleIdList.ArticleId", lambda i: i["_IdType"] == k), F.lit(0))["_VALUE"]
-    return raw.select(
-        F.col("MedlineCitation.PMID._VALUE").alias("pmid"), X.squeeze(a["ArticleTitle"]).alias("title"), a["Journal"]["Title"].alias("journal"),
-        F.coalesce(a["Journal"]["JournalIssue"]["PubDate"]["Year"], a["Journal"]["JournalIssue"]["PubDate"]["MedlineDate"]).alias("year"), F.filter(names, lambda n: X.filled(n)).alias("authors"),
-        F.array_join(F.transform(parts, lambda t: F.concat(F.when(X.filled(t["_Label"]), F.concat(t["_Label"], F.lit(": "))).otherwise(""), F.trim(t["_VALUE"]))), "\n").alias("abstract"),
-        F.map_from_arrays(labels, F.transform(labels, of)).alias("abstract_sections"), ident("doi").alias("doi"), ident("pmc").alias("pmcid"),
-        a["Journal"]["JournalIssue"]["Volume"].alias("volume"), a["Journal"]["JournalIssue"]["Issue"].alias("issue"), a["Pagination"]["MedlinePgn"].alias("pages"), a["Journal"]["ISSN"]["_VALUE"].alias("issn"),
-        F.transform(a["PublicationTypeList"]["PublicationType"], lambda p: p["_VALUE"]).alias("pubtypes"), a["Language"].alias("language"),
-        F.transform("MedlineCitation.MeshHeadingList.MeshHeading", lambda h: F.struct(h["DescriptorName"]["_VALUE"].alias("heading"), (h["DescriptorName"]["_MajorTopicYN"] == "Y").alias("major"))).alias("mesh"))
-
-
-_SEC = _st(title=_S, p=T.ArrayType(_S))
+    """Articles of an XML export, see :func:`evispark.sources.xmlrecords.articles`; book records have another tag and are left out."""
+    return xmlrecords.articles(xmlrecords.records(spark, path, "PubmedArticle")).select("article.*")
 
 
 def fulltext_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``sections`` of article bodies: paragraphs before the first section lead, then the top sections."""
-    raw = spark.read.format("xml").option("rowTag", "body").schema(_st(p=T.ArrayType(_S), sec=T.ArrayType(_SEC))).load(path)
-    lead = F.when(F.size(F.coalesce("p", F.array().cast("array<string>"))) > 0, F.array(F.struct(F.lit("").alias("title"), F.array_join("p", "\n").alias("text"))))
-    secs = F.transform(F.coalesce("sec", F.array().cast(T.ArrayType(_SEC))), lambda s: F.struct(F.trim(s["title"]).alias("title"), F.array_join(s["p"], "\n").alias("text")))
-    return raw.select(F.filter(F.concat(F.coalesce(lead, F.array().cast("array<struct<title:string,text:string>>")), secs), lambda s: X.filled(s["text"])).alias("sections"))
+    """``sections`` and ``error`` of each ``article`` of the files, see :func:`evispark.sources.xmlrecords.fulltexts`."""
+    return xmlrecords.fulltexts(xmlrecords.records(spark, path, "article")).select("fulltext.*")
+
+
+def figures_xml(spark: SparkSession, path: str) -> DataFrame:
+    """``label, caption, file, fig_id`` of the figures of each ``article`` of the files."""
+    return xmlrecords.figure_rows(xmlrecords.records(spark, path, "article")).select(F.inline("figures.figures"))
 
 
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

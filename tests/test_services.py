@@ -73,7 +73,7 @@ def test_article_xml(spark, tmp_path):
 def test_fulltext_xml(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<article><body><p>Lead.</p><sec><title>Methods</title><p>One.</p><p>Two.</p></sec><sec><title>Empty</title></sec></body></article>")
     s = readers.fulltext_xml(spark, str(tmp_path / "f.xml")).first().sections
-    assert [(x.title, x.text) for x in s] == [("", "Lead."), ("Methods", "One.\nTwo.")]
+    assert [(x.title, x.text) for x in s] == [("引言", "Lead."), ("Methods", "One. Two.")]
 
 
 def test_tolerant_json_and_csv(spark, tmp_path):
