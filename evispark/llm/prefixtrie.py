@@ -125,29 +125,22 @@ def ends(whole: DataFrame) -> DataFrame:
     return pieces.repartition(*key).sortWithinPartitions(*key, "first").mapInArrow(_digests, "p1 long, p2 long, len long, ends string")
 
 
-def _by_depth(turns: DataFrame, what: str) -> tuple[str, DataFrame]:
-    """``turns`` written in folders of depths 1, 2 to 3, 4 to 7 and so on, of which a level reads one."""
-    path = common.new_path(turns.sparkSession, what)
-    with common.setting(turns.sparkSession, common.CLEANUP, "true"):
-        turns.withColumn("folder", F.floor(F.log2(F.col("d").cast("double")) + 1e-9).cast("int")).write.partitionBy("folder").parquet(path)
-    return path, turns.sparkSession.read.schema(f"{', '.join(f'{c} {k}' for c, k in turns.dtypes)}, folder int").parquet(path)
+def _hashed(turns: DataFrame, what: str) -> DataFrame:
+    """``(conv_id, d, k1, k2, n, after, folder)``, written in folders of depths 1, 2 to 3, 4 to 7 and so on, of which a level reads one.
 
-
-def _chains(turns: DataFrame, exits: DataFrame) -> DataFrame:
-    """Nodes ``(rep, d, d0, m, len, ends, saved)`` of the chains that begin at depth d0 of ``exits(rep, d0, m, len, ends)``.
-
-    ``saved`` sums what lies at or below. A chain is dealt in blocks of turns, sums of blocks first.
+    ``after`` sums n from d on. A conversation goes in blocks of turns, sums of blocks first.
     """
-    block = F.floor((F.col("d") - 1) / BLOCK)
-    spans = exits.withColumn("block", F.explode(F.sequence(F.floor((F.col("d0") - 1) / BLOCK), F.floor((F.col("len") - 1) / BLOCK))))
-    rows = turns.select(F.col("conv_id").alias("rep"), "d", "n", block.alias("block")).join(spans, ["rep", "block"]).where("d >= d0")
-    once = rows.where("m = 1").select("rep", "d", "d0", "m", "len", "ends", F.lit(0).cast("long").alias("saved"))
-    many = common.stage(rows.where("m > 1"), "trie-chains")
-    after = Window.partitionBy("rep").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = many.groupBy("rep", "block").agg(F.sum("n").alias("s")).withColumn("after", F.coalesce(F.sum("s").over(after), F.lit(0))).drop("s")
-    within = Window.partitionBy("rep", "block").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    many = many.withColumn("s", F.sum("n").over(within)).join(sums, ["rep", "block"])
-    return once.union(many.select("rep", "d", "d0", "m", "len", "ends", ((F.col("m") - 1) * (F.col("s") + F.col("after"))).alias("saved")))
+    spark = turns.sparkSession
+    rows = turns.withColumn("block", F.floor((F.col("d") - 1) / BLOCK))
+    after = Window.partitionBy("conv_id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("conv_id", "block").agg(F.sum("n").alias("s")).withColumn("later", F.coalesce(F.sum("s").over(after), F.lit(0))).drop("s")
+    within = Window.partitionBy("conv_id", "block").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum("n").over(within)).join(sums, ["conv_id", "block"])
+    rows = rows.select("conv_id", "d", F.xxhash64(F.lit(1), "d", "t").alias("k1"), F.xxhash64(F.lit(2), "d", "t").alias("k2"), "n", (F.col("s") + F.col("later")).alias("after"))
+    path = common.new_path(spark, what)
+    with common.setting(spark, common.CLEANUP, "true"):
+        rows.withColumn("folder", F.floor(F.log2(F.col("d").cast("double")) + 1e-9).cast("int")).write.partitionBy("folder").parquet(path)
+    return spark.read.schema("conv_id long, d long, k1 long, k2 long, n long, after long, folder int").parquet(path)
 
 
 def trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
@@ -160,74 +153,70 @@ def trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
     it, ``(members - 1) * n`` summed over the same, and the SHA-256 of the ids that end
     there, in order, joined by commas. No conversations, no nodes.
     """
-    hashed = turns.select("conv_id", "d", F.xxhash64(F.lit(1), "d", "t").alias("k1"), F.xxhash64(F.lit(2), "d", "t").alias("k2"), "n")
-    _, turns = _by_depth(hashed, "trie-levels")
+    turns = _hashed(turns, "trie-levels")
     paths = turns.groupBy("conv_id").agg(F.bit_xor("k1").alias("p1"), F.bit_xor("k2").alias("p2"), F.count(F.lit(1)).alias("len"))
-    zero = F.lit(0).cast("long")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     whole = ids.join(paths, "conv_id", "left").select("conv_id", *[F.coalesce(c, zero).alias(c) for c in ("p1", "p2", "len")])
     whole = common.stage(whole, "trie-paths")
     key = ["p1", "p2", "len"]
     kinds = whole.groupBy(*key).agg(F.min("conv_id").alias("rep"), F.count(F.lit(1)).alias("m"))
     kinds = common.stage(kinds.join(ends(whole), key), "trie-kinds")
+    common.unstage(whole)
     top = kinds.agg(F.min("rep"), F.sum("m"), F.max("len")).first()
     if top[0] is None:
         return ids.sparkSession.createDataFrame([], ", ".join(f"{c} {'string' if c == 'ends_sha256' else 'long'}" for c in NODE))
 
-    root = ids.sparkSession.createDataFrame([(0, 0, None, None, int(top[0]), int(top[1]), 2, 0, int(top[2]))], "p1 long, p2 long, q1 long, q2 long, conv_id long, n_convs long, c long, n long, len long")
-    levels = [root]
-    live, deepest = kinds.where("len > 0").select("rep", "m", "len", zero.alias("p1"), zero.alias("p2")), int(top[2])
-    for depth in range(1, deepest + 1):
-        here = turns.where((F.col("folder") == depth.bit_length() - 1) & (F.col("d") == depth)).select(F.col("conv_id").alias("rep"), "k1", "k2", "n")
-        step = live.join(here, "rep").select("rep", "m", "len", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("p1").bitwiseXOR(F.col("k1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("k2")).alias("p2"), "n")
+    # down: a level's nodes, c the different conversations in them
+    root = "p1 long, p2 long, q1 long, q2 long, conv_id long, n_convs long, c long, n long, len long, after long"
+    levels = [ids.sparkSession.createDataFrame([(0, 0, None, None, int(top[0]), int(top[1]), 2, 0, int(top[2]), 0)], root)]
+    live = kinds.where("len > 0").select("rep", "m", "len", zero.alias("p1"), zero.alias("p2"))
+    for depth in range(1, int(top[2]) + 1):
+        here = turns.where((F.col("folder") == depth.bit_length() - 1) & (F.col("d") == depth)).select(F.col("conv_id").alias("rep"), "k1", "k2", "n", "after")
+        step = live.join(here, "rep").select("rep", "m", "len", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("p1").bitwiseXOR(F.col("k1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("k2")).alias("p2"), "n", "after")
         step = common.stage(step, "trie-step")
-        level = step.groupBy("p1", "p2", "q1", "q2").agg(F.min("rep").alias("conv_id"), F.sum("m").alias("n_convs"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("len").alias("len"))
+        level = step.groupBy("p1", "p2", "q1", "q2").agg(F.min("rep").alias("conv_id"), F.sum("m").alias("n_convs"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("len").alias("len"), F.max("after").alias("after"))
         levels.append(common.stage(level, "trie-nodes"))
         if not levels[-1].where("c > 1").limit(1).count():
             break
         alone = levels[-1].where("c = 1").select(F.col("conv_id").alias("rep"))
         live = step.join(alone, "rep", "left_anti").where(F.col("len") > depth).select("rep", "m", "len", "p1", "p2")
 
-    alone = None
-    for depth, level in enumerate(levels[1:], 1):
-        found = level.where("c = 1").select(F.col("conv_id").alias("rep"), F.lit(depth).cast("long").alias("d0"))
-        alone = found if alone is None else alone.union(found)
-    parts = []
-    if alone is not None:
-        chains = common.stage(_chains(turns, alone.join(kinds.select("rep", "m", "len", "ends"), "rep")), "trie-tails")
-        tops = chains.where("d = d0").select(F.col("rep").alias("conv_id"), F.col("d").alias("depth"), "saved")
-        below = (F.col("d") < F.col("len")).cast("long")
-        end = F.when(F.col("d") == F.col("len"), F.col("ends")).otherwise(F.lit(NO_ENDS))
-        tails = chains.select(F.col("rep").alias("conv_id"), F.col("d").alias("depth"), F.col("rep").alias("parent_conv_id"), F.col("m").alias("n_convs"), below.alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), F.col("saved").alias("saved_tokens"), end.alias("ends_sha256"), "d0")
-        parts.append(tails.where("depth > d0").drop("d0"))
-        heads = tails.where("depth = d0").drop("d0", "parent_conv_id")
-
-    under = None  # (q1, q2, leaves, saved) of the level below
+    # up: what lies below a node that several share; one that is alone knows it
+    under, nodes, alone = None, [], None
     for depth in range(len(levels) - 1, -1, -1):
-        level, shared = levels[depth], levels[depth].where("c > 1")
+        level, single = levels[depth], F.col("c") == 1
         if under is None:
-            summed = shared.withColumns({"kids": zero, "leaves": F.lit(1).cast("long"), "lower": zero})
+            summed = level.withColumns({"kids": zero, "leaves": one, "lower": zero})
         else:
-            sums = under.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("kids"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("lower")).select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "kids", "leaves", "lower")
-            summed = shared.join(sums, ["p1", "p2"], "left").withColumns({"kids": F.coalesce("kids", zero), "leaves": F.coalesce("leaves", F.lit(1)), "lower": F.coalesce("lower", zero)})
-        summed = common.stage(summed.withColumn("saved", (F.col("n_convs") - 1) * F.col("n") + F.col("lower")), "trie-sums")
+            sums = under.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("kids"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("lower"))
+            summed = level.join(sums.select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "kids", "leaves", "lower"), ["p1", "p2"], "left")
+        summed = summed.join(kinds.where(F.col("len") == depth).select("p1", "p2", "ends"), ["p1", "p2"], "left")
         if depth:
             above = levels[depth - 1].where("c > 1").select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("parent_conv_id"))
             above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            named = level.withColumn("salt", F.pmod(F.xxhash64("p1"), F.lit(SALTS)).cast("int")).join(above, ["q1", "q2", "salt"]).select("p1", "p2", "c", "conv_id", "parent_conv_id")
-            parts.append(named.where("c = 1").join(heads.where(F.col("depth") == depth), "conv_id").select(*NODE))
-            named = named.where("c > 1").select("p1", "p2", "parent_conv_id")
-            summed_named = summed.join(named, ["p1", "p2"])
-            lone = level.where("c = 1").join(tops.where(F.col("depth") == depth), "conv_id").select("q1", "q2", F.lit(1).cast("long").alias("leaves"), "saved")
-            under = summed.select("q1", "q2", "leaves", "saved").union(lone)
+            summed = summed.withColumn("salt", F.pmod(F.xxhash64("p1"), F.lit(SALTS)).cast("int")).join(above, ["q1", "q2", "salt"])
         else:
-            summed_named = summed.withColumn("parent_conv_id", F.lit(None).cast("long"))
-        ended = kinds.where(F.col("len") == depth).select("p1", "p2", "ends")
-        full = summed_named.join(ended, ["p1", "p2"], "left")
-        parts.append(full.select("conv_id", F.lit(depth).cast("long").alias("depth"), "parent_conv_id", "n_convs", F.col("kids").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256")))
-    out = parts[0].select(*NODE)
-    for more in parts[1:]:
-        out = out.union(more.select(*NODE))
-    return common.stage(out, "trie")
+            summed = summed.withColumn("parent_conv_id", F.lit(None).cast("long"))
+        kids = F.when(single, (F.col("len") > depth).cast("long")).otherwise(F.coalesce("kids", zero))
+        saved = (F.col("n_convs") - 1) * F.when(single, F.col("after")).otherwise(F.col("n")) + F.when(single, 0).otherwise(F.coalesce("lower", zero))
+        done = summed.select("conv_id", F.lit(depth).cast("long").alias("depth"), "parent_conv_id", "n_convs", kids.alias("n_children"), F.when(single, one).otherwise(F.coalesce("leaves", one)).alias("n_leaves"), saved.alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256"), "q1", "q2")
+        under = common.stage(done, "trie-level")
+        nodes.append(under.select(*NODE))
+        if depth:
+            found = level.where("c = 1").where(F.col("len") > depth).select(F.col("conv_id").alias("rep"), F.lit(depth).cast("long").alias("d0"))
+            alone = found if alone is None else alone.union(found)
+    if alone is not None:  # chains of those that are alone, dealt in blocks of turns
+        block = lambda d: F.floor((F.col(d) - 1) / BLOCK)
+        spans = alone.join(kinds.select("rep", "m", "len", "ends"), "rep").withColumn("block", F.explode(F.sequence(block("d0"), block("len"))))
+        rows = turns.select(F.col("conv_id").alias("rep"), "d", "after", block("d").alias("block")).join(spans, ["rep", "block"]).where("d > d0")
+        last = F.col("d") == F.col("len")
+        nodes.append(common.stage(rows.select(
+            F.col("rep").alias("conv_id"), F.col("d").alias("depth"), F.col("rep").alias("parent_conv_id"), F.col("m").alias("n_convs"), F.when(last, zero).otherwise(one).alias("n_children"), one.alias("n_leaves"),
+            ((F.col("m") - 1) * F.col("after")).alias("saved_tokens"), F.when(last, F.col("ends")).otherwise(F.lit(NO_ENDS)).alias("ends_sha256")), "trie-tails"))
+    out = nodes[0]
+    for more in nodes[1:]:
+        out = out.union(more)
+    return out
 
 
 def conversation_trie(conversations: DataFrame) -> DataFrame:
