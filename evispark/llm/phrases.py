@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from evispark.llm import common
 
 #: Words whose suffixes a task counts together before it gives them away; bounds its memory and keeps three word numbers in 64 bits.
-TOGETHER = 2_000_000
-#: Tasks over which the suffixes of one first word are dealt, by their second word; also copies of a word's count in joins.
+TOGETHER = 1_250_000
+#: Tasks over which the suffixes of one first word are dealt, by their second word; also copies of a hot part's count in joins.
 SALTS = 16
+#: A part is hot if it has one in so many of all words; so there are at most ``max_n`` times as many.
+HOT = 1000
 #: Ends a piece; no byte of UTF-8.
 STOP = b"\xff"
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -42,14 +44,13 @@ class _Counted:
     def add(self, found: list[bytes], own: int) -> None:
         """The first ``own`` words start suffixes, the others only continue them."""
         number = self.number
-        run = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
+        run = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
         self.runs.append((run, own))
 
-    def rows(self, lang: bytes, max_n: int) -> list[pa.Array]:
-        size = len(self.number)
-        columns: list[list[np.ndarray]] = [[] for _ in range(max_n)]
+    def rows(self, lang: bytes, max_n: int) -> Iterator[list[pa.Array]]:
+        size, columns = len(self.number), [[] for _ in range(max_n)]
         for run, own in self.runs:
-            padded = np.concatenate((run, np.zeros(max_n, np.int64)))
+            padded = np.concatenate((run, np.zeros(max_n, np.int32)))
             at = padded[:own]
             start = at > 0
             columns[0].append(at[start])
@@ -57,16 +58,21 @@ class _Counted:
                 at = np.where(at > 0, padded[k:k + own], 0)
                 columns[k].append(at[start])
         ids = [np.concatenate(c) for c in columns]
+        self.runs, columns = [], []
         code = ids[0].astype(np.uint64)
         for k in ids[1:]:
             if int(code.max(initial=0)) >= (1 << 64) // size - 1:
                 code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
-            code = code * np.uint64(size) + k.astype(np.uint64)
+            code *= np.uint64(size)
+            code += k.astype(np.uint64)
         _, first, count = np.unique(code, return_index=True, return_counts=True)
+        del code
         names = pa.array([b"" if w == STOP else w for w in self.number], pa.binary())
-        out = [names.take(pa.array(c[first])) for c in ids]
-        head = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), out[0], pa.scalar(b"\t", pa.binary()))
-        return [head, *out[1:], pa.array(count.astype(np.int64))]
+        for lo in range(0, len(first), 50_000):
+            at = first[lo:lo + 50_000]
+            out = [names.take(pa.array(c[at])) for c in ids]
+            head = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), out[0], pa.scalar(b"\t", pa.binary()))
+            yield [head, *out[1:], pa.array(count[lo:lo + 50_000].astype(np.int64))]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.RecordBatch]:
@@ -76,10 +82,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.Reco
     total = 0
 
     def given() -> Iterator[pa.RecordBatch]:
-        for lang, counted in held.items():
-            columns = counted.rows(lang, max_n)
-            for at in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names)
+        while held:
+            lang, counted = held.popitem()
+            for columns in counted.rows(lang, max_n):
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -89,7 +95,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.Reco
                 own = min(TOGETHER, len(found) - at)
                 if total + own > TOGETHER:
                     yield from given()
-                    held, total = {}, 0
+                    total = 0
                 held.setdefault(lang, _Counted()).add(part, own)
                 total += own
     yield from given()
@@ -168,9 +174,12 @@ def counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> tuple[DataFrame,
     rest = [f"w{k}" for k in range(2, max_n + 1)]
     schema = ", ".join(["k1 binary", *[f"{w} binary" for w in rest]])
     suffixes = texts.mapInArrow(common.trimmed(lambda it: _suffixes(it, max_n)), f"{schema}, c long")
-    salt = F.pmod(F.xxhash64(rest[0]), F.lit(SALTS)) if rest else F.lit(0)
-    dealt = suffixes.repartition("k1", salt).sortWithinPartitions(*[F.col(c).desc() for c in ["k1", *rest]])
-    found = common.stage(dealt.mapInArrow(lambda it: _counts(it, max_n, least), f"{schema}, len int, c long"), "phrase-counts")
+    # words go in the order of their hashes, which one number decides for most pairs of rows; equal prefixes stay together
+    one, two = F.xxhash64("k1"), F.xxhash64(rest[0]) if rest else F.lit(0).cast("long")
+    placed = suffixes.withColumn("h", F.shiftleft(one, 32).bitwiseOR(F.shiftrightunsigned(two, 32)))
+    salt = F.pmod(F.col("h"), F.lit(SALTS))
+    dealt = placed.repartition(F.shiftright("h", 32), salt).sortWithinPartitions(*[F.col(c).desc() for c in ["h", "k1", *rest]])
+    found = common.stage(dealt.select("k1", *rest, "c").mapInArrow(common.trimmed(lambda it: _counts(it, max_n, least)), f"{schema}, len int, c long"), "phrase-counts")
     head = F.col("k1").cast("string")
     lang, first = F.substring_index(head, "\t", -1), F.substring_index(head, "\t", -1)
     lang = F.left(head, F.char_length(head) - F.char_length(first) - 1)
@@ -195,10 +204,18 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, covered: int
     candidates = frequent.where("len > 1").withColumn("w", F.split("phrase", " "))
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len") - 1)))
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
-    cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("len") - F.col("k")).alias("right"), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = frequent.where(F.col("len") < max_n).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one word may be in many phrases
-    count = lambda side, name: copies.select("lang", F.col("phrase").alias(side), "salt", F.col("f").alias(name))
-    cuts = cuts.join(count("left", "l"), ["lang", "left", "salt"]).join(count("right", "r"), ["lang", "right", "salt"])
+    cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("len") - F.col("k")).alias("right"))
+    # a hot part is in many phrases: its phrases are dealt, its count is copied
+    every = total.agg(F.sum("n").alias("every"))
+    hot = frequent.where(F.col("len") < max_n).join(F.broadcast(every)).where(F.col("f") * HOT >= F.col("every")).select("lang", F.col("phrase").alias("part"))
+    hot = common.stage(hot, "phrases-hot")
+    shared = frequent.where(F.col("len") < max_n).select("lang", F.col("phrase").alias("part"), "f")
+    copies = shared.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["lang", "part"], "left")
+    copies = copies.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    for side, name in (("left", "l"), ("right", "r")):
+        flagged = cuts.join(F.broadcast(hot.select("lang", F.col("part").alias(side), F.lit(True).alias("hot"))), ["lang", side], "left")
+        salted = flagged.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+        cuts = salted.join(copies.select("lang", F.col("part").alias(side), "salt", F.col("f").alias(name)), ["lang", side, "salt"]).drop("salt")
     exact = F.expr("(cast(1000000 as decimal(7, 0)) * cast(a as decimal(15, 0)) * cast(a as decimal(15, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     scored = cuts.withColumn("score", exact).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("m"))
     subs = candidates.where("len > 2").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("len") - 1))).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("len") - F.col("size") + 1)))
