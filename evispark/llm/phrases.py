@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from evispark.llm import common
 
 #: Words whose suffixes a task counts together before it gives them away; bounds its memory and keeps three word numbers in 64 bits.
-TOGETHER = 1_250_000
+TOGETHER = 2_200_000
 #: Tasks over which the suffixes of one first word are dealt, by their second word; also copies of a hot part's count in joins.
 SALTS = 16
 #: A part is hot if it has one in so many of all words; so there are at most ``max_n`` times as many.
@@ -176,9 +176,8 @@ def counts(docs: DataFrame, max_n: int = 3, least: int = 10) -> tuple[DataFrame,
     suffixes = texts.mapInArrow(common.trimmed(lambda it: _suffixes(it, max_n)), f"{schema}, c long")
     # words go in the order of their hashes, which one number decides for most pairs of rows; equal prefixes stay together
     one, two = F.xxhash64("k1"), F.xxhash64(rest[0]) if rest else F.lit(0).cast("long")
-    placed = suffixes.withColumn("h", F.shiftleft(one, 32).bitwiseOR(F.shiftrightunsigned(two, 32)))
-    salt = F.pmod(F.col("h"), F.lit(SALTS))
-    dealt = placed.repartition(F.shiftright("h", 32), salt).sortWithinPartitions(*[F.col(c).desc() for c in ["h", "k1", *rest]])
+    dealt = suffixes.repartition("k1", F.pmod(two, F.lit(SALTS))).withColumn("h", F.shiftleft(one, 32).bitwiseOR(F.shiftrightunsigned(two, 32)))
+    dealt = dealt.sortWithinPartitions(*[F.col(c).desc() for c in ["h", "k1", *rest]])
     found = common.stage(dealt.select("k1", *rest, "c").mapInArrow(common.trimmed(lambda it: _counts(it, max_n, least)), f"{schema}, len int, c long"), "phrase-counts")
     head = F.col("k1").cast("string")
     lang, first = F.substring_index(head, "\t", -1), F.substring_index(head, "\t", -1)
