@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
+from evispark.operators import numbering
 
 FIELDS = ["pmid", "title", "journal", "year", "volume", "issue", "pages", "doi", "issn", "url", "language", "abstract", "pmcid"]
 #: Letters that lose their marks in a key, by the rule of canonical decomposition.
@@ -127,12 +128,11 @@ def _issue() -> Column:
 
 
 def vancouver(articles: DataFrame, order: str = "ord") -> DataFrame:
-    """Numbered entries; numbering takes one ordered pass over the selected articles."""
+    """Entries numbered by their position in ``order``, a number."""
     when = F.concat(year(), F.when(_issue() != "", F.concat(F.lit(";"), _issue())).otherwise(""), F.when(pages() != "", F.concat(F.lit(":"), pages())).otherwise(""))
     place = F.when(year() != "", F.concat(F.when(s("journal") != "", F.concat(s("journal"), F.lit(". "))).otherwise(""), when, F.lit("."))).otherwise(line("", s("journal"), "."))
     text = F.concat_ws(" ", line("", _few(F.transform(authors(), plain), 6), "."), line("", F.regexp_replace(s("title"), r"\.+$", ""), "."), place, line("doi:", s("doi"), "."), line("PMID: ", s("pmid"), "."))
-    n = F.row_number().over(Window.orderBy(order))
-    return complete(articles).select(order, F.concat(n.cast("string"), F.lit(". "), text).alias("text"))
+    return numbering.numbered(complete(articles), order, "_n").select(order, F.concat(F.col("_n").cast("string"), F.lit(". "), text).alias("text"))
 
 
 def gbt7714(articles: DataFrame, order: str = "ord") -> DataFrame:
@@ -140,8 +140,7 @@ def gbt7714(articles: DataFrame, order: str = "ord") -> DataFrame:
     tail = F.concat_ws(", ", F.nullif(s("journal"), F.lit("")), F.nullif(year(), F.lit("")), F.nullif(_issue(), F.lit("")))
     tail = F.when(tail != "", F.concat(tail, F.when(pages() != "", F.concat(F.lit(": "), pages())).otherwise(""), F.lit(".")))
     text = F.concat_ws(" ", line("", _few(names, 3), "."), line("", F.regexp_replace(s("title"), r"\.+$", ""), "[J]."), tail, line("DOI:", s("doi"), "."))
-    n = F.row_number().over(Window.orderBy(order))
-    return complete(articles).select(order, F.concat(F.lit("["), n.cast("string"), F.lit("] "), text).alias("text"))
+    return numbering.numbered(complete(articles), order, "_n").select(order, F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), text).alias("text"))
 
 
 FORMATS = {"bibtex": bibtex, "ris": ris, "endnote": endnote, "medline": medline, "vancouver": vancouver, "gbt7714": gbt7714}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
-from evispark.operators import extract
+from evispark.operators import extract, numbering
+from evispark.sources import staging
+
+#: A key is hot if it has one in so many of all rows; tasks over which its rows are dealt.
+HOT, SALTS = 1000, 16
 
 COMPARISON = {
     "标题": "title", "年份": "year", "期刊": "journal", "研究设计": "design", "证据等级": "cebm", "样本量": "n", "人群": "population", "主要终点": "primary_outcome", "关键效应量": "effects_text",
@@ -16,9 +19,8 @@ COMPARISON = {
 
 
 def comparison(profiles: DataFrame, order: str = "ord") -> DataFrame:
-    """The 16 visible columns. The number is a position: it takes one ordered pass over the selected articles."""
-    number = F.row_number().over(Window.orderBy(order))
-    return profiles.select(number.alias("序号"), *[F.col(c).alias(k) for k, c in COMPARISON.items()])
+    """The 16 visible columns. The number is the position in ``order``, a number."""
+    return numbering.numbered(profiles, order, "序号").select(F.col("序号").cast("int").alias("序号"), *[F.col(c).alias(k) for k, c in COMPARISON.items()])
 
 
 def md_cell(c: Column) -> Column:
@@ -143,15 +145,36 @@ def annotate(value: Column, state: Column, corrected: Column, filled: Column, fu
     return F.when(v != "", F.concat(v, F.when(corrected, " ✎").when(filled, " ⧉").otherwise(""))).otherwise(why)
 
 
+def _letters(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)))
+
+
 def term_documents(profiles: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, row_key`` where a term stands in title or conclusion and ends cleanly there. ``terms`` is a short list; up to 10,000 are sent to all tasks."""
-    doc = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("conclusion", F.lit(""))))
-    few = terms.select("term").distinct()
-    t = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few
+    """``profiles`` with ``term``, a row for each of their rows in whose title or conclusion a term stands and ends cleanly, with the lower-case text ``doc``.
+
+    Terms are found through the runs of letters in them. A run inside a term is a whole
+    run of the text too, and of these the rarest is the key; a term of one run may be the
+    end of a longer one, which the ends of all different runs tell. A term without
+    letters is found by its first sign. What is found is then looked up in the text, so
+    no text meets a term of which it has nothing. Blank terms are in no text.
+    """
+    docs = profiles.withColumn("doc", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("conclusion", F.lit("")))))
+    asked = terms.select("term", F.lower("term").alias("low")).where("trim(term) <> ''").distinct()
+    index = docs.select("row_key", F.explode(_letters(F.col("doc"))).alias("run"))
+    known = index.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+
+    inner = asked.withColumn("runs", F.array_distinct(F.regexp_extract_all("low", F.lit(r"\P{L}(\p{L}+)"), F.lit(1))))
+    keyed = inner.select("term", F.explode("runs").alias("run")).join(known, "run").groupBy("term").agg(F.min(F.struct("df", "run"))["run"].alias("run"))
+    ends = known.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.right(F.col("run"), i))).alias("end"))
+    lone = asked.where(F.col("low").rlike(r"^\p{L}+\P{L}*$") & (F.size(F.regexp_extract_all("low", F.lit(r"\P{L}(\p{L}+)"), F.lit(1))) == 0)).select("term", F.regexp_extract("low", r"^(\p{L}+)", 1).alias("end"))
+    found = keyed.unionByName(lone.join(ends, "end").select("term", "run")).join(index, "run").select("term", "row_key")
+    signs = docs.select("row_key", F.explode(F.array_distinct(F.split(F.regexp_replace("doc", r"[\p{L}\s]+", ""), ""))).alias("sign")).where("sign <> ''")
+    bare = asked.where(~F.col("low").rlike(r"\p{L}")).select("term", F.regexp_extract("low", r"(?s)(\S)", 1).alias("sign"))
+    found = found.unionByName(bare.join(signs, "sign").select("term", "row_key")).distinct()
+
     low = F.lower("term")
-    tails = F.slice(F.split("doc", F.concat(F.lit(r"\Q"), low, F.lit(r"\E"))), 2, 100_000)
-    clean = F.when(low.rlike(r"\p{L}$"), F.exists(tails, lambda x: ~x.rlike(r"^\p{L}"))).otherwise(F.size(tails) > 0)
-    return profiles.withColumn("doc", doc).join(t, F.contains("doc", low)).where(clean)
+    clean = ~low.rlike(r"\p{L}$") | F.expr(r"doc rlike concat('\\Q', replace(lower(term), '\\E', '\\E\\\\E\\Q'), '\\E($|\\P{L})')")
+    return docs.join(found, "row_key").where(F.contains("doc", low) & clean)
 
 
 def conflicts(profiles: DataFrame, terms: DataFrame) -> DataFrame:
@@ -165,8 +188,9 @@ def conflicts(profiles: DataFrame, terms: DataFrame) -> DataFrame:
     pol = by.where(sides >= 2).select(F.lit("结论极性").alias("type"), "term", F.when(some("good"), "高").otherwise("中").alias("confidence"), F.array_union(F.array_union("good", "null"), "harm").alias("studies"))
     eff = by.where(some("down") & some("up")).select(F.lit("效应方向").alias("type"), "term", F.lit("高").alias("confidence"), F.array_union("down", "up").alias("studies"))
     both = pol.unionByName(eff).withColumn("count", F.size("studies"))
-    a, b = both.alias("a"), both.alias("b")
-    wider = (F.col("a.type") == F.col("b.type")) & (F.size(F.array_except("a.studies", "b.studies")) == 0) & (
+    # a wider one has all studies of a, so its first too
+    a, b = both.withColumn("study", F.array_min("studies")).alias("a"), both.withColumn("study", F.explode("studies")).alias("b")
+    wider = (F.col("a.type") == F.col("b.type")) & (F.col("a.study") == F.col("b.study")) & (F.size(F.array_except("a.studies", "b.studies")) == 0) & (
         (F.col("b.count") > F.col("a.count")) | ((F.col("b.count") == F.col("a.count")) & (F.col("b.term") < F.col("a.term"))))
     return a.join(b, wider, "left_anti").select("type", "term", "confidence", "count", F.array_sort("studies").alias("studies"))
 
@@ -175,31 +199,41 @@ def title_key(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9一-鿿]", ""), 1, 80)
 
 
-def duplicates(articles: DataFrame, order: str = "ord", review: str | None = None) -> DataFrame:
-    """``n``, for each ``review`` if named: rows whose pmid or title a kept row had before.
+def kept(articles: DataFrame, order: str = "ord", review: str | None = None) -> DataFrame:
+    """``review, ord, kept`` of each article: kept is one whose pmid and title no kept article before it in ``order`` has.
 
-    What counts depends on what was kept, so a review's articles go by in reading
-    order; only the keys of those kept are held, as sets.
+    Goes in rounds over those that are open: who comes first with both of its keys is kept,
+    and who shares a key with one kept is not. Blank keys are none. Articles of the same
+    keys are one from the start; keys that many share are dealt to several tasks. Rounds
+    are as many as the longest chain of articles, each of which hangs on the one before.
     """
     group = F.col(review).cast("string") if review else F.lit("")
-    rows = articles.select(group.alias("review"), F.col(order).alias("ord"), F.trim(F.coalesce("pmid", F.lit(""))).alias("p"), title_key(F.col("title")).alias("t"))
-
-    def count(batches):
-        now, pmids, titles, n = None, set(), set(), 0
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.review != now:
-                    if now is not None:
-                        yield pd.DataFrame({"review": [now], "n": [n]})
-                    now, pmids, titles, n = r.review, set(), set(), 0
-                if (r.p and r.p in pmids) or (r.t and r.t in titles):
-                    n += 1
-                else:
-                    pmids.add(r.p), titles.add(r.t)
-        if now is not None:
-            yield pd.DataFrame({"review": [now], "n": [n]})
-
-    got = rows.repartition("review").sortWithinPartitions("review", "ord").mapInPandas(count, "review string, n int")
+    rows = articles.select(F.coalesce(group, F.lit("")).alias("review"), F.col(order).alias("ord"), F.trim(F.coalesce("pmid", F.lit(""))).alias("p"), title_key(F.col("title")).alias("t"))
+    rows, _ = staging.written(rows.withColumn("at", F.struct("ord", F.monotonically_increasing_id().alias("i"))), "kept-rows")
+    named = rows.where("p <> '' or t <> ''")
+    open_, _ = staging.written(named.groupBy("review", "p", "t").agg(F.min("at").alias("at")), "kept-open")
+    sides = lambda df: df.select("review", "at", F.explode(F.filter(F.array(F.concat(F.lit("p"), F.col("p")), F.concat(F.lit("t"), F.col("t"))), lambda k: F.length(k) > 1)).alias("key"))
+    # at most HOT * 2 keys can be in so large a part of the rows
+    shares = sides(open_).groupBy("review", "key").agg(F.count(F.lit(1)).alias("c"))
+    every = open_.agg(F.count(F.lit(1)).alias("every"))
+    hot, _ = staging.written(shares.join(F.broadcast(every)).where(F.col("c") * HOT >= F.col("every")).where("c > 1").select("review", "key", F.lit(True).alias("hot")), "kept-hot")
+    taken = rows.where("false").select("review", "at")
+    while open_.limit(1).count():
+        keys = sides(open_)
+        firsts = keys.groupBy("review", "key").agg(F.min("at").alias("at")).groupBy("review", "at").agg(F.count(F.lit(1)).alias("f"))
+        new, _ = staging.written(open_.join(firsts, ["review", "at"]).where("f = cast(p <> '' as int) + cast(t <> '' as int)").drop("f"), "kept-new")
+        taken = taken.unionByName(new.select("review", "at"))
+        copies = sides(new).join(F.broadcast(hot), ["review", "key"], "left").select("review", "key", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        dealt = keys.join(F.broadcast(hot), ["review", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0))
+        struck = dealt.join(copies, ["review", "key", "salt"], "left_semi").select("review", "at").distinct()
+        open_, _ = staging.written(open_.join(struck, ["review", "at"], "left_anti"), "kept-open")
+    alone = rows.where("p = '' and t = ''").select("review", "ord", F.lit(True).alias("kept"))
+    return named.join(taken.withColumn("yes", F.lit(True)), ["review", "at"], "left").select("review", "ord", F.coalesce("yes", F.lit(False)).alias("kept")).unionByName(alone)
+
+
+def duplicates(articles: DataFrame, order: str = "ord", review: str | None = None) -> DataFrame:
+    """``n``, for each ``review`` if named: rows whose pmid or title a kept row had before, see :func:`kept`."""
+    got = kept(articles, order, review).groupBy("review").agg(F.count_if(~F.col("kept")).cast("int").alias("n"))
     return got if review else got.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n"))
 
 

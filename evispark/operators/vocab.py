@@ -141,3 +141,79 @@ def split_concepts(keywords: DataFrame, known: DataFrame) -> DataFrame:
     single = F.filter(F.transform("w", lambda t, i: F.struct(i.alias("i"), F.lit(1).alias("n"), t.alias("text"), F.lit(None).cast("string").alias("heading"))),
                       lambda x: ~F.exists("p", lambda y: (y["i"] <= x["i"]) & (x["i"] < y["i"] + y["n"])))
     return got.select("id", F.posexplode(F.array_sort(F.concat("p", single.cast(kind)))).alias("ord", "c")).select("id", "ord", "c.text", "c.heading")
+
+
+#: Letters up to which a word's variants with letters left out are its keys, and longer ones their pieces.
+SHORT = 16
+
+
+def _left_out(word: Column) -> Column:
+    """The word, and it without each one and each two of its letters."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    once = without(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, without))))
+
+
+def _piece(n: Column, i: int) -> tuple[Column, Column]:
+    """Start, from 1, and length of the third ``i`` of ``n`` letters."""
+    lo, hi = F.floor(n * i / 3).cast("int"), F.floor(n * (i + 1) / 3).cast("int")
+    return lo + 1, hi - lo
+
+
+def _keys(word: Column, names: bool) -> Column:
+    """Keys of which words within two edits share one.
+
+    Two edits leave one of three pieces of a longer name whole, moved by two letters at
+    most; which of its substrings that may be is tried for each length the name can have.
+    """
+    tagged = lambda a, tag: F.transform(a, lambda x: F.concat(tag, x))
+    n, none = F.length(word), F.array().cast("array<string>")
+    short = F.when(n <= SHORT + 2, tagged(_left_out(word), F.lit("d|"))).otherwise(none)
+
+    def pieces(size: Column) -> list[Column]:
+        out = []
+        for i in range(3):
+            start, width = _piece(size, i)
+            tag = F.concat(F.lit(f"{i}|"), size.cast("string"), F.lit("|"))
+            starts = F.array(start) if names else F.filter(F.array(*[start + k for k in range(-2, 3)]), lambda s: s >= 1)
+            out.append(tagged(F.transform(starts, lambda s, width=width: F.substring(word, s, width)), tag))
+        return out
+
+    sizes = [n] if names else [n + k for k in range(-2, 3)]
+    long = F.when(n > SHORT, F.array_distinct(F.concat(*[p for s in sizes for p in pieces(s)]))).otherwise(none)
+    return F.concat(short, long)
+
+
+def nearest(terms: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
+    """``term, name, edits``: of ``names(name, weight)`` the nearest to each of ``terms(term)`` within ``most`` (1 or 2) edits.
+
+    Of equally near ones the heaviest, then the first by code points. No pair of a term and
+    a name is compared that shares no key: letters left out for short words, pieces for long ones.
+    Case counts; nulls and blanks have no neighbours; terms without one give no row.
+    """
+    if most not in (1, 2):
+        raise ValueError("most is 1 or 2")
+    filled = lambda df, c: df.where(F.col(c).isNotNull() & (F.col(c) != ""))
+    asked = filled(terms, "term").select("term").distinct().withColumn("key", F.explode(_keys(F.col("term"), False)))
+    known = filled(names, "name").groupBy("name").agg(F.max("weight").alias("weight")).withColumn("key", F.explode(_keys(F.col("name"), True)))
+    pairs = asked.join(known, "key").select("term", "name", "weight").distinct().withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
+    best = pairs.groupBy("term").agg(F.min(F.struct("edits", (-F.col("weight")).alias("w"), "name")).alias("b"))
+    return best.select("term", "b.name", "b.edits")
+
+
+def suggest(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """``term, suggestion`` for terms that are no name themselves, whatever the case, and have one within two edits."""
+    low = names.select(F.lower("name").alias("name"), "weight")
+    asked = terms.select("term", F.lower("term").alias("low")).where("low is not null").distinct()
+    open_ = asked.join(low.select(F.col("name").alias("low")), "low", "left_anti")
+    found = nearest(open_.select(F.col("low").alias("term")), low).select(F.col("term").alias("low"), F.col("name").alias("suggestion"))
+    return open_.join(found, "low").select("term", "suggestion")
+
+
+def resolve_nearest(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``name, resolved`` as :func:`resolve_journals` where the catalogue has the name, else the abbreviation of the title nearest to it within two edits, else the name."""
+    titles = catalogue.where(X.filled(F.col("abbreviation"))).groupBy(journal_name(F.col("title")).alias("name")).agg(F.min(F.struct("ord", "abbreviation"))["abbreviation"].alias("abbreviation")).where("name <> ''")
+    asked = names.select("name", journal_name(F.col("name")).alias("k")).distinct()
+    near = nearest(asked.select(F.col("k").alias("term")), titles.select("name", F.lit(0).alias("weight"))).select(F.col("term").alias("k"), F.col("name").alias("title"))
+    got = asked.join(near, "k", "left").join(titles.select(F.col("name").alias("title"), "abbreviation"), "title", "left")
+    return names.join(got.select("name", F.coalesce("abbreviation", "name").alias("resolved")), "name")

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evispark.plans.catalogue import query, t
-from evispark.sources import xmlrecords
+from evispark.operators import compare, numbering, vocab
+from evispark.sources import paged, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
 
@@ -85,3 +86,53 @@ def xml_fulltexts(spark, d):
 def xml_figures(spark, d):
     got = xmlrecords.figure_rows(_fulltext_xml(spark, d))
     return got.select("page_id", F.explode("figures.figures").alias("f")).select("page_id", F.col("f.label").alias("label"), F.md5("f.caption").alias("caption"), "f.file", "f.fig_id")
+
+
+# --- a source of pages, whose pages Spark writes from a table
+
+@query("""SELECT doc_id::VARCHAR AS id, row_number() OVER (ORDER BY doc_id) - 1 AS ord, count(*) OVER () AS total, md5(text) AS record, CASE WHEN text IS NULL THEN 'not fetched' END AS error FROM documents""")
+def paged_documents(spark, d):
+    rows = numbering.numbered(t(spark, d, "documents").select("doc_id", "text"), "doc_id").select((F.col("n") - 1).alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("record"))
+    _, root = staging.written(rows.repartitionByRange("ord").sortWithinPartitions("ord"), "paged-documents")
+    got = paged.read(spark, paged.TableTransport, "all", limit=1 << 40, root=root, page=2000)
+    return got.select("id", "ord", "total", F.md5("record").alias("record"), "error")
+
+
+# --- duplicates in reading order, terms in texts, nearest names
+
+_ARTICLES = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE (length(text) % 200)::VARCHAR END AS p, left(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9一-鿿]', '', 'g'), 80) AS t, doc_id % 7 = 0 AS bare FROM documents"""
+
+
+@query(f"""WITH r AS (SELECT doc_id, list_filter(['p' || p, CASE WHEN bare THEN '' ELSE 't' || t END], lambda k: length(k) > 1) AS keys, doc_id % 5 AS review FROM ({_ARTICLES})),
+ f AS (SELECT review, list_reduce([{{'k': NULL::VARCHAR[], 's': []::VARCHAR[], 'n': 0}}] || list({{'k': keys, 's': []::VARCHAR[], 'n': 0}} ORDER BY doc_id),
+  lambda a, x: CASE WHEN list_has_any(a.s, x.k) THEN {{'k': x.k, 's': a.s, 'n': a.n + 1}} ELSE {{'k': x.k, 's': a.s || x.k, 'n': a.n}} END) AS z FROM r GROUP BY review)
+ SELECT review::VARCHAR AS review, z.n AS n FROM f""")
+def duplicates_by_review(spark, d):
+    rows = t(spark, d, "documents").select(
+        F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "").otherwise((F.length("text") % 200).cast("string")).alias("pmid"),
+        F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), (F.col("doc_id") % 5).alias("review"))
+    return compare.duplicates(rows, review="review")
+
+
+@query("""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS doc FROM documents),
+ terms AS (SELECT DISTINCT lower(unnest([split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2), split_part(text, ' ', 3), split_part(text, ' ', 5) || ' ' || split_part(text, ' ', 6) || ' ' || split_part(text, ' ', 7)])) AS term FROM benchmark),
+ h AS (SELECT term, doc_id, doc FROM terms, a WHERE trim(term) <> '' AND contains(doc, term))
+ SELECT term, count(*) AS docs, sum(doc_id)::BIGINT AS ids FROM h
+ WHERE NOT regexp_matches(term, '\\p{L}$') OR regexp_matches(doc, regexp_escape(term) || '($|\\P{L})') GROUP BY term""")
+def terms_in_documents(spark, d):
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    terms = t(spark, d, "benchmark").select(F.explode(F.array(F.concat_ws(" ", word(1), word(2)), word(3), F.concat_ws(" ", word(5), word(6), word(7)))).alias("term")).select(F.lower("term").alias("term"))
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("row_key"), F.col("text").alias("title"), F.lit(None).cast("string").alias("conclusion"))
+    return compare.term_documents(rows, terms).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("row_key").alias("ids"))
+
+
+_WORDS = "SELECT lower(unnest(regexp_extract_all({}, '[A-Za-z]{{3,}}'))) AS w FROM {}"
+
+
+@query(f"""WITH v AS (SELECT w AS name, count(*) AS weight FROM ({_WORDS.format('text', 'documents')}) GROUP BY w HAVING count(*) >= 20), q AS (SELECT DISTINCT w AS term FROM ({_WORDS.format('text', 'benchmark')}) WHERE w NOT IN (SELECT name FROM v)),
+ p AS (SELECT term, name, weight, levenshtein(term, name) AS edits FROM q, v WHERE abs(length(term) - length(name)) <= 2)
+ SELECT term, name AS suggestion FROM p WHERE edits <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY edits, weight DESC, name) = 1""")
+def spelling_suggestions(spark, d):
+    words = lambda name: t(spark, d, name).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("w"))
+    names = words("documents").groupBy(F.col("w").alias("name")).agg(F.count(F.lit(1)).alias("weight")).where("weight >= 20")
+    return vocab.suggest(words("benchmark").select(F.col("w").alias("term")), names)
