@@ -81,6 +81,67 @@ def health(calls: DataFrame, last_day: Column, days: int = 7, known: list[str] |
     return c.groupBy("dep").agg(ok.alias("ok"), fail.alias("fail"), F.bround(F.try_divide(ok * 100.0, F.count(F.lit(1))), 1).alias("rate"))
 
 
+def dependency(name: Column) -> Column:
+    """A call's dependency; names that are not known are ``other``."""
+    return F.when(name.isin(*L.DEPENDENCIES), name).otherwise("other")
+
+
+def health_rolling(calls: DataFrame, days: int = 7) -> DataFrame:
+    """``day, dep, ok, fail, rate`` over ``days`` days up to each day, for each dependency from its first day to its last.
+
+    Days without calls are there too. Calls are counted by day first, so a window has a
+    row for a day. The rate has one decimal and is null where the days have no calls.
+    """
+    ok = F.coalesce("ok", F.lit(False))
+    daily = calls.where("ts is not null").groupBy("dep", F.to_date("ts").alias("day")).agg(F.count_if(ok).alias("k"), F.count_if(~ok).alias("b"))
+    span = daily.groupBy("dep").agg(F.min("day").alias("a"), F.max("day").alias("z")).select("dep", F.explode(F.sequence("a", "z")).alias("day"))
+    full = span.withColumn("same", F.coalesce("dep", F.lit(""))).join(daily.select(F.coalesce("dep", F.lit("")).alias("same"), "day", "k", "b"), ["same", "day"], "left")
+    w = Window.partitionBy("same").orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
+    s = full.select("day", "dep", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("ok"), F.coalesce(F.sum("b").over(w), F.lit(0)).alias("fail"))
+    return s.withColumn("rate", F.bround(F.try_divide(F.col("ok") * 100.0, F.col("ok") + F.col("fail")), 1))
+
+
+def cache_reads(ops: DataFrame, days: dict[str, float] | None = None) -> DataFrame:
+    """``kind, key, ts, seq, hit, value`` of each read in ``ops(kind, key, ts, seq, op, value)``, in the order of ``(ts, seq)``.
+
+    A read hits what was put last, if its kind's days are not over and it was not cleared since.
+    """
+    life = F.create_map(*[F.lit(x) for k, v in ({k: v for k, (v, _) in L.CACHE.items()} if days is None else days).items() for x in (k, float(v))])
+    w = Window.partitionBy("kind", "key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("op").isin("put", "clear"), F.struct("op", "value", F.col("ts").alias("at"))), ignorenulls=True).over(w)
+    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last.at").cast("timestamp"))
+    fresh = age <= F.coalesce(F.try_element_at(life, F.col("kind")), F.lit(0.0)) * 86_400_000_000
+    rows = ops.withColumn("last", last).where("op = 'get'").withColumn("hit", F.coalesce((F.col("last.op") == "put") & fresh, F.lit(False)))
+    return rows.select("kind", "key", "ts", "seq", "hit", F.when(F.col("hit"), F.col("last.value")).alias("value"))
+
+
+def job_grants(events: DataFrame) -> DataFrame:
+    """``id, ts, seq, granted`` of each ``consume`` in ``events(id, ts, seq, event)``: the first after a job that was started has ended (done or error) gets its result, no other does."""
+    w, at = Window.partitionBy("id"), F.struct("ts", "seq")
+    first = lambda what, after=None: F.min(F.when(what if after is None else what & (at > after), at)).over(w)
+    e = F.col("event")
+    rows = events.withColumn("_start", first(e == "start"))
+    rows = rows.withColumn("_end", first(e.isin("done", "error"), F.col("_start")))
+    rows = rows.withColumn("_taken", first(e == "consume", F.col("_end")))
+    return rows.where(e == "consume").select("id", "ts", "seq", F.coalesce(at == F.col("_taken"), F.lit(False)).alias("granted"))
+
+
+def pruned(log: DataFrame, today: Column, days: int = 14) -> DataFrame:
+    """Rows of ``log(ts)`` not older than ``days`` days."""
+    return log.where(F.to_date("ts") >= F.date_sub(today, days))
+
+
+def tail(log: DataFrame, lines: int = 100) -> DataFrame:
+    """The latest ``lines`` rows of ``log(ts, seq)``, in order."""
+    return log.orderBy(F.desc("ts"), F.desc("seq")).limit(lines).orderBy("ts", "seq")
+
+
+def spans(log: DataFrame) -> DataFrame:
+    """``ts, name, failed, ms`` of the lines of ``log(ts, message)`` that end a span: ``← name 完成 · 12ms``, or 失败 where it failed."""
+    part = lambda i: F.regexp_extract("message", r"^← (.+) (完成|失败) · (\d{1,18})ms$", i)
+    return log.where(part(1) != "").select("ts", part(1).alias("name"), (part(2) == "失败").alias("failed"), part(3).cast("long").alias("ms"))
+
+
 def errors(log: DataFrame, last_day: Column, days: int = 7) -> DataFrame:
     """``errors, last_error`` of ``log(ts, detail)`` in the last days: how many with a detail, and the latest, cut to 200 characters."""
     d = F.to_date("ts")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evispark.plans.catalogue import query, t
-from evispark.operators import compare, numbering, vocab
+from evispark.operators import compare, numbering, telemetry, vocab
 from evispark.sources import paged, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -136,3 +136,50 @@ def spelling_suggestions(spark, d):
     words = lambda name: t(spark, d, name).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("w"))
     names = words("documents").groupBy(F.col("w").alias("name")).agg(F.count(F.lit(1)).alias("weight")).where("weight >= 20")
     return vocab.suggest(words("benchmark").select(F.col("w").alias("term")), names)
+
+
+# --- calls, a cache, jobs and a log made of events
+
+@query("""WITH c AS (SELECT event_type AS dep, ts::DATE AS day, count(*) FILTER (WHERE value >= 5) AS k, count(*) FILTER (WHERE NOT coalesce(value >= 5, false)) AS b FROM events WHERE ts IS NOT NULL AND extract('day' FROM ts) % 9 <> 4 GROUP BY ALL),
+ s AS (SELECT dep, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c GROUP BY dep), f AS (SELECT s.dep, s.day, coalesce(k, 0) AS k, coalesce(b, 0) AS b FROM s LEFT JOIN c ON c.dep = s.dep AND c.day = s.day),
+ w AS (SELECT day, dep, (sum(k) OVER x)::BIGINT AS ok, (sum(b) OVER x)::BIGINT AS fail FROM f WINDOW x AS (PARTITION BY dep ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))
+ SELECT *, CASE WHEN ok + fail > 0 THEN round_even(ok * 100.0::DOUBLE / (ok + fail), 1) END AS rate FROM w""")
+def health_rolling_7d(spark, d):
+    calls = t(spark, d, "events").where("extract(day from ts) % 9 <> 4").select("ts", F.col("event_type").alias("dep"), (F.col("value") >= 5).alias("ok"))
+    return telemetry.health_rolling(calls)
+
+
+def _cache_ops(spark, d):
+    n = F.col("event_id") % 10
+    op = F.when(n < 3, "put").when(n == 3, "clear").otherwise("get")
+    return t(spark, d, "events").select(F.when(F.col("event_id") % 3 == 0, "search").otherwise("fulltext").alias("kind"), F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("key"), "ts", F.col("event_id").alias("seq"), op.alias("op"), F.col("event_type").alias("value"))
+
+
+@query("""WITH o AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'search' ELSE 'fulltext' END AS kind, 'k' || user_id % 40 AS key, ts, event_id AS seq, event_id % 10 AS n, event_type AS value FROM events),
+ l AS (SELECT *, last_value(CASE WHEN n <= 3 THEN {'put': n < 3, 'value': value, 'at': ts} END IGNORE NULLS) OVER (PARTITION BY kind, key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS last FROM o),
+ h AS (SELECT *, coalesce(last.put AND ts - last.at <= CASE kind WHEN 'search' THEN INTERVAL 3 DAYS ELSE INTERVAL 7 DAYS END, false) AS hit FROM l WHERE n > 3)
+ SELECT kind, key, seq, hit, CASE WHEN hit THEN last.value END AS value FROM h""")
+def cache_reads(spark, d):
+    return telemetry.cache_reads(_cache_ops(spark, d)).drop("ts")
+
+
+def _job_events(spark, d):
+    n = F.col("event_id") % 7
+    event = F.when(n == 0, "start").when(n < 3, "done").when(n == 3, "error").otherwise("consume")
+    return t(spark, d, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type"), F.lit("-"), F.dayofmonth("ts").cast("string")).alias("id"), "ts", F.col("event_id").alias("seq"), event.alias("event"))
+
+
+@query("""WITH e AS (SELECT user_id || '-' || event_type || '-' || extract('day' FROM ts) AS id, (ts, event_id) AS p, event_id AS seq, event_id % 7 AS n FROM events),
+ s AS (SELECT id, min(p) AS s FROM e WHERE n = 0 GROUP BY id), f AS (SELECT id, min(p) AS f FROM e JOIN s USING (id) WHERE n BETWEEN 1 AND 3 AND p > s GROUP BY id), c AS (SELECT id, min(p) AS c FROM e JOIN f USING (id) WHERE n > 3 AND p > f GROUP BY id)
+ SELECT id, seq, coalesce(p = c, false) AS granted FROM e LEFT JOIN c USING (id) WHERE n > 3""")
+def job_grants(spark, d):
+    return telemetry.job_grants(_job_events(spark, d)).drop("ts")
+
+
+@query("""WITH l AS (SELECT event_type || '/' || user_id % 3 AS name, event_id % 11 = 0 AS failed, (value * 10)::BIGINT AS ms FROM events WHERE event_id % 4 <> 0 AND ts::DATE >= DATE '2024-01-30' - 14)
+ SELECT name, count(*) AS spans, count(*) FILTER (WHERE failed) AS failed, max(ms) AS longest_ms, sum(ms)::BIGINT AS total_ms FROM l GROUP BY name""")
+def log_spans(spark, d):
+    name, ms = F.concat(F.col("event_type"), F.lit("/"), (F.col("user_id") % 3).cast("string")), F.bround(F.col("value") * 10).cast("long").cast("string")
+    line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("→ "), name)).otherwise(F.concat(F.lit("← "), name, F.when(F.col("event_id") % 11 == 0, " 失败").otherwise(" 完成"), F.lit(" · "), ms, F.lit("ms")))
+    log = telemetry.pruned(t(spark, d, "events").select("ts", line.alias("message")), F.lit("2024-01-30").cast("date"))
+    return telemetry.spans(log).groupBy("name").agg(F.count(F.lit(1)).alias("spans"), F.count_if("failed").alias("failed"), F.max("ms").alias("longest_ms"), F.sum("ms").alias("total_ms"))

@@ -15,8 +15,3 @@ def daily_uniques(hits: DataFrame, late: str = "1 day") -> DataFrame:
     day = F.window("ts", "1 day")
     once = hits.withWatermark("ts", late).withColumn("d", F.to_date("ts")).dropDuplicatesWithinWatermark(["d", "visitor"])
     return once.groupBy(day.alias("w"), "channel").agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "channel", "n")
-
-
-def health_log(calls: DataFrame, path: str, checkpoint: str):
-    """Append calls to a table in micro-batches of five seconds."""
-    return calls.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="5 seconds").start()
