@@ -25,8 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+t = S.table
 
 
 # --- SQL texts that several twins share
@@ -167,7 +166,7 @@ def url_digests(spark, d):
 
 # --- extraction ------------------------------------------------------------------
 
-_ART = S.values(S.ARTICLES, S.ARTICLE_COLUMNS)
+_ART = S.ARTICLES_SQL
 
 
 def _sizes_sql() -> str:
@@ -178,7 +177,7 @@ def _sizes_sql() -> str:
 
 @query(_sizes_sql())
 def sample_size(spark, d):
-    return S.articles(spark).select("ord", extract.largest_size(F.col("abstract")).alias("n"))
+    return S.articles(spark, d).select("ord", extract.largest_size(F.col("abstract")).alias("n"))
 
 
 def _effects_sql() -> str:
@@ -191,7 +190,7 @@ def _effects_sql() -> str:
 
 @query(_effects_sql())
 def effects(spark, d):
-    e = S.articles(spark).select("ord", extract.effects(F.col("abstract")).alias("e"))
+    e = S.articles(spark, d).select("ord", extract.effects(F.col("abstract")).alias("e"))
     return e.select("ord", *[F.array_join(F.col("e")[k], "/").alias(k) for k in extract.RATIOS], F.array_join(F.transform(F.col("e")["CI"], lambda c: F.replace(c, F.lit("95% CI "), F.lit(""))), "|").alias("ci"), F.array_join(F.col("e")["P"], "|").alias("p"))
 
 
@@ -212,7 +211,7 @@ def _polarity_sql() -> str:
 
 @query(_polarity_sql())
 def polarity(spark, d):
-    return S.articles(spark).select("ord", extract.polarity(F.col("abstract")).alias("p")).select("ord", F.col("p.label").alias("polarity"), "p.cue")
+    return S.articles(spark, d).select("ord", extract.polarity(F.col("abstract")).alias("p")).select("ord", F.col("p.label").alias("polarity"), "p.cue")
 
 
 def _design_sql() -> str:
@@ -223,23 +222,23 @@ def _design_sql() -> str:
 
 @query(_design_sql())
 def design(spark, d):
-    a = extract.with_sections(S.articles(spark))
+    a = extract.with_sections(S.articles(spark, d))
     return a.select("ord", extract.design()["label"].alias("design"))
 
 
 @query(f"""WITH x AS (SELECT ord, coalesce(abstract, '') AS a FROM ({_ART})), m AS (SELECT ord, regexp_extract(a, '{extract.FOLLOW_EN}', 1) AS v, lower(regexp_extract(a, '{extract.FOLLOW_EN}', 2)) AS u FROM x)
  SELECT ord, CASE WHEN v = '' THEN NULL ELSE round_even(CASE WHEN u IN ('month', 'mo') THEN v::DOUBLE WHEN u IN ('year', 'yr') THEN v::DOUBLE * 12 WHEN u = 'week' THEN v::DOUBLE / 4.345::DOUBLE ELSE v::DOUBLE / 30.44::DOUBLE END, 1) END AS months FROM m""")
 def followup_months(spark, d):
-    return S.articles(spark).select("ord", extract.followup(F.coalesce("abstract", F.lit("")))["months"].alias("months"))
+    return S.articles(spark, d).select("ord", extract.followup(F.coalesce("abstract", F.lit("")))["months"].alias("months"))
 
 
 _DIM = S.values(L.DESIGN_DIM, "design string, base double, layer string, cebm string, grade string, toolkit string")
 
 
 @query(f"""SELECT r.row_key, d.layer, d.cebm, d.grade, d.toolkit, round(s, 1) AS score, CASE WHEN s >= 4 THEN '强' WHEN s >= 2.5 THEN '中' ELSE '弱' END AS strength FROM
- (SELECT row_key, design, base + CASE WHEN n >= 1000 THEN 1 WHEN n >= 100 THEN 0.5 ELSE 0 END + CASE WHEN has_interval THEN 0.5 ELSE 0 END AS s FROM ({S.values(S.ROWS, S.ROW_COLUMNS)})) r LEFT JOIN ({_DIM}) d USING (design)""")
+ (SELECT row_key, design, base + CASE WHEN n >= 1000 THEN 1 WHEN n >= 100 THEN 0.5 ELSE 0 END + CASE WHEN has_interval THEN 0.5 ELSE 0 END AS s FROM ({S.ROWS_SQL})) r LEFT JOIN ({_DIM}) d USING (design)""")
 def evidence_strength(spark, d):
-    r = S.frame(spark, S.ROWS, S.ROW_COLUMNS).drop("cebm").join(F.broadcast(extract.dimension(spark).drop("base")), "design", "left")
+    r = S.rows(spark, d).drop("cebm").join(F.broadcast(extract.dimension(spark).drop("base")), "design", "left")
     s = extract.strength(F.col("base"), F.col("n"), F.col("has_interval"))
     return r.select("row_key", "layer", "cebm", "grade", "toolkit", s["score"].alias("score"), s["label"].alias("strength"))
 
@@ -250,7 +249,7 @@ _LOWS = f"x AS (SELECT ord, coalesce(abstract, '') AS a, lower(coalesce(title, '
 @query(f"WITH {_LOWS} SELECT ord, " + ", ".join(f"{hit('low', c)} AS {k}" for k, c in L.CUES.items()) + " FROM x")
 def bias_cues(spark, d):
     low = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit(""))))
-    return S.articles(spark).select("ord", *[(X.first_hit(low, c) != "").alias(k) for k, c in L.CUES.items()])
+    return S.articles(spark, d).select("ord", *[(X.first_hit(low, c) != "").alias(k) for k, c in L.CUES.items()])
 
 
 def _flag_sql() -> str:
@@ -274,55 +273,55 @@ def _flag_sql() -> str:
 
 @query(_flag_sql())
 def bias_flags(spark, d):
-    p = extract.profile(S.articles(spark))
+    p = extract.profile(S.articles(spark, d))
     return p.select("ord", F.explode_outer("flags").alias("f")).select("ord", "f.key")
 
 
 @query()
 def profiles(spark, d):
-    p = extract.profile(S.articles(spark))
+    p = extract.profile(S.articles(spark, d))
     return p.select("ord", "design", "n", "population", "intervention", "primary_outcome", "effects_text", "conclusion", "polarity", "polarity_cue", "bias_label", "bias_brief", "evidence.label", "setting", "source_label")
 
 
 @query()
 def comparison_table(spark, d):
-    return compare.comparison(extract.profile(S.articles(spark)))
+    return compare.comparison(extract.profile(S.articles(spark, d)))
 
 
 @query()
 def bias_overview(spark, d):
-    return bias.overview(extract.profile(S.articles(spark)))
+    return bias.overview(extract.profile(S.articles(spark, d)))
 
 
 # --- across articles ---------------------------------------------------------------
 
-_ROWS = S.values(S.ROWS, S.ROW_COLUMNS)
+_ROWS = S.ROWS_SQL
 
 
-def _rows(spark):
-    return S.frame(spark, S.ROWS, S.ROW_COLUMNS)
+def _rows(spark, d):
+    return S.rows(spark, d)
 
 
 @query(f"""SELECT CASE WHEN design IS NOT NULL THEN 'design' WHEN polarity IS NOT NULL THEN 'polarity' ELSE 'cebm' END AS dimension, coalesce(design, polarity, cebm) AS value, count(*) AS n FROM ({_ROWS}) GROUP BY GROUPING SETS ((design), (polarity), (cebm))""")
 def summary_stats(spark, d):
-    return compare.summary(_rows(spark))
+    return compare.summary(_rows(spark, d))
 
 
 @query(f"""SELECT count(*) AS total, min(y) AS year_from, max(y) AS year_to, coalesce(sum(n), 0)::BIGINT AS n_total, count(*) FILTER (WHERE n IS NULL) AS n_missing, count(*) FILTER (WHERE coalesce(pmcid, '') <> '') AS with_fulltext
  FROM (SELECT *, TRY_CAST(left(year, 4) AS INT) AS y FROM ({_ROWS}))""")
 def summary_totals(spark, d):
-    return compare.totals(_rows(spark))
+    return compare.totals(_rows(spark, d))
 
 
 @query(f"""SELECT row_key, (CASE WHEN design <> '未识别' THEN 1 ELSE 0 END + CASE WHEN n IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN population <> '' THEN 1 ELSE 0 END + CASE WHEN primary_outcome <> '' THEN 1 ELSE 0 END
  + CASE WHEN effects_text <> '' THEN 1 ELSE 0 END + CASE WHEN conclusion <> '' THEN 1 ELSE 0 END)::INT AS filled FROM ({_ROWS})""")
 def completeness(spark, d):
-    return compare.completeness(_rows(spark)).select("row_key", "filled")
+    return compare.completeness(_rows(spark, d)).select("row_key", "filled")
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE design <> '未识别') AS recognized, count(*) FILTER (WHERE design <> '未识别') * 100.0::DOUBLE / count(*) AS rate FROM ({_ROWS})")
 def design_report(spark, d):
-    return compare.design_report(_rows(spark))
+    return compare.design_report(_rows(spark, d))
 
 
 @query(f"""WITH c AS (SELECT row_key, max(value) FILTER (WHERE field = '样本量') AS n1, max(value) FILTER (WHERE field = '人群') AS p1, max(value) FILTER (WHERE field = '结论') AS c1 FROM ({S.values(S.CORRECTIONS, 'row_key string, field string, value string')}) GROUP BY row_key)
@@ -330,7 +329,7 @@ def design_report(spark, d):
  CASE WHEN c1 IS NULL THEN polarity WHEN contains(lower(c1), 'no benefit') THEN '{L.NULL}' ELSE polarity END AS polarity FROM ({_ROWS}) LEFT JOIN c USING (row_key)""")
 def corrections_applied(spark, d):
     none = F.array().cast("array<string>")
-    r = _rows(spark).withColumn("effects", F.struct(*[none.alias(k) for k in ("HR", "OR", "RR", "IRR", "CI", "P", "MD")]))
+    r = _rows(spark, d).withColumn("effects", F.struct(*[none.alias(k) for k in ("HR", "OR", "RR", "IRR", "CI", "P", "MD")]))
     return compare.correct(r, S.frame(spark, S.CORRECTIONS, "row_key string, field string, value string")).select("row_key", "n", "population", "conclusion", "polarity")
 
 
@@ -346,7 +345,7 @@ def _conflict_sql() -> str:
 
 @query(_conflict_sql())
 def conflicts_by_term(spark, d):
-    return compare.conflicts(_rows(spark), S.frame(spark, S.TERMS, "term string")).withColumn("studies", F.array_join("studies", ","))
+    return compare.conflicts(_rows(spark, d), S.frame(spark, S.TERMS, "term string")).withColumn("studies", F.array_join("studies", ","))
 
 
 _PR = "id int, total_hits int, retrieved int, duplicates int, excluded_screening int, excluded_fulltext int"
@@ -361,7 +360,7 @@ def prisma_flow(spark, d):
 
 @query()
 def duplicate_count(spark, d):
-    return compare.duplicates(S.articles(spark))
+    return compare.duplicates(S.articles(spark, d))
 
 
 # --- vocabulary -----------------------------------------------------------------------
@@ -438,7 +437,7 @@ _RIS = _lines(["'TY  - JOUR'", _each("AU  - ", _COMMA), _ln("TI  - ", _G("title"
 
 @query(f"SELECT ord, {_RIS} AS text FROM ({_ART})")
 def cite_ris(spark, d):
-    return cite.ris(S.articles(spark))
+    return cite.ris(S.articles(spark, d))
 
 
 _END = _lines(["'%0 Journal Article'", _each("%A ", _COMMA), _ln("%T ", _G("title")), _ln("%J ", _G("journal")), _ln("%D ", f"({_Y})"), _ln("%V ", _G("volume")), _ln("%N ", _G("issue")), _ln("%P ", _PG), _ln("%@ ", _G("issn")), _ln("%R ", _G("doi")), _ln("%U ", _G("url")), _ln("%M ", _G("pmid"))])
@@ -446,7 +445,7 @@ _END = _lines(["'%0 Journal Article'", _each("%A ", _COMMA), _ln("%T ", _G("titl
 
 @query(f"SELECT ord, {_END} AS text FROM ({_ART})")
 def cite_endnote(spark, d):
-    return cite.endnote(S.articles(spark))
+    return cite.endnote(S.articles(spark, d))
 
 
 _MED = _lines([_ln("PMID- ", _G("pmid")), _each("AU  - ", f"CASE WHEN {_PERSON} THEN {_FAM} || ' ' || {_INI} ELSE a END"), "nullif(array_to_string(list_transform(list_filter(coalesce(pubtypes, []), lambda p: trim(p) <> ''), lambda p: 'PT  - ' || trim(p)), chr(10)), '')", _ln("TI  - ", _G("title")), _ln("JT  - ", _G("journal")),
@@ -456,7 +455,7 @@ _MED = _lines([_ln("PMID- ", _G("pmid")), _each("AU  - ", f"CASE WHEN {_PERSON}
 
 @query(f"SELECT ord, {_MED} AS text FROM ({_ART})")
 def cite_medline(spark, d):
-    return cite.medline(S.articles(spark))
+    return cite.medline(S.articles(spark, d))
 
 
 _VN = _NAME.format(f"CASE WHEN {_PERSON} THEN {_FAM} || ' ' || {_INI} ELSE a END")
@@ -467,7 +466,7 @@ _VAN = _lines([_ln("", f"({_FEW(_VN, 6)})", "."), _ln("", f"rtrim({_G('title')},
 
 @query(f"SELECT ord, row_number() OVER (ORDER BY ord) || '. ' || {_VAN} AS text FROM ({_ART})")
 def cite_vancouver(spark, d):
-    return cite.vancouver(S.articles(spark))
+    return cite.vancouver(S.articles(spark, d))
 
 
 _GN = _NAME.format(f"CASE WHEN {_PERSON} THEN upper({_FAM}) || ' ' || array_to_string(regexp_extract_all({_INI}, '[A-Z]'), ' ') ELSE upper(a) END")
@@ -477,17 +476,17 @@ _GBT = _lines([_ln("", f"({_FEW(_GN, 3)})", "."), _ln("", f"rtrim({_G('title')},
 
 @query(f"SELECT ord, '[' || row_number() OVER (ORDER BY ord) || '] ' || {_GBT} AS text FROM ({_ART})")
 def cite_gbt7714(spark, d):
-    return cite.gbt7714(S.articles(spark))
+    return cite.gbt7714(S.articles(spark, d))
 
 
 @query()
 def cite_bibtex(spark, d):
-    return cite.bibtex(S.articles(spark))
+    return cite.bibtex(S.articles(spark, d))
 
 
 @query(f"""SELECT ord, array_to_string(list_filter([CASE WHEN len(coalesce(authors, [])) = 0 THEN '作者' END, CASE WHEN {_G('title')} = '' THEN '标题' END, CASE WHEN {_G('journal')} = '' THEN '期刊' END, CASE WHEN ({_Y}) = '' THEN '年份' END], lambda x: x IS NOT NULL), ',') AS missing FROM ({_ART})""")
 def cite_missing(spark, d):
-    return cite.complete(S.articles(spark)).select("ord", F.array_join(cite.missing(), ",").alias("missing"))
+    return cite.complete(S.articles(spark, d)).select("ord", F.array_join(cite.missing(), ",").alias("missing"))
 
 
 # --- library ---------------------------------------------------------------------------------
@@ -516,7 +515,7 @@ def library_folders(spark, d):
 @query(f"WITH {_NORM} SELECT a.pmid FROM ({_ART}) a JOIN m USING (pmid) WHERE m.folder = 'f1' AND list_contains(list_transform(m.tags, lambda t: lower(t)), 'rct') AND contains(lower(a.title || ' ' || array_to_string(a.authors, ' ')), 'lee')")
 def library_filter(spark, d):
     f, m = _lib(spark)
-    return library.filtered(S.articles(spark).select("pmid", "title", "authors"), m, f, "f1", ["RCT"], "Lee")
+    return library.filtered(S.articles(spark, d).select("pmid", "title", "authors"), m, f, "f1", ["RCT"], "Lee")
 
 
 @query(f"""WITH {_NORM}, i AS (SELECT pmid, CASE folder WHEN 'g1' THEN 'f1' ELSE 'g2' END AS folder, tags, note FROM ({S.values(S.IN_META, _ME)}))
@@ -670,13 +669,13 @@ _GAPS = f"""SELECT row_key, unnest(list_filter(['研究设计', '样本量', '
 
 @query(f"SELECT field, count(*) AS n FROM ({_GAPS}) GROUP BY field")
 def missing_fields_by_name(spark, d):
-    return compare.missing_counts(_rows(spark))
+    return compare.missing_counts(_rows(spark, d))
 
 
 @query(f"""WITH g AS ({_GAPS}), f AS (SELECT row_key, 6 - (SELECT count(*) FROM g WHERE g.row_key = r.row_key) AS filled FROM ({_ROWS}) r)
  SELECT count(*) AS total, round_even(avg(filled), 1) AS avg, count(*) FILTER (WHERE filled <= 3) AS low FROM f""")
 def completeness_overview(spark, d):
-    return compare.completeness_overview(_rows(spark))
+    return compare.completeness_overview(_rows(spark, d))
 
 
 @query("""WITH j AS (SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN 'running' WHEN event_id % 7 = 0 THEN 'error' ELSE 'done' END AS status, epoch(ts) AS created FROM events)

@@ -59,8 +59,39 @@ def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
 
-def articles(spark: SparkSession) -> DataFrame:
-    return frame(spark, ARTICLES, ARTICLE_COLUMNS)
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table. Texts in fewer files than there are cores are dealt to all of them, since a file may be one row group, which one task reads."""
+    df, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and len(df.inputFiles()) < cores else df
+
+
+_CLINICAL = ("concat(' A total of ', doc_id % 3000, ' patients were enrolled. HR 0.', lpad(cast(doc_id % 100 as string), 2, '0'), ' (95% CI 0.', doc_id % 5 + 1, '-1.', doc_id % 7 + 1, '; P = 0.0', doc_id % 9 + 1, '). Follow-up was ', doc_id % 40 + 1, ' months. ',"
+             " case doc_id % 5 when 0 then 'Drug A significantly reduced mortality.' when 1 then 'There was no significant difference between groups.' when 2 then 'The drug was associated with increased risk of bleeding, a retrospective cohort study showed.'"
+             " when 3 then 'In this randomized controlled trial it was not superior to placebo.' else '' end)")
+
+
+def articles(spark: SparkSession, d: str) -> DataFrame:
+    """The literal articles, and one of each document: its whole text with a clinical sentence, other fields from its id and source."""
+    own = table(spark, d, "documents").selectExpr(
+        "cast(doc_id + 1000 as int) as ord", "if(doc_id % 11 = 0, null, cast(doc_id % 900 as string)) as pmid", "split_part(coalesce(text, ''), '\n', 1) as title", "concat(source, ' J') as journal",
+        "case doc_id % 5 when 0 then null when 1 then '2019' when 2 then '2022 Jan-Feb' when 3 then '' else cast(1990 + doc_id % 30 as string) end as year",
+        "filter(transform(sequence(0, cast(doc_id % 9 as int)), i -> if(i = doc_id % 9, '', if(i = 2, concat('The ', source, ' Group'), concat('Name', i, ' ', char(65 + i), 'B')))), a -> a <> '') as authors",
+        f"concat(coalesce(text, ''), {_CLINICAL}) as abstract", "if(doc_id % 3 = 0, null, concat('10.1/', doc_id)) as doi", "if(doc_id % 4 = 0, concat('PMC', doc_id), null) as pmcid",
+        "case doc_id % 6 when 0 then array('Journal Article') when 1 then array('Review') when 2 then array('Randomized Controlled Trial', 'Multicenter Study') else null end as pubtypes",
+        "if(doc_id % 2 = 0, cast(doc_id % 90 as string), null) as volume", "if(doc_id % 5 = 0, cast(doc_id % 12 as string), '') as issue", "case doc_id % 3 when 0 then concat(doc_id, '--', doc_id + 9) when 1 then concat('e', doc_id) else null end as pages",
+        "if(doc_id % 7 = 0, '1234-5678', null) as issn", "lang as language", "if(doc_id % 2 = 0, concat('https://x.example/', doc_id), null) as url")
+    return frame(spark, ARTICLES, ARTICLE_COLUMNS).unionByName(own)
+
+
+def rows(spark: SparkSession, d: str) -> DataFrame:
+    """The literal comparison rows, and one of each document."""
+    own = table(spark, d, "documents").selectExpr(
+        "concat('d', doc_id) as row_key", "case doc_id % 4 when 0 then '随机对照试验' when 1 then '队列研究' when 2 then '未识别' else '系统评价 / Meta 分析' end as design",
+        "case doc_id % 3 when 0 then '支持有效 / 正相关' when 1 then '无显著差异 / 无关联' else '提示风险增加 / 不利' end as polarity", "case doc_id % 4 when 0 then '1b' when 1 then '2b' when 2 then '—' else '1a' end as cebm",
+        "case doc_id % 5 when 0 then '' when 1 then '2022 Jan' when 2 then 'n.d.' else cast(1990 + doc_id % 30 as string) end as year", "if(doc_id % 6 = 0, null, cast(n_chars as bigint)) as n", "if(doc_id % 2 = 0, lang, '') as population",
+        "if(doc_id % 3 = 0, source, '') as primary_outcome", "if(doc_id % 5 = 0, '', concat('HR 0.', doc_id % 90 + 10)) as effects_text", "coalesce(text, '') as conclusion", "if(doc_id % 4 = 0, concat('PMC', doc_id), null) as pmcid",
+        "cast(doc_id % 3 - 1 as int) as direction", "split_part(coalesce(text, ''), '\n', 1) as title", "cast(doc_id % 5 as double) as base", "doc_id % 2 = 0 as has_interval")
+    return frame(spark, ROWS, ROW_COLUMNS).unionByName(own)
 
 
 def _lit(v) -> str:
@@ -82,3 +113,19 @@ def values(rows: list, schema: str) -> str:
     rows = [r if isinstance(r, tuple) else (r,) for r in rows]
     body = ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows)
     return "SELECT " + ", ".join(f"CAST({n} AS {kinds[t]}) AS {n}" for n, t in cols) + f" FROM (VALUES {body}) v({', '.join(n for n, _ in cols)})"
+
+
+_TEXT_CLINICAL = _CLINICAL.replace("cast(doc_id % 100 as string)", "(doc_id % 100)::VARCHAR")
+#: SQL of :func:`articles`.
+ARTICLES_SQL = f"""{values(ARTICLES, ARTICLE_COLUMNS)} UNION ALL SELECT (doc_id + 1000)::INT AS ord, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (doc_id % 900)::VARCHAR END AS pmid, split_part(coalesce(text, ''), chr(10), 1) AS title, source || ' J' AS journal,
+ CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2019' WHEN 2 THEN '2022 Jan-Feb' WHEN 3 THEN '' ELSE (1990 + doc_id % 30)::VARCHAR END AS year,
+ list_transform(range(0, doc_id % 9), lambda i: CASE WHEN i = 2 THEN 'The ' || source || ' Group' ELSE 'Name' || i || ' ' || chr((65 + i)::INT) || 'B' END) AS authors,
+ concat(coalesce(text, ''), {_TEXT_CLINICAL}) AS abstract, CASE WHEN doc_id % 3 <> 0 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 4 = 0 THEN 'PMC' || doc_id END AS pmcid,
+ CASE doc_id % 6 WHEN 0 THEN ['Journal Article'] WHEN 1 THEN ['Review'] WHEN 2 THEN ['Randomized Controlled Trial', 'Multicenter Study'] END AS pubtypes, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 90)::VARCHAR END AS volume, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 12)::VARCHAR ELSE '' END AS issue,
+ CASE doc_id % 3 WHEN 0 THEN doc_id || '--' || (doc_id + 9) WHEN 1 THEN 'e' || doc_id END AS pages, CASE WHEN doc_id % 7 = 0 THEN '1234-5678' END AS issn, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'https://x.example/' || doc_id END AS url FROM documents"""
+#: SQL of :func:`rows`.
+ROWS_SQL = f"""{values(ROWS, ROW_COLUMNS)} UNION ALL SELECT 'd' || doc_id AS row_key, CASE doc_id % 4 WHEN 0 THEN '随机对照试验' WHEN 1 THEN '队列研究' WHEN 2 THEN '未识别' ELSE '系统评价 / Meta 分析' END AS design,
+ CASE doc_id % 3 WHEN 0 THEN '支持有效 / 正相关' WHEN 1 THEN '无显著差异 / 无关联' ELSE '提示风险增加 / 不利' END AS polarity, CASE doc_id % 4 WHEN 0 THEN '1b' WHEN 1 THEN '2b' WHEN 2 THEN '—' ELSE '1a' END AS cebm,
+ CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '2022 Jan' WHEN 2 THEN 'n.d.' ELSE (1990 + doc_id % 30)::VARCHAR END AS year, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars::BIGINT END AS n, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS population,
+ CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS primary_outcome, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'HR 0.' || (doc_id % 90 + 10) END AS effects_text, coalesce(text, '') AS conclusion, CASE WHEN doc_id % 4 = 0 THEN 'PMC' || doc_id END AS pmcid,
+ (doc_id % 3 - 1)::INT AS direction, split_part(coalesce(text, ''), chr(10), 1) AS title, (doc_id % 5)::DOUBLE AS base, doc_id % 2 = 0 AS has_interval FROM documents"""

@@ -26,7 +26,7 @@ def test_tags_and_lead(spark):
 
 
 def test_sections_of_labelled_text(spark):
-    a = extract.with_sections(fixtures.articles(spark)).where("ord = 6").select("sec.METHODS", "sec.CONCLUSIONS", "sec.PATIENTS").first()
+    a = extract.with_sections(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)).where("ord = 6").select("sec.METHODS", "sec.CONCLUSIONS", "sec.PATIENTS").first()
     assert a[0] == "A total of 412 adults were enrolled across centers."
     assert a[1] == "Drug A lowered LDL and was well tolerated." and a[2] is None
 
@@ -39,14 +39,14 @@ def test_fulltext_wins_over_abstract(spark):
 
 
 def test_profiles(spark):
-    rows = {r["ord"]: r for r in catalogue.profiles(spark, "").collect()}
+    rows = {r["ord"]: r for r in extract.profile(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)).collect()}
     assert rows[1]["design"] == "随机对照试验" and rows[1]["n"] == 1204 and rows[1]["polarity"] == "支持有效 / 正相关"
     assert rows[2]["polarity"] == "未明确" and rows[3]["design"] == "队列研究"
     assert rows[7]["bias_brief"] == "无摘要，无法评估"
 
 
 def test_duplicates_fold(spark):
-    assert compare.duplicates(fixtures.articles(spark)).first()[0] == 1
+    assert compare.duplicates(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)).first()[0] == 1
 
 
 def test_bibtex_suffix(spark):
@@ -111,10 +111,10 @@ def test_report_lines(spark):
     from evispark.operators import reports
     from evispark.sources import sinks
 
-    p = extract.profile(fixtures.articles(spark).where("ord in (1, 7)"))
+    p = extract.profile(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS).where("ord in (1, 7)"))
     lines = [r.line for r in reports.flags(p).orderBy("ord", "pos").collect()]
     assert lines[-1] == "- **信息缺失** 无摘要，无法评估" and lines[0].startswith("### Drug A in heart failure: a trial — ")
     flow = compare.prisma(spark.createDataFrame(fixtures.PRISMA[:1], "id int, total_hits int, retrieved int, duplicates int, excluded_screening int, excluded_fulltext int"))
     assert sinks.joined(reports.prisma(flow), "pos", "line", "\n").splitlines()[-1] == "- 纳入: 5"
-    refs = reports.references(fixtures.articles(spark)).where("ord = 3").first().line
+    refs = reports.references(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)).where("ord = 3").first().line
     assert refs == "O'Neil P. Harms of drug A. BMJ. 2019. PMID: 103"

@@ -130,7 +130,7 @@ def test_library(spark):
 
 
 def test_fills(spark, tmp_path):
-    extract.profile(fixtures.articles(spark)).write.parquet(str(tmp_path / "profiles"))
+    extract.profile(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)).write.parquet(str(tmp_path / "profiles"))
     p = spark.read.parquet(str(tmp_path / "profiles"))
     t = compare.fill_targets(p).collect()
     assert t and all(set(r.fields) <= {"样本量", "人群", "主要终点", "关键效应量", "结论"} for r in t) and not any("研究设计" in r.fields for r in t)
