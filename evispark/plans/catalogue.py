@@ -348,14 +348,11 @@ def conflicts_by_term(spark, d):
     return compare.conflicts(_rows(spark, d), S.frame(spark, S.TERMS, "term string")).withColumn("studies", F.array_join("studies", ","))
 
 
-_PR = "id int, total_hits int, retrieved int, duplicates int, excluded_screening int, excluded_fulltext int"
-
-
-@query(f"""WITH p AS (SELECT coalesce(total_hits, 0) AS identified, coalesce(retrieved, 0) AS retrieved, coalesce(duplicates, 0) AS duplicates, coalesce(excluded_screening, 0) AS excluded_screening, coalesce(excluded_fulltext, 0) AS excluded_fulltext FROM ({S.values(S.PRISMA, _PR)})),
+@query(f"""WITH p AS (SELECT coalesce(total_hits, 0) AS identified, coalesce(retrieved, 0) AS retrieved, coalesce(duplicates, 0) AS duplicates, coalesce(excluded_screening, 0) AS excluded_screening, coalesce(excluded_fulltext, 0) AS excluded_fulltext FROM ({S.PRISMA_SQL})),
  s AS (SELECT *, greatest(retrieved - duplicates, 0) AS screened FROM p), a AS (SELECT *, greatest(screened - excluded_screening, 0) AS assessed FROM s)
  SELECT identified, retrieved, duplicates, screened, excluded_screening, assessed, excluded_fulltext, greatest(assessed - excluded_fulltext, 0) AS included, greatest(identified - retrieved, 0) AS unretrieved FROM a""")
 def prisma_flow(spark, d):
-    return compare.prisma(S.frame(spark, S.PRISMA, _PR))
+    return compare.prisma(S.prisma(spark, d))
 
 
 @query()
@@ -365,31 +362,27 @@ def duplicate_count(spark, d):
 
 # --- vocabulary -----------------------------------------------------------------------
 
-_SE = "id int, keyword string, secondary string, logic string, author string, journal string, country string, start_date string, end_date string"
-
-
-@query(f"""WITH x AS (SELECT id, trim(keyword) AS k, trim(coalesce(secondary, '')) AS s, CASE WHEN logic IN ('AND', 'OR', 'NOT') THEN logic ELSE 'AND' END AS op, trim(coalesce(author, '')) AS a, trim(coalesce(journal, '')) AS j, trim(coalesce(country, '')) AS c, trim(coalesce(start_date, '')) AS d1, trim(coalesce(end_date, '')) AS d2 FROM ({S.values(S.SEARCHES, _SE)})),
+@query(f"""WITH x AS (SELECT id, trim(keyword) AS k, trim(coalesce(secondary, '')) AS s, CASE WHEN logic IN ('AND', 'OR', 'NOT') THEN logic ELSE 'AND' END AS op, trim(coalesce(author, '')) AS a, trim(coalesce(journal, '')) AS j, trim(coalesce(country, '')) AS c, trim(coalesce(start_date, '')) AS d1, trim(coalesce(end_date, '')) AS d2 FROM ({S.SEARCHES_SQL})),
  y AS (SELECT *, list_transform(list_filter(list_transform(string_split_regex(s, '[,，;；]'), lambda t: trim(t)), lambda t: t <> ''), lambda t: CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END) AS ts FROM x),
  w AS (SELECT *, CASE WHEN s = '' THEN k ELSE '(' || k || ') ' || op || ' (' || CASE WHEN op = 'AND' THEN array_to_string(ts, ' AND ') ELSE array_to_string(ts, ' OR ') END || ')' END AS q,
   list_filter([CASE WHEN a <> '' THEN a || '[Author]' END, CASE WHEN j <> '' THEN CASE WHEN contains(j, ' ') THEN '"' || j || '"' ELSE j END || '[Journal]' END, CASE WHEN c <> '' THEN c || '[Affiliation]' END, CASE WHEN d1 <> '' AND d2 <> '' THEN d1 || ':' || d2 || '[Date - Publication]' END], lambda f: f IS NOT NULL) AS fs FROM y)
  SELECT id, CASE WHEN len(fs) = 0 THEN q ELSE CASE WHEN s <> '' THEN '(' || q || ')' ELSE q END || ' AND ' || array_to_string(fs, ' AND ') END AS query FROM w""")
 def query_build(spark, d):
-    return S.frame(spark, S.SEARCHES, _SE).select("id", vocab.build_query().alias("query"))
+    return S.searches(spark, d).select("id", vocab.build_query().alias("query"))
 
 
-_VO = "term string, ord int, ui string, heading string, entry_terms array<string>, type string"
 _KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
 
 
-@query(f"""WITH v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('term')} THEN 0 WHEN list_contains(list_transform(entry_terms[2:], lambda x: {_KEY.format('x')}), {_KEY.format('term')}) THEN 1 END AS tier FROM ({S.values(S.VOCAB, _VO)}) WHERE type <> 'qualifier'),
+@query(f"""WITH v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('term')} THEN 0 WHEN list_contains(list_transform(entry_terms[2:], lambda x: {_KEY.format('x')}), {_KEY.format('term')}) THEN 1 END AS tier FROM ({S.VOCAB_SQL}) WHERE type <> 'qualifier'),
  b AS (SELECT term, ui, heading, CASE tier WHEN 0 THEN 'heading' ELSE 'entry_term' END AS matched_by FROM v WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, ord) = 1)
- SELECT t.term, b.ui, b.heading, b.matched_by FROM ({S.values(S.LOOKUPS, 'term string')}) t LEFT JOIN b USING (term) WHERE length(trim(t.term)) >= 2""")
+ SELECT t.term, b.ui, b.heading, b.matched_by FROM ({S.LOOKUPS_SQL}) t LEFT JOIN b USING (term) WHERE length(trim(t.term)) >= 2""")
 def vocab_lookup(spark, d):
-    return vocab.lookup(S.frame(spark, S.LOOKUPS, "term string"), S.frame(spark, S.VOCAB, _VO)).drop("entry_terms")
+    return vocab.lookup(S.lookups(spark, d), S.vocabulary(spark, d)).drop("entry_terms")
 
 
-_FOUND = f"""v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('term')} THEN 0 WHEN list_contains(list_transform(entry_terms[2:], lambda x: {_KEY.format('x')}), {_KEY.format('term')}) THEN 1 END AS tier FROM ({S.values(S.VOCAB, _VO)}) WHERE type <> 'qualifier'),
- b AS (SELECT t.term, heading, entry_terms FROM ({S.values(S.LOOKUPS, 'term string')}) t LEFT JOIN (SELECT * FROM v WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, ord) = 1) USING (term) WHERE length(trim(t.term)) >= 2)"""
+_FOUND = f"""v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('term')} THEN 0 WHEN list_contains(list_transform(entry_terms[2:], lambda x: {_KEY.format('x')}), {_KEY.format('term')}) THEN 1 END AS tier FROM ({S.VOCAB_SQL}) WHERE type <> 'qualifier'),
+ b AS (SELECT t.term, heading, entry_terms FROM ({S.LOOKUPS_SQL}) t LEFT JOIN (SELECT * FROM v WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, ord) = 1) USING (term) WHERE length(trim(t.term)) >= 2)"""
 
 
 @query(f"""WITH {_FOUND}, e AS (SELECT term, heading, list_filter(coalesce(entry_terms, []), lambda x: length({_KEY.format('x')}) >= 3 AND {_KEY.format('x')} <> {_KEY.format('heading')}) AS ts FROM b),
@@ -397,7 +390,7 @@ _FOUND = f"""v AS (SELECT *, CASE WHEN {_KEY.format('heading')} = {_KEY.format('
  p AS (SELECT *, ['"' || heading || '"[MeSH Terms]'] || list_transform(us, lambda x: '"' || x || '"[tiab]') || CASE WHEN list_contains([{_KEY.format('heading')}] || ks, {_KEY.format('term')}) THEN [] ELSE [CASE WHEN contains(term, ' ') THEN '"' || term || '"' ELSE term END || '[tiab]'] END AS ps FROM u)
  SELECT term, CASE WHEN heading IS NULL THEN CASE WHEN contains(term, ' ') THEN '"' || term || '"' ELSE term END WHEN len(ps) > 1 THEN '(' || array_to_string(ps, ' OR ') || ')' ELSE ps[1] END AS expression FROM p""")
 def concept_expressions(spark, d):
-    found = vocab.lookup(S.frame(spark, S.LOOKUPS, "term string"), S.frame(spark, S.VOCAB, _VO))
+    found = vocab.lookup(S.lookups(spark, d), S.vocabulary(spark, d))
     return found.select("term", vocab.concept_expression().alias("expression"))
 
 
@@ -491,38 +484,38 @@ def cite_missing(spark, d):
 
 # --- library ---------------------------------------------------------------------------------
 
-_ME, _FO = "pmid string, folder string, tags array<string>, note string, note_updated string", "id string, name string, created_at string"
-
-
-def _lib(spark):
-    f = S.frame(spark, S.FOLDERS, _FO)
-    return f, library.normalise(S.frame(spark, S.META, _ME), f)
+def _lib(spark, d):
+    f = S.folders(spark, d)
+    return f, library.normalise(S.meta(spark, d), f)
 
 
-_NORM = f"m AS (SELECT pmid, CASE WHEN folder IN ('f1', 'f2', 'f3') THEN folder ELSE '' END AS folder, list_transform(tags, lambda t: trim(t)) AS tags, coalesce(note, '') AS note FROM ({S.values(S.META, _ME)}) WHERE folder IN ('f1', 'f2', 'f3') OR len(tags) > 0)"
+_NORM = f"""m AS (SELECT pmid, folder, tags, note FROM (SELECT pmid, CASE WHEN folder IN (SELECT id FROM ({S.FOLDERS_SQL})) THEN folder ELSE '' END AS folder, list_filter(list_transform(tags, lambda t: trim(t)), lambda t: t <> '') AS tags, coalesce(note, '') AS note FROM ({S.META_SQL}))
+ WHERE folder <> '' OR len(tags) > 0 OR trim(note) <> '')"""
 
 
 @query(f"WITH {_NORM}, t AS (SELECT pmid, unnest(tags) AS tag FROM m) SELECT arg_min(tag, pmid) AS tag, count(*) AS n FROM t GROUP BY lower(tag)")
 def library_tags(spark, d):
-    return library.all_tags(_lib(spark)[1])
+    return library.all_tags(_lib(spark, d)[1])
 
 
-@query(f"WITH {_NORM} SELECT id, name, count(pmid) AS n FROM ({S.values(S.FOLDERS, _FO)}) f LEFT JOIN m ON m.folder = f.id GROUP BY id, name")
+@query(f"WITH {_NORM} SELECT id, name, count(pmid) AS n FROM ({S.FOLDERS_SQL}) f LEFT JOIN m ON m.folder = f.id GROUP BY id, name")
 def library_folders(spark, d):
-    return library.folder_counts(*_lib(spark))
+    return library.folder_counts(*_lib(spark, d))
 
 
 @query(f"WITH {_NORM} SELECT a.pmid FROM ({_ART}) a JOIN m USING (pmid) WHERE m.folder = 'f1' AND list_contains(list_transform(m.tags, lambda t: lower(t)), 'rct') AND contains(lower(a.title || ' ' || array_to_string(a.authors, ' ')), 'lee')")
 def library_filter(spark, d):
-    f, m = _lib(spark)
+    f, m = _lib(spark, d)
     return library.filtered(S.articles(spark, d).select("pmid", "title", "authors"), m, f, "f1", ["RCT"], "Lee")
 
 
-@query(f"""WITH {_NORM}, i AS (SELECT pmid, CASE folder WHEN 'g1' THEN 'f1' ELSE 'g2' END AS folder, tags, note FROM ({S.values(S.IN_META, _ME)}))
- SELECT coalesce(m.pmid, i.pmid) AS pmid, coalesce(nullif(i.folder, ''), m.folder) AS folder, CASE coalesce(m.pmid, i.pmid) WHEN '101' THEN 'RCT,heart,new' WHEN '106' THEN 'fresh' ELSE array_to_string(m.tags, ',') END AS tags, coalesce(nullif(trim(coalesce(i.note, '')), ''), m.note, '') AS note FROM m FULL JOIN i ON m.pmid = i.pmid""")
+@query(f"""WITH {_NORM}, g AS (SELECT n.id AS in_id, coalesce(o.id, n.id) AS own FROM ({S.IN_FOLDERS_SQL}) n LEFT JOIN ({S.FOLDERS_SQL}) o ON lower(o.name) = lower(n.name)),
+ i AS (SELECT pmid, coalesce(g.own, '') AS folder, tags, note FROM ({S.IN_META_SQL}) x LEFT JOIN g ON g.in_id = x.folder),
+ b AS (SELECT coalesce(m.pmid, i.pmid) AS pmid, coalesce(nullif(i.folder, ''), m.folder, '') AS folder, coalesce(m.tags, []) || coalesce(i.tags, []) AS tags, coalesce(nullif(trim(coalesce(i.note, '')), ''), m.note, '') AS note FROM m FULL JOIN i ON m.pmid = i.pmid)
+ SELECT pmid, folder, array_to_string(list_filter(tags, lambda t, k: list_position(list_transform(tags, lambda y: lower(y)), lower(t)) = k)[1:30], ',') AS tags, note FROM b""")
 def library_import(spark, d):
-    f, m = _lib(spark)
-    return library.merge(f, m, S.frame(spark, S.IN_FOLDERS, _FO), S.frame(spark, S.IN_META, _ME))[1].withColumn("tags", F.array_join("tags", ","))
+    f, m = _lib(spark, d)
+    return library.merge(f, m, S.in_folders(spark, d), S.in_meta(spark, d))[1].withColumn("tags", F.array_join("tags", ","))
 
 
 # --- telemetry over events -----------------------------------------------------------------------
@@ -574,23 +567,29 @@ _ASKED = [("chars", "a", "2024-01-01 08:00:00", 1, 60, False), ("chars", "b", "2
 _ASKED_COLUMNS = "kind string, scope string, moment string, seq int, amount long, own_key boolean"
 
 
-@query(f"""WITH RECURSIVE v AS ({S.values(_ASKED, _ASKED_COLUMNS)}), lim AS (SELECT * FROM (VALUES ('chars', 100, 100), ('calls', 4, 4)) x(kind, s, d)),
- o AS (SELECT v.*, left(moment, 10) AS day, row_number() OVER (PARTITION BY kind ORDER BY moment, seq) AS n, lim.s, lim.d FROM v LEFT JOIN lim USING (kind)),
- w AS (SELECT kind, 0::BIGINT AS n, []::STRUCT(scope VARCHAR, day VARCHAR, amount BIGINT)[] AS taken, -1 AS seq, false AS admitted FROM (SELECT DISTINCT kind FROM o)
-  UNION ALL SELECT kind, n, CASE WHEN ok THEN list_append(taken, struct_pack(scope := scope, day := day, amount := amount::BIGINT)) ELSE taken END, seq, ok FROM (SELECT w.kind, o.n, w.taken, o.scope, o.day, o.amount, o.seq,
-   o.s IS NULL OR o.own_key OR o.amount <= 0 OR (coalesce(list_sum(list_transform(list_filter(w.taken, lambda x: x.scope = o.scope), lambda x: x.amount)), 0) + o.amount <= o.s
-    AND coalesce(list_sum(list_transform(list_filter(w.taken, lambda x: x.day = o.day), lambda x: x.amount)), 0) + o.amount <= o.d) AS ok FROM w JOIN o ON o.kind = w.kind AND o.n = w.n + 1))
- SELECT kind, seq, admitted FROM w WHERE n > 0""")
+_KINDS = ["click", "view", "purchase", "signup", "error"]
+_LIMITS = {"chars": (100, 100), "calls": (4, 4)} | {k: (50, 300) for k in _KINDS}
+_ASKED_SQL = f"""{S.values(_ASKED, _ASKED_COLUMNS)} UNION ALL SELECT event_type, user_id::VARCHAR, ts::VARCHAR, event_id + 100, value::BIGINT, event_id % 13 = 0 FROM (SELECT * REPLACE (floor(value) AS value) FROM events)"""
+_ADMITTED = f"""v AS ({_ASKED_SQL}), lim AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {s}, {d})" for k, (s, d) in _LIMITS.items())}) x(kind, s, d)),
+ o AS MATERIALIZED (SELECT v.*, left(moment, 10) AS day, row_number() OVER (PARTITION BY kind ORDER BY moment, seq) AS n, lim.s, lim.d FROM v LEFT JOIN lim USING (kind)),
+ w AS (SELECT kind, 0::BIGINT AS n, MAP {{}}::MAP(VARCHAR, BIGINT) AS taken, '' AS scope, -1 AS seq, false AS admitted FROM (SELECT DISTINCT kind FROM o)
+  UNION ALL SELECT kind, n, CASE WHEN ok THEN map_concat(taken, MAP {{'s' || scope: a + amount, 'd' || day: b + amount}}) ELSE taken END, scope, seq, ok FROM (SELECT *, s IS NULL OR own_key OR amount <= 0 OR (a + amount <= s AND b + amount <= d) AS ok
+   FROM (SELECT w.kind, o.n, w.taken, o.scope, o.day, o.amount, o.seq, o.s, o.d, o.own_key, coalesce(w.taken['s' || o.scope], 0) AS a, coalesce(w.taken['d' || o.day], 0) AS b FROM w JOIN o ON o.kind = w.kind AND o.n = w.n + 1)))"""
+
+
+def _asked(spark, d):
+    own = t(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("scope"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") + 100).cast("int").alias("seq"), F.floor("value").cast("long").alias("amount"), (F.col("event_id") % 13 == 0).alias("own_key"))
+    return S.frame(spark, _ASKED, _ASKED_COLUMNS).withColumn("ts", F.to_timestamp("moment")).drop("moment").unionByName(own)
+
+
+@query(f"WITH RECURSIVE {_ADMITTED} SELECT kind, seq, admitted FROM w WHERE n > 0")
 def quota_admission(spark, d):
-    r = S.frame(spark, _ASKED, _ASKED_COLUMNS).withColumn("ts", F.to_timestamp("moment"))
-    return telemetry.quota_admission(r, {"chars": (100, 100), "calls": (4, 4)}).select("kind", "seq", "admitted")
+    return telemetry.quota_admission(_asked(spark, d), _LIMITS).select("kind", "seq", "admitted")
 
 
-@query()
+@query(f"WITH RECURSIVE {_ADMITTED} SELECT kind, scope, count(*) FILTER (WHERE admitted) AS admitted, count(*) AS requests FROM w WHERE n > 0 GROUP BY kind, scope")
 def quota_admission_events(spark, d):
-    r = t(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("scope"), "ts", F.col("event_id").alias("seq"), F.col("value").cast("long").alias("amount"), F.lit(False).alias("own_key"))
-    kinds = ["click", "view", "purchase", "signup", "scroll"]
-    return telemetry.quota_admission(r, {k: (50, 300) for k in kinds}).groupBy("kind", "scope").agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("requests"))
+    return telemetry.quota_admission(_asked(spark, d), _LIMITS).groupBy("kind", "scope").agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("requests"))
 
 
 @query("""WITH e AS (SELECT event_type AS host, epoch(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events), r AS (SELECT host, t, n, max(t - n * 600.0::DOUBLE) OVER (PARTITION BY host ORDER BY n) + n * 600.0::DOUBLE AS r FROM e) SELECT host, count(*) AS calls, count(*) FILTER (WHERE r - t > 1e-3) AS delayed FROM r GROUP BY host""")
@@ -600,34 +599,36 @@ def throttle_delays(spark, d):
     return r.groupBy("host").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("release") - F.col("t") > 1e-3).alias("delayed"))
 
 
-@query("SELECT attempt, retry_after, CASE WHEN retry_after > 0 THEN least(retry_after, 8.0::DOUBLE) ELSE least(pow(2, attempt), 8.0::DOUBLE) END AS seconds FROM (SELECT range::INT AS attempt FROM range(5)), (VALUES (0.0::DOUBLE), (3.0), (20.0)) v(retry_after)")
+@query("""SELECT attempt, retry_after, CASE WHEN retry_after > 0 THEN least(retry_after, 8.0::DOUBLE) ELSE least(pow(2, attempt), 8.0::DOUBLE) END AS seconds, count(*) AS n
+ FROM (SELECT range::INT AS attempt, retry_after FROM range(5), (VALUES (0.0::DOUBLE), (3.0), (20.0)) v(retry_after) UNION ALL SELECT (event_id % 6)::INT, CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END FROM events) GROUP BY ALL""")
 def backoff_schedule(spark, d):
     a = spark.range(5).select(F.col("id").cast("int").alias("attempt")).crossJoin(S.frame(spark, [(0.0,), (3.0,), (20.0,)], "retry_after double"))
-    return a.select("attempt", "retry_after", telemetry.backoff(F.col("attempt"), F.col("retry_after")).alias("seconds"))
+    a = a.unionByName(t(spark, d, "events").select((F.col("event_id") % 6).cast("int").alias("attempt"), F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(F.col("value")).alias("retry_after")))
+    return a.select("attempt", "retry_after", telemetry.backoff(F.col("attempt"), F.col("retry_after")).alias("seconds")).groupBy("attempt", "retry_after", "seconds").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT user_id, count(*) AS uses, count(*) >= 15 AS due FROM events GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS uses, user_id % 4 AS prompts, CASE WHEN user_id % 11 = 0 OR user_id % 13 = 0 THEN false ELSE user_id % 4 < 3 AND count(*) >= 15 + 25 * (user_id % 4) END AS due FROM events GROUP BY user_id""")
 def survey_due(spark, d):
     u = t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("uses"))
-    return u.select("user_id", "uses", telemetry.should_prompt(F.col("uses"), F.lit(0), F.lit(False), F.lit(False)).alias("due"))
+    prompts, muted, done = F.col("user_id") % 4, F.col("user_id") % 11 == 0, F.col("user_id") % 13 == 0
+    return u.select("user_id", "uses", prompts.alias("prompts"), telemetry.should_prompt(F.col("uses"), prompts, muted, done).alias("due"))
 
 
-_CH, _TO = "week string, channel string, impressions string, landing_uv string, note string", "week string, members_end string, joins string, active_next_week string, note string"
 _INT = lambda c: f"CASE WHEN trim({c}) IN ('', '-', '—', '?') THEN NULL ELSE TRY_CAST(trim({c}) AS DOUBLE)::BIGINT END"
-_FW = f"""WITH c AS (SELECT week, nullif(sum(coalesce({_INT('impressions')}, 0)), 0)::BIGINT AS l1, nullif(sum(coalesce({_INT('landing_uv')}, 0)), 0)::BIGINT AS l2 FROM ({S.values(S.CHANNEL_ROWS, _CH)}) GROUP BY week),
- t AS (SELECT week, {_INT('joins')} AS l3, {_INT('active_next_week')} AS l4, {_INT('members_end')} AS members FROM ({S.values(S.TOTAL_ROWS, _TO)}))
+_FW = f"""WITH c AS (SELECT week, nullif(sum(coalesce({_INT('impressions')}, 0)), 0)::BIGINT AS l1, nullif(sum(coalesce({_INT('landing_uv')}, 0)), 0)::BIGINT AS l2 FROM ({S.CHANNEL_SQL}) GROUP BY week),
+ t AS (SELECT week, {_INT('joins')} AS l3, {_INT('active_next_week')} AS l4, {_INT('members_end')} AS members FROM ({S.TOTAL_SQL}))
  SELECT week, l1, l2, l3, l4, members, l2 / nullif(l1, 0) * 100.0::DOUBLE AS ctr, l3 / nullif(l2, 0) * 100.0::DOUBLE AS join_rate, l4 / nullif(l3, 0) * 100.0::DOUBLE AS retention, l3 / nullif(l1, 0) * 100.0::DOUBLE AS conversion FROM c FULL JOIN t USING (week)"""
 
 
 @query(_FW)
 def funnel_week(spark, d):
-    return funnel.weeks(S.frame(spark, S.CHANNEL_ROWS, _CH), S.frame(spark, S.TOTAL_ROWS, _TO))
+    return funnel.weeks(S.channel_rows(spark, d), S.total_rows(spark, d))
 
 
 @query(f"""WITH w AS ({_FW}), s AS (SELECT coalesce(sum(l1), 0) AS a, coalesce(sum(l2), 0) AS b, coalesce(sum(l3), 0) AS c, coalesce(sum(l4), 0) AS d FROM w)
  SELECT coalesce(b / nullif(a, 0) * 100 < 0.5, false) AS low_ctr, coalesce(c / nullif(b, 0) * 100 < 3, false) AS low_join, coalesce(d / nullif(c, 0) * 100 < 10, false) AS low_retention, c < 30 AS small_sample FROM s""")
 def funnel_diagnosis(spark, d):
-    return funnel.diagnose(funnel.weeks(S.frame(spark, S.CHANNEL_ROWS, _CH), S.frame(spark, S.TOTAL_ROWS, _TO)))
+    return funnel.diagnose(funnel.weeks(S.channel_rows(spark, d), S.total_rows(spark, d)))
 
 
 # --- summaries, layout -----------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 A1 = ("We randomly assigned 1,204 adults aged 60 years or older with heart failure to drug A or placebo in a multicenter double-blind trial (NCT01234567). The primary outcome was cardiovascular death over a follow-up of 24 months. "
       "The hazard ratio was HR 0.72 (95% CI 0.58-0.90; P = 0.004). Drug A significantly reduced mortality compared with placebo. Analysis was by intention-to-treat and the trial was funded by a public grant.")
@@ -73,7 +74,7 @@ _CLINICAL = ("concat(' A total of ', doc_id % 3000, ' patients were enrolled. HR
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """The literal articles, and one of each document: its whole text with a clinical sentence, other fields from its id and source."""
     own = table(spark, d, "documents").selectExpr(
-        "cast(doc_id + 1000 as int) as ord", "if(doc_id % 11 = 0, null, cast(doc_id % 900 as string)) as pmid", "split_part(coalesce(text, ''), '\n', 1) as title", "concat(source, ' J') as journal",
+        "cast(doc_id + 1000 as int) as ord", "if(doc_id % 11 = 0, null, cast(doc_id % 900 + 1000 as string)) as pmid", "split_part(coalesce(text, ''), '\n', 1) as title", "concat(source, ' J') as journal",
         "case doc_id % 5 when 0 then null when 1 then '2019' when 2 then '2022 Jan-Feb' when 3 then '' else cast(1990 + doc_id % 30 as string) end as year",
         "filter(transform(sequence(0, cast(doc_id % 9 as int)), i -> if(i = doc_id % 9, '', if(i = 2, concat('The ', source, ' Group'), concat('Name', i, ' ', char(65 + i), 'B')))), a -> a <> '') as authors",
         f"concat(coalesce(text, ''), {_CLINICAL}) as abstract", "if(doc_id % 3 = 0, null, concat('10.1/', doc_id)) as doi", "if(doc_id % 4 = 0, concat('PMC', doc_id), null) as pmcid",
@@ -117,7 +118,7 @@ def values(rows: list, schema: str) -> str:
 
 _TEXT_CLINICAL = _CLINICAL.replace("cast(doc_id % 100 as string)", "(doc_id % 100)::VARCHAR")
 #: SQL of :func:`articles`.
-ARTICLES_SQL = f"""{values(ARTICLES, ARTICLE_COLUMNS)} UNION ALL SELECT (doc_id + 1000)::INT AS ord, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (doc_id % 900)::VARCHAR END AS pmid, split_part(coalesce(text, ''), chr(10), 1) AS title, source || ' J' AS journal,
+ARTICLES_SQL = f"""{values(ARTICLES, ARTICLE_COLUMNS)} UNION ALL SELECT (doc_id + 1000)::INT AS ord, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (doc_id % 900 + 1000)::VARCHAR END AS pmid, split_part(coalesce(text, ''), chr(10), 1) AS title, source || ' J' AS journal,
  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2019' WHEN 2 THEN '2022 Jan-Feb' WHEN 3 THEN '' ELSE (1990 + doc_id % 30)::VARCHAR END AS year,
  list_transform(range(0, doc_id % 9), lambda i: CASE WHEN i = 2 THEN 'The ' || source || ' Group' ELSE 'Name' || i || ' ' || chr((65 + i)::INT) || 'B' END) AS authors,
  concat(coalesce(text, ''), {_TEXT_CLINICAL}) AS abstract, CASE WHEN doc_id % 3 <> 0 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 4 = 0 THEN 'PMC' || doc_id END AS pmcid,
@@ -129,3 +130,100 @@ ROWS_SQL = f"""{values(ROWS, ROW_COLUMNS)} UNION ALL SELECT 'd' || doc_id AS row
  CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '2022 Jan' WHEN 2 THEN 'n.d.' ELSE (1990 + doc_id % 30)::VARCHAR END AS year, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars::BIGINT END AS n, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS population,
  CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS primary_outcome, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'HR 0.' || (doc_id % 90 + 10) END AS effects_text, coalesce(text, '') AS conclusion, CASE WHEN doc_id % 4 = 0 THEN 'PMC' || doc_id END AS pmcid,
  (doc_id % 3 - 1)::INT AS direction, split_part(coalesce(text, ''), chr(10), 1) AS title, (doc_id % 5)::DOUBLE AS base, doc_id % 2 = 0 AS has_interval FROM documents"""
+
+
+# --- other literal tables with rows of the given ones: each as a frame, and as SQL
+
+PRISMA_COLUMNS = "id int, total_hits int, retrieved int, duplicates int, excluded_screening int, excluded_fulltext int"
+SEARCH_COLUMNS = "id int, keyword string, secondary string, logic string, author string, journal string, country string, start_date string, end_date string"
+VOCAB_COLUMNS = "term string, ord int, ui string, heading string, entry_terms array<string>, type string"
+FOLDER_COLUMNS, META_COLUMNS = "id string, name string, created_at string", "pmid string, folder string, tags array<string>, note string, note_updated string"
+CHANNEL_COLUMNS, TOTAL_COLUMNS = "week string, channel string, impressions string, landing_uv string, note string", "week string, members_end string, joins string, active_next_week string, note string"
+
+
+def prisma(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").selectExpr("cast(doc_id + 10 as int) as id", "if(doc_id % 7 = 0, null, cast(n_chars as int)) as total_hits", "cast(n_chars % 500 as int) as retrieved", "if(doc_id % 5 = 0, null, cast(doc_id % 90 as int)) as duplicates",
+                                                  "cast(doc_id % 200 as int) as excluded_screening", "cast(doc_id % 40 as int) as excluded_fulltext")
+    return frame(spark, PRISMA, PRISMA_COLUMNS).unionByName(own)
+
+
+PRISMA_SQL = f"""{values(PRISMA, PRISMA_COLUMNS)} UNION ALL SELECT doc_id + 10, CASE WHEN doc_id % 7 <> 0 THEN n_chars END, n_chars % 500, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 90 END, doc_id % 200, doc_id % 40 FROM documents"""
+
+
+def searches(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).selectExpr(
+        "cast(doc_id + 100 as int) as id", "concat(' ', coalesce(get(w, 0), 'none'), if(doc_id % 2 = 0, concat(' ', coalesce(get(w, 1), '')), '')) as keyword",
+        "case doc_id % 4 when 0 then concat_ws(', ', get(w, 2), concat(get(w, 3), ' ', get(w, 4)), get(w, 5)) when 1 then concat_ws('；', get(w, 2), ' ', get(w, 3)) when 2 then '' else null end as secondary",
+        "case doc_id % 5 when 0 then 'AND' when 1 then 'OR' when 2 then 'NOT' when 3 then 'XOR' else null end as logic", "if(doc_id % 3 = 0, concat('Name ', doc_id), '') as author", "if(doc_id % 4 = 1, source, concat(source, ' J')) as journal",
+        "if(doc_id % 6 = 0, lang, null) as country", "if(doc_id % 7 < 3, '2020/01/01', '') as start_date", "if(doc_id % 7 < 2, '2021/12/31', null) as end_date")
+    return frame(spark, SEARCHES, SEARCH_COLUMNS).unionByName(own)
+
+
+SEARCHES_SQL = f"""{values(SEARCHES, SEARCH_COLUMNS)} UNION ALL SELECT doc_id + 100, ' ' || coalesce(w[1], 'none') || CASE WHEN doc_id % 2 = 0 THEN ' ' || coalesce(w[2], '') ELSE '' END,
+ CASE doc_id % 4 WHEN 0 THEN concat_ws(', ', w[3], w[4] || ' ' || w[5], w[6]) WHEN 1 THEN concat_ws('；', w[3], ' ', w[4]) WHEN 2 THEN '' END, CASE doc_id % 5 WHEN 0 THEN 'AND' WHEN 1 THEN 'OR' WHEN 2 THEN 'NOT' WHEN 3 THEN 'XOR' END,
+ CASE WHEN doc_id % 3 = 0 THEN 'Name ' || doc_id ELSE '' END, CASE WHEN doc_id % 4 = 1 THEN source ELSE source || ' J' END, CASE WHEN doc_id % 6 = 0 THEN lang END, CASE WHEN doc_id % 7 < 3 THEN '2020/01/01' ELSE '' END, CASE WHEN doc_id % 7 < 2 THEN '2021/12/31' END
+ FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)"""
+
+
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Two records for each part's name, as a search would find them: its type, and itself or one that has it as an entry term."""
+    p = table(spark, d, "part").withColumn("name", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
+    one = p.selectExpr("name as term", "0 as ord", "concat('T', p_partkey) as ui", "p_type as heading", "array(p_type, p_brand) as entry_terms", "if(p_partkey % 2 = 0, 'qualifier', 'descriptor') as type")
+    two = p.selectExpr("name as term", "1 as ord", "concat('P', p_partkey) as ui", "if(p_partkey % 3 = 0, initcap(name), p_brand) as heading", "array(if(p_partkey % 3 = 0, initcap(name), p_brand), if(p_partkey % 3 = 1, upper(name), 'other'), p_type, lower(p_brand), concat(p_type, ' ', p_size), 'ab') as entry_terms", "'descriptor' as type")
+    return frame(spark, VOCAB, VOCAB_COLUMNS).unionByName(one).unionByName(two)
+
+
+def lookups(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, LOOKUPS, "term string").unionByName(table(spark, d, "part").selectExpr("concat(p_name, ' ', p_partkey) as term"))
+
+
+_NAMED = "(SELECT *, p_name || ' ' || p_partkey AS name, array_to_string(list_transform(string_split(p_name || ' ' || p_partkey, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS cap FROM part)"
+VOCAB_SQL = f"""{values(VOCAB, VOCAB_COLUMNS)} UNION ALL SELECT name, 0, 'T' || p_partkey, p_type, [p_type, p_brand], CASE WHEN p_partkey % 2 = 0 THEN 'qualifier' ELSE 'descriptor' END FROM {_NAMED}
+ UNION ALL SELECT name, 1, 'P' || p_partkey, CASE WHEN p_partkey % 3 = 0 THEN cap ELSE p_brand END, [CASE WHEN p_partkey % 3 = 0 THEN cap ELSE p_brand END, CASE WHEN p_partkey % 3 = 1 THEN upper(name) ELSE 'other' END, p_type, lower(p_brand), p_type || ' ' || p_size, 'ab'], 'descriptor' FROM {_NAMED}"""
+LOOKUPS_SQL = f"{values(LOOKUPS, 'term string')} UNION ALL SELECT p_name || ' ' || p_partkey FROM part"
+
+
+def folders(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, FOLDERS, FOLDER_COLUMNS).unionByName(table(spark, d, "nation").selectExpr("concat('n', n_nationkey) as id", "n_name as name", "'2023-01-01' as created_at"))
+
+
+def meta(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").selectExpr(
+        "cast(c_custkey + 1000 as string) as pmid", "case c_custkey % 4 when 0 then '' when 1 then concat('n', c_nationkey) when 2 then 'gone' else 'f1' end as folder",
+        "case c_custkey % 5 when 0 then cast(array() as array<string>) when 1 then array('RCT', c_mktsegment) else array(lower(c_mktsegment), concat(' tag', c_custkey % 13, ' ')) end as tags", "if(c_custkey % 3 = 0, concat('note of ', c_name), '') as note", "'2023-02-01' as note_updated")
+    return frame(spark, META, META_COLUMNS).unionByName(own)
+
+
+def in_folders(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, IN_FOLDERS, FOLDER_COLUMNS).unionByName(table(spark, d, "nation").selectExpr("concat('i', n_nationkey) as id", "if(n_nationkey % 2 = 0, lower(n_name), concat('In ', n_name)) as name", "'2024-03-03' as created_at"))
+
+
+def in_meta(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").where("c_custkey % 3 <> 1").selectExpr(
+        "cast(c_custkey + if(c_custkey % 2 = 0, 1000, 1000000) as string) as pmid", "if(c_custkey % 5 = 0, '', concat('i', c_nationkey)) as folder", "array(upper(c_mktsegment), 'imported') as tags", "if(c_custkey % 4 = 0, 'new note', ' ') as note", "'x' as note_updated")
+    return frame(spark, IN_META, META_COLUMNS).unionByName(own)
+
+
+FOLDERS_SQL = f"{values(FOLDERS, FOLDER_COLUMNS)} UNION ALL SELECT 'n' || n_nationkey, n_name, '2023-01-01' FROM nation"
+META_SQL = f"""{values(META, META_COLUMNS)} UNION ALL SELECT (c_custkey + 1000)::VARCHAR, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'gone' ELSE 'f1' END,
+ CASE c_custkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['RCT', c_mktsegment] ELSE [lower(c_mktsegment), ' tag' || c_custkey % 13 || ' '] END, CASE WHEN c_custkey % 3 = 0 THEN 'note of ' || c_name ELSE '' END, '2023-02-01' FROM customer"""
+IN_FOLDERS_SQL = f"{values(IN_FOLDERS, FOLDER_COLUMNS)} UNION ALL SELECT 'i' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'In ' || n_name END, '2024-03-03' FROM nation"
+IN_META_SQL = f"""{values(IN_META, META_COLUMNS)} UNION ALL SELECT (c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 1000 ELSE 1000000 END)::VARCHAR, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'i' || c_nationkey END, [upper(c_mktsegment), 'imported'], CASE WHEN c_custkey % 4 = 0 THEN 'new note' ELSE ' ' END, 'x' FROM customer WHERE c_custkey % 3 <> 1"""
+
+
+def channel_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("concat('E', date_format(ts, 'yyyy-MM-dd')) as week", "event_type as channel", "value", "user_id")
+    own = e.groupBy("week", "channel").agg(F.sum(F.floor(F.col("value") * 100)).alias("i"), F.countDistinct("user_id").alias("u")).selectExpr("week", "channel", "if(i % 5 = 0, '-', cast(i as string)) as impressions", "if(u % 7 = 0, '?', concat(' ', u, '.0')) as landing_uv", "'' as note")
+    return frame(spark, CHANNEL_ROWS, CHANNEL_COLUMNS).unionByName(own)
+
+
+def total_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("concat('E', date_format(ts, 'yyyy-MM-dd')) as week", "event_id", "user_id")
+    own = e.groupBy("week").agg(F.countDistinct("user_id").alias("u"), F.count_if(F.col("event_id") % 10 == 0).alias("j"), F.count_if(F.col("event_id") % 100 == 0).alias("a")).selectExpr("week", "cast(u as string) as members_end", "cast(j as string) as joins", "if(a = 0, '—', cast(a as string)) as active_next_week", "'' as note")
+    return frame(spark, TOTAL_ROWS, TOTAL_COLUMNS).unionByName(own)
+
+
+CHANNEL_SQL = f"""{values(CHANNEL_ROWS, CHANNEL_COLUMNS)} UNION ALL SELECT week, channel, CASE WHEN i % 5 = 0 THEN '-' ELSE i::VARCHAR END, CASE WHEN u % 7 = 0 THEN '?' ELSE ' ' || u || '.0' END, ''
+ FROM (SELECT 'E' || strftime(ts, '%Y-%m-%d') AS week, event_type AS channel, sum(floor(value * 100))::BIGINT AS i, count(DISTINCT user_id) AS u FROM events GROUP BY ALL)"""
+TOTAL_SQL = f"""{values(TOTAL_ROWS, TOTAL_COLUMNS)} UNION ALL SELECT week, u::VARCHAR, j::VARCHAR, CASE WHEN a = 0 THEN '—' ELSE a::VARCHAR END, ''
+ FROM (SELECT 'E' || strftime(ts, '%Y-%m-%d') AS week, count(DISTINCT user_id) AS u, count(*) FILTER (WHERE event_id % 10 = 0) AS j, count(*) FILTER (WHERE event_id % 100 = 0) AS a FROM events GROUP BY ALL)"""
