@@ -155,8 +155,8 @@ def clean_lead(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Hyphen breaks joined, single line ends unwrapped, spaces squeezed."""
     s = F.regexp_replace(c, "\r\n?", "\n")
-    s = F.regexp_replace(s, r"([A-Za-z])-\n([a-z])", "$1$2")
-    s = F.regexp_replace(s, r"(?<!\n)\n(?!\n)", " ")
+    s = F.regexp_replace(s, r"([a-z])-\s*\n\s*([a-z])", "$1$2")
+    s = F.regexp_replace(s, r"(?<!\n)\n(?!\s*\n)", " ")
     return F.trim(F.regexp_replace(s, r"[ \t 　]{2,}", " "))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
-from evispark.operators import bias, cite, compare, extract, funnel, keywords, layout, library, locate, services, telemetry, vocab
+from evispark.operators import bias, cite, compare, extract, funnel, keywords, library, locate, services, telemetry, vocab
 from evispark.plans import fixtures as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -643,12 +643,6 @@ def keyword_picks(spark, d):
     return keywords.keywords(t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"), 20, "doc_id")
 
 
-@query()
-def pdf_sections(spark, d):
-    words = [("d", 1, x, x + 40.0, y, y + 10.0, 14.0 if h else 10.0, "Times", w) for y, h, ws in [(50.0, 1, ["Introduction"]), (70.0, 0, ["Some", "words", "here"]), (90.0, 1, ["Methods"]), (110.0, 0, ["More", "words"])] for x, w in zip([50.0, 95.0, 140.0], ws)]
-    return layout.sections(S.frame(spark, words, "doc_id string, page int, x0 double, x1 double, top double, bottom double, size double, fontname string, text string"))
-
-
 # --- relational shapes ---------------------------------------------------------------------------------
 
 @query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))""")

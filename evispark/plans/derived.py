@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evispark.plans.catalogue import query, t
-from evispark.operators import compare, numbering, telemetry, vocab
+from evispark.operators import compare, layout, numbering, telemetry, vocab
 from evispark.sources import paged, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -183,3 +183,36 @@ def log_spans(spark, d):
     line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("→ "), name)).otherwise(F.concat(F.lit("← "), name, F.when(F.col("event_id") % 11 == 0, " 失败").otherwise(" 完成"), F.lit(" · "), ms, F.lit("ms")))
     log = telemetry.pruned(t(spark, d, "events").select("ts", line.alias("message")), F.lit("2024-01-30").cast("date"))
     return telemetry.spans(log).groupBy("name").agg(F.count(F.lit(1)).alias("spans"), F.count_if("failed").alias("failed"), F.max("ms").alias("longest_ms"), F.sum("ms").alias("total_ms"))
+
+
+# --- pages laid out from documents: a title, authors, then ten words a line
+
+_PAGE_WORDS = 400
+
+
+def _page_words(spark, d):
+    """Words of pages made of each document: a large title and a line of authors, a heading on each page, and its words."""
+    w = t(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    word = lambda x, y, size, font, text: F.struct(x.cast("double").alias("x0"), (x + 45).cast("double").alias("x1"), F.lit(y).cast("double").alias("top") if isinstance(y, (int, float)) else y.cast("double").alias("top"), F.lit(float(size)).alias("size"), F.lit(font).alias("fontname"), text.alias("text"))
+    row = lambda y, size, font, *texts: [word(F.lit(50 + 50 * i), y, size, font, x) for i, x in enumerate(texts)]
+    first = F.array(*row(20, 16, "Times", F.lit("About"), F.lit("document"), F.col("doc_id").cast("string")), *row(45, 10, "Times", F.lit("Smith"), F.lit("JA1,"), F.lit("Jones"), F.lit("B2*")), *row(65, 10, "Times-Bold", F.lit("Abstract")))
+    pages = w.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.size("w") / _PAGE_WORDS), F.lit(1)).cast("int"))).alias("page"))
+    later = F.array(*row(65, 10, "Times", F.concat(F.col("page").cast("string"), F.lit(".1")), F.lit("Statistical"), F.lit("analysis")))
+    body = F.transform(F.slice("w", (F.col("page") - 1) * _PAGE_WORDS + 1, _PAGE_WORDS), lambda x, i: word(F.lit(50) + 50 * (i % 10), F.lit(90) + 15 * F.floor(i / 10), 10, "Times", x))
+    words = pages.select("doc_id", "page", F.explode(F.concat(F.when(F.col("page") == 1, first).otherwise(later), body)).alias("x"))
+    return words.select("doc_id", "page", "x.x0", "x.x1", "x.top", (F.col("x.top") + 10).alias("bottom"), "x.size", "x.fontname", "x.text", F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+
+
+_LAID = f"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, greatest(ceil(len(w) / {_PAGE_WORDS}.0::DOUBLE)::BIGINT, 1) + 1)) AS page FROM w),
+ b AS (SELECT doc_id, page, array_to_string(w[(page - 1) * {_PAGE_WORDS} + 1:page * {_PAGE_WORDS}], ' ') AS text FROM p)"""
+
+
+@query(f"""WITH {_LAID} SELECT doc_id, 0::BIGINT AS section, '题录与摘要' AS title, md5('About document ' || doc_id || ' Smith JA1, Jones B2*') AS text FROM w
+ UNION ALL SELECT doc_id, page, CASE WHEN page = 1 THEN 'Abstract' ELSE page || '.1 Statistical analysis' END, md5(text) FROM b WHERE length(text) >= 2""")
+def pdf_sections(spark, d):
+    return layout.sections(_page_words(spark, d)).select("doc_id", F.col("section").cast("long").alias("section"), "title", F.md5("text").alias("text"))
+
+
+@query(f"""WITH {_LAID} SELECT doc_id, 'About document ' || doc_id AS title, 'Smith JA;Jones B' AS authors, '' AS pmid FROM w""")
+def pdf_metadata(spark, d):
+    return layout.metadata(_page_words(spark, d)).select("doc_id", "title", F.array_join("authors", ";").alias("authors"), "pmid")

@@ -68,7 +68,8 @@ def test_merge_spans(spark):
 
 
 def test_layout_sections(spark):
-    got = {r.title: r.text for r in catalogue.pdf_sections(spark, "").collect()}
+    words = [("d", 1, x, x + 40.0, y, y + 10.0, size, "Times", w) for y, size, ws in [(50.0, 12.0, ["Introduction"]), (70.0, 10.0, ["Some", "words", "here"]), (90.0, 12.0, ["Methods"]), (110.0, 10.0, ["More", "words"])] for x, w in zip([50.0, 95.0, 140.0], ws)]
+    got = {r.title: r.text for r in layout.sections(fixtures.frame(spark, words, "doc_id string, page int, x0 double, x1 double, top double, bottom double, size double, fontname string, text string")).collect()}
     assert got == {"Introduction": "Some words here", "Methods": "More words"}
     assert layout.NAMES[0] == "abstract"
 
