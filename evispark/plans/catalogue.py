@@ -288,7 +288,11 @@ def comparison_table(spark, d):
     return compare.comparison(extract.profile(S.articles(spark, d)))
 
 
-@query()
+_LABELS = ", ".join(f"('{k}', '{label}', '{level}')" for k, label, level in L.FLAGS)
+
+
+@query(f"""WITH f AS ({_flag_sql()}), l AS (SELECT * FROM (VALUES {_LABELS}) v(key, label, level)), c AS (SELECT count(DISTINCT ord) AS docs_with_focus FROM f JOIN l USING (key) WHERE level = '{L.FOCUS}')
+ SELECT label, count(*) AS n, any_value(docs_with_focus) AS docs_with_focus FROM f JOIN l USING (key), c GROUP BY label""")
 def bias_overview(spark, d):
     return bias.overview(extract.profile(S.articles(spark, d)))
 
@@ -355,7 +359,8 @@ def prisma_flow(spark, d):
     return compare.prisma(S.prisma(spark, d))
 
 
-@query()
+@query(f"""WITH r AS (SELECT ord, list_filter(['p' || trim(coalesce(pmid, '')), 't' || left(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9一-鿿]', '', 'g'), 80)], lambda k: length(k) > 1) AS keys FROM ({_ART}))
+ SELECT list_reduce([{{'k': NULL::VARCHAR[], 's': []::VARCHAR[], 'n': 0}}] || list({{'k': keys, 's': []::VARCHAR[], 'n': 0}} ORDER BY ord), lambda a, x: CASE WHEN list_has_any(a.s, x.k) THEN {{'k': x.k, 's': a.s, 'n': a.n + 1}} ELSE {{'k': x.k, 's': a.s || x.k, 'n': a.n}} END).n AS n FROM r""")
 def duplicate_count(spark, d):
     return compare.duplicates(S.articles(spark, d))
 
@@ -396,8 +401,11 @@ def concept_expressions(spark, d):
 
 @query()
 def concept_cover(spark, d):
-    k = S.frame(spark, [(1, "aspirin after heart attack in elderly"), (2, "the of"), (3, "diabetes")], "id int, keyword string")
-    return vocab.split_concepts(k, S.frame(spark, [("aspirin", "Aspirin"), ("heart attack", "Myocardial Infarction")], "term string, heading string"))
+    first = lambda c, n: F.array_join(F.slice(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), 1, n), " ")
+    k = S.frame(spark, [(1, "aspirin after heart attack in elderly"), (2, "the of"), (3, "diabetes")], "id int, keyword string").unionByName(t(spark, d, "documents").select((F.col("doc_id") + 10).cast("int").alias("id"), first(F.col("text"), 9).alias("keyword")))
+    known = S.frame(spark, [("aspirin", "Aspirin"), ("heart attack", "Myocardial Infarction")], "term string, heading string")
+    words = t(spark, d, "documents").select(F.explode(F.array(*[first(F.col("text"), n) for n in (2, 3)])).alias("term")).where("length(term) > 3").distinct()
+    return vocab.split_concepts(k, known.unionByName(words.select("term", F.upper("term").alias("heading"))))
 
 
 # --- citations ---------------------------------------------------------------------------
@@ -472,7 +480,19 @@ def cite_gbt7714(spark, d):
     return cite.gbt7714(S.articles(spark, d))
 
 
-@query()
+_FOLD = lambda c: f"regexp_replace(strip_accents(lower({c})), '[^a-z0-9]', '', 'g')"
+_TEX = lambda c: "array_to_string(list_transform(string_split(" + c + ", ''), lambda ch: CASE ch " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cite.TEX.items()) + " ELSE ch END), '')"
+_BIB = lambda k, v: f"CASE WHEN ({v}) <> '' THEN '  {k:<7} = {{' || ({v}) || '}}' END"
+_AUTHORS = "list_filter(coalesce(authors, []), lambda a: trim(a) <> '')"
+
+
+@query(f"""WITH a AS (SELECT *, {_AUTHORS} AS names FROM ({_ART})), k AS (SELECT *, coalesce(nullif({_FOLD(f"coalesce(list_filter(list_transform(names, lambda a: CASE WHEN {_PERSON} THEN {_FAM} END), lambda f: f IS NOT NULL)[1], '')")}, ''),
+  nullif({_FOLD("coalesce(names[1], '')")}, ''), CASE WHEN len(names) = 0 THEN nullif({_FOLD(_G('journal'))}, '') END, 'anon') || {_FOLD(f'({_Y})')}
+  || coalesce(list_filter(list_transform(string_split_regex({_G('title')}, '[\\s:;,.\\-()\\[\\]/]+'), lambda w: {_FOLD('w')}), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(f"'{w}'" for w in L.KEY_STOP)}))[1], '') AS base FROM a),
+ n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) - 1 AS nth FROM k)
+ SELECT ord, '@article{{' || base || CASE WHEN nth > 0 THEN chr((96 + nth)::INT) ELSE '' END || ',' || chr(10) || concat_ws(',' || chr(10), {_BIB('author', f"array_to_string(list_transform(names, lambda a: CASE WHEN {_PERSON} THEN {_FAM} || ', ' || {_INI} ELSE '{{' || trim(a) || '}}' END), ' and ')")},
+  CASE WHEN {_G('title')} <> '' THEN '  title   = {{{{' || {_TEX(_G('title'))} || '}}}}' END, {_BIB('journal', _TEX(_G('journal')))}, {_BIB('year', _TEX(f'({_Y})'))}, {_BIB('volume', _TEX(_G('volume')))}, {_BIB('number', _TEX(_G('issue')))}, {_BIB('pages', _TEX(_G('pages')))}, {_BIB('doi', _TEX(_G('doi')))}, {_BIB('issn', _TEX(_G('issn')))},
+  {_BIB('url', _TEX(_G('url')))}, CASE WHEN {_G('pmid')} <> '' THEN '  note    = {{PMID: ' || {_TEX(_G('pmid'))} || '}}' END) || chr(10) || '}}' AS text FROM n""")
 def cite_bibtex(spark, d):
     return cite.bibtex(S.articles(spark, d))
 
