@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|noscript|iframe|svg|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|iframe|svg|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+    "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav noscript ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {t: {"p"} for t in _BLOCKS} | {"li": {"p", "li"}, "dd": {"p", "dd", "dt"}, "dt": {"p", "dd", "dt"}, "tr": {"p", "tr", "td", "th"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "body": {"p", "head"}}
 _SCOPE = frozenset("div section article aside main nav header footer form table ul ol dl blockquote figure body html".split())
 #: Words in class, id and role that hint at a block's part.
@@ -42,7 +42,24 @@ _HINTS = {
     "main": ("article", "content", "main", "post", "entry", "story", "body", "text", "maincontent", "page"),
 }
 _OF = {w: part for part, words in _HINTS.items() for w in words}
-_TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "figure", "blockquote", "pre", "button", "label", "section", "div", "dl", "body", "head", "dialog", "details")
+#: Words that turn the name they stand in: what has no sidebar, or one somewhere, is none.
+_TURNS = frozenset("no non not without with has have is free hide hidden off".split())
+_TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "figure", "blockquote", "pre", "button", "label", "section", "div", "dl", "body", "head", "dialog", "details", "noscript")
+
+
+def hints_of(names: str) -> frozenset[str]:
+    """Hints of class names, ids and roles: of a whole name or its last word as they are, of its other words as ``part_``."""
+    out = set()
+    for name in names.lower().split():
+        words = re.findall(r"[a-z]+", name)
+        if not words or _TURNS.intersection(words):
+            continue
+        last = words[-1]
+        whole = _OF.get("".join(words)) or _OF.get(last)
+        if whole:
+            out.add(whole)
+        out.update(f"part_{_OF[w]}" for w in words[:-1] if w in _OF)
+    return frozenset(out)
 
 
 @dataclass
@@ -103,8 +120,7 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 hints = frozenset()
                 if attrs and "=" in attrs:
-                    words = re.findall(r"[a-z]+", " ".join(_ATTR.findall(attrs)).lower())
-                    hints = frozenset(_OF[w] for w in words if w in _OF)
+                    hints = hints_of(" ".join(x.strip("\"'") for x in _ATTR.findall(attrs)))
                 stack.append((tag, hints))
     if at < len(page):
         parts.append(page[at:])
@@ -118,7 +134,7 @@ _NAMES: dict[str, int] = {}
 def _names() -> dict[str, int]:
     if not _NAMES:
         every = ["one", "first", "last", "long", "longer", "short", "tiny", "linked", "half_linked", "sentence", "points", "commas", "copyright", "digits", "rights"]
-        every += [f"in_{t}" for t in _TAGS] + [f"is_{t}" for t in ("p", "h1", "h2", "li", "div", "td", "a", "span", "blockquote", "pre")] + [f"hint_{h}" for h in _HINTS]
+        every += [f"in_{t}" for t in _TAGS] + [f"is_{t}" for t in ("p", "h1", "h2", "li", "div", "td", "a", "span", "blockquote", "pre")] + [f"hint_{h}" for h in _HINTS] + [f"hint_part_{h}" for h in _HINTS]
         every += ["article_header", "article_aside", "article_footer", "article_nav", "article_list", "main_hint_comment", "bare", "heading"]
         _NAMES.update({n: i for i, n in enumerate(every)})
     return _NAMES
@@ -135,7 +151,7 @@ def features(of: list[Block]) -> np.ndarray:
               "commas": b.text.count(",") > 2, "copyright": "©" in b.text, "rights": "rights reserved" in b.text.lower(), "digits": sum(map(b.text.count, "0123456789")) > 0.2 * n}
         inner = tags & {"article", "main"}
         on |= {"article_header": inner and "header" in tags, "article_aside": inner and "aside" in tags, "article_footer": inner and "footer" in tags,
-               "article_nav": inner and "nav" in tags, "article_list": inner and "li" in tags, "main_hint_comment": inner and "comment" in b.hints,
+               "article_nav": inner and "nav" in tags, "article_list": inner and "li" in tags, "main_hint_comment": inner and bool(b.hints & {"comment", "part_comment"}),
                "bare": not b.hints and not tags & {"article", "main"}, "heading": bool(b.path) and b.path[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")}
         on |= {f"in_{t}": True for t in tags if f"in_{t}" in names} | {f"hint_{h}": True for h in b.hints}
         if b.path and f"is_{b.path[-1]}" in names:
@@ -203,7 +219,7 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12, rate: floa
 _MARK = "\ue000"
 
 
-def labelled_pages(count: int = 240, seed: int = 3) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 3) -> list[str]:
     """Invented pages of many layouts; a block of the article begins with a private-use mark."""
     r = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -245,6 +261,19 @@ def labelled_pages(count: int = 240, seed: int = 3) -> list[str]:
             lambda: box(["div", "section"], ["comments", "comment-list", "replies", "discussion"], f"<h3>{word()}</h3>" + "".join(
                 f'<{t} class="comment"><p>{sentence()} {sentence()}</p></{t}>' for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 5)))),
             lambda: box(["div"], ["share", "social", "author", "tags"], links(r.randint(2, 4), "span")),
+            lambda: f"<noscript>{sentence(3, 8)}</noscript>",
+        ])()
+
+    def plain_extra():
+        """Parts that only their tags and texts tell."""
+        return r.choice([
+            lambda: f"<ul>{links(r.randint(3, 8))}</ul>",
+            lambda: f"<div>{links(r.randint(2, 6), 'span')}</div>",
+            lambda: f"<nav>{links(r.randint(2, 6), 'a')}</nav>",
+            lambda: f'<form action="/{word()}"><label>{word()}</label><input name="q"><button>{word()}</button></form>',
+            lambda: f"<footer><p>&copy; {r.randint(1990, 2026)} {word()}. {sentence(2, 5)}</p></footer>",
+            lambda: f"<header><a href='/'>{word()}</a></header>",
+            lambda: f"<aside><h3>{word()}</h3><ul>{links(r.randint(2, 5), long=True)}</ul></aside>",
         ])()
 
     out = []
@@ -259,16 +288,28 @@ def labelled_pages(count: int = 240, seed: int = 3) -> list[str]:
                 body.append("<ul>" + "".join(f"<li>{_MARK}{sentence(3, 9)}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
             if r.random() < 0.05:
                 body.append(f"<blockquote>{_MARK}{sentence()}</blockquote>")
+            if r.random() < 0.04:
+                body.append(f"<noscript>{_MARK}{sentence()} {sentence()}</noscript>")
             if r.random() < 0.06:
                 body.append(extra())
         head = f"<h1>{_MARK}{title}</h1>" if r.random() < 0.9 else ""
         head = f"<header>{head}</header>" if head and r.random() < 0.1 else head
         shape = r.random()
         article = head + "".join(body)
-        if shape < 0.6:
-            article = f"<article>{article}</article>"
-        elif shape < 0.75:
-            article = f"<main>{article}</main>"
+        plain = 0.7 <= shape < 0.88
+        noise = lambda: f' class="{" ".join(r.sample(["ad-free", "no-sidebar", "with-sidebar", "header-story", "more-info", "single", "post-12", "has-comments", "h-entry", "wide", "format-standard", "page-text", "main-story"], r.randint(1, 2)))}"' if r.random() < 0.35 else ""
+        if shape < 0.42:
+            article = f"<article{noise()}>{article}</article>"
+        elif shape < 0.55:
+            article = f"<main{noise()}>{article}</main>"
+        elif shape < 0.6:
+            article = f'<div role="main"{noise()}><section>{article}</section></div>'
+        elif shape < 0.7:
+            article = f"<section{noise()}>{article}</section>" if r.random() < 0.4 else f"<div{noise()}><article>{article}</article></div>"
+        elif plain:
+            deep = r.choice([0, 0, 1, 1, 2, 3])
+            article = "<div>" * deep + article + "</div>" * deep
+            article = f"<table><tr><td>{article}</td></tr></table>" if r.random() < 0.12 else article
         else:
             article = f'<div class="{r.choice(["content", "post", "entry-content", "article-body", "story"])}">{article}</div>'
         before, after = [], []
@@ -282,7 +323,11 @@ def labelled_pages(count: int = 240, seed: int = 3) -> list[str]:
             after.append(extra())
         if r.random() < 0.9:
             after.append(box(["footer", "footer", "div"], ["footer", "copyright", "legal"], f"&copy; {word()}.example &middot; {sentence()}" if r.random() < 0.6 else f"<p>{sentence()}</p><ul>{links(3)}</ul>"))
-        page = f"<!DOCTYPE html><html><head><title>{title}</title><script>var t='</p>';</script></head><body>{''.join(before)}{article}{''.join(after)}</body></html>"
+        if plain and r.random() < 0.6:
+            before = [plain_extra() for _ in range(r.choice([0, 0, 1, 2]))]
+            after = [plain_extra() for _ in range(r.choice([0, 0, 1, 2]))]
+        root = r.choice([' class="home page with-sidebar"', ' class="single post-template"', ' id="page"']) if r.random() < 0.15 else ""
+        page = f"<!DOCTYPE html><html><head><title>{title}</title><script>var t='</p>';</script></head><body{root}>{''.join(before)}{article}{''.join(after)}</body></html>"
         if r.random() < 0.1:
             page = page[:r.randint(len(page) // 2, len(page))]
         out.append(page)

@@ -154,9 +154,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that a model accepts, with their own columns."""
-    cols = docs.columns
-    name = "score"
-    while name in cols:
-        name += "_"
-    return score(docs, train(docs, labels, sample), name).where(F.col(name) >= 0.5).select(*cols)
+    """The rows of ``docs`` that a model accepts, with their own columns, whatever their names.
+
+    Null and empty texts are scored as any other, repeated rows go together; an empty table gives none.
+    """
+    name = common.free_name(docs, "score")
+    return score(docs, train(docs, labels, sample), name).where(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
