@@ -116,3 +116,21 @@ def add_favourites(favourites: DataFrame, articles: DataFrame) -> DataFrame:
 def promote(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of another scope whose keys the target does not have."""
     return target.unionByName(source.join(target.select(*keys), keys, "left_anti"))
+
+
+def rename_folders(folders: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folders after ``changes(id, name)``, one for a folder, and ``id, reason`` of those refused.
+
+    A name that is blank, belongs to another folder whatever the case, or is asked for by an
+    earlier change (by id) is refused, and so is a folder that is not there.
+    """
+    asked = changes.select("id", X.folder_name(F.col("name")).alias("new")).withColumn("k", F.lower("new"))
+    known = folders.select("id", F.lit(True).alias("there"))
+    taken = folders.select(F.lower("name").alias("k"), F.col("id").alias("owner"))
+    first = F.row_number().over(Window.partitionBy("k").orderBy("id"))
+    j = asked.withColumn("nth", first).join(known, "id", "left").join(taken.groupBy("k").agg(F.collect_set("owner").alias("owners")), "k", "left")
+    other = F.size(F.array_except(F.coalesce("owners", none()), F.array("id"))) > 0
+    reason = F.when(F.col("new") == "", "blank").when(F.col("there").isNull(), "gone").when(other | (F.col("nth") > 1), "taken").otherwise("")
+    j = j.withColumn("reason", reason)
+    done = folders.join(j.where("reason = ''").select("id", "new"), "id", "left").select("id", F.coalesce("new", "name").alias("name"), "created_at")
+    return done, j.where("reason <> ''").select("id", "reason")

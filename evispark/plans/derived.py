@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evispark.plans import fixtures as S
 from evispark.plans.catalogue import query, t
-from evispark.operators import compare, layout, numbering, telemetry, vocab
+from evispark.functions import lexicon as L
+from evispark.operators import compare, desk, layout, library, numbering, reports, telemetry, vocab
 from evispark.sources import paged, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -216,3 +218,116 @@ def pdf_sections(spark, d):
 @query(f"""WITH {_LAID} SELECT doc_id, 'About document ' || doc_id AS title, 'Smith JA;Jones B' AS authors, '' AS pmid FROM w""")
 def pdf_metadata(spark, d):
     return layout.metadata(_page_words(spark, d)).select("doc_id", "title", F.array_join("authors", ";").alias("authors"), "pmid")
+
+
+# --- sheets, bookkeeping and replies
+
+_TOOLS = [("随机对照试验", "rob2", "RoB 2", "trials"), ("队列研究", "nos", "NOS", "cohorts"), ("队列研究", "robins", "ROBINS-I", "interventions"), ("系统评价 / Meta 分析", "amstar2", "AMSTAR 2", "reviews")]
+_QUESTIONS = [("rob2", 1, "Randomization", "Was the sequence random?"), ("rob2", 2, "Randomization", "Was it concealed?"), ("rob2", 3, "Outcome", "Was it blinded?"), ("nos", 1, "Selection", "Was the cohort representative?"), ("amstar2", 1, "Protocol", "Was there one?"), ("unused", 1, "None", "Nobody asks.")]
+_TOOL_COLUMNS, _QUESTION_COLUMNS = "design string, id string, name string, formal string", "id string, pos int, topic string, question string"
+_DESIGNED = "SELECT doc_id AS o, split_part(coalesce(text, ''), chr(10), 1) AS title, CASE doc_id % 5 WHEN 0 THEN '随机对照试验' WHEN 1 THEN '队列研究' WHEN 2 THEN '系统评价 / Meta 分析' WHEN 3 THEN '未识别' ELSE '横断面研究' END AS design FROM documents"
+
+
+def _designed(spark, d):
+    return t(spark, d, "documents").selectExpr("doc_id as ord", "split_part(coalesce(text, ''), '\\n', 1) as title", "case doc_id % 5 when 0 then '随机对照试验' when 1 then '队列研究' when 2 then '系统评价 / Meta 分析' when 3 then '未识别' else '横断面研究' end as design")
+
+
+def _in_order(sheet):
+    """Lines of a sheet with their place in their part; parts are counted one by one, the long ones by blocks of articles."""
+    lines = sheet.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("a"))
+    return lines.select("part", F.posexplode("a").alias("pos", "x")).select("part", (F.col("pos") + 1).cast("long").alias("pos"), F.md5("x.line").alias("line"))
+
+
+@query(f"""WITH p AS ({_DESIGNED}), tools AS ({S.values(_TOOLS, _TOOL_COLUMNS)}), q AS ({S.values(_QUESTIONS, _QUESTION_COLUMNS)}), j AS (SELECT p.*, id, name, formal FROM p LEFT JOIN tools USING (design)), u AS (SELECT id, name, formal, count(*) AS n FROM j WHERE id IS NOT NULL GROUP BY ALL),
+ l AS (SELECT 1 AS part, [lpad((100000000000 - n)::VARCHAR, 12, '0'), name] AS s, '- **' || name || '**：适用于 ' || n || ' 篇' AS line FROM u
+  UNION ALL SELECT 2, [lpad(o::VARCHAR, 12, '0')], '- ' || title || ' → ' || design || '｜适用工具：' || coalesce(string_agg(name, '、' ORDER BY name), '（研究类型未识别，请先判断设计）') FROM j GROUP BY o, title, design
+  UNION ALL SELECT 3, [id, '0'], '##### ' || name || ' — ' || formal FROM u UNION ALL SELECT 3, [id, '1', lpad(min(pos)::VARCHAR, 12, '0'), '0'], '**' || topic || '**' FROM q JOIN u USING (id) GROUP BY id, topic
+  UNION ALL SELECT 3, [id, '1', lpad(pos::VARCHAR, 12, '0'), '1'], '- [ ] ' || question FROM q JOIN u USING (id))
+ SELECT part, row_number() OVER (PARTITION BY part ORDER BY s, line) AS pos, md5(line) AS line FROM l""")
+def appraisal_lines(spark, d):
+    return _in_order(reports.appraisal_sheet(_designed(spark, d), S.frame(spark, _TOOLS, _TOOL_COLUMNS), S.frame(spark, _QUESTIONS, _QUESTION_COLUMNS)))
+
+
+_LEVELS = S.values([(x[0], x[4]) for x in L.DESIGN_DIM], "design string, level string")
+_CELL = "CASE WHEN length(c) <= 240 THEN c ELSE left(c, 240) || '…' END"
+
+
+@query(f"""WITH p AS (SELECT o, regexp_replace(regexp_replace(replace(title, '|', '／'), '[\\s\\x0b\\x{{a0}}\\x{{3000}}]+', ' ', 'g'), '^ | $', '', 'g') AS c, design, coalesce(level, '待定') AS level FROM ({_DESIGNED}) LEFT JOIN ({_LEVELS}) USING (design)),
+ l AS (SELECT 1 AS part, lpad((100000000000 - count(*))::VARCHAR, 12, '0') || level AS s, '- ' || level || '：' || count(*) || ' 篇' AS line FROM p GROUP BY level UNION ALL SELECT DISTINCT 2, design, '| ' || design || ' | ' || level || ' |' FROM p
+  UNION ALL SELECT 3, lpad(o::VARCHAR, 12, '0'), '- ' || {_CELL} || ' → ' || design || '：起始等级 ' || level FROM p)
+ SELECT part, row_number() OVER (PARTITION BY part ORDER BY s, line) AS pos, md5(line) AS line FROM l""")
+def grade_lines(spark, d):
+    return _in_order(reports.grade_sheet(_designed(spark, d)))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section FROM documents)
+ SELECT doc_id, section, 'Part ' || section AS title, len(regexp_extract_all(x, '[A-Za-z0-9][A-Za-z0-9''\\-]*|[一-鿿]')) AS words, length(x) AS chars FROM s WHERE x <> ''""")
+def section_sheet(spark, d):
+    parts = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).where("text <> ''")
+    return reports.section_sheet(parts.withColumn("ord", F.col("ord").cast("long")).withColumn("title", F.concat(F.lit("Part "), F.col("ord").cast("string"))))
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS scope, ts, event_id AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'bug' WHEN event_type = 'signup' THEN 'question' ELSE 'other' END AS kind, trim(repeat(event_type || ' ', event_id % 900)) AS c FROM events WHERE event_id % 3 <> 0),
+ k AS (SELECT * FROM e WHERE c <> '' QUALIFY row_number() OVER (PARTITION BY scope, ts::DATE ORDER BY ts DESC, seq DESC) <= 200)
+ SELECT scope, kind, count(*) AS n, sum(length(left(c, 4000)))::BIGINT AS chars FROM k GROUP BY scope, kind""")
+def feedback_kept(spark, d):
+    kind = F.when(F.col("event_type").isin("click", "view"), "bug").when(F.col("event_type") == "signup", "question").otherwise(F.col("event_type"))
+    e = t(spark, d, "events").where("event_id % 3 <> 0").select(F.col("user_id").cast("string").alias("scope"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.expr("repeat(concat(event_type, ' '), cast(event_id % 900 as int))").alias("content"), F.lit(None).cast("string").alias("diagnostics"))
+    return desk.feedback(e).groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("""WITH u AS (SELECT user_id::VARCHAR AS scope, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS count, count(*) FILTER (WHERE event_type = 'purchase' AND event_id % 9 = 0) AS prompts, coalesce(bool_or(event_type = 'error' AND event_id % 40 = 0), false) AS muted, coalesce(bool_or(event_type = 'signup' AND event_id % 60 = 0), false) AS survey_done FROM events GROUP BY user_id)
+ SELECT *, NOT muted AND NOT survey_done AND prompts < 3 AND count >= 15 + 25 * prompts AS due FROM u""")
+def usage_prompts(spark, d):
+    action = F.when(F.col("event_type").isin("click", "view"), "use").when((F.col("event_type") == "purchase") & (F.col("event_id") % 9 == 0), "prompt").when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "mute").when((F.col("event_type") == "signup") & (F.col("event_id") % 60 == 0), "survey").otherwise("none")
+    u = desk.usage(t(spark, d, "events").select(F.col("user_id").cast("string").alias("scope"), "ts", action.alias("action"))).drop("first_use", "last_use")
+    return u.withColumn("due", telemetry.should_prompt(F.col("count"), F.col("prompts"), F.col("muted"), F.col("survey_done")))
+
+
+_HOSTED = "CASE page_id % 6 WHEN 0 THEN 'https://eutils.ncbi.nlm.nih.gov/e?id=' || page_id WHEN 1 THEN 'http://EuropePMC.org/x' WHEN 2 THEN 'https://api.unpaywall.org/v2/' || page_id WHEN 3 THEN 'https://api.mymemory.translated.net' ELSE url END"
+
+
+@query(f"""WITH h AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pubmed' WHEN 1 THEN 'epmc' WHEN 2 THEN 'unpaywall' WHEN 3 THEN 'translate' ELSE 'llm' END AS dep, CASE page_id % 6 WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 0.34 WHEN 2 THEN 1.0 WHEN 3 THEN 0.2 ELSE 0 END AS delay, {_HOSTED} AS url FROM pages)
+ SELECT CASE WHEN page_id % 10 = 0 THEN 'figures' ELSE dep END AS dep, count(*) AS requests, round(sum(delay), 6) AS least_seconds, count(DISTINCT url) AS urls FROM h GROUP BY ALL""")
+def host_requests(spark, d):
+    h = t(spark, d, "pages").select("page_id", F.expr(_HOSTED).alias("url"))
+    h = h.select(desk.dependency_of(F.col("url"), F.when(F.col("page_id") % 10 == 0, "figures")).alias("dep"), desk.host_delay(F.col("url"), keyed=True).alias("delay"), "url")
+    return h.groupBy("dep").agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("delay"), 6).alias("least_seconds"), F.countDistinct("url").alias("urls"))
+
+
+@query("""SELECT user_id::VARCHAR AS scope, event_id AS seq, event_type AS query, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 50""")
+def search_history(spark, d):
+    s = t(spark, d, "events").select(F.col("user_id").cast("string").alias("scope"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("query"))
+    return desk.history(s).select("scope", "seq", "query", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH f AS ({S.FOLDERS_SQL}), c AS (SELECT 'n' || n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'done' WHEN 2 THEN 'Same name' WHEN 3 THEN lower(n_name) ELSE 'New ' || n_nationkey END AS new FROM nation UNION ALL SELECT 'zz', 'Anything'),
+ r AS (SELECT c.*, CASE WHEN new = '' THEN 'blank' WHEN NOT EXISTS (SELECT 1 FROM f WHERE f.id = c.id) THEN 'gone' WHEN EXISTS (SELECT 1 FROM f WHERE lower(f.name) = lower(c.new) AND f.id <> c.id) OR row_number() OVER (PARTITION BY lower(new) ORDER BY id) > 1 THEN 'taken' ELSE '' END AS reason FROM c)
+ SELECT coalesce(f.id, r.id) AS id, CASE WHEN r.reason = '' THEN r.new ELSE f.name END AS name, coalesce(r.reason, '') AS reason FROM f FULL JOIN r USING (id)""")
+def folder_renames(spark, d):
+    new = F.when(F.col("n_nationkey") % 5 == 0, "").when(F.col("n_nationkey") % 5 == 1, "done").when(F.col("n_nationkey") % 5 == 2, "Same  name").when(F.col("n_nationkey") % 5 == 3, F.lower("n_name")).otherwise(F.concat(F.lit("New "), F.col("n_nationkey").cast("string")))
+    changes = t(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), new.alias("name")).unionByName(S.frame(spark, [("zz", "Anything")], "id string, name string"))
+    done, refused = library.rename_folders(S.folders(spark, d), changes)
+    return done.join(refused, "id", "full_outer").select("id", "name", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("""WITH p AS (SELECT doc_id, doc_id % 70 + 1 AS page, list_transform(string_split(text, chr(10)), lambda l: list_transform(string_split(l, ','), lambda c: trim(regexp_replace(c, '[ \\t\\x{a0}\\x{3000}]+', ' ', 'g')))) AS rows FROM documents),
+ c AS (SELECT doc_id, page, list_filter(rows, lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS rows FROM p WHERE page <= 60)
+ SELECT doc_id, page, len(rows)::INT AS n, md5(array_to_string(list_transform(rows, lambda r: array_to_string(r, '|')), chr(10))) AS cells FROM c WHERE len(rows) >= 2 AND list_max(list_transform(rows, lambda r: len(r))) >= 2""")
+def pdf_tables(spark, d):
+    rows = F.transform(F.split("text", "\n"), lambda l: F.split(l, ","))  # noqa: E741
+    got = desk.pdf_tables(t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 70 + 1).alias("page"), F.lit(1).alias("index"), rows.alias("rows")))
+    return got.select("doc_id", "page", F.size("rows").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")).alias("cells"))
+
+
+@query("""SELECT doc_id AS id, md5(trim(coalesce(text, ''))) AS content, CASE doc_id % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' ELSE '' END AS finish, doc_id % 3 = 0 AS cut FROM documents""")
+def chat_replies(spark, d):
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content"), F.lit("thoughts").alias("reasoning_content")).alias("message"), F.when(F.col("doc_id") % 3 == 0, "length").when(F.col("doc_id") % 3 == 1, " stop ").alias("finish_reason"))).alias("choices")))
+    return desk.chat_replies(t(spark, d, "documents").select(F.col("doc_id").alias("id"), reply.alias("json"))).withColumn("content", F.md5("content"))
+
+
+@query("""SELECT p_name || ' ' || p_partkey AS term, 'P' || p_partkey AS ui, p_brand AS heading, CASE WHEN p_partkey % 3 = 0 THEN 'descriptor' ELSE 'qualifier' END AS type, array_to_string([p_brand, p_type], ';') AS entry_terms, CASE WHEN p_partkey % 2 = 0 THEN 'C' || p_size ELSE '' END AS trees FROM part WHERE p_partkey % 7 <> 0""")
+def vocabulary_candidates(spark, d):
+    rec = t(spark, d, "part").selectExpr("concat(p_name, ' ', p_partkey) as term", "1 as ord", "concat('P', p_partkey) as ui", "if(p_partkey % 7 = 0, array(' ', null), array(' ', concat(' ', p_brand), p_type)) as terms", "if(p_partkey % 3 = 0, ' ', 'qualifier') as type", "null as mapped_to", "'note' as scope_note", "array('@12', if(p_partkey % 2 = 0, concat('C', p_size), null), '') as trees")
+    got = desk.candidates(rec.withColumn("mapped_to", F.col("mapped_to").cast("string")))
+    return got.select("term", "ui", "heading", "type", F.array_join("entry_terms", ";").alias("entry_terms"), F.array_join("tree_numbers", ";").alias("trees"))
