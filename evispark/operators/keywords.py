@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
+from evispark.sources import staging
 
 
 def _runs(terms: Column) -> Column:
@@ -19,16 +20,20 @@ def _runs(terms: Column) -> Column:
     return F.filter(F.zip_with(terms, before, lambda t, b: F.struct(t.alias("term"), (t != b).cast("long").alias("new"))), lambda x: x["term"].isNotNull())
 
 
-def _weigh(terms: DataFrame, units: DataFrame, unit: str) -> DataFrame:
-    """``term, tf, df, weight`` of ``terms(unit, a array)``. A term's units are told apart in the array, so one shuffle is enough."""
+def _counted(units: DataFrame, text: str) -> DataFrame:
+    """``units``: how many have a token. A Latin letter begins one, so most texts are not taken apart for it."""
+    return units.agg(F.count_if(F.coalesce(F.col(text).rlike("[A-Za-z]") | (F.size(X.tokens(F.col(text))) > 0), F.lit(False))).alias("units"))
+
+
+def _weigh(terms: DataFrame, units: DataFrame, text: str) -> DataFrame:
+    """``term, tf, df, weight`` of ``terms(a array)``, an array for each unit. A term's units are told apart in the array, so one shuffle is enough."""
     per = terms.select(F.sort_array("a").alias("a")).select(F.inline(_runs(F.col("a")))).groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.sum("new").alias("df"))
-    n = units.agg(F.count(F.lit(1)).alias("units"))
-    return per.crossJoin(F.broadcast(n)).withColumn("weight", F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).drop("units")
+    return per.crossJoin(F.broadcast(_counted(units, text))).withColumn("weight", F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).drop("units")
 
 
 def token_weights(units: DataFrame, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
-    """``term, tf, df, weight`` of candidate tokens: ``tf * (0.35 + ln(1 + N / (1 + df)))`` over N units."""
-    return _weigh(units.select(F.filter(X.tokens(F.col(text)), lambda t: X.is_candidate(t, stop)).alias("a")), units, unit)
+    """``term, tf, df, weight`` of candidate tokens: ``tf * (0.35 + ln(1 + N / (1 + df)))`` over N units that have tokens."""
+    return _weigh(units.select(F.filter(X.tokens(F.col(text)), lambda t: X.is_candidate(t, stop)).alias("a")), units, text)
 
 
 def phrase_weights(units: DataFrame, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
@@ -38,7 +43,7 @@ def phrase_weights(units: DataFrame, unit: str = "unit", text: str = "text", sto
     pair = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b))
     good = F.zip_with(F.slice("ok", 1, F.greatest(F.size("ok") - 1, F.lit(0))), F.slice("ok", 2, F.size("ok")), lambda a, b: a & b)
     kept = F.filter(F.zip_with(pair, good, lambda p, g: F.when(g, p)), lambda p: p.isNotNull())
-    return _weigh(t.select(kept.alias("a")), units, unit).where("tf >= 2").withColumn("weight", F.col("weight") * 1.45)
+    return _weigh(t.select(kept.alias("a")), units, text).where("tf >= 2").withColumn("weight", F.col("weight") * 1.45)
 
 
 def keywords(units: DataFrame, top: int = 20, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
@@ -48,13 +53,24 @@ def keywords(units: DataFrame, top: int = 20, unit: str = "unit", text: str = "t
     is taken, words taken before that hardly stand outside of it (at most 1.2 times
     its count) give their places up, and later ones are passed over. A Chinese term
     that shares a character with one taken is passed over. Each choice depends on
-    those before, so it is a fold, over the ``20 * top`` best.
+    those before, so it is a fold, over the best; where they give fewer than ``top``,
+    over four times as many, until there are ``top`` or no more terms. The weights
+    are written, so that this costs no second count.
     """
     zh = chinese_grams(units, unit, text)
-    n = units.agg(F.count(F.lit(1)).alias("units"))
-    zh = zh.crossJoin(F.broadcast(n)).select("gram", "tf", "df", (F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).alias("weight")).withColumnRenamed("gram", "term")
+    zh = zh.crossJoin(F.broadcast(_counted(units, text))).select("gram", "tf", "df", (F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).alias("weight")).withColumnRenamed("gram", "term")
     every = token_weights(units, unit, text, stop).unionByName(phrase_weights(units, unit, text, stop)).unionByName(zh)
-    best = every.orderBy(F.desc("weight"), "term").limit(20 * top)
+    every, _ = staging.written(every.select("term", "tf", "weight"), "keyword-weights")
+    most, size = every.count(), 20 * top
+    while True:
+        picks = _picked(every.orderBy(F.desc("weight"), "term").limit(size), top)
+        if size >= most or picks.count() >= top:
+            return picks
+        size *= 4
+
+
+def _picked(best: DataFrame, top: int) -> DataFrame:
+    """``rank, term, weight, count``: what the fold takes of ``best(term, tf, weight)``."""
     rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term", "tf"))).alias("a"))
     kind = "struct<p:array<struct<w:double,term:string,tf:bigint>>,c:array<struct<word:string,n:bigint>>>"
     zero = F.struct(F.array().alias("p"), F.array().alias("c")).cast(kind)

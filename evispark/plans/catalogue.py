@@ -86,17 +86,16 @@ def value_hits_by_type(spark, d):
 
 
 _STOPS = ", ".join(f"'{Q(w)}'" for w in L.ENGLISH_STOP + L.GENERIC_STOP)
-_TOKENS = f"""raw AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\\-]*'))) AS r FROM documents WHERE lang = 'en'),
+_TOKENS = f"""raw AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\\-]*'))) AS r FROM documents),
  a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(r, '^[''\\-]+|[''\\-]+$', '', 'g'), '''(s|re|ve|ll|d|m|t)$', ''), '[''\\-]+$', '') AS w FROM raw),
  b AS (SELECT doc_id, w, {_CAND} AS c FROM a WHERE w <> ''), tok AS (SELECT doc_id, {_STEM} AS term FROM b)"""
 
 
 @query(f"""WITH {_TOKENS}, k AS (SELECT * FROM tok WHERE term NOT IN ({_STOPS}) AND (term IN ({', '.join(f"'{w}'" for w in L.SHORT_KEEP)}) OR (length(term) >= 3 AND replace(term, left(term, 1), '') <> ''))),
- g AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM k GROUP BY term), n AS (SELECT count(*) AS units FROM documents WHERE lang = 'en')
+ g AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM k GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS units FROM tok)
  SELECT term, tf, df, round(tf * (0.35::DOUBLE + ln(1 + units / (1 + df))), 6) AS weight FROM g, n WHERE df >= 3""")
 def token_weights(spark, d):
-    en = t(spark, d, "documents").where("lang = 'en'")
-    return keywords.token_weights(en, "doc_id").where("df >= 3").withColumn("weight", F.round("weight", 6))
+    return keywords.token_weights(t(spark, d, "documents"), "doc_id").where("df >= 3").withColumn("weight", F.round("weight", 6))
 
 
 @query("""SELECT lang, count(*) AS docs, count(*) FILTER (WHERE la > cjk * 2 AND la > 20) AS english FROM
@@ -655,12 +654,12 @@ def funnel_diagnosis(spark, d):
 
 @query()
 def summaries(spark, d):
-    return keywords.summaries(t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", "pos")
+    return keywords.summaries(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos")
 
 
 @query()
 def keyword_picks(spark, d):
-    return keywords.keywords(t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"), 20, "doc_id")
+    return keywords.keywords(t(spark, d, "documents").select("doc_id", "text"), 20, "doc_id")
 
 
 # --- relational shapes ---------------------------------------------------------------------------------

@@ -120,3 +120,15 @@ def test_suggestions_and_journals(spark):
     catalogue = spark.createDataFrame([("The Journal of Immunology.", "J Immunol", 1), ("Spine", "Spine", 2), ("Spine & Back", None, 3)], "title string, abbreviation string, ord int")
     got = {tuple(x) for x in vocab.resolve_nearest(spark.createDataFrame([("Journal of Imunology",), ("spine",), ("Unknown", )], "name string"), catalogue).collect()}
     assert got == {("Journal of Imunology", "J Immunol"), ("spine", "Spine"), ("Unknown", "Unknown")}
+
+
+def test_keywords_go_on_until_there_are_enough(spark):
+    """Over twenty times as many heavy phrases as asked for share a word; lighter words are reached."""
+    from evispark.operators import keywords
+
+    rows = [(1, " ".join(f"common{chr(97 + i // 26)}{chr(97 + i % 26)} heart ." for i in range(400) for _ in range(2))), (2, "liver stands here"), (3, " "), (4, None), (5, "12 34")]
+    got = keywords.keywords(spark.createDataFrame(rows, "unit int, text string"), 5).orderBy("rank").collect()
+    assert len(got) == 5 and len({r.term for r in got}) == 5
+    w = {r.term: r for r in keywords.token_weights(spark.createDataFrame(rows, "unit int, text string")).collect()}
+    import math
+    assert abs(w["liver"].weight - (0.35 + math.log(1 + 2 / 2))) < 1e-9  # two units have tokens
