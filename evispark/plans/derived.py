@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evispark.plans import fixtures as S
 from evispark.plans.catalogue import query, t
 from evispark.functions import lexicon as L
-from evispark.operators import compare, desk, layout, library, numbering, reports, telemetry, vocab
+from evispark.operators import compare, desk, draft, layout, library, numbering, reports, telemetry, vocab
 from evispark.sources import paged, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -331,3 +331,21 @@ def vocabulary_candidates(spark, d):
     rec = t(spark, d, "part").selectExpr("concat(p_name, ' ', p_partkey) as term", "1 as ord", "concat('P', p_partkey) as ui", "if(p_partkey % 7 = 0, array(' ', null), array(' ', concat(' ', p_brand), p_type)) as terms", "if(p_partkey % 3 = 0, ' ', 'qualifier') as type", "null as mapped_to", "'note' as scope_note", "array('@12', if(p_partkey % 2 = 0, concat('C', p_size), null), '') as trees")
     got = desk.candidates(rec.withColumn("mapped_to", F.col("mapped_to").cast("string")))
     return got.select("term", "ui", "heading", "type", F.array_join("entry_terms", ";").alias("entry_terms"), F.array_join("tree_numbers", ";").alias("trees"))
+
+
+# --- a draft's facts and counts
+
+@query(f"""SELECT row_key AS at, md5('- 佚名 等（' || coalesce(nullif(trim(year), ''), '年份不详') || '，' || design || '，样本量 ' || coalesce(n::VARCHAR, '未抽取') || '，效应量 ' || coalesce(nullif(trim(effects_text), ''), '未报告') || '）：' || coalesce(nullif(trim(conclusion), ''), '摘要未写明结论')) AS line FROM ({S.ROWS_SQL})""")
+def draft_facts(spark, d):
+    rows = S.rows(spark, d).withColumn("authors", F.array().cast("array<string>"))
+    return draft.facts(rows, order="row_key").withColumn("line", F.md5("line"))
+
+
+_SPREAD = lambda c: f"(SELECT string_agg(k || ' ' || n || ' 篇', '、' ORDER BY n DESC, k) FROM (SELECT {c} AS k, count(*) AS n FROM r WHERE coalesce({c}, '') <> '' GROUP BY {c}))"
+
+
+@query(f"""WITH r AS ({S.ROWS_SQL}) SELECT count(*) AS total, min(TRY_CAST(left(year, 4) AS INT)) AS year_from, max(TRY_CAST(left(year, 4) AS INT)) AS year_to, coalesce(sum(n), 0)::BIGINT AS n_total, count(*) FILTER (WHERE n IS NULL) AS n_missing, count(*) FILTER (WHERE coalesce(pmcid, '') <> '') AS with_fulltext,
+ count(*) FILTER (WHERE trim(coalesce(effects_text, '')) <> '') AS effects, count(*) FILTER (WHERE trim(coalesce(effects_text, '')) <> '' AND direction < 0) AS down, count(*) FILTER (WHERE trim(coalesce(effects_text, '')) <> '' AND direction > 0) AS up,
+ {_SPREAD('polarity')} AS polarity_text, {_SPREAD('design')} AS design_text, {_SPREAD('cebm')} AS cebm_text FROM r""")
+def draft_totals(spark, d):
+    return draft.totals(S.rows(spark, d)).drop("polarity_top", "design_top", "cebm_top")

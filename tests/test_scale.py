@@ -132,3 +132,17 @@ def test_keywords_go_on_until_there_are_enough(spark):
     w = {r.term: r for r in keywords.token_weights(spark.createDataFrame(rows, "unit int, text string")).collect()}
     import math
     assert abs(w["liver"].weight - (0.35 + math.log(1 + 2 / 2))) < 1e-9  # two units have tokens
+
+
+def test_sentences_of_other_scripts_are_located_by_keys(spark):
+    from evispark.operators import locate
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("абвгдежзиклмнопрст") for _ in range(r.randint(3, 9)))
+    sentences = [" ".join(word() for _ in range(14)) + "." for _ in range(60)]
+    docs = [(i, " ".join(s.capitalize() for s in sentences[i * 3:i * 3 + 3])) for i in range(20)]
+    part = sentences[10].rstrip(".").split(" ", 2)[2]  # stands inside a longer sentence
+    q = spark.createDataFrame([(1, sentences[7].capitalize()), (2, part), (3, " ".join(word() for _ in range(12)))], "query_id int, sentence string")
+    got = locate.locate(q, spark.createDataFrame(docs, "doc_id int, text string"))
+    assert {(x.query_id, x.doc_id, x.score) for x in got.collect()} == {(1, 2, 1.0), (2, 3, 0.95)}
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
