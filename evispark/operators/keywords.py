@@ -199,11 +199,17 @@ def summaries(docs: DataFrame, ratio: float = 0.3, most: int = 5, key: str = "do
 
 
 def fulltext_stats(sections: DataFrame) -> DataFrame:
-    """``doc_id, section, words, chars, boilerplate`` of ``sections(doc_id, title, text)``."""
-    words = F.regexp_count("text", F.lit(r"[A-Za-z][A-Za-z'\-]*|[一-鿿]"))
+    """``doc_id, section, words, chars, boilerplate`` of ``sections(doc_id, title, text)``: words are runs of two Latin letters or more and single Chinese characters."""
+    words = F.regexp_count("text", F.lit(r"[A-Za-z][A-Za-z'\-]+|[一-鿿]"))
     return sections.select("doc_id", F.col("title").alias("section"), words.alias("words"), F.length("text").alias("chars"), X.is_boilerplate(F.col("title")).alias("boilerplate"))
 
 
+def fulltext_totals(sections: DataFrame) -> DataFrame:
+    """``doc_id, words, chars, sections`` of whole documents, boilerplate too."""
+    s = fulltext_stats(sections)
+    return s.groupBy("doc_id").agg(F.sum("words").cast("long").alias("words"), F.sum("chars").cast("long").alias("chars"), F.count(F.lit(1)).alias("sections"))
+
+
 def fulltext_summary(sections: DataFrame, most: int = 10) -> DataFrame:
     """``doc_id, ord, title, title_zh, quota, sentences`` of ``sections(doc_id, ord, title, text)``.
 

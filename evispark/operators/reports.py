@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
-from evispark.operators import services
+from evispark.operators import keywords, services
 from evispark.operators.compare import md_cell
 
 
@@ -115,9 +115,9 @@ def document_summary(meta: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def section_sheet(sections: DataFrame) -> DataFrame:
-    """``doc_id, title, section, words, chars`` of each section ``(doc_id, ord, title, text)``: words are Latin runs and single Chinese characters."""
-    words = F.regexp_count("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9'\-]*|[一-鿿]"))
-    return sections.select("doc_id", F.col("ord").alias("section"), "title", words.cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
+    """``doc_id, section, title, words, chars`` of each section ``(doc_id, ord, title, text)``, as :func:`evispark.operators.keywords.fulltext_stats` counts them."""
+    counted = keywords.fulltext_stats(sections.select(F.struct("doc_id", F.col("ord").alias("section")).alias("doc_id"), "title", "text"))
+    return counted.select("doc_id.doc_id", "doc_id.section", F.col("section").alias("title"), F.col("words").cast("long").alias("words"), F.col("chars").cast("long").alias("chars"))
 
 
 def metric_sheet(metrics: DataFrame, shown: int = 6) -> DataFrame:

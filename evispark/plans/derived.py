@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evispark.plans import fixtures as S
 from evispark.plans.catalogue import query, t
 from evispark.functions import lexicon as L
-from evispark.operators import compare, desk, draft, layout, library, numbering, reports, telemetry, vocab
+from evispark.operators import compare, desk, draft, keywords, layout, library, numbering, reports, telemetry, vocab
 from evispark.sources import paged, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -261,7 +261,7 @@ def grade_lines(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section FROM documents)
- SELECT doc_id, section, 'Part ' || section AS title, len(regexp_extract_all(x, '[A-Za-z0-9][A-Za-z0-9''\\-]*|[一-鿿]')) AS words, length(x) AS chars FROM s WHERE x <> ''""")
+ SELECT doc_id, section, 'Part ' || section AS title, len(regexp_extract_all(x, '[A-Za-z][A-Za-z''\\-]+|[一-鿿]')) AS words, length(x) AS chars FROM s WHERE x <> ''""")
 def section_sheet(spark, d):
     parts = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).where("text <> ''")
     return reports.section_sheet(parts.withColumn("ord", F.col("ord").cast("long")).withColumn("title", F.concat(F.lit("Part "), F.col("ord").cast("string"))))
@@ -349,3 +349,10 @@ _SPREAD = lambda c: f"(SELECT string_agg(k || ' ' || n || ' 篇', '、' ORDER BY
  {_SPREAD('polarity')} AS polarity_text, {_SPREAD('design')} AS design_text, {_SPREAD('cebm')} AS cebm_text FROM r""")
 def draft_totals(spark, d):
     return draft.totals(S.rows(spark, d)).drop("polarity_top", "design_top", "cebm_top")
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
+ SELECT doc_id, sum(len(regexp_extract_all(x, '[A-Za-z][A-Za-z''\\-]+|[一-鿿]')))::BIGINT AS words, sum(length(x))::BIGINT AS chars, count(*) AS sections FROM s WHERE x <> '' GROUP BY doc_id""")
+def fulltext_totals(spark, d):
+    parts = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
+    return keywords.fulltext_totals(parts.withColumn("title", F.lit("Part")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.compare import md_cell
+from evispark.sources import onefile
 
 
 def joined(rows: DataFrame, order: str = "ord", text: str = "text", between: str = "\n\n", last: str = "\n") -> str:
@@ -38,3 +39,23 @@ def backup(folders: DataFrame, meta: DataFrame) -> DataFrame:
     """``kind, json``: a line for each folder and entry."""
     f = folders.select(F.lit("folder").alias("kind"), F.to_json(F.struct(*folders.columns)).alias("json"))
     return f.unionByName(meta.select(F.lit("meta").alias("kind"), F.to_json(F.struct(*meta.columns)).alias("json")))
+
+
+def export_csv(df: DataFrame, path: str, order: str) -> None:
+    """One CSV for a spreadsheet, in ``order``: a byte order mark, a header, CR LF; in place of the old file only when it is whole."""
+    onefile.write(df.orderBy(order), path, "csv")
+
+
+def export_text(rows: DataFrame, path: str, order: str = "ord", text: str = "text", between: str = "\n") -> None:
+    """Ordered entries as one text file, which does not pass through the driver's memory."""
+    onefile.write(rows.orderBy(order).select(text), path, "text", between=between)
+
+
+def export_zip(files: DataFrame, path: str) -> None:
+    """``files(name, content)`` as one ZIP."""
+    onefile.write(files.select("name", "content"), path, "zip")
+
+
+def keep_state(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines in one file that is replaced whole, for states that few rows have."""
+    onefile.write(rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("line")), path, "text")

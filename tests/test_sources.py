@@ -123,3 +123,18 @@ def test_zip_beyond_four_gigabytes():
     entry = onefile._central(name, 1, 2, 3, at)
     assert entry[-12:-8] == b"\1\0\10\0"[:4] and int.from_bytes(entry[-8:], "little") == at
     assert onefile._ending(70_000, 10, at).startswith(b"PK\6\6")
+
+
+def test_exports_in_order(spark, tmp_path):
+    from evispark.sources import sinks
+
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "ord int, text string").repartition(3)
+    sinks.export_csv(df, str(tmp_path / "x.csv"), "ord")
+    assert (tmp_path / "x.csv").read_bytes() == "\ufefford,text\r\n1,a\r\n2,\r\n3,c\r\n".encode()
+    sinks.export_text(df, str(tmp_path / "x.md"))
+    assert (tmp_path / "x.md").read_text() == "a\n\nc\n"
+    sinks.keep_state(df.where("ord = 3"), str(tmp_path / "s.json"))
+    assert json.loads((tmp_path / "s.json").read_text()) == {"ord": 3, "text": "c"}
+    sinks.export_zip(df.selectExpr("concat('f', ord) as name", "text as content"), str(tmp_path / "x.zip"))
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert sorted(z.namelist()) == ["f1", "f2", "f3"] and z.read("f2") == b""
