@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 
 from evispark.llm import common, compiled
 
+#: Bytes of training text that teach weights together, in the mean; shards begin alike and are averaged.
+SHARD = 8 << 20
 #: Most bits of the table of each context: last 1, 2, 3, 4 bytes, word so far, word so far with the word before.
 TABLES = (16, 18, 20, 22, 22, 22)
 #: Inputs of the mixer: the contexts and the match.
@@ -427,24 +429,36 @@ def _counts(texts: DataFrame, bits: tuple[int, ...]) -> JavaObject:
 
 
 def _taught(texts: DataFrame, model: Model, counts: JavaObject) -> tuple[float, np.ndarray]:
-    """Bits of ``texts``, and after a pass over them the weights, times bits, and the map; states of tasks are added up on executors first."""
+    """Bits of ``texts``, and after a pass over them the weights, times bits, and the map.
+
+    Each partition begins anew. States of tasks are added up on executors first, in an order that is theirs and not their arrival's.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["state"])
+        total = sum(np.frombuffer(x) for x in sorted(pdf["state"]))
         return pd.DataFrame({"mass": [pdf["mass"].sum()], "state": [total.tobytes()]})
 
     made = compiled.map_partitions(texts, _loop(texts.sparkSession, LEARN, model.bits, model.weights, None, counts), "part long, mass double, state binary")
     rows = made.groupBy("part").applyInPandas(add, "mass double, state binary").collect()
+    rows.sort(key=lambda r: r.state)
     return sum(r.mass for r in rows), sum((np.frombuffer(r.state) for r in rows), np.zeros(model.weights.size + model.map.size))
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of ``docs(text)``, from all rows; without rows every bit is even. Its cells are on the executors, as ``shared``."""
+    """A model of ``docs(text)``, from all rows; without rows every bit is even. Its cells are on the executors, as ``shared``.
+
+    For the pass that teaches weights and map, texts are dealt by a hash of their
+    ``doc_id``, if there is one, else of themselves, into shards of about ``SHARD`` bytes,
+    in the order of that hash. So the model is the same however ``docs`` are partitioned.
+    """
     spark, texts = docs.sparkSession, docs.select(F.col("text").cast("binary").alias("text"))
-    bits = table_bits(int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]))
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    bits = table_bits(size)
     counts = _counts(texts, bits)
     model = Model(bits, None)
-    mass, state = _taught(texts, model, counts)
+    key = F.xxhash64("doc_id" if "doc_id" in docs.columns else "text").alias("key")
+    shards = docs.select(key, F.col("text").cast("binary").alias("text")).repartition(max(1, -(-size // SHARD)), "key").sortWithinPartitions("key", "text").select("text")
+    mass, state = _taught(shards, model, counts)
     if mass:
         model.map = state[model.weights.size:].reshape(model.map.shape)
         model.weights = (state[:model.weights.size] / mass).astype(np.float32).reshape(model.weights.shape)

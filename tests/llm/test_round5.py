@@ -108,3 +108,15 @@ def test_kept_rows_keep_their_columns(spark):
     assert got.columns == docs.columns
     kept = {x.doc_id: x for x in got.collect()}
     assert kept and all(x["Score"] == 5.0 + i and x["a.b"] == i for i, x in kept.items()) and set(kept) <= {i for i in range(60) if i % 2}
+
+
+def test_lm_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    from evispark.llm import mixlm
+
+    monkeypatch.setattr(mixlm, "SHARD", 20_000)
+    r = random.Random(9)
+    vocab = ["".join(r.choice("etaoinshrd") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 300)))) for i in range(120)] + [(500, None), (501, ""), (502, "x " * 9000), (502, "x " * 9000), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({(x.doc_id, x.n_tokens): x.score for x in mixlm.score(docs.repartition(n)).collect()} for n in (3, 17))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) <= 1e-9 * abs(one[k]) for k in one)
