@@ -12,7 +12,7 @@ from evispark.functions import lexicon as L
 SPACE = r"[\s\u00a0\u3000]"
 NUM = r"\d+(?:[.·]\d+)?"
 RANGE = NUM + r"(?:\s*[–—-]\s*" + NUM + ")?"
-#: Patterns of the six value kinds; the lookahead of a percentage is a filter in :func:`values`.
+#: Fixed patterns of the six value kinds; the lookahead of a percentage is a filter in :func:`values`.
 VALUE_PATTERNS = {
     "P 值": r"(?i)P\s*[<=>]\s*(?:" + NUM + r"|[.·]\d+)",
     "置信区间": r"(?i)9[05]\s*%\s*CI\s*(?:\(\s*" + RANGE + r"\s*\)|" + RANGE + r"(?:\s*\(\s*" + RANGE + r"\s*\))?)",

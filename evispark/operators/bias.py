@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
 
+#: Fixed pattern of registrations.
 REGISTRY = r"(?i)\b(?:NCT\d{7,8}|ChiCTR[-\w]*|ISRCTN\d+|clinicaltrials\.gov|umin\.ac\.jp|注册号)\b"
 
 

@@ -247,6 +247,7 @@ def strength(base: Column, n: Column, has_interval: Column) -> Column:
     return F.struct(F.round(s, 1).alias("score"), F.when(s >= 4, "强").when(s >= 2.5, "中").otherwise("弱").alias("label"))
 
 
+#: Fixed patterns of populations, interventions and outcomes.
 _VERBS = r"(?i)\b(?:were\s+(?:randomly\s+)?(?:assigned|allocated|enrolled|included|recruited|analyz|analys|stratified|followed)|underwent|received|participated|were\s+included)\b"
 _STRIP = r"^[ ,.;:（）()]+|[ ,.;:（）()]+$"
 #: Fixed patterns of populations, the more definite first.
@@ -301,6 +302,7 @@ def primary_outcome() -> Column:
     return F.coalesce(first, F.when(best.isNotNull(), X.snippet(strip_label(best), 200)), F.when(hint.isNotNull(), F.concat(note, X.snippet(strip_label(hint), 180))), F.lit(""))
 
 
+#: Fixed patterns of follow-up times.
 FOLLOW_EN = r"(?i)follow[- ]?up[^.;\n]{0,40}?(\d+(?:\.\d+)?)\s*(day|week|month|year|mo|yr)s?\b"
 FOLLOW_ZH = r"随访[^。；\n]{0,25}?(\d+(?:\.\d+)?)\s*(天|周|个月|月|年)"
 

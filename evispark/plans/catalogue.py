@@ -184,13 +184,13 @@ def _effects_sql() -> str:
     keep = lambda p: f"list_filter(regexp_extract_all({a}, '{Q(p)}', 1), lambda x: true)"
     ratios = ", ".join(f"array_to_string({keep(p)}, '/') AS {k}" for k, p in extract.RATIOS.items())
     ci = f"array_to_string(list_transform(regexp_extract_all({a}, '{Q(extract.INTERVAL)}', 1), lambda c: regexp_replace(c, '^[ ,;，；]+|[ ,;，；]+$', '', 'g')), '|')"
-    return f"SELECT ord, {ratios}, {ci} AS ci, array_to_string(regexp_extract_all({a}, '{Q(extract.P_VALUE)}'), '|') AS p FROM ({_ART})"
+    return f"SELECT ord, {ratios}, {ci} AS ci, array_to_string(regexp_extract_all({a}, '{Q(extract.P_VALUE)}'), '|') AS p, array_to_string(regexp_extract_all({a}, '{Q(extract.DIFFERENCE)}'), '|') AS md FROM ({_ART})"
 
 
 @query(_effects_sql())
 def effects(spark, d):
     e = S.articles(spark, d).select("ord", extract.effects(F.col("abstract")).alias("e"))
-    return e.select("ord", *[F.array_join(F.col("e")[k], "/").alias(k) for k in extract.RATIOS], F.array_join(F.transform(F.col("e")["CI"], lambda c: F.replace(c, F.lit("95% CI "), F.lit(""))), "|").alias("ci"), F.array_join(F.col("e")["P"], "|").alias("p"))
+    return e.select("ord", *[F.array_join(F.col("e")[k], "/").alias(k) for k in extract.RATIOS], F.array_join(F.transform(F.col("e")["CI"], lambda c: F.replace(c, F.lit("95% CI "), F.lit(""))), "|").alias("ci"), F.array_join(F.col("e")["P"], "|").alias("p"), F.array_join(F.col("e")["MD"], "|").alias("md"))
 
 
 def _polarity_sql() -> str:
@@ -214,15 +214,18 @@ def polarity(spark, d):
 
 
 def _design_sql() -> str:
-    arms = [f"WHEN list_bool_or(list_transform(types, lambda p: starts_with(lower(p), '{n}'))) THEN '{k}'" for k, ns in L.PUBTYPES.items() for n in ns]
-    arms += [f"WHEN {' OR '.join(f'''contains(low, '{c}')''' for c in cs)} THEN '{k}'" for k, cs in L.DESIGN_CUES.items()]
-    return f"WITH x AS (SELECT ord, coalesce(pubtypes, []) AS types, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS low FROM ({_ART})) SELECT ord, CASE {' '.join(arms)} ELSE '{L.UNKNOWN_DESIGN}' END AS design FROM x"
+    """The label, and what gave it: a publication type, else a cue in the title, else in the abstract."""
+    arms = [(f"list_bool_or(list_transform(types, lambda p: starts_with(lower(p), '{n}')))", k, f"'PubMed 文献类型「' || list_filter(types, lambda p: starts_with(lower(p), '{n}'))[1] || '」'") for k, ns in L.PUBTYPES.items() for n in ns]
+    arms += [(f"contains(low, '{Q(c)}')", k, f"CASE WHEN contains(head, '{Q(c)}') THEN '标题' ELSE '摘要' END || '命中「{Q(c)}」'") for k, cs in L.DESIGN_CUES.items() for c in cs]
+    pick = lambda i, other: f"CASE {' '.join(f'WHEN {a[0]} THEN ' + (a[i] if i == 2 else repr(a[i])) for a in arms)} ELSE '{other}' END"
+    return f"""WITH x AS (SELECT ord, list_filter(list_transform(coalesce(pubtypes, []), lambda p: trim(p)), lambda p: p <> '') AS types, lower(coalesce(title, '')) AS head, lower(concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''))) AS low FROM ({_ART}))
+ SELECT ord, {pick(1, L.UNKNOWN_DESIGN)} AS design, {pick(2, '标题与摘要中未见明确的研究设计表述')} AS evidence FROM x"""
 
 
 @query(_design_sql())
 def design(spark, d):
     a = extract.with_sections(S.articles(spark, d))
-    return a.select("ord", extract.design()["label"].alias("design"))
+    return a.select("ord", extract.design().alias("d")).select("ord", F.col("d.label").alias("design"), "d.evidence")
 
 
 @query(f"""WITH x AS (SELECT ord, coalesce(abstract, '') AS a FROM ({_ART})), m AS (SELECT ord, regexp_extract(a, '{extract.FOLLOW_EN}', 1) AS v, lower(regexp_extract(a, '{extract.FOLLOW_EN}', 2)) AS u FROM x)
@@ -563,8 +566,8 @@ def weekly_by_channel(spark, d):
 @query("""WITH e AS (SELECT ts::DATE AS day, event_type AS dep, value >= 5 AS ok, (SELECT max(ts)::DATE FROM events) AS last FROM events) SELECT dep, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS fail, round_even(count(*) FILTER (WHERE ok) * 100.0::DOUBLE / count(*), 1) AS rate FROM e WHERE day > last - 7 GROUP BY dep""")
 def health_7d(spark, d):
     e = t(spark, d, "events").select("ts", F.col("event_type").alias("dep"), (F.col("value") >= 5).alias("ok"))
-    last = F.lit(e.agg(F.to_date(F.max("ts"))).first()[0])
-    return telemetry.health(e, last)
+    last = e.agg(F.to_date(F.max("ts")).alias("last"))
+    return telemetry.health(e.crossJoin(F.broadcast(last)), F.col("last"))
 
 
 @query("SELECT count(*) AS requests, count(*) FILTER (WHERE value < 5) AS failed, round_even(avg(value), 1) AS mean_ms FROM events")

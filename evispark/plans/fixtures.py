@@ -68,7 +68,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 _CLINICAL = ("concat(' A total of ', doc_id % 3000, ' patients were enrolled. HR 0.', lpad(cast(doc_id % 100 as string), 2, '0'), ' (95% CI 0.', doc_id % 5 + 1, '-1.', doc_id % 7 + 1, '; P = 0.0', doc_id % 9 + 1, '). Follow-up was ', doc_id % 40 + 1, ' months. ',"
              " case doc_id % 5 when 0 then 'Drug A significantly reduced mortality.' when 1 then 'There was no significant difference between groups.' when 2 then 'The drug was associated with increased risk of bleeding, a retrospective cohort study showed.'"
-             " when 3 then 'In this randomized controlled trial it was not superior to placebo.' else '' end)")
+             " when 3 then 'In this randomized controlled trial it was not superior to placebo.' else '' end,"
+             " case doc_id % 3 when 0 then ' The difference was MD -1.5 points.' else '' end)")
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
