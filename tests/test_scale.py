@@ -146,3 +146,53 @@ def test_sentences_of_other_scripts_are_located_by_keys(spark):
     got = locate.locate(q, spark.createDataFrame(docs, "doc_id int, text string"))
     assert {(x.query_id, x.doc_id, x.score) for x in got.collect()} == {(1, 2, 1.0), (2, 3, 0.95)}
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+
+
+def test_concepts_cover_words_as_a_plain_loop_does(spark):
+    r = random.Random(12)
+    vocab_words = ["aspirin", "heart", "attack", "liver", "failure", "chronic", "renal", "drug"]
+    known = {" ".join(r.choice(vocab_words) for _ in range(r.randint(1, 3))): f"H{i}" for i in range(30)}
+    rows = [(i, " ".join(r.choice(vocab_words) for _ in range(r.randint(1, 6)))) for i in range(60)]
+
+    def cover(words):
+        taken, looked = [], 0
+        for n in range(len(words), 0, -1):
+            for i in range(len(words) - n + 1):
+                if looked < vocab.LOOKUPS and not any(a < i + n and i < a + m for a, m, *_ in taken):
+                    looked += 1
+                    text = " ".join(words[i:i + n])
+                    if text in known:
+                        taken.append((i, n, text, known[text]))
+        free = [(i, 1, w, None) for i, w in enumerate(words) if not any(a <= i < a + m for a, m, *_ in taken)]
+        return [(t, h) for _, _, t, h in sorted(taken + free)]
+
+    k = spark.createDataFrame(rows, "id int, keyword string")
+    got = {}
+    for x in vocab.split_concepts(k, spark.createDataFrame(list(known.items()), "term string, heading string")).orderBy("id", "ord").collect():
+        got.setdefault(x.id, []).append((x.text, x.heading))
+    want = {}
+    for i, words in k.select("id", vocab.query_words(F.col("keyword"))).collect():
+        want[i] = cover(list(words))
+    assert got == {i: w for i, w in want.items() if w} and any(h for w in want.values() for _, h in w)
+
+
+def test_keywords_choice_as_a_plain_loop_does(spark):
+    from evispark.operators import keywords
+
+    r = random.Random(6)
+    words = ["heart", "liver", "renal", "aspirin", "statin", "kidney", "bleeding", "stroke"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(12))) for i in range(40)]
+    df = spark.createDataFrame(rows, "unit int, text string")
+    every = keywords.token_weights(df).unionByName(keywords.phrase_weights(df)).collect()
+    picked, cover = [], []
+    for x in sorted(every, key=lambda x: (-x.weight, x.term)):
+        parts = x.term.split(" ")
+        if len(picked) >= 6:
+            break
+        if len(parts) > 1:
+            if not any(w in parts for w, _ in cover):
+                picked = [p for p in picked if not (p.term in parts and p.tf <= x.tf * 1.2)] + [x]
+                cover += [(w, x.tf) for w in parts]
+        elif not any(w == x.term and x.tf <= n * 1.2 for w, n in cover):
+            picked.append(x)
+    assert [x.term for x in keywords.keywords(df, 6).orderBy("rank").collect()] == [x.term for x in picked]
