@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from evispark.plans import fixtures as S
 from evispark.plans.catalogue import query, t
 from evispark.functions import lexicon as L
-from evispark.operators import compare, desk, draft, keywords, layout, library, numbering, reports, telemetry, vocab
-from evispark.sources import paged, staging, xmlrecords
+from evispark.operators import compare, desk, draft, funnel, keywords, layout, library, numbering, reports, services, telemetry, vocab
+from evispark.sources import paged, readers, sinks, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
 
@@ -356,3 +356,108 @@ def draft_totals(spark, d):
 def fulltext_totals(spark, d):
     parts = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
     return keywords.fulltext_totals(parts.withColumn("title", F.lit("Part")))
+
+
+# --- chains of sources, links, lists and libraries
+
+@query("""SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 3 = 0 AND text IS NOT NULL THEN 'cache' WHEN doc_id % 2 = 0 THEN 'archive' ELSE 'page' END AS source, md5(CASE WHEN doc_id % 3 = 0 AND text IS NOT NULL THEN text WHEN doc_id % 2 = 0 THEN 'archive ' || doc_id ELSE 'page ' || doc_id END) AS value FROM documents""")
+def fulltext_sources(spark, d):
+    docs = t(spark, d, "documents").withColumn("key", F.col("doc_id").cast("string"))
+    cache = docs.where("doc_id % 3 = 0").select("key", F.col("text").alias("value"))
+    archive = docs.where("doc_id % 2 = 0").select("key", F.concat(F.lit("archive "), "key").alias("value"))
+    page = docs.select("key", F.concat(F.lit("page "), "key").alias("value"))
+    return readers.first_of(("cache", cache), ("archive", archive), ("page", page)).withColumn("value", F.md5("value"))
+
+
+@query(f"""SELECT ord, concat_ws(' ', CASE WHEN coalesce(pmcid, '') <> '' THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/' || pmcid || '/pdf/' END, CASE WHEN coalesce(doi, '') <> '' THEN 'https://doi.org/' || doi END, nullif(url, '')) AS links FROM ({S.ARTICLES_SQL})""")
+def article_links(spark, d):
+    return S.articles(spark, d).select("ord", F.array_join(readers.pdf_links(F.col("pmcid"), F.col("doi"), F.col("url")), " ").alias("links"))
+
+
+_JNAME = lambda c: f"lower(regexp_replace(replace(regexp_replace(trim(regexp_replace(trim({c}), '\\.+$', '')), '^[Tt][Hh][Ee]\\s+', ''), '&', 'and'), '\\s+', ' ', 'g'))"
+_CATALOGUE = """SELECT 'The ' || p_name || ' & ' || p_partkey || '.' AS query, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' and ' || p_partkey ELSE 'Other' END AS title, CASE WHEN p_partkey % 5 <> 0 THEN 'A' || p_partkey END AS abbreviation, 1 AS ord FROM part
+ UNION ALL SELECT 'the  ' || p_name || ' and ' || p_partkey, 'Second', 'B' || p_partkey, 0 FROM part WHERE p_partkey % 3 = 0"""
+
+
+@query(f"""WITH c AS (SELECT *, {_JNAME('query')} AS k, {_JNAME('title')} = {_JNAME('query')} AS exact FROM ({_CATALOGUE}) WHERE trim(coalesce(abbreviation, '')) <> ''), b AS (SELECT k, abbreviation FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY NOT exact, ord, abbreviation) = 1),
+ n AS (SELECT p_name || ' & ' || p_partkey AS name FROM part) SELECT name, coalesce(abbreviation, name) AS resolved FROM n LEFT JOIN b ON b.k = {_JNAME('name')}""")
+def journals_resolved(spark, d):
+    p = t(spark, d, "part")
+    one = p.selectExpr("concat('The ', p_name, ' & ', p_partkey, '.') as query", "if(p_partkey % 2 = 0, concat(p_name, ' and ', p_partkey), 'Other') as title", "if(p_partkey % 5 <> 0, concat('A', p_partkey), null) as abbreviation", "1 as ord")
+    two = p.where("p_partkey % 3 = 0").selectExpr("concat('the  ', p_name, ' and ', p_partkey) as query", "'Second' as title", "concat('B', p_partkey) as abbreviation", "0 as ord")
+    return vocab.resolve_journals(p.selectExpr("concat(p_name, ' & ', p_partkey) as name"), one.unionByName(two))
+
+
+_MD = lambda c: f"(SELECT CASE WHEN length(x) <= 240 THEN x ELSE left(x, 240) || '…' END FROM (SELECT regexp_replace(regexp_replace(replace(coalesce({c}::VARCHAR, ''), '|', '／'), '[\\s\\x0b\\x{{a0}}\\x{{3000}}]+', ' ', 'g'), '^ | $', '', 'g') AS x))"
+
+
+@query(f"""SELECT doc_id AS ord, md5('| ' || {_MD('doc_id')} || ' | ' || {_MD('source')} || ' | ' || {_MD('text')} || ' |') AS line FROM documents""")
+def markdown_rows(spark, d):
+    return sinks.markdown(t(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").withColumn("line", F.md5("line"))
+
+
+@query(f"""SELECT ord, md5(concat_ws('. ', nullif(array_to_string(coalesce(authors, [])[1:6], ', ') || CASE WHEN len(coalesce(authors, [])) > 6 THEN ', et al' ELSE '' END, ''), nullif(title, ''), nullif(journal, ''), nullif(year, ''), CASE WHEN coalesce(pmid, '') <> '' THEN 'PMID: ' || pmid END, CASE WHEN coalesce(doi, '') <> '' THEN 'doi:' || doi END)) AS line FROM ({S.ARTICLES_SQL})""")
+def reference_lines(spark, d):
+    return reports.references(S.articles(spark, d)).withColumn("line", F.md5("line"))
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS k, (c_custkey + 1000)::VARCHAR AS pmid, c_name AS title FROM customer), m AS (SELECT * FROM ({S.META_SQL})), f AS (SELECT * FROM ({S.FOLDERS_SQL}))
+ SELECT a.pmid, concat_ws(' · ', '- ' || a.title, nullif(f.name, ''), nullif(array_to_string(list_transform(coalesce(m.tags, []), lambda x: '#' || x), ' '), ''), nullif(trim(m.note), '')) AS line FROM a LEFT JOIN m USING (pmid) LEFT JOIN f ON f.id = m.folder""")
+def library_lines(spark, d):
+    a = t(spark, d, "customer").selectExpr("cast(c_custkey + 1000 as string) as pmid", "c_name as title")
+    return reports.library(a, S.meta(spark, d), S.folders(spark, d))
+
+
+@query(f"""WITH m AS ({S.META_SQL}) SELECT pmid, array_to_string(list_filter(list_transform(tags, lambda x: CASE WHEN lower(x) = 'rct' THEN 'Trial' ELSE x END), lambda x, i: x <> '' AND list_position(list_transform(tags, lambda y: CASE WHEN lower(y) = 'rct' THEN 'trial' ELSE lower(y) END), CASE WHEN lower(tags[i]) = 'rct' THEN 'trial' ELSE lower(tags[i]) END) = i), ';') AS tags FROM m""")
+def tags_renamed(spark, d):
+    return library.rename_tag(S.meta(spark, d), "rct", "Trial").select("pmid", F.array_join("tags", ";").alias("tags"))
+
+
+@query(f"""WITH f AS ({S.FOLDERS_SQL}), n AS (SELECT id, left(regexp_replace(trim(name), '\\s+', ' ', 'g'), 40) AS name, created_at FROM ({S.IN_FOLDERS_SQL})), o AS (SELECT * FROM n WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY created_at, id) = 1)
+ SELECT id, name FROM f UNION ALL SELECT id, name FROM o WHERE lower(name) NOT IN (SELECT lower(name) FROM f)""")
+def folders_added(spark, d):
+    return library.add_folders(S.folders(spark, d), S.in_folders(spark, d)).select("id", "name")
+
+
+@query("""WITH d AS (SELECT doc_id, (doc_id % 400)::VARCHAR AS pmid, source FROM documents), f AS (SELECT pmid, min(source) AS source FROM d WHERE doc_id % 7 = 0 GROUP BY pmid)
+ SELECT pmid, count(*) AS n FROM (SELECT pmid FROM f UNION ALL SELECT DISTINCT pmid FROM d WHERE pmid NOT IN (SELECT pmid FROM f)) GROUP BY pmid""")
+def favourites_added(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 400).cast("string").alias("pmid"), "source", F.array("text").alias("fulltext_sections"))
+    own = docs.where("doc_id % 7 = 0").groupBy("pmid").agg(F.min("source").alias("source"))
+    got = library.add_favourites(own, docs.drop("doc_id"))
+    return got.groupBy("pmid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id % 50 AS k, event_type AS kind, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), o AS (SELECT user_id % 50 AS k, event_type AS kind, count(*) AS n FROM events WHERE event_id % 11 = 0 GROUP BY ALL)
+ SELECT * FROM o UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = s.k AND o.kind = s.kind)""")
+def promoted(spark, d):
+    part = lambda m: t(spark, d, "events").where(f"event_id % {m} = 0").groupBy((F.col("user_id") % 50).alias("k"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return library.promote(part(11), part(2), ["k", "kind"])
+
+
+@query("""WITH u AS (SELECT ts::DATE AS day, event_type AS channel, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL) SELECT * FROM u WHERE day IN (SELECT DISTINCT day FROM u ORDER BY day DESC LIMIT 12)""")
+def counter_days_kept(spark, d):
+    daily = t(spark, d, "events").where("event_id % 3 = 0").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+    return funnel.last_days(daily, 12)
+
+
+_TOOLKITS = S.values([(x[0], x[5]) for x in L.DESIGN_DIM], "design string, tool string")
+
+
+@query(f"""SELECT tool, count(*) AS n FROM ({_DESIGNED}) LEFT JOIN ({_TOOLKITS}) USING (design) GROUP BY tool""")
+def appraisal_tools(spark, d):
+    return services.appraisal_overview(_designed(spark, d))
+
+
+@query(f"""SELECT coalesce(level, '待定') AS level, count(*) AS n FROM ({_DESIGNED}) LEFT JOIN ({_LEVELS}) USING (design) GROUP BY ALL""")
+def grade_levels(spark, d):
+    return services.grade_overview(_designed(spark, d))
+
+
+@query("""WITH x AS (SELECT doc_id AS id, string_split('before ' || chr(10) || '## ' || replace(coalesce(text, ''), chr(10), chr(10) || '## '), chr(10) || '## ') AS p FROM documents), u AS (SELECT id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS ord FROM x),
+ h AS (SELECT id, ord, CASE WHEN ord = 0 THEN '' ELSE trim(part) END AS heading, CASE WHEN ord = 0 THEN trim(part) ELSE '' END AS body FROM u)
+ SELECT id, ord::INT AS ord, md5(regexp_replace(heading, '^\\s+|\\s+$', '', 'g')) AS heading, body FROM h WHERE heading <> '' OR body <> ''""")
+def narrative_parts(spark, d):
+    text = F.concat(F.lit("before \n## "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n## ")))
+    got = services.split_narrative(t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text")))
+    return got.select("id", F.col("ord").cast("int").alias("ord"), F.md5(F.regexp_replace("heading", r"^\s+|\s+$", "")).alias("heading"), "body")
