@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evispark.plans import fixtures as S
-from evispark.plans.catalogue import query, t
+from evispark.plans.catalogue import query, sents, t
 from evispark.functions import lexicon as L
-from evispark.operators import compare, desk, draft, funnel, keywords, layout, library, numbering, reports, services, telemetry, vocab
+from evispark.functions import text as X
+from evispark.operators import compare, desk, draft, funnel, keywords, layout, library, locate, numbering, reports, services, telemetry, vocab
 from evispark.sources import paged, readers, sinks, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -461,3 +464,71 @@ def narrative_parts(spark, d):
     text = F.concat(F.lit("before \n## "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n## ")))
     got = services.split_narrative(t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text")))
     return got.select("id", F.col("ord").cast("int").alias("ord"), F.md5(F.regexp_replace("heading", r"^\s+|\s+$", "")).alias("heading"), "body")
+
+
+# --- text helpers, and files that are written and read back
+
+_NUMBERED = "CASE doc_id % 6 WHEN 0 THEN doc_id || '. ' WHEN 1 THEN (doc_id % 9) || '.' || (doc_id % 4) || ' ' WHEN 2 THEN 'IV. ' WHEN 3 THEN 'Section ' || (doc_id % 30) || ': ' ELSE '' END"
+_NAMED_SECTION = "CASE doc_id % 5 WHEN 0 THEN 'Results' WHEN 1 THEN 'Methods.' WHEN 2 THEN 'Materials and  Methods:' WHEN 3 THEN 'Conflict of Interest' ELSE coalesce(source, '') END"
+_PREFIX_SQL = r"(?i)^(?:\d+(?:\.\d+)*\s*[.、)]?\s*|[ivxlcdm]+\s*[.、)]\s*|section\s+\d+\s*[:.、)]?\s*)+"
+_ZH = S.values(list(L.SECTION_TITLES_ZH.items()), "low string, zh string")
+
+
+def _titled(spark, d):
+    number = "case doc_id % 6 when 0 then concat(doc_id, '. ') when 1 then concat(doc_id % 9, '.', doc_id % 4, ' ') when 2 then 'IV. ' when 3 then concat('Section ', doc_id % 30, ': ') else '' end"
+    name = "case doc_id % 5 when 0 then 'Results' when 1 then 'Methods.' when 2 then 'Materials and  Methods:' when 3 then 'Conflict of Interest' else coalesce(source, '') end"
+    return t(spark, d, "documents").selectExpr("doc_id", f"concat({number}, {name}) as title")
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_NUMBERED} || {_NAMED_SECTION} AS title FROM documents), y AS (SELECT *, regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '[.:]+$', '') AS s FROM x), z AS (SELECT *, trim(regexp_replace(s, '{_PREFIX_SQL}', '')) AS bare FROM y)
+ SELECT doc_id, CASE WHEN bare = '' THEN s ELSE bare END AS plain, coalesce(zh, title) AS zh, {' OR '.join(f"contains(lower(title), '{w}')" for w in L.BOILERPLATE)} AS boilerplate FROM z LEFT JOIN ({_ZH}) ON low = lower(bare)""")
+def section_titles(spark, d):
+    return _titled(spark, d).select("doc_id", X.plain_title(F.col("title")).alias("plain"), X.zh_title(F.col("title")).alias("zh"), X.is_boilerplate(F.col("title")).alias("boilerplate"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'certificate' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'timeout' ELSE event_type || ' ' || event_id END AS error FROM events""")
+def friendly_errors(spark, d):
+    msg = "case event_id % 5 when 0 then concat(event_type, ' CERTIFICATE_VERIFY_FAILED x') when 1 then 'HTTPS: Max retries exceeded' when 2 then if(event_id % 2 = 0, 'ReadTimeout', 'it Timed Out') else concat(event_type, ' ', event_id) end"
+    return t(spark, d, "events").select("event_id", X.friendly_error(F.expr(msg)).alias("error"))
+
+
+@query("""SELECT doc_id, md5(trim(CASE WHEN doc_id % 4 = 3 THEN '此外研究，' || coalesce(text, '') ELSE coalesce(text, '') END)) AS lead FROM documents""")
+def leads_cleaned(spark, d):
+    lead = F.when(F.col("doc_id") % 4 == 0, "此外，然而: ").when(F.col("doc_id") % 4 == 1, "值得注意的是：").when(F.col("doc_id") % 4 == 3, "此外研究，").otherwise("")
+    return t(spark, d, "documents").select("doc_id", F.md5(X.clean_lead(F.concat(lead, F.trim(F.coalesce("text", F.lit("")))))).alias("lead"))
+
+
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {sents('text')} AS l FROM documents))
+ SELECT doc_id, pos::INT AS pos, md5(regexp_replace({_ESC.format('s')}, '((?:the|withe|with)+)', '<span class="loc-kw">\\1</span>', 'gi')) AS html FROM s""")
+def highlighted_words(spark, d):
+    return locate.index(t(spark, d, "documents")).select("doc_id", "pos", F.md5(locate.highlight_query(F.col("sentence"), "the With")).alias("html"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, '' AS gone FROM customer""")
+def csv_read_back(spark, d):
+    path = f"{staging.folder(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    sinks.csv(t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), path)
+    return readers.funnel_csv(spark, path, ["c_custkey", "c_name", "c_mktsegment", "gone"])
+
+
+@query("""SELECT event_id, event_type, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id FROM events WHERE event_id % 10 <> 0""")
+def json_read_back(spark, d):
+    path = f"{staging.folder(spark)}/json-{uuid.uuid4().hex[:12]}"
+    row = F.to_json(F.struct("event_id", "event_type", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("user_id")))
+    t(spark, d, "events").select(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit('{"event_id": '), "event_type")).otherwise(row).alias("value")).write.text(path)
+    return readers.tolerant_json(spark, path, "event_id long, event_type string, user_id long").where("event_id is not null")
+
+
+@query(f"""WITH r AS ({S.ROWS_SQL}) SELECT title, left(year, 4) AS year FROM r WHERE coalesce(design, '未识别') = '未识别'""")
+def designs_unrecognised(spark, d):
+    return compare.unrecognised(S.rows(spark, d)).select("title", "year")
+
+
+@query(f"""WITH a AS ({S.ARTICLES_SQL}), k AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 0 WHEN ord % 3 = 1 THEN 1 ELSE 2 END AS src, trim(coalesce(pmid, '')) AS p FROM a WHERE trim(coalesce(pmid, '')) <> '')
+ SELECT ord, src AS source_rank FROM k QUALIFY row_number() OVER (PARTITION BY p ORDER BY src, ord) = 1""")
+def article_pool(spark, d):
+    a = S.articles(spark, d).where("trim(coalesce(pmid, '')) <> ''")
+    return compare.pool([a.where(f"ord % 3 = {i}") for i in range(3)]).select("ord", "source_rank")
