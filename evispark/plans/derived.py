@@ -11,7 +11,7 @@ from evispark.plans import fixtures as S
 from evispark.plans.catalogue import query, sents, t
 from evispark.functions import lexicon as L
 from evispark.functions import text as X
-from evispark.operators import compare, desk, draft, funnel, keywords, layout, library, locate, numbering, reports, services, telemetry, vocab
+from evispark.operators import compare, desk, draft, extract, funnel, keywords, layout, library, locate, numbering, reports, services, telemetry, vocab
 from evispark.sources import paged, readers, sinks, staging, xmlrecords
 
 # --- XML that Spark makes of texts and pages, and what must be read back
@@ -532,3 +532,62 @@ def designs_unrecognised(spark, d):
 def article_pool(spark, d):
     a = S.articles(spark, d).where("trim(coalesce(pmid, '')) <> ''")
     return compare.pool([a.where(f"ord % 3 = {i}") for i in range(3)]).select("ord", "source_rank")
+
+
+# --- cells, fills, designs, tags, labelled texts
+
+@query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ' ' WHEN doc_id % 4 = 1 THEN NULL ELSE ' ' || source || ' ' END AS v, CASE doc_id % 3 WHEN 0 THEN 'not_mentioned' WHEN 1 THEN 'not_extracted' ELSE 'no_abstract' END AS state, doc_id % 5 = 0 AS corrected, doc_id % 7 = 0 AS filled, doc_id % 2 = 0 AS whole FROM documents)
+ SELECT doc_id, CASE WHEN trim(coalesce(v, '')) <> '' THEN trim(v) || CASE WHEN corrected THEN ' ✎' WHEN filled THEN ' ⧉' ELSE '' END WHEN state = 'not_mentioned' THEN CASE WHEN whole THEN '原文' ELSE '摘要' END || '未提及' WHEN state = 'not_extracted' THEN CASE WHEN whole THEN '有原文' ELSE '有摘要' END || '未抽到' ELSE '无摘要' END AS cell FROM x""")
+def cells_annotated(spark, d):
+    c = F.col("doc_id")
+    value = F.when(c % 4 == 0, " ").when(c % 4 == 1, None).otherwise(F.concat(F.lit(" "), "source", F.lit(" ")))
+    state = F.when(c % 3 == 0, "not_mentioned").when(c % 3 == 1, "not_extracted").otherwise("no_abstract")
+    return t(spark, d, "documents").select("doc_id", compare.annotate(value, state, c % 5 == 0, c % 7 == 0, c % 2 == 0).alias("cell"))
+
+
+@query("""WITH x AS (SELECT doc_id, 'd' || doc_id AS row_key FROM documents WHERE doc_id % 2 = 0)
+ SELECT row_key, '人群' AS field, 'adults ' || doc_id AS value, 'quote "q" ' || doc_id AS quote FROM x UNION ALL SELECT row_key, '结论', 'better', 'it was better' FROM x WHERE doc_id % 3 <> 0""")
+def fills_parsed(spark, d):
+    docs = t(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("int").alias("id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("row_key"))
+    one = lambda v, q: F.struct(v.alias("value"), q.alias("quote"))
+    key = F.col("id").cast("string")
+    fill = F.struct(F.col("id"), one(F.concat(F.lit(" adults "), key), F.concat(F.lit('quote "q" '), key)).alias("人群"), one(F.lit("better"), F.when(F.col("id") % 3 != 0, "it was better")).alias("结论"), one(F.lit("x"), F.lit("never asked")).alias("样本量"))
+    replies = docs.select(F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(fill).alias("fills"))), F.lit(" done")).alias("text"))
+    return compare.parse_fills(replies, docs.withColumn("fields", F.array(F.lit("人群"), F.lit("结论"))))
+
+
+@query(f"""SELECT design, count(*) AS n, md5(string_agg(coalesce(authors[1], '佚名') || ' 等（' || coalesce(nullif(year, ''), '年份不详') || '）', '、' ORDER BY ord)) AS cites FROM (SELECT ord, authors, year, CASE ord % 4 WHEN 0 THEN '队列研究' WHEN 1 THEN '随机对照试验' ELSE '未识别' END AS design FROM ({S.ARTICLES_SQL})) GROUP BY design""")
+def studies_by_design(spark, d):
+    a = S.articles(spark, d).withColumn("design", F.when(F.col("ord") % 4 == 0, "队列研究").when(F.col("ord") % 4 == 1, "随机对照试验").otherwise("未识别"))
+    return compare.by_design(a).withColumn("cites", F.md5("cites"))
+
+
+_CI = lambda a: f"list_filter({a}, lambda x, i: list_position(list_transform({a}, lambda y: lower(y)), lower(x)) = i)"
+
+
+@query(f"""WITH m AS ({S.META_SQL}) SELECT pmid, array_to_string({_CI("(tags || ['Heart', 'RCT', 'new'])")}[1:30], ';') AS added, array_to_string(list_filter(tags, lambda x: lower(x) NOT IN ('rct', 'furniture')), ';') AS removed FROM m""")
+def tags_changed(spark, d):
+    lits = lambda *x: F.array(*map(F.lit, x))
+    return S.meta(spark, d).select("pmid", F.array_join(library.add_tags(F.col("tags"), lits("Heart", "RCT", "new")), ";").alias("added"), F.array_join(library.remove_tags(F.col("tags"), lits("rct", "Furniture")), ";").alias("removed"))
+
+
+@query(f"""WITH m AS ({S.META_SQL}), c AS (SELECT (c_custkey + 900)::VARCHAR AS pmid, CASE WHEN c_custkey % 2 = 0 THEN 'f2' END AS folder, CASE WHEN c_custkey % 3 = 0 THEN ['up'] END AS tags, CASE WHEN c_custkey % 5 = 0 THEN '' END AS note FROM customer)
+ SELECT coalesce(m.pmid, c.pmid) AS pmid, coalesce(c.folder, m.folder, '') AS folder, array_to_string(coalesce(c.tags, m.tags, []), ';') AS tags, coalesce(c.note, m.note, '') AS note FROM m FULL JOIN c ON m.pmid = c.pmid""")
+def library_upserted(spark, d):
+    c = t(spark, d, "customer").selectExpr("cast(c_custkey + 900 as string) as pmid", "if(c_custkey % 2 = 0, 'f2', null) as folder", "if(c_custkey % 3 = 0, array('up'), null) as tags", "if(c_custkey % 5 = 0, '', null) as note")
+    return library.upsert(S.meta(spark, d), c).select("pmid", "folder", F.array_join("tags", ";").alias("tags"), "note")
+
+
+_PLAIN_WORDS = "regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')"
+
+
+@query(f"""WITH x AS (SELECT doc_id, trim({_PLAIN_WORDS}) AS w FROM documents), p AS (SELECT doc_id, 'we began ' || trim(w[1:60]) || '.' AS b, 'we did ' || trim(w[61:200]) || '.' AS m, 'we found ' || trim(w[201:]) || '.' AS r FROM x)
+ SELECT doc_id, md5(b) AS background, md5(m) AS methods, md5(r) AS results, CASE WHEN doc_id % 2 = 0 THEN md5('it works.') END AS conclusions FROM p""")
+def labelled_sections(spark, d):
+    w = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    docs = t(spark, d, "documents").select("doc_id", w.alias("w"))
+    part = lambda lead, a, n: F.concat(F.lit(lead), F.trim(F.substring(F.col("w"), F.lit(a), n)), F.lit("."))
+    end = F.when(F.col("doc_id") % 2 == 0, " CONCLUSIONS: it works.").otherwise("")
+    text = F.concat(F.lit("BACKGROUND: "), part("we began ", 1, F.lit(60)), F.lit(" METHODS: "), part("we did ", 61, F.lit(140)), F.lit(" RESULTS: "), part("we found ", 201, F.length("w")), end)
+    a = extract.with_sections(docs.select("doc_id", F.col("doc_id").cast("string").alias("pmid"), F.lit("").alias("title"), text.alias("abstract")))
+    return a.select("doc_id", *[F.md5(f"sec.{k}").alias(k.lower()) for k in ("BACKGROUND", "METHODS", "RESULTS", "CONCLUSIONS")])
