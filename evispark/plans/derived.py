@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evispark.plans import catalogue
 from evispark.plans import fixtures as S
 from evispark.plans.catalogue import query, sents, t
 from evispark.functions import lexicon as L
@@ -591,3 +592,56 @@ def labelled_sections(spark, d):
     text = F.concat(F.lit("BACKGROUND: "), part("we began ", 1, F.lit(60)), F.lit(" METHODS: "), part("we did ", 61, F.lit(140)), F.lit(" RESULTS: "), part("we found ", 201, F.length("w")), end)
     a = extract.with_sections(docs.select("doc_id", F.col("doc_id").cast("string").alias("pmid"), F.lit("").alias("title"), text.alias("abstract")))
     return a.select("doc_id", *[F.md5(f"sec.{k}").alias(k.lower()) for k in ("BACKGROUND", "METHODS", "RESULTS", "CONCLUSIONS")])
+
+
+# --- keywords, tags, keys, figures, reports and sums
+
+_SPACED = lambda c: f"trim(regexp_replace({c}, '[\\s\\x0b\\x{{a0}}\\x{{3000}}]+', ' ', 'g'))"
+_KEYWORD = "CASE doc_id % 6 WHEN 0 THEN source || '[tiab]' WHEN 1 THEN '\"' || source || '\"' WHEN 2 THEN source || ' AND ' || lang WHEN 3 THEN '  ' WHEN 4 THEN left(coalesce(text, ''), 50) ELSE 'Band of ' || lang END"
+
+
+@query(f"""WITH k AS (SELECT doc_id, {_KEYWORD} AS k FROM documents) SELECT doc_id, regexp_replace(lower(k), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS key, trim(k) <> '' AND NOT regexp_matches(trim(k), '(?i)\\[[a-z0-9 /_-]{{2,30}}\\]') AND NOT regexp_matches(trim(k), '(?i)(?:^|\\s)(?:AND|OR|NOT)(?:\\s|$)') AND NOT regexp_matches(trim(k), '["“”]') AS plain,
+ {_SPACED("regexp_replace(regexp_replace(regexp_replace(regexp_replace(k, '\\[[^\\]]*\\]', ' ', 'g'), '[\"“”]', ' ', 'g'), '\\b(?:AND|OR|NOT)\\b', ' ', 'g'), '[(),;，；（）]+', ' ', 'g')")} AS topic FROM k""")
+def keywords_told_apart(spark, d):
+    k = F.expr("case doc_id % 6 when 0 then concat(source, '[tiab]') when 1 then concat('\"', source, '\"') when 2 then concat(source, ' AND ', lang) when 3 then '  ' when 4 then left(coalesce(text, ''), 50) else concat('Band of ', lang) end")
+    return t(spark, d, "documents").select("doc_id", vocab.key(k).alias("key"), vocab.is_plain(k).alias("plain"), vocab.clean_topic(k).alias("topic"))
+
+
+_TAG_TEXT = "'#' || source || ', ' || upper(coalesce(lang, '')) || '；' || coalesce(lang, '') || '|' || left(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 60) || ',,x  y'"
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_split_to_array({_TAG_TEXT}, '[,，;；、|\\n\\r\\t]+') AS p FROM documents),
+ n AS (SELECT doc_id, list_filter(list_transform(p, lambda x: trim(left(regexp_replace({_SPACED('x')}, '^[#＃,，;；、|/-]+|[#＃,，;；、|/-]+$', '', 'g'), 24))), lambda x: x <> '') AS t FROM p)
+ SELECT doc_id, array_to_string({_CI('t')}[1:30], ';') AS tags FROM n""")
+def tags_parsed(spark, d):
+    text = F.concat(F.lit("#"), "source", F.lit(", "), F.upper(F.coalesce("lang", F.lit(""))), F.lit("；"), F.coalesce("lang", F.lit("")), F.lit("|"), F.left(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), F.lit(60)), F.lit(",,x  y"))
+    return t(spark, d, "documents").select("doc_id", F.array_join(X.parse_tags(text), ";").alias("tags"))
+
+
+@query(f"""SELECT ord, coalesce(nullif(trim(pmid), ''), left(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9一-鿿]', '', 'g'), 60)) AS key, CASE WHEN length(s) <= 160 THEN s ELSE rtrim(left(s, 160)) || '…' END AS snippet FROM (SELECT *, {_SPACED("coalesce(abstract, '')")} AS s FROM ({S.ARTICLES_SQL}))""")
+def article_snippets(spark, d):
+    return S.articles(spark, d).select("ord", extract.article_key().alias("key"), X.snippet(F.col("abstract")).alias("snippet"))
+
+
+@query("""WITH f AS (SELECT doc_id, 'F1' AS fig, 'fig-' || doc_id || '.jpg' AS href FROM documents UNION ALL SELECT doc_id, 'F2', 'Plate ' || source || '.gif' FROM documents),
+ g AS (SELECT doc_id, 'FIG_' || doc_id || '.png' AS file FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'x-plate-' || source || '-y.jpg' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'fig-' || doc_id || '.tif' FROM documents WHERE doc_id % 5 = 0),
+ a AS (SELECT *, regexp_replace(lower(regexp_replace(href, '\\.[A-Za-z0-9]{2,5}$', '')), '[^a-z0-9]', '', 'g') AS a FROM f), b AS (SELECT *, regexp_replace(lower(regexp_replace(file, '\\.[A-Za-z0-9]{2,5}$', '')), '[^a-z0-9]', '', 'g') AS b FROM g),
+ m AS (SELECT a.doc_id, fig, file, CASE WHEN a = b AND regexp_replace(href, '\\.[A-Za-z0-9]{2,5}$', '') = regexp_replace(file, '\\.[A-Za-z0-9]{2,5}$', '') THEN 0 WHEN a = b THEN 1 ELSE 2 END AS tier FROM a JOIN b ON a.doc_id = b.doc_id AND (a = b OR (length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a)))))
+ SELECT doc_id, fig, file FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, fig ORDER BY tier, file) = 1""")
+def figures_matched(spark, d):
+    docs = t(spark, d, "documents")
+    f = docs.selectExpr("doc_id", "'F1' as fig", "concat('fig-', doc_id, '.jpg') as href").unionByName(docs.selectExpr("doc_id", "'F2' as fig", "concat('Plate ', source, '.gif') as href"))
+    g = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "concat('FIG_', doc_id, '.png') as file").unionByName(docs.where("doc_id % 3 = 0").selectExpr("doc_id", "concat('x-plate-', source, '-y.jpg') as file"))
+    return readers.match_figures(f, g.unionByName(docs.where("doc_id % 5 = 0").selectExpr("doc_id", "concat('fig-', doc_id, '.tif') as file")))
+
+
+@query(f"""WITH p AS (SELECT coalesce(total_hits, 0) AS a, coalesce(retrieved, 0) AS b, coalesce(duplicates, 0) AS c, greatest(coalesce(retrieved, 0) - coalesce(duplicates, 0), 0) AS e, coalesce(excluded_screening, 0) AS f, coalesce(excluded_fulltext, 0) AS h FROM ({S.PRISMA_SQL})),
+ q AS (SELECT *, greatest(e - f, 0) AS g, greatest(greatest(e - f, 0) - h, 0) AS i FROM p), l AS (SELECT unnest([(0, '- 识别: ' || a), (1, '- 获取: ' || b), (2, '- 去重: ' || c), (3, '- 筛选: ' || e), (4, '- 筛除: ' || f), (5, '- 全文评估: ' || g), (6, '- 全文排除: ' || h), (7, '- 纳入: ' || i)]) AS x FROM q)
+ SELECT x[1]::INT AS pos, x[2] AS line, count(*) AS n FROM l GROUP BY ALL""")
+def screening_lines(spark, d):
+    return reports.prisma(compare.prisma(S.prisma(spark, d))).groupBy("pos", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {catalogue._ADMITTED} SELECT w.scope, w.kind, sum(o.amount)::BIGINT AS used FROM w JOIN o ON o.kind = w.kind AND o.n = w.n WHERE w.admitted GROUP BY ALL")
+def quota_used(spark, d):
+    return services.usage(telemetry.quota_admission(catalogue._asked(spark, d), catalogue._LIMITS))[0]
