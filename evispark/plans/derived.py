@@ -645,3 +645,42 @@ def screening_lines(spark, d):
 @query(f"WITH RECURSIVE {catalogue._ADMITTED} SELECT w.scope, w.kind, sum(o.amount)::BIGINT AS used FROM w JOIN o ON o.kind = w.kind AND o.n = w.n WHERE w.admitted GROUP BY ALL")
 def quota_used(spark, d):
     return services.usage(telemetry.quota_admission(catalogue._asked(spark, d), catalogue._LIMITS))[0]
+
+
+# --- effects as text, conclusions, sentences with places
+
+_RATIO = {k: p.replace("'", "''") for k, p in extract.RATIOS.items()}
+_DISTINCT = lambda p: f"list_filter(regexp_extract_all(a, '{p}', 1), lambda x, i: list_position(regexp_extract_all(a, '{p}', 1), x) = i)"
+_ANY_RATIO = "(?i)" + "|".join(p.replace("(?i)", "") for p in extract.RATIOS.values()).replace("'", "''")
+
+
+@query(f"""WITH x AS (SELECT ord, coalesce(abstract, '') AS a FROM ({S.ARTICLES_SQL})), r AS (SELECT ord, a, {', '.join(f'{_DISTINCT(p)} AS "{k}"' for k, p in _RATIO.items())}, regexp_extract_all(a, '{extract.DIFFERENCE}')[1:4] AS "MD",
+  list_filter(list_transform(regexp_extract_all(a, '{extract.INTERVAL}', 1), lambda c: regexp_replace(c, '^[ ,;，；]+|[ ,;，；]+$', '', 'g'))[1:6], lambda c: c <> '') AS ci, regexp_extract_all(a, '{extract.P_VALUE}')[1:6] AS p FROM x),
+ f AS (SELECT ord, concat_ws('；', {', '.join(f'''CASE WHEN len("{k}") > 0 THEN '{k} ' || array_to_string("{k}"[1:2], '/') END''' for k in ('HR', 'OR', 'RR', 'IRR', 'MD'))}, '95% CI ' || ci[1], replace(p[1], ' ', '')) AS text, TRY_CAST(("HR" || "OR" || "RR" || "IRR")[1] AS DOUBLE) AS first,
+  list_filter({sents('a')}, lambda s: regexp_matches(s, '{_ANY_RATIO}'))[1] AS s FROM r)
+ SELECT ord, text, CASE WHEN first IS NULL OR abs(first - 1) < 1e-9 THEN 0 WHEN first < 1 THEN -1 ELSE 1 END AS direction, CASE WHEN s IS NULL THEN '' WHEN length(s) <= 220 THEN s ELSE rtrim(left(s, 220)) || '…' END AS snippet FROM f""")
+def effect_texts(spark, d):
+    e = S.articles(spark, d).select("ord", "abstract", extract.effects(F.col("abstract")).alias("e"))
+    return e.select("ord", extract.effect_text(F.col("e")).alias("text"), extract.effect_direction(F.col("e")).alias("direction"), extract.effect_snippet(F.col("abstract")).alias("snippet"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Conclusions: ' || trim({_PLAIN_WORDS}) ELSE trim({_PLAIN_WORDS}) || CASE WHEN doc_id % 3 = 1 THEN '. The second of two longer sentences. And this is the last one of them. Funding: nobody paid for this work.' ELSE '' END END AS a FROM documents),
+ s AS (SELECT *, list_filter({sents('a')}, lambda s: length(s) >= 20 AND NOT regexp_matches(s, '(?i)^(trial registration|funding|registration|clinicaltrials\\.gov|copyright|©|conflict of interest|keywords|研究注册|注册号)')) AS l FROM x),
+ t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(a, '^Conclusions: *', '') WHEN len(l) = 0 THEN '' ELSE array_to_string(l[greatest(len(l) - 1, 1):], ' ') END AS text, CASE WHEN a = '' THEN '无摘要' WHEN doc_id % 3 = 0 THEN '结构化结论段' WHEN len(l) = 0 THEN '摘要过短' ELSE '摘要末句（无结构化标签）' END AS origin FROM s)
+ SELECT doc_id, md5(CASE WHEN length(text) <= 900 THEN text ELSE rtrim(left(text, 900)) || '…' END) AS text, origin FROM t WHERE doc_id % 3 <> 0 OR text <> ''""")
+def conclusions_found(spark, d):
+    w = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    more = F.when(F.col("doc_id") % 3 == 1, ". The second of two longer sentences. And this is the last one of them. Funding: nobody paid for this work.").otherwise("")
+    docs = t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Conclusions: "), w)).otherwise(F.concat(w, more)).alias("abstract"), w.alias("w"))
+    docs = docs.where("doc_id % 3 <> 0 or w <> ''")
+    a = extract.with_sections(docs.select("doc_id", F.col("doc_id").cast("string").alias("pmid"), F.lit("").alias("title"), "abstract"))
+    return a.select("doc_id", extract.conclusion().alias("c")).select("doc_id", F.md5("c.text").alias("text"), "c.origin")
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section FROM documents), q AS (SELECT doc_id, section, trim(regexp_replace(x, '[\\s\\x0b\\x{{a0}}\\x{{3000}}]+', ' ', 'g')) AS x FROM p),
+ s AS (SELECT doc_id, section, x, {sents('x')} AS l FROM q) SELECT count(*) AS sections, sum(len(l))::BIGINT AS sentences, sum(list_sum(list_transform(l, lambda y: length(y))))::BIGINT AS chars FROM s WHERE len(l) > 0""")
+def sentences_placed(spark, d):
+    parts = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "text")).withColumn("text", X.squeeze(F.col("text")))
+    placed = locate.index_with_offsets(parts)
+    good = placed.join(parts, ["doc_id", "section"]).where(F.expr("substring(text, start + 1, end - start)") == F.col("sentence"))
+    return good.agg(F.countDistinct("doc_id", "section").alias("sections"), F.count(F.lit(1)).alias("sentences"), F.sum(F.col("end") - F.col("start")).alias("chars"))
