@@ -108,11 +108,9 @@ def _keys(c):
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=([{KEYED}].{{{GRAM - 1}}}))"), F.lit(1)))
 
 
-def _least_grams(c):
-    """Of each run of ``LONG`` characters the gram whose hash is least, each once."""
-    n, span = F.length(c) - GRAM + 1, LONG - GRAM + 1
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(c, i, F.lit(GRAM))))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - span + 1, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, span))))
+def _marked_grams(c):
+    """Grams of a text in any script whose hash chooses them: one in eight, the same wherever they stand."""
+    return F.filter(_grams(c, GRAM), lambda g: F.pmod(F.xxhash64(g), F.lit(8)) == 0)
 
 
 def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", best: int = BEST) -> DataFrame:
@@ -128,8 +126,8 @@ def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     with, one of its content-defined grams, and its features but the most common
     ones. It may leave those out as long as they weigh less than the least score
     together: a sentence that reaches the score has one of the others. Long queries
-    without a content-defined gram, as in other scripts, give the least gram by hash of
-    their first letters; a sentence that holds them gives it too, as the least of some of its own.
+    without a content-defined gram, as in other scripts, give their first gram that a hash
+    chooses, and sentences all such; the few without one are found by their first letters.
     """
     q = queries.select("query_id", F.col("sentence").alias("q")).withColumns({"qn": X.norm_text(F.col("q")), "qnum": X.numbers(F.col("q")), "qterm": X.latin_terms(F.col("q"))}).where("qn <> ''").drop("q")
     s = index(docs, key, text).select(key, "pos", X.norm_text(F.col("sentence")).alias("sn"), X.numbers(F.col("sentence")).alias("snum"), X.latin_terms(F.col("sentence")).alias("sterm"))
@@ -155,9 +153,12 @@ def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     met = dealt.select("*", "x.kind", "x.f").drop("x").join(wanted, ["kind", "f"]).drop("kind", "f")
     lone = one.where((F.length("qn") > LONG) & (F.size("keys") == 0)).drop("keys")
     if lone.limit(1).count():
-        dealt = s.where(F.length("sn") > LONG).withColumn("least", F.explode(_least_grams(F.col("sn"))))
-        asked = lone.withColumn("least", F.get(_least_grams(F.substring("qn", 1, LONG)), F.lit(0)))
-        met = met.unionByName(dealt.join(_sent(asked), "least").drop("least"))
+        long = s.where(F.length("sn") > LONG)
+        lone = lone.withColumn("mark", F.get(_marked_grams(F.col("qn")), F.lit(0)))
+        met = met.unionByName(long.withColumn("mark", F.explode(_marked_grams(F.col("sn")))).join(_sent(lone.where("mark is not null")), "mark").drop("mark"))
+        bare = lone.where("mark is null").withColumn("mark", F.substring("qn", 1, GRAM))
+        if bare.limit(1).count():
+            met = met.unionByName(long.withColumn("mark", F.explode(_grams(F.col("sn"), GRAM))).join(_sent(bare), "mark").drop("mark"))
 
     same, nums = F.size(F.array_intersect("snum", "qnum")), F.size("snum")
     of = F.size("qnum") * 3 + F.size("qterm") * 2
