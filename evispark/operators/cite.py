@@ -77,11 +77,18 @@ def bib_base() -> Column:
     return F.concat(stem, fold(year()), F.coalesce(F.get(words, F.lit(0)), F.lit("")))
 
 
+def _letter(n: Column) -> Column:
+    """The code point ``n`` after the one before a, where that is a character; else ``n`` in digits. ``chr`` would start anew at 256."""
+    code = 96 + n
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((code < 0xD800) | code.between(0xE000, 0x10FFFF), char).otherwise(F.concat(F.lit("-"), n.cast("string")))
+
+
 def bibtex(articles: DataFrame, order: str = "ord") -> DataFrame:
-    """``ord, text``; equal keys get a, b, c in input order. The window is over articles of one key."""
+    """``ord, text``; equal keys get a, b, c in input order, after z the code points that follow. The window is over articles of one key."""
     a = complete(articles).withColumn("_base", bib_base())
     nth = F.row_number().over(Window.partitionBy("_base").orderBy(order)) - 1
-    key = F.concat("_base", F.when(nth > 0, F.chr(96 + nth)).otherwise(""))
+    key = F.concat("_base", F.when(nth > 0, _letter(nth)).otherwise(""))
     names = F.array_join(F.transform(authors(), lambda x: F.when(x["group"], F.concat(F.lit("{"), x["family"], F.lit("}"))).otherwise(comma(x))), " and ")
     field = lambda k, v: F.when(v != "", F.concat(F.lit(f"  {k:<7} = {{"), v, F.lit("}")))
     title = F.when(s("title") != "", F.concat(F.lit("{"), tex(s("title")), F.lit("}"))).otherwise("")

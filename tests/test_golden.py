@@ -119,3 +119,11 @@ def test_report_lines(spark):
     assert sinks.joined(reports.prisma(flow), "pos", "line", "\n").splitlines()[-1] == "- 纳入: 5"
     refs = reports.references(fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)).where("ord = 3").first().line
     assert refs == "O'Neil P. Harms of drug A. BMJ. 2019. PMID: 103"
+
+
+def test_bibtex_suffixes_after_one_byte(spark):
+    a = spark.range(1, 402).selectExpr("cast(id as int) as ord", "array('Lee K') as authors", "'Rash after drug' as title", "'2020' as year")
+    got = {r.ord: r.text.split(",\n")[0].removeprefix("@article{lee2020rash") for r in cite.bibtex(a).collect()}
+    assert got == {n + 1: chr(96 + n) if n else "" for n in range(401)}
+    codes = spark.createDataFrame([(0xD7FF - 96,), (0xD800 - 96,), (0x1F600 - 96,), (0x110000 - 96,)], "n int").select(cite._letter(F.col("n")).alias("c"))
+    assert [r.c for r in codes.collect()] == ["퟿", f"-{0xD800 - 96}", "\U0001f600", f"-{0x110000 - 96}"]
