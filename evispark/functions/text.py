@@ -23,6 +23,15 @@ VALUE_PATTERNS = {
 }
 
 
+#: A word boundary of ASCII letters, digits and _. Java's ``\b`` takes all letters for words before version 19 and not from it on.
+_BOUND = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose ``\\b`` is that of ASCII words, as in SQL engines, whatever the version of Java."""
+    return pattern.replace(r"\b", _BOUND)
+
+
 def lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -106,7 +115,7 @@ def values(c: Column) -> Column:
 
     out = []
     for k, p in VALUE_PATTERNS.items():
-        found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(0))
+        found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ascii_bounds(p)), F.lit(0))
         if k == "百分比":  # a percentage that belongs to an interval is none
             found = F.filter(found, lambda v: v.endswith("%"))
         out.append(named(k, found))

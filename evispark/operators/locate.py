@@ -46,7 +46,7 @@ def value_spans(text):
     """Array of ``(start, end)``, merged: where values of the six kinds stand in a text."""
     out = F.array().cast("array<struct<start:int,end:int>>")
     for k, p in X.VALUE_PATTERNS.items():
-        found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(X.ascii_bounds(p)), F.lit(0))
         placed = X.with_places(text, found)
         if k == "百分比":
             placed = F.filter(placed, lambda x: x["sentence"].endswith("%"))

@@ -127,3 +127,10 @@ def test_bibtex_suffixes_after_one_byte(spark):
     assert got == {n + 1: chr(96 + n) if n else "" for n in range(401)}
     codes = spark.createDataFrame([(0xD7FF - 96,), (0xD800 - 96,), (0x1F600 - 96,), (0x110000 - 96,)], "n int").select(cite._letter(F.col("n")).alias("c"))
     assert [r.c for r in codes.collect()] == ["퟿", f"-{0xD800 - 96}", "\U0001f600", f"-{0x110000 - 96}"]
+
+
+def test_values_after_letters_of_other_scripts(spark):
+    text = "合并OR 0.8与éHR 1.2 were found；样本量n = 120例, xHR 3 and _n = 4 are none."
+    got = one(spark, text, lambda c: F.transform(X.values(c), lambda v: v["value"]))
+    assert got == ["OR 0.8", "HR 1.2", "n = 120"]
+    assert one(spark, text, lambda c: F.size(locate.value_spans(c))) == 3
