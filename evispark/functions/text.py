@@ -28,8 +28,11 @@ _BOUND = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 
 def ascii_bounds(pattern: str) -> str:
-    """A pattern whose ``\\b`` is that of ASCII words, as in SQL engines, whatever the version of Java."""
-    return pattern.replace(r"\b", _BOUND)
+    """A pattern whose ``\\b`` is that of ASCII words, as in SQL engines, whatever the version of Java; what stands at its edges begins or ends words."""
+    flag, p = re.match(r"((?:\(\?i\))?)(.*)", pattern, re.S).groups()
+    if re.match(r"\\b(?:[A-Za-z]|\(?\\d|\[[A-Za-z]|\(\?:[A-Za-z|? ]+\))", p):  # one byte before is looked at only where a word may begin
+        p = r"(?<!\w)" + p[2:]
+    return flag + re.sub(r"(?<=[a-z]\))\\b", r"(?!\\w)", p).replace(r"\b", _BOUND)
 
 
 def lits(values) -> Column:

@@ -37,7 +37,7 @@ def conditions() -> dict[str, Column]:
         "baseline_imbalance": has("imbalance"), "composite_outcome": has("composite"),
         "no_adjustment": design.isin("队列研究", "病例对照研究") & ~has("adjustment"), "high_attrition": extract.attrition(F.col("abstract")) >= 20,
         "pilot": trial & has("pilot"), "no_precision": ~ci & ~p, "no_ci_point": ~ci & ratio, "no_effect_size": known & (F.col("effects_text") == ""),
-        "no_registration": trial & ~F.col("abstract").rlike(REGISTRY), "no_heterogeneity": (design == "系统评价 / Meta 分析") & ~has("heterogeneity"),
+        "no_registration": trial & ~F.col("abstract").rlike(X.ascii_bounds(REGISTRY)), "no_heterogeneity": (design == "系统评价 / Meta 分析") & ~has("heterogeneity"),
         "single_center": ~synthesis & ~has("multicenter") & has("single_center"), "center_unknown": ~synthesis & ~has("multicenter") & ~has("single_center"),
         "surrogate": F.col("outcome")["label"] == L.SURROGATE_OUTCOME, "followup_unknown": months.isNull(), "short_followup": months < 6,
     }

@@ -109,7 +109,7 @@ TIGHT_SIZES = [
 
 def largest_size(text: Column, patterns: list[str] | None = None) -> Column:
     """Largest number from 10 to 5,000,000 that any pattern finds; null without one."""
-    found = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1)) for p in patterns or SIZE_PATTERNS])
+    found = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(X.ascii_bounds(p)), F.lit(1)) for p in patterns or SIZE_PATTERNS])
     n = F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
     return F.array_max(F.filter(n, lambda x: x.between(10, 5_000_000)))
 
@@ -135,7 +135,7 @@ DIFFERENCE = r"(?i)\b(?:WMD|SMD|MD)\s*[=:]?\s*[-−]?\s*\d+(?:\.\d+)?"
 def effects(text: Column) -> Column:
     """Struct of arrays HR, OR, RR, IRR, CI, P, MD."""
     t = F.coalesce(text, F.lit(""))
-    all_ = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    all_ = lambda p, g: F.regexp_extract_all(t, F.lit(X.ascii_bounds(p)), F.lit(g))
     ci = F.filter(F.slice(F.transform(all_(INTERVAL, 1), lambda c: F.regexp_replace(c, r"^[ ,;，；]+|[ ,;，；]+$", "")), 1, 6), lambda c: c != "")
     return F.struct(*[F.array_distinct(all_(p, 1)).alias(k) for k, p in RATIOS.items()], F.transform(ci, lambda c: F.concat(F.lit("95% CI "), c)).alias("CI"),
                     F.slice(all_(P_VALUE, 0), 1, 6).alias("P"), F.slice(all_(DIFFERENCE, 0), 1, 4).alias("MD"))
@@ -152,7 +152,7 @@ def effect_direction(e: Column) -> Column:
 
 
 def effect_snippet(text: Column) -> Column:
-    any_ = "|".join(p.replace("(?i)", "") for p in RATIOS.values())
+    any_ = X.ascii_bounds("|".join(p.replace("(?i)", "") for p in RATIOS.values()))
     return X.snippet(F.get(F.filter(X.sentences(text), lambda s: s.rlike("(?i)" + any_)), F.lit(0)), 220)
 
 
@@ -314,7 +314,7 @@ def followup(text: Column) -> Column:
         m = (F.when(unit.isin("month", "mo", "个月", "月"), v).when(unit.isin("year", "yr", "年"), v * 12)
              .when(unit.isin("week", "周"), v / 4.345).otherwise(v / 30.44))
         return F.when(v.isNotNull(), F.struct(X.snippet(F.regexp_extract(text, p, 0), 60).alias("text"), F.bround(m, 1).alias("months")))
-    return F.coalesce(one(FOLLOW_EN), one(FOLLOW_ZH), F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("months")))
+    return F.coalesce(one(X.ascii_bounds(FOLLOW_EN)), one(FOLLOW_ZH), F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("months")))
 
 
 def outcome_class(low: Column) -> Column:

@@ -134,3 +134,11 @@ def test_values_after_letters_of_other_scripts(spark):
     got = one(spark, text, lambda c: F.transform(X.values(c), lambda v: v["value"]))
     assert got == ["OR 0.8", "HR 1.2", "n = 120"]
     assert one(spark, text, lambda c: F.size(locate.value_spans(c))) == 3
+
+
+def test_effects_after_letters_of_other_scripts(spark):
+    text = "éRR 79.118 and 与HR 0.72; 合计WMD -1.5，其P < 0.05, xOR 3. 共纳入n = 412 例."
+    got = one(spark, text, lambda c: extract.effects(c))
+    assert (got.RR, got.HR, got.OR, got.MD, got.P) == (["79.118"], ["0.72"], [], ["WMD -1.5"], ["P < 0.05"])
+    assert one(spark, text, extract.largest_size) == 412
+    assert one(spark, "follow-up of 3 years与", lambda c: extract.followup(c)["months"]) == 36
