@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import lexicon as L
@@ -79,6 +79,10 @@ def with_bias(profiles: DataFrame) -> DataFrame:
 
 def overview(profiles: DataFrame) -> DataFrame:
     """``label, n, docs_with_focus``: flags by frequency."""
-    focus = profiles.agg(F.count_if(F.col("focus") > 0).alias("docs_with_focus"))
-    # an outer explode, since a plain one lets the optimizer repeat the whole array in a filter
-    return profiles.select(F.explode_outer("flags").alias("f")).where("f is not null").groupBy("f.label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(focus))
+    # one pass: an article with a flag in focus adds a row without a label; an outer explode, since a plain one lets the optimizer repeat the whole array in a filter
+    named = F.transform("flags", lambda f: F.struct(f["label"].alias("label")))
+    mark = F.when(F.col("focus") > 0, F.array(F.struct(F.lit(None).cast("string").alias("label")))).otherwise(F.array().cast("array<struct<label:string>>"))
+    n = profiles.select(F.explode_outer(F.concat(named, mark)).alias("f")).where("f is not null").groupBy("f.label").agg(F.count(F.lit(1)).alias("n"))
+    # over one row a label
+    focus = F.coalesce(F.max(F.when(F.col("label").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(1))), F.lit(0).cast("long"))
+    return n.withColumn("docs_with_focus", focus).where("label is not null")

@@ -64,10 +64,14 @@ def _split_pattern() -> str:
 
 def text_sections(abstract: Column) -> Column:
     """Array of ``(keys, text)`` of a text with two labels or more; else empty."""
-    marked = F.regexp_replace(F.coalesce(abstract, F.lit("")), _split_pattern(), "\u0001$1$2\u0002")
+    text = F.coalesce(abstract, F.lit(""))
+    marked = F.regexp_replace(text, _split_pattern(), "\u0001$1$2\u0002")
     pieces = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
-    rows = F.transform(pieces, lambda p: F.struct(section_keys(F.split_part(p, F.lit("\u0002"), F.lit(1))).alias("keys"), F.trim(F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r"^[ \t\n*]+|[ \t\n*]+$", "")).alias("text")))
-    return F.when(F.size(rows) >= 2, F.filter(rows, lambda r: r["text"] != "")).otherwise(F.array().cast("array<struct<keys:array<string>,text:string>>"))
+    parsed = lambda ps: F.transform(ps, lambda p: F.struct(section_keys(F.split_part(p, F.lit("\u0002"), F.lit(1))).alias("keys"), F.trim(F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r"^[ \t\n*]+|[ \t\n*]+$", "")).alias("text")))
+    none = F.array().cast("array<struct<keys:array<string>,text:string>>")
+    colon = F.contains(text, F.lit(":")) | F.contains(text, F.lit("："))
+    found = X.let(pieces, lambda ps: F.when(F.size(ps) >= 2, F.filter(parsed(ps), lambda r: r["text"] != "")).otherwise(none))
+    return F.when(colon, found).otherwise(none)
 
 
 def with_sections(articles: DataFrame) -> DataFrame:
@@ -134,7 +138,10 @@ DIFFERENCE = r"(?i)\b(?:WMD|SMD|MD)\s*[=:]?\s*[-−]?\s*\d+(?:\.\d+)?"
 
 def effects(text: Column) -> Column:
     """Struct of arrays HR, OR, RR, IRR, CI, P, MD."""
-    t = F.coalesce(text, F.lit(""))
+    return X.let(F.coalesce(text, F.lit("")), _effects)
+
+
+def _effects(t: Column) -> Column:
     all_ = lambda p, g: F.regexp_extract_all(t, F.lit(X.ascii_bounds(p)), F.lit(g))
     ci = F.filter(F.slice(F.transform(all_(INTERVAL, 1), lambda c: F.regexp_replace(c, r"^[ ,;，；]+|[ ,;，；]+$", "")), 1, 6), lambda c: c != "")
     return F.struct(*[F.array_distinct(all_(p, 1)).alias(k) for k, p in RATIOS.items()], F.transform(ci, lambda c: F.concat(F.lit("95% CI "), c)).alias("CI"),
@@ -164,18 +171,19 @@ def strip_label(c: Column) -> Column:
     return F.when((label != "") & (F.size(section_keys(label)) > 0), rest).otherwise(F.trim(c))
 
 
-def conclusion() -> Column:
-    """Struct ``(text, origin)``: the section, a labelled line, or the last two sentences."""
+def conclusion(sentences: Column | None = None) -> Column:
+    """Struct ``(text, origin)``: the section, a labelled line, or the last two of the ``sentences`` of the source."""
     lines = F.transform(F.split(F.col("source"), "\n"), lambda x: F.regexp_extract(F.trim(x), r"(?is)^\s*(?:conclusions?|结论)\s*[:：]\s*(.+)$", 1))
     line = F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
     noise = r"(?i)^(trial registration|funding|registration|clinicaltrials\.gov|copyright|©|conflict of interest|keywords|研究注册|注册号)"
-    sents = F.filter(X.sentences(F.col("source")), lambda s: (F.length(s) >= 20) & ~s.rlike(noise))
-    tail = F.slice(sents, F.greatest(F.size(sents) - 1, F.lit(1)), 2)
+    fit = F.filter(X.sentences(F.col("source")) if sentences is None else sentences, lambda s: (F.length(s) >= 20) & ~s.rlike(noise))
+    tail = X.let(fit, lambda f: F.slice(f, F.greatest(F.size(f) - 1, F.lit(1)), 2))
+    short = F.struct(F.lit("").alias("text"), F.lit("摘要过短").alias("origin"))
+    last = lambda x: F.when(F.size(x) == 0, short).otherwise(F.struct(X.snippet(strip_label(F.array_join(x, " ")), 900).alias("text"), F.lit("摘要末句（无结构化标签）").alias("origin")))
     named = F.coalesce(F.col("sec")["CONCLUSIONS"], line)
     return (F.when(~X.filled(F.col("source")), F.struct(F.lit("").alias("text"), F.lit("无摘要").alias("origin")))
             .when(named.isNotNull(), F.struct(X.snippet(named, 900).alias("text"), F.lit("结构化结论段").alias("origin")))
-            .when(F.size(sents) == 0, F.struct(F.lit("").alias("text"), F.lit("摘要过短").alias("origin")))
-            .otherwise(F.struct(X.snippet(strip_label(F.array_join(tail, " ")), 900).alias("text"), F.lit("摘要末句（无结构化标签）").alias("origin"))))
+            .otherwise(X.let(tail, last)))
 
 
 def cue(low: Column, cues: list[str]) -> Column:
@@ -196,7 +204,10 @@ def cue(low: Column, cues: list[str]) -> Column:
 
 def polarity(text: Column, direction: Column | None = None) -> Column:
     """Struct ``(label, cue)``: null wording before harm before benefit; then, if given, the effect's direction."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return X.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _polarity(low, direction))
+
+
+def _polarity(low: Column, direction: Column | None) -> Column:
     null, harm, good = cue(low, L.NULL_CUES), cue(low, L.HARM_CUES), cue(low, L.POSITIVE_CUES)
     pair = lambda a, b: F.struct(F.lit(a).alias("label"), b.alias("cue"))
     out = F.when(null.isNotNull(), pair(L.NULL, null)).when(harm.isNotNull(), pair(L.HARM, harm)).when(good.isNotNull(), pair(L.POSITIVE, good))
@@ -210,10 +221,13 @@ def polarity(text: Column, direction: Column | None = None) -> Column:
 
 def design() -> Column:
     """Struct ``(label, evidence)``: publication type by rule order, then each cue of each rule in title, abstract, full text."""
-    low = lambda c: F.lower(c)
     title = F.coalesce("title", F.lit(""))
-    low_title, low_abs = low(title), low(F.concat_ws(" ", title, F.coalesce("abstract", F.lit(""))))
-    low_full = F.when(F.col("has_fulltext"), low(F.concat_ws(" ", title, F.col("fulltext"))))
+    low_abs, low_full = F.lower(F.concat_ws(" ", title, F.coalesce("abstract", F.lit("")))), F.when(F.col("has_fulltext"), F.lower(F.concat_ws(" ", title, F.col("fulltext"))))
+    return X.let(F.struct(F.lower(title).alias("title"), low_abs.alias("abstract"), low_full.alias("full")), _design)
+
+
+def _design(text: Column) -> Column:
+    low, low_title, low_abs, low_full = F.lower, text["title"], text["abstract"], text["full"]
     types = F.filter(F.transform(F.coalesce("pubtypes", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda t: t != "")
     pair = lambda a, b: F.struct(F.lit(a).alias("label"), b.alias("evidence"))
     def first(a):
@@ -290,10 +304,10 @@ def intervention() -> Column:
     return F.coalesce(F.when(F.col("sec")["INTERVENTIONS"].isNotNull(), F.nullif(first, F.lit(""))), X.snippet(F.regexp_extract(text, INTERVENTION, 1), 50))
 
 
-def primary_outcome() -> Column:
+def primary_outcome(sentences: Column | None = None) -> Column:
     seg = F.col("sec")["OUTCOMES"]
     first = F.when(seg.isNotNull(), F.nullif(X.snippet(strip_label(_before(seg, r"(?<=[.;])\s")), 200), F.lit("")))
-    sents = X.sentences(F.col("source"))
+    sents = X.sentences(F.col("source")) if sentences is None else sentences
     named = F.filter(sents, lambda s: s.rlike(PRIMARY))
     defined = F.filter(named, lambda s: s.rlike(r"(?i)\b(?:was|were|is|are|defined\s+as)\b"))
     hint = F.get(F.filter(sents, lambda s: s.rlike(OUTCOME_HINT)), F.lit(0))
@@ -371,10 +385,10 @@ def profile(articles: DataFrame) -> DataFrame:
     """All derived fields of each article, in four projections over its columns."""
     from evispark.operators import bias
 
-    a = with_sections(articles)
-    a = a.withColumns({"design": design(), "n": sample_size(), "conclusion": conclusion(), "population": population(), "intervention": intervention(),
-                       "primary_outcome": primary_outcome(), "followup": followup(F.col("source")), "outcome": outcome_class(F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("source")))),
-                       "effects": effects(F.when(F.col("has_fulltext"), F.coalesce(F.col("sec")["RESULTS"], F.col("source"))).otherwise(F.col("abstract")))})
+    a = with_sections(articles).withColumns({"_sentences": X.sentences(F.col("source")), "_low": F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("source")))})
+    a = a.withColumns({"design": design(), "n": sample_size(), "conclusion": conclusion(F.col("_sentences")), "population": population(), "intervention": intervention(),
+                       "primary_outcome": primary_outcome(F.col("_sentences")), "followup": followup(F.col("source")), "outcome": outcome_class(F.col("_low")),
+                       "effects": effects(F.when(F.col("has_fulltext"), F.coalesce(F.col("sec")["RESULTS"], F.col("source"))).otherwise(F.col("abstract")))}).drop("_sentences", "_low")
     a = a.withColumns({"effects_text": effect_text(F.col("effects")), "direction": effect_direction(F.col("effects")), "row_key": article_key(), "mesh_topics": mesh_topics(),
                        "design_evidence": F.col("design")["evidence"], "design": F.col("design")["label"], "conclusion_origin": F.col("conclusion")["origin"], "conclusion": F.col("conclusion")["text"]})
     a = a.withColumns({"polarity": polarity(F.coalesce(F.nullif("conclusion", F.lit("")), F.col("abstract")), F.col("direction"))})

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from evispark.operators import compare, numbering, vocab
+from evispark.functions import text
+from evispark.operators import bias, compare, numbering, vocab
 
 
 def fold(rows):
@@ -196,3 +197,21 @@ def test_keywords_choice_as_a_plain_loop_does(spark):
         elif not any(w == x.term and x.tf <= n * 1.2 for w, n in cover):
             picked.append(x)
     assert [x.term for x in keywords.keywords(df, 6).orderBy("rank").collect()] == [x.term for x in picked]
+
+
+def test_bias_overview_reads_profiles_once(spark):
+    rows = [(["a", "b"], 1), (["a"], 0), ([], 0)]
+    p = spark.createDataFrame(rows, "names array<string>, focus int").select(F.transform("names", lambda n: F.struct(n.alias("label"))).alias("flags"), "focus")
+    df = bias.overview(p)
+    assert sorted(r[:] for r in df.select("label", "n", "docs_with_focus").collect()) == [("a", 2, 1), ("b", 1, 1)]
+    assert [r.docs_with_focus for r in bias.overview(p.where("focus = 0")).collect()] == [0]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+
+
+def test_cues_are_looked_for_plainly_first(spark):
+    texts = ["", None, "no cue", "a double-blind trial", "died", "studied, xdied", "the vs other", "avs b", "中died"]
+    df = spark.createDataFrame([(x,) for x in texts], "low string")
+    cues = ["double-blind", "died", " vs ", "ITT"]
+    out = df.select("low", text.first_hit(F.col("low"), cues).alias("hit"), F.trim(F.regexp_extract("low", text.cue_pattern(cues), 0)).alias("want"))
+    assert [r.hit for r in out.collect()] == [r.want for r in out.collect()] == ["", None, "", "double-blind", "died", "", "vs", "", "died"]
+    assert "contains(" in plan(df.select(text.first_hit(F.col("low"), cues))).lower()
