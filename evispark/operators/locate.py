@@ -91,6 +91,8 @@ GRAM, LONG = 8, 40
 KEYED = "bgkpvwxyz0-9一-鿿"
 #: Rows up to which the queries' keys are sent to all tasks; above, sentences are shuffled to them.
 BROADCAST_ROWS = 50_000
+#: Hashes of keys up to which they are sent to all tasks: 8 bytes each.
+KEY_ROWS = 2_000_000
 
 
 def _sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -98,6 +100,12 @@ def _sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _having(dealt: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is one of those wanted, by hashes sent to all tasks where a count shows that they are few."""
+    hashed = F.xxhash64("kind", "f")
+    return dealt.withColumn("h", hashed).join(_sent(wanted.select(hashed.alias("h")).distinct(), KEY_ROWS), "h", "left_semi").drop("h")
+
+
 def _grams(c, n: int):
     """All runs of ``n`` characters: the places at which one can be read ahead."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
@@ -150,7 +158,9 @@ def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     full = F.col("sn") != ""
     first = F.when(full, F.array("sn")).otherwise(none), F.when(full, F.array(F.substring("sn", 1, GRAM))).otherwise(none)
     dealt = s.withColumn("x", F.explode(F.concat(named("whole", first[0]), named("start", first[1]), named("gram", grams), named("number", F.col("snum")), named("term", F.col("sterm")))))
-    met = dealt.select("*", "x.kind", "x.f").drop("x").join(wanted, ["kind", "f"]).drop("kind", "f")
+    # sentences are dealt to the queries' keys only where they have one, so that other rows of theirs are never shuffled
+    dealt = _having(dealt.select("*", "x.kind", "x.f").drop("x"), wanted)
+    met = dealt.join(wanted, ["kind", "f"]).drop("kind", "f")
     lone = one.where((F.length("qn") > LONG) & (F.size("keys") == 0)).drop("keys")
     if lone.limit(1).count():
         long = s.where(F.length("sn") > LONG)

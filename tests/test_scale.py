@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evispark.functions import text
-from evispark.operators import bias, compare, numbering, vocab
+from evispark.operators import bias, compare, locate, numbering, vocab
 
 
 def fold(rows):
@@ -215,3 +215,11 @@ def test_cues_are_looked_for_plainly_first(spark):
     out = df.select("low", text.first_hit(F.col("low"), cues).alias("hit"), F.trim(F.regexp_extract("low", text.cue_pattern(cues), 0)).alias("want"))
     assert [r.hit for r in out.collect()] == [r.want for r in out.collect()] == ["", None, "", "double-blind", "died", "", "vs", "", "died"]
     assert "contains(" in plan(df.select(text.first_hit(F.col("low"), cues))).lower()
+
+
+def test_locate_shuffles_only_rows_with_a_wanted_key(spark):
+    dealt = spark.range(1000).selectExpr("'term' as kind", "cast(id as string) as f", "id as pos")
+    wanted = spark.range(995, 1200).selectExpr("'term' as kind", "cast(id as string) as f", "1 as query_id")
+    df = locate._having(dealt, wanted)
+    assert df.columns == dealt.columns and sorted(r.pos for r in df.collect()) == [995, 996, 997, 998, 999]
+    assert "BroadcastHashJoin" in plan(df) and "LeftSemi" in plan(df)
