@@ -186,7 +186,7 @@ def norm_tag(c: Column) -> Column:
 
 def distinct_ci(a: Column) -> Column:
     """Array without later spellings of what it has, whatever the case."""
-    return F.filter(a, lambda x, i: F.array_position(F.transform(a, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    return let(a, lambda xs: let(F.transform(xs, lambda y: F.lower(y)), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
 def parse_tags(c: Column) -> Column:

@@ -142,3 +142,8 @@ def test_effects_after_letters_of_other_scripts(spark):
     assert (got.RR, got.HR, got.OR, got.MD, got.P) == (["79.118"], ["0.72"], [], ["WMD -1.5"], ["P < 0.05"])
     assert one(spark, text, extract.largest_size) == 412
     assert one(spark, "follow-up of 3 years与", lambda c: extract.followup(c)["months"]) == 36
+
+
+def test_distinct_ci_works_its_array_out_once(spark):
+    assert one(spark, ["RCT", "rct", "Heart", "RCT", "heart"], X.distinct_ci, "array<string>") == ["RCT", "Heart"]
+    assert "array_position(transform(" not in spark.range(1).select(X.distinct_ci(F.array(F.lit("a"), F.lit("A"))))._jdf.queryExecution().analyzed().toString()
