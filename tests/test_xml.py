@@ -1,5 +1,8 @@
 """Mixed and nested XML, against values worked out by hand."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from evispark.sources import readers, xmlrecords
 
 
@@ -53,3 +56,16 @@ def test_records_of_many_files_and_splits(spark, tmp_path):
         assert got.rdd.getNumPartitions() > 3 and sorted(int(r.pmid) for r in got.select("pmid").collect()) == sorted(k * 100 + i for k in range(3) for i in range(50))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_batch_is_parsed_in_runs_of_bounded_bytes(spark, monkeypatch):
+    rows = pa.record_batch({"k": list(range(7)), "xml": ["é" * 5, None, "b" * 25, "", "c" * 4, "d" * 16, None]})
+    monkeypatch.setattr(xmlrecords, "SLICE", 20)
+    assert [x.column("k").to_pylist() for x in xmlrecords._slices(rows, "xml")] == [[0, 1], [2], [3, 4, 5, 6]]
+    assert list(xmlrecords._slices(rows.slice(0, 0), "xml")) == []
+    monkeypatch.undo()
+    text = "<article><body><p>" + "x" * (xmlrecords.SLICE // 3) + "</p></body></article>"
+    df = spark.range(0, 9, 1, 1).selectExpr("id", "if(id % 4 = 3, null, if(id = 5, '<a>', '')) as e").withColumn("xml", F.when(F.col("e") == "", F.lit(text)).otherwise(F.col("e")))
+    got = xmlrecords.parsed(df, xmlrecords.sections, xmlrecords.SECTIONS).collect()
+    assert [r.id for r in got if r.parsed is None] == [3, 7] and "no element" in got[5].parsed.error
+    assert all(len(got[i].parsed.sections[0].text) == xmlrecords.SLICE // 3 for i in (0, 1, 2, 4, 6, 8))
