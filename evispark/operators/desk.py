@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as X
+from evispark.sources import staging
 
 # --- fixed values: a host's dependency and the least seconds between two requests to it
 HOSTS = [
@@ -15,6 +16,8 @@ OTHER_DEPENDENCY, WITH_KEY, KEYED_HOST = "llm", 0.10, "eutils.ncbi.nlm.nih.gov"
 FEEDBACK_KINDS = ["bug", "feature", "question", "other"]
 #: Fixed limits: characters of a feedback and its diagnostics, entries of a day that stay, of a survey's answers and its entries, of a history, favourites shown.
 FEEDBACK, DIAGNOSTICS, FEEDBACK_KEPT, ANSWER, IMPROVE, CONTACT, SURVEYS_KEPT, HISTORY, HISTORY_SHOWN = 4000, 6000, 200, 200, 2000, 300, 100, 200, 50
+#: Cuts of days that may be broadcast; one is a few numbers wide.
+CUTS = 100_000
 #: Fixed limits of tables in PDFs: pages looked at, tables kept.
 TABLE_PAGES, TABLES = 60, 40
 
@@ -68,12 +71,32 @@ def candidates(records: DataFrame, most: int = 8) -> DataFrame:
         text("mapped_to").alias("mapped_to"), text("scope_note").alias("scope_note"), trees.alias("tree_numbers"))
 
 
+def _latest_of_days(rows: DataFrame, keep: int) -> DataFrame:
+    """The latest ``keep`` of ``rows(scope, ts, seq, ...)`` of each scope and day; rows of equal time and place go by their other columns.
+
+    Texts are neither sorted nor shuffled: times and places alone tell where a day that has more is cut, and those cuts meet the rows.
+    """
+    last = F.struct("ts", "seq")
+    day = Window.partitionBy("scope", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("seq"))
+    first_out = rows.select("scope", "ts", "seq", F.row_number().over(day).alias("_n"), F.rank().over(day).alias("_k")).where(F.col("_n") == keep + 1)
+    cuts, _ = staging.written(first_out.select(F.col("scope").alias("_scope"), F.to_date("ts").alias("_day"), last.alias("_cut"), (F.col("_n") - F.col("_k")).alias("_fit")), "day-cuts")
+    n, tied = cuts.agg(F.count(F.lit(1)), F.coalesce(F.max("_fit"), F.lit(0))).first()
+    if not n:
+        return rows
+    met = lambda c: rows.join(F.broadcast(c) if n <= CUTS else c.hint("shuffle_hash"), F.col("scope").eqNullSafe(F.col("_scope")) & F.to_date("ts").eqNullSafe(F.col("_day")), "left")
+    kept = met(cuts).where(F.col("_cut").isNull() | (last > F.col("_cut"))).select(*rows.columns)
+    if not tied:
+        return kept
+    rest = Window.partitionBy("scope", "_day").orderBy(*[c for c in rows.columns if c not in ("scope", "ts", "seq")])
+    more = met(cuts.where("_fit > 0")).where(last == F.col("_cut")).withColumn("_n", F.row_number().over(rest)).where("_n <= _fit")
+    return kept.unionByName(more.select(*rows.columns))
+
+
 def feedback(entries: DataFrame) -> DataFrame:
     """Kept entries of ``entries(scope, ts, seq, kind, content, diagnostics)``: blank ones go, unknown kinds are ``other``, texts end at their limits, a scope's day keeps its latest ``FEEDBACK_KEPT``."""
     c = F.trim(F.coalesce("content", F.lit("")))
     e = entries.where(c != "").select("scope", "ts", "seq", F.when(F.col("kind").isin(*FEEDBACK_KINDS), F.col("kind")).otherwise("other").alias("kind"), F.left(c, F.lit(FEEDBACK)).alias("content"), F.left(F.coalesce("diagnostics", F.lit("")), F.lit(DIAGNOSTICS)).alias("diagnostics"))
-    w = Window.partitionBy("scope", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("seq"))
-    return e.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FEEDBACK_KEPT).drop("_n")
+    return _latest_of_days(e, FEEDBACK_KEPT)
 
 
 def feedback_count(kept: DataFrame) -> DataFrame:
@@ -85,8 +108,7 @@ def surveys(answers: DataFrame) -> DataFrame:
     """Survey ``answers(scope, ts, seq, usage_count, freq, useful, satisfaction, recommend, improve, contact)`` without addresses and numbers, at their limits, a scope's latest ``SURVEYS_KEPT`` of a day."""
     short = lambda c, n: F.left(X.sanitize(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(n)).alias(c)
     a = answers.select("scope", "ts", "seq", F.coalesce("usage_count", F.lit(0)).alias("usage_count"), *[short(c, ANSWER) for c in ("freq", "useful", "satisfaction", "recommend")], short("improve", IMPROVE), short("contact", CONTACT))
-    w = Window.partitionBy("scope", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("seq"))
-    return a.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SURVEYS_KEPT).drop("_n")
+    return _latest_of_days(a, SURVEYS_KEPT)
 
 
 def usage(actions: DataFrame) -> DataFrame:

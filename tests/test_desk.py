@@ -1,5 +1,6 @@
 """Bookkeeping, sheets and helpers, with rows worked out by hand."""
 
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -36,6 +37,24 @@ def test_feedback_and_surveys(spark):
     assert (r.usage_count, r.useful) == (0, "") and "a.b@c" not in r.improve and r.contact == "[手机号已隐去]"
 
 
+def test_latest_of_days_neither_sort_nor_shuffle_texts(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, "2024-01-01 00:00:01", "2024-01-01 23:00:00", "2024-01-02 00:00:00"]), r.choice([None, 1, 2, 3]), f"text {i}") for i in range(400)]
+    df = frame(spark, rows, "scope string, ts string, seq int, content string").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3)
+    days = {}
+    for x in rows:
+        days.setdefault((x[0], (x[1] or "")[:10]), []).append(x)
+    for keep, cuts in ((7, desk.CUTS), (7, 0), (50, desk.CUTS), (1000, desk.CUTS)):
+        monkeypatch.setattr(desk, "CUTS", cuts)
+        want = sorted(x[3] for day in days.values() for x in sorted(sorted(day, key=lambda x: x[3]), key=lambda x: (x[1] or "", x[2] or 0), reverse=True)[:keep])
+        assert sorted(x.content for x in desk._latest_of_days(df, keep).collect()) == want
+    e = spark.range(300).selectExpr("'s' as scope", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", "id as seq", "'bug' as kind", "concat('text ', id) as content", "'' as diagnostics")
+    kept = desk.feedback(e)
+    assert sorted(x.seq for x in kept.collect()) == list(range(100, 300))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
 def test_states_and_paths(spark):
     s = frame(spark, [("u", "draft", 1, 1, "old"), ("u", "draft", 2, 1, "new"), ("u", "gone", 1, 1, "x"), ("u", "gone", 3, 1, None)], "scope string, name string, ts int, seq int, state string")
     assert [tuple(r) for r in desk.latest_state(s).collect()] == [("u", "draft", "new")]
