@@ -14,6 +14,16 @@ from evispark.functions import text as X
 from evispark.sources import staging
 
 
+#: Bytes of text that one task takes apart; its distinct terms take about eight times as much.
+DEALT = 8 << 20
+
+
+def _dealt(units: DataFrame, unit: str, text: str) -> DataFrame:
+    """``units(unit, text)`` dealt by unit into tasks of about ``DEALT`` bytes of text, since what a task counts in grows with its texts' distinct terms."""
+    size = int(units.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+    return units.select(unit, text).repartition(max(units.sparkSession.sparkContext.defaultParallelism, -(-size // DEALT)), unit)
+
+
 def _runs(terms: Column) -> Column:
     """Sorted terms as ``(term, new)``, where ``new`` counts the first of equal ones; no term is blank."""
     before = F.concat(F.array(F.lit("")), terms)
@@ -33,11 +43,19 @@ def _weigh(terms: DataFrame, units: DataFrame, text: str) -> DataFrame:
 
 def token_weights(units: DataFrame, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
     """``term, tf, df, weight`` of candidate tokens: ``tf * (0.35 + ln(1 + N / (1 + df)))`` over N units that have tokens."""
+    return _token_weights(_dealt(units, unit, text), text, stop)
+
+
+def _token_weights(units: DataFrame, text: str, stop: list[str] | None) -> DataFrame:
     return _weigh(units.select(F.filter(X.tokens(F.col(text)), lambda t: X.is_candidate(t, stop)).alias("a")), units, text)
 
 
 def phrase_weights(units: DataFrame, unit: str = "unit", text: str = "text", stop: list[str] | None = None) -> DataFrame:
     """``term, tf, df, weight`` of two candidates side by side, twice or more, at 1.45 times a token's weight."""
+    return _phrase_weights(_dealt(units, unit, text), text, stop)
+
+
+def _phrase_weights(units: DataFrame, text: str, stop: list[str] | None) -> DataFrame:
     t = units.select(X.tokens(F.col(text)).alias("t"))
     t = t.withColumn("ok", F.transform("t", lambda w: X.is_candidate(w, stop)))
     pair = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -57,9 +75,10 @@ def keywords(units: DataFrame, top: int = 20, unit: str = "unit", text: str = "t
     over four times as many, until there are ``top`` or no more terms. The weights
     are written, so that this costs no second count.
     """
-    zh = chinese_grams(units, unit, text)
+    units = _dealt(units, unit, text)
+    zh = _chinese_grams(units, unit, text, 2)
     zh = zh.crossJoin(F.broadcast(_counted(units, text))).select("gram", "tf", "df", (F.col("tf") * (0.35 + F.log1p(F.col("units") / (1 + F.col("df"))))).alias("weight")).withColumnRenamed("gram", "term")
-    every = token_weights(units, unit, text, stop).unionByName(phrase_weights(units, unit, text, stop)).unionByName(zh)
+    every = _token_weights(units, text, stop).unionByName(_phrase_weights(units, text, stop)).unionByName(zh)
     every, _ = staging.written(every.select("term", "tf", "weight"), "keyword-weights")
     most, size = every.count(), 20 * top
     while True:
@@ -97,11 +116,15 @@ def chinese_grams(units: DataFrame, unit: str = "unit", text: str = "text", leas
 
     Grams with a function character and stock words of papers are none.
     """
-    runs = units.select(F.col(unit).alias("u"), F.explode(F.regexp_extract_all(F.col(text), F.lit("[一-鿿]{2,}"), F.lit(0))).alias("run"))
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(1)))
-    cut = lambda n: F.when(F.length("run") >= n, F.transform(starts(n), lambda i: F.substring("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = runs.select("u", F.explode(F.concat(cut(2), cut(3), cut(4))).alias("gram")).where(~F.col("gram").rlike(f"[{L.ZH_STOP}]") & ~F.col("gram").isin(*L.ZH_WORD_STOP))
-    tf = grams.groupBy("gram", "u").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df")).where(F.col("tf") >= least)
+    return _chinese_grams(_dealt(units, unit, text), unit, text, least)
+
+
+def _chinese_grams(units: DataFrame, unit: str, text: str, least: int) -> DataFrame:
+    runs = units.select(unit, F.regexp_extract_all(F.col(text), F.lit("[一-鿿]{2,}"), F.lit(0)).alias("r")).groupBy(unit).agg(F.flatten(F.collect_list("r")).alias("r"))
+    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - n + 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = F.filter(F.flatten(F.transform("r", lambda r: F.concat(cut(r, 2), cut(r, 3), cut(r, 4)))), lambda g: ~g.rlike(f"[{L.ZH_STOP}]") & ~g.isin(*L.ZH_WORD_STOP))
+    each = runs.select(F.sort_array(grams).alias("a")).select(F.inline(_runs(F.col("a")))).withColumnRenamed("term", "gram")
+    tf = each.groupBy("gram").agg(F.count(F.lit(1)).alias("tf"), F.sum("new").alias("df")).where(F.col("tf") >= least)
     wide = tf.where(F.length("gram") > 2).select("tf", F.explode(F.array(F.expr("left(gram, length(gram)-1)"), F.expr("right(gram, length(gram)-1)"))).alias("gram"))
     cover = wide.groupBy("gram").agg(F.max("tf").alias("over"))
     return tf.join(cover, "gram", "left").where(F.col("over").isNull() | (F.col("tf") > F.col("over"))).select("gram", "tf", "df")

@@ -1,10 +1,11 @@
 """Operators that go in rounds, by keys or by blocks, against plain loops, and their plans."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from evispark.functions import text
+from evispark.functions import lexicon, text
 from evispark.operators import bias, compare, locate, numbering, vocab
 
 
@@ -223,3 +224,26 @@ def test_locate_shuffles_only_rows_with_a_wanted_key(spark):
     df = locate._having(dealt, wanted)
     assert df.columns == dealt.columns and sorted(r.pos for r in df.collect()) == [995, 996, 997, 998, 999]
     assert "BroadcastHashJoin" in plan(df) and "LeftSemi" in plan(df)
+
+
+def test_keyword_counts_are_dealt_by_bytes_of_text(spark, monkeypatch):
+    """A task's counts grow with its texts; grams of a unit in several rows are that unit's."""
+    from evispark.operators import keywords
+
+    rows = [(i % 30 if i % 7 else None, r) for i, r in enumerate(["总生存期与总生存期", "heart failure in liver", None, "", "心力衰竭 heart failure 心力", "研究研究总生存期的心力衰竭ab心"] * 10)]
+    df = spark.createDataFrame(rows, "unit int, text string").coalesce(1)
+    grams = {}
+    for u, x in rows:
+        for run in re.findall("[一-鿿]{2,}", x or ""):
+            for n in (2, 3, 4):
+                for i in range(len(run) - n + 1):
+                    grams.setdefault(run[i:i + n], []).append(u)
+    grams = {g: (len(u), len(set(u))) for g, u in grams.items() if len(u) > 1 and not set(g) & set(lexicon.ZH_STOP) and g not in lexicon.ZH_WORD_STOP}
+    want = {(g, *c) for g, c in grams.items() if not any(len(w) == len(g) + 1 and g in (w[1:], w[:-1]) and c[0] <= d[0] for w, d in grams.items())}
+    few = sorted(map(tuple, keywords.keywords(df, 5).collect()))
+    monkeypatch.setattr(keywords, "DEALT", 40)
+    got = keywords.chinese_grams(df)
+    assert {tuple(x) for x in got.collect()} == want and want
+    assert sorted(map(tuple, keywords.keywords(df, 5).collect())) == few
+    tasks = -(-sum(len((x or "").encode()) for _, x in rows) // 40)
+    assert tasks > 20 and all("hashpartitioning(unit#" in plan(x) and f", {tasks})" in plan(x) for x in (got, keywords.token_weights(df), keywords.phrase_weights(df)))
