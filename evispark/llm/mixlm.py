@@ -30,7 +30,6 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from py4j.java_gateway import JavaObject
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +49,16 @@ SLICE, SEGMENT = 3 << 18, 2048
 MANY = 1 << 19
 #: Bytes before a place that predict it by an earlier place, and hits in a row up to which matches are told apart.
 REACH, RUN = 12, 7
-#: Words that each task holds for the base score.
-HOT = 120_000
+#: Words of the dictionary, which each task holds for the tree and the base score.
+HOT = 1_000_000
 #: Slots of one block of the tables on their way between tasks.
 BLOCK = 1 << 16
 #: Bytes coded in five bits: the closing byte and the usual ones of lower-case text.
 USUAL = b" etaoinshrdlucmfgwypbvkjzxq.,|\xc3"
 _CODE = np.full(256, 31, np.int64)
 _CODE[np.frombuffer(USUAL, np.uint8)] = np.arange(len(USUAL))
-NODES = 32 + 256
+#: Nodes of the code of bytes; rows of the map for nodes of the tree of words.
+NODES, WORD_NODES = 32 + 256, 256 + 32
 PLACES = 13
 MAP_BINS = 33
 #: Steps of the shared weights in training, and of a lane's in scoring.
@@ -70,10 +70,12 @@ _CONF = np.array([1, 2, 4, 8, 16, 64, 256])
 STEPS = len(_CONF) + 1
 #: How many gates there are for the best known of the two word contexts.
 KNOWN = 4
-GATES = PLACES * KNOWN
+#: Gates of the tree of words by depth.
+DEPTHS = 16
+GATES = (PLACES + DEPTHS) * KNOWN
 END = b""
 #: What the compiled loop does.
-COUNT, LEARN, SCORE = range(3)
+COUNT, LEARN, SCORE, WORDS = range(4)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -240,7 +242,7 @@ class Model:
         self.bits, self.cells = bits, cells
         self.weights = np.full((GATES, INPUTS, STEPS), 0.3, np.float32)
         self.weights[:, :-1, 0] = 0
-        self.map, self.learned, self.shared = np.zeros((NODES, MAP_BINS, 2)), None, None
+        self.map, self.learned, self.shared, self.tree = np.zeros((NODES + WORD_NODES, MAP_BINS, 2)), None, None, None
 
     def inputs(self, bits: Bits, cell: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
         """Estimates (bits, inputs) in 1/12, and the weight that each is given."""
@@ -378,20 +380,6 @@ def _slices(batch: pa.RecordBatch, most: int = 4 * SLICE) -> Iterator[pa.RecordB
         yield batch.take(pa.array(np.arange(a, b)))  # a copy: string functions want arrays without an offset
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word, c`` over a task's texts; the end is the empty word."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        for part in _slices(batch):
-            t = Texts(part.column("text"))
-            c = np.bincount(t.pair_code, t.pair_count, len(t.words)).astype(np.int64)
-            held.append(pa.table({"word": pa.concat_arrays([t.words, pa.array([END], pa.binary())]), "c": np.append(c, len(t.size))}))
-            if sum(map(len, held)) > 1_500_000:
-                held = [pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])]
-    if held:
-        yield from pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks().to_batches(100_000)
-
-
 def _packed(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -400,15 +388,40 @@ def _unpacked(x: bytes, kind: type, slots: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, slots * 2 * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _loop(spark: SparkSession, mode: int, bits: tuple[int, ...], weights: np.ndarray | None = None, learned: np.ndarray | None = None, tables: JavaObject | None = None) -> JavaObject:
-    """The compiled loop over bits; ``tables`` are counts or cells that :class:`Mixer` has on the executors."""
+def _loop(spark: SparkSession, mode: int, bits: tuple[int, ...], weights: np.ndarray | None = None, learned: np.ndarray | None = None, tables: JavaObject | None = None, tree: JavaObject | None = None) -> JavaObject:
+    """The compiled loop over bits; ``tables`` are counts or cells that :class:`Mixer` has on the executors, ``tree`` of :func:`dictionary`."""
     loop = compiled.instance(spark, "Mixer")
     ints = np.array([SLICE, SEGMENT, REACH, RUN, PIECE, BLOCK, *bits], "<i4").tobytes()
     loop.set(mode, ints, USUAL, RATE, LANE_RATE, *(b"" if x is None else x.astype("<f4").tobytes() for x in (weights, learned)), tables)
+    loop.words(tree)
     return loop
 
 
-def _counts(texts: DataFrame, bits: tuple[int, ...]) -> JavaObject:
+def dictionary(vocab: DataFrame, n: int, v: int, hot: int) -> JavaObject:
+    """The end and the ``hot`` most frequent of the words that ``vocab(word, c)`` has more than once, as a Huffman tree on all executors.
+
+    One leaf is the escape, for all other words; ``n`` and ``v`` are the base's tokens and distinct tokens.
+    """
+    spark, end = vocab.sparkSession, F.col("word") == F.lit(END)
+    levels = vocab.groupBy(F.floor(F.log2("c")).alias("level")).count().orderBy(F.desc("level")).collect()
+    least, upto = 2, 0
+    for r in levels:  # words under this level of counts are not among the first
+        upto += r["count"]
+        if upto >= hot:
+            least = max(2, 2 ** r.level)
+            break
+    top = vocab.where((F.col("c") >= least) | end).orderBy(~end, F.desc("c"), "word").limit(hot).toArrow().combine_chunks()
+    words, counts = pa.array([], pa.large_binary()), np.empty(0, np.int64)
+    if len(top):
+        words, counts = pa.concat_arrays([x.cast(pa.large_binary()) for x in top.column("word").chunks]), top.column("c").to_numpy()
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    if not len(words) or size[0]:
+        size, counts = np.concatenate(([0], size)), np.concatenate(([0], counts))
+    joined = words.buffers()[2].to_pybytes()[:int(size.sum())] if size.sum() else b""
+    return compiled.instance(spark, "Mixer").tree(spark.sparkContext._jsc, joined, np.cumsum(size).astype("<i4").tobytes(), counts.astype("<i8").tobytes(), n - int(counts.sum()), float(n + v + 1))
+
+
+def _counts(texts: DataFrame, bits: tuple[int, ...], tree: JavaObject | None = None) -> JavaObject:
     """Counts (slot, bit) of all contexts of ``texts``, on all executors: dense sums of each task, added by block."""
     slots = int(_offsets(bits)[-1])
 
@@ -421,7 +434,7 @@ def _counts(texts: DataFrame, bits: tuple[int, ...]) -> JavaObject:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [_packed(np.minimum(np.ceil(cells), 65535).astype(np.uint16))]})
 
     spark = texts.sparkSession
-    loop = _loop(spark, COUNT, bits)
+    loop = _loop(spark, COUNT, bits, tree=tree)
     blocks = common.stage(compiled.map_partitions(texts, loop, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, cells binary"), "counts")
     out = loop.gathered(spark.sparkContext._jsc, blocks._jdf, slots)
     common.unstage(blocks)
@@ -438,15 +451,17 @@ def _taught(texts: DataFrame, model: Model, counts: JavaObject) -> tuple[float,
         total = sum(np.frombuffer(x) for x in sorted(pdf["state"]))
         return pd.DataFrame({"mass": [pdf["mass"].sum()], "state": [total.tobytes()]})
 
-    made = compiled.map_partitions(texts, _loop(texts.sparkSession, LEARN, model.bits, model.weights, None, counts), "part long, mass double, state binary")
+    made = compiled.map_partitions(texts, _loop(texts.sparkSession, LEARN, model.bits, model.weights, None, counts, model.tree), "part long, mass double, state binary")
     rows = made.groupBy("part").applyInPandas(add, "mass double, state binary").collect()
     rows.sort(key=lambda r: r.state)
     return sum(r.mass for r in rows), sum((np.frombuffer(r.state) for r in rows), np.zeros(model.weights.size + model.map.size))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, tree: JavaObject | None = None) -> Model:
     """A model of ``docs(text)``, from all rows; without rows every bit is even. Its cells are on the executors, as ``shared``.
 
+    With the ``tree`` of :func:`dictionary` its words are coded along the tree, without one all words as bytes.
+
     For the pass that teaches weights and map, texts are dealt by a hash of their
     ``doc_id``, if there is one, else of themselves, into shards of about ``SHARD`` bytes,
     in the order of that hash. So the model is the same however ``docs`` are partitioned.
@@ -454,8 +469,9 @@ def train(docs: DataFrame) -> Model:
     spark, texts = docs.sparkSession, docs.select(F.col("text").cast("binary").alias("text"))
     size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     bits = table_bits(size)
-    counts = _counts(texts, bits)
+    counts = _counts(texts, bits, tree)
     model = Model(bits, None)
+    model.tree = tree
     key = F.xxhash64("doc_id" if "doc_id" in docs.columns else "text").alias("key")
     shards = docs.select(key, F.col("text").cast("binary").alias("text")).repartition(max(1, -(-size // SHARD)), "key").sortWithinPartitions("key", "text").select("text")
     mass, state = _taught(shards, model, counts)
@@ -474,7 +490,13 @@ def coded(rows: DataFrame, model: Model) -> DataFrame:
     return made.withColumn("text", F.col("text").cast("string"))
 
 
-_DOC = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, model double, word binary, n long"
+_DOC = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, model double, others binary"
+
+
+def told(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows(doc_id, held_out, text)`` with a ``model`` that has a tree: scores, what the base gives the dictionary's words, and ``others``."""
+    loop = _loop(rows.sparkSession, SCORE, model.bits, model.weights, model.logits(), model.shared, model.tree)
+    return compiled.map_partitions(rows.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")), loop, _DOC)
 
 
 def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -485,8 +507,8 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     zero and the base is uniform; an empty table gives no rows; other columns are
     ignored.
 
-    For the base each task has the ``hot`` most frequent words. A text's other words
-    go to the table of words by a shuffle join and come back as sums.
+    Each task has the ``hot`` most frequent words, for the tree and for the base. A text's other words
+    are coded as bytes; for the base they go to the table of words by a shuffle join and come back as sums.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -494,44 +516,15 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     if rows.rdd.getNumPartitions() < 2 * cores:  # coding costs far more than moving the texts once
         rows = common.stage(rows.repartition(4 * cores), "texts")
     learned = rows.where("not held_out")
-    vocab = common.stage(learned.select("text").mapInArrow(common.trimmed(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
+    vocab = common.stage(compiled.map_partitions(learned.select(F.col("text").cast("binary")), _loop(spark, WORDS, TABLES), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     n, v = (int(x) for x in vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first())
-    rows = coded(rows, train(learned))
-    top = vocab.orderBy(F.desc("c"), "word").limit(hot).toPandas()
-    near = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), top["c"].tolist())))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId() << 40, 0
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("n_known", pa.int64()),
-                            ("base", pa.float64()), ("model", pa.float64()), ("word", pa.binary()), ("n", pa.int64())])
-
-        def table_of(**named) -> pa.RecordBatch:
-            size = len(named["rid"])
-            cols = [named[f.name] if f.name in named else pa.nulls(size, f.type) for f in schema]
-            return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c).cast(f.type, safe=False) for c, f in zip(cols, schema)], schema=schema)
-
-        log_of = lambda c: np.log10((c + 1.0) / (n + 1.0 * (v + 1)))
-        end = near.value.get(END, 0)
-        for batch in batches:
-            for part in _slices(batch):
-                t = Texts(part.column("text"))
-                size = len(t.size)
-                c = np.fromiter((near.value.get(w, -1) for w in t.words.to_pylist()), np.float64, len(t.words))[t.pair_code]
-                far = np.flatnonzero(c < 0)
-                add = lambda w: np.bincount(t.pair_doc, w, size)  # noqa: E731, B023
-                known = add(t.pair_count * (c > 0)) + (end > 0)
-                base = add(np.where(c < 0, 0.0, log_of(np.maximum(c, 0))) * t.pair_count) + log_of(end)
-                rid = task + made + np.arange(size)
-                made += size
-                yield table_of(rid=rid, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=t.size + 1, n_bytes=pc.binary_length(part.column("text").fill_null("")), n_known=known, base=base, model=part.column("model"))
-                if len(far):
-                    yield table_of(rid=rid[t.pair_doc[far]], word=t.words.take(pa.array(t.pair_code[far])), n=t.pair_count[far])
-
-    parts = common.stage(rows.mapInArrow(common.trimmed(texts), _DOC), "scored")
-    cold = parts.where("word is not null").select("rid", "word", "n").join(vocab, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    tree = dictionary(vocab, n, v, hot)
+    parts = common.stage(told(rows, train(learned, tree)), "scored")
+    cold = parts.where("others is not null").select("rid", F.explode(F.split(F.col("others").cast("string"), " ")).alias("word"))
+    cold = cold.withColumn("word", F.col("word").cast("binary")).join(vocab, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     base = F.log10((F.col("c") + 1.0) / F.lit(float(n + v + 1)))
-    extra = cold.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(base * F.col("n")).alias("b"))
-    whole = parts.where("word is null").drop("n").join(extra, "rid", "left")
+    extra = cold.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("k"), F.sum(base).alias("b"))
+    whole = parts.join(extra, "rid", "left")
     out = whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), F.col("model").alias("score"), "n_bytes")
     return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes"))).drop("n_bytes")
