@@ -17,8 +17,13 @@ them in each segment of ``SEGMENT`` bytes and goes on learning inside it, causal
 so segments are lanes that numpy can advance together, a bit at a time; contexts cross
 their borders. The order in which tasks meet training texts moves the first weights a little.
 
+In the query the 400,000 most frequent words met more than once are coded along a Huffman tree instead, each bit
+predicted from the tree's place alone, with the word before, the two before, the last very common word, and a match of
+three words; an escape leaf precedes other words, which are spelled as above with that common word for the word before.
+There weights start anew with each text.
+
 The query runs ``Mixer.java``, a compiled loop over the same bits; :class:`Stream`, :class:`Bits` and
-:class:`Model` are the same model in numpy, which tests hold it against.
+:class:`Model` are the model without a tree in numpy, which tests hold it against.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ MANY = 1 << 19
 #: Bytes before a place that predict it by an earlier place, and hits in a row up to which matches are told apart.
 REACH, RUN = 12, 7
 #: Words of the dictionary, which each task holds for the tree and the base score.
-HOT = 1_000_000
+HOT = 400_000
 #: Slots of one block of the tables on their way between tasks.
 BLOCK = 1 << 16
 #: Bytes coded in five bits: the closing byte and the usual ones of lower-case text.
