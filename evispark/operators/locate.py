@@ -89,9 +89,9 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text",
 GRAM, LONG = 8, 40
 #: Characters with which a gram that is a key begins: rare enough letters, digits, all ideographs.
 KEYED = "bgkpvwxyz0-9一-鿿"
-#: Rows up to which the queries' keys are sent to all tasks; above, sentences are shuffled to them.
+#: Rows up to which queries are sent to all tasks.
 BROADCAST_ROWS = 50_000
-#: Hashes of keys up to which they are sent to all tasks: 8 bytes each.
+#: Hashes of keys, with their queries' ids or without, up to which they are sent to all tasks; above, keys of sentences are shuffled to them.
 KEY_ROWS = 2_000_000
 
 
@@ -102,8 +102,10 @@ def _sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def _having(dealt: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose key is one of those wanted, by hashes sent to all tasks where a count shows that they are few."""
+    if "h" in dealt.columns:
+        return dealt.join(_sent(wanted.select("h").distinct(), KEY_ROWS), "h", "left_semi")
     hashed = F.xxhash64("kind", "f")
-    return dealt.withColumn("h", hashed).join(_sent(wanted.select(hashed.alias("h")).distinct(), KEY_ROWS), "h", "left_semi").drop("h")
+    return _having(dealt.withColumn("h", hashed), wanted.select(hashed.alias("h"))).drop("h")
 
 
 def _grams(c, n: int):
@@ -128,7 +130,8 @@ def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     words (2) that both have, over all of the query's; sentences with more than
     three numbers of which less than half agree count three quarters.
 
-    No pairs are compared but those that share a key, and each text is read once. A
+    No pairs are compared but those that share a key; sentences stay in their tasks, or, where
+    the keys are too many to be sent there, only keys and ids meet and pairs fetch both sides once. A
     sentence gives as keys itself, its first letters, its content-defined grams and
     its features; a query gives itself, all grams that a sentence inside it may begin
     with, one of its content-defined grams, and its features but the most common
@@ -153,14 +156,21 @@ def locate(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     whole = Window.partitionBy("query_id")
     sum_out = F.sum("w").over(whole.orderBy(F.desc("df"), F.length("f"), "kind", "f").rowsBetween(Window.unboundedPreceding, 0))
     rare = qf.join(df, ["kind", "f"]).withColumn("out", sum_out).withColumn("all", F.sum("w").over(whole)).where(F.col("out") > MIN_SCORE * F.col("all") - 1e-9)
-    wanted = _sent(fixed.unionByName(rare.select("query_id", "kind", "f")).join(q, "query_id"))
+    hashed = F.xxhash64("kind", "f")
+    # hashes that are equal by chance only make a pair more to be judged
+    wanted = fixed.unionByName(rare.select("query_id", "kind", "f")).select(hashed.alias("h"), "query_id").distinct()
+    few = wanted.limit(KEY_ROWS + 1).count() <= KEY_ROWS
     grams = F.when(F.length("sn") > LONG, _keys(F.col("sn"))).otherwise(none)
     full = F.col("sn") != ""
     first = F.when(full, F.array("sn")).otherwise(none), F.when(full, F.array(F.substring("sn", 1, GRAM))).otherwise(none)
-    dealt = s.withColumn("x", F.explode(F.concat(named("whole", first[0]), named("start", first[1]), named("gram", grams), named("number", F.col("snum")), named("term", F.col("sterm")))))
-    # sentences are dealt to the queries' keys only where they have one, so that other rows of theirs are never shuffled
-    dealt = _having(dealt.select("*", "x.kind", "x.f").drop("x"), wanted)
-    met = dealt.join(wanted, ["kind", "f"]).drop("kind", "f")
+    keys = F.concat(named("whole", first[0]), named("start", first[1]), named("gram", grams), named("number", F.col("snum")), named("term", F.col("sterm")))
+    h = F.transform(keys, lambda x: F.xxhash64(x["kind"], x["f"]))
+    if few:  # sentences meet queries where they are
+        met = s.withColumn("h", F.explode(h)).join(F.broadcast(wanted), "h").drop("h").join(_sent(q), "query_id")
+    else:  # keys and ids alone are shuffled, and each side is fetched once for a pair
+        dealt = _having(s.select(key, "pos", F.explode(h).alias("h")), wanted)
+        pairs = dealt.join(wanted, "h").select("query_id", F.col(key).alias("_k"), F.col("pos").alias("_p")).distinct()
+        met = s.join(pairs, (F.col("pos") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))).drop("_k", "_p").join(_sent(q), "query_id")
     lone = one.where((F.length("qn") > LONG) & (F.size("keys") == 0)).drop("keys")
     if lone.limit(1).count():
         long = s.where(F.length("sn") > LONG)

@@ -226,6 +226,23 @@ def test_locate_shuffles_only_rows_with_a_wanted_key(spark):
     assert "BroadcastHashJoin" in plan(df) and "LeftSemi" in plan(df)
 
 
+def test_locate_shuffles_no_sentences_to_their_keys(spark, monkeypatch):
+    """Queries with more keys than rows that are sent meet sentences where they are; beyond that ids meet first."""
+    long = "Blood pressure was 120.5 in the treated group and 131.2 in others."
+    q = spark.createDataFrame([(1, long), (2, "Kidney function gradually worsened everywhere."), (3, "Nothing like this 77.")], "query_id int, sentence string")
+    docs = spark.createDataFrame([(10, f"Before it all. {long} After it all."), (None, f"In short words {long}"), (30, "Kidney function gradually worsened somewhere. No more words."), (40, None), (50, "")], "doc_id int, text string")
+    monkeypatch.setattr(locate, "BROADCAST_ROWS", 3)
+    near = locate.locate(q, docs)
+    there = [x for x in plan(near).splitlines() if "BroadcastHashJoin [h#" in x and "Inner" in x]
+    got = sorted(map(str, near.collect()))
+    assert [(r.query_id, r.doc_id, r.pos, r.score) for r in near.orderBy("query_id", F.asc_nulls_last("doc_id")).collect()] == [(1, 10, 1, 1.0), (2, 30, 0, 0.8)]
+    monkeypatch.setattr(locate, "KEY_ROWS", 3)
+    assert sorted(map(str, locate.locate(q, docs).collect())) == got
+    nulls = docs.where("doc_id is null")
+    assert [tuple(r) for r in locate.locate(q, nulls).collect()] == [(1, None, 0, 0.95)]
+    assert there
+
+
 def test_keyword_counts_are_dealt_by_bytes_of_text(spark, monkeypatch):
     """A task's counts grow with its texts; grams of a unit in several rows are that unit's."""
     from evispark.operators import keywords
