@@ -250,9 +250,20 @@ def _design(text: Column) -> Column:
     return F.coalesce(*rules, pair(L.UNKNOWN_DESIGN, F.lit("标题与摘要中未见明确的研究设计表述")))
 
 
+#: Columns of a design's row: score, layer, CEBM level, GRADE start, toolkit.
+_DIMENSION = {"base": "double", "layer": "string", "cebm": "string", "grade": "string", "toolkit": "string"}
+
+
 def dimension(spark) -> DataFrame:
     """The row of each design: score, layer, CEBM level, GRADE start, toolkit."""
-    return spark.createDataFrame(L.DESIGN_DIM, "design string, base double, layer string, cebm string, grade string, toolkit string")
+    return spark.createDataFrame(L.DESIGN_DIM, "design string, " + ", ".join(f"{c} {t}" for c, t in _DIMENSION.items()))
+
+
+def with_dimension(a: DataFrame) -> DataFrame:
+    """Adds the row of each ``design``. It is looked up, not joined: where only articles are counted their design is not worked out."""
+    rows = F.create_map(*[x for d, *v in L.DESIGN_DIM for x in (F.lit(d), F.struct(*[F.lit(y).cast(t).alias(c) for (c, t), y in zip(_DIMENSION.items(), v)]))])
+    a = a.withColumn("_row", F.try_element_at(rows, F.col("design")))
+    return a.withColumns({c: F.col("_row")[c] for c in _DIMENSION}).drop("_row")
 
 
 def strength(base: Column, n: Column, has_interval: Column) -> Column:
@@ -282,38 +293,41 @@ def _before(c: Column, pattern: str) -> Column:
 def trim_population(c: Column, limit: int = 60) -> Column:
     s = _before(_before(X.squeeze(c), r"(?<=[.;])\s"), _VERBS)
     s = F.regexp_replace(F.regexp_replace(s, r"^[\d,.\s]*", ""), _STRIP, "")
-    return F.when(F.length(s) >= 3, X.snippet(s, limit))
+    return X.let(s, lambda x: F.when(F.length(x) >= 3, X.snippet(x, limit)))
 
 
 def _fragment(c: Column) -> Column:
     s = F.regexp_replace(_before(_before(F.trim(c), r"[.;,]\s|\bwere\b|\bwas\b|\bis\b|\band\b\s+\d"), _VERBS), _STRIP, "")
-    return F.when(F.length(s) >= 3, X.snippet(s, 60))
+    return X.let(s, lambda x: F.when(F.length(x) >= 3, X.snippet(x, 60)))
 
 
 def population() -> Column:
     sec = F.col("sec")
     pool = F.nullif(F.trim(F.concat_ws(" ", sec["OBJECTIVE"], sec["METHODS"], sec["BACKGROUND"])), F.lit(""))
     whole = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit("")))
-    found = [_fragment(F.nullif(F.regexp_extract(src, p, 1), F.lit(""))) for p in POPULATIONS for src in (pool, whole)]
+    # a pattern runs once on a text, though what it finds is named several times
+    found = [X.let(F.regexp_extract(src, p, 1), lambda x: F.when(x != "", _fragment(x))) for p in POPULATIONS for src in (pool, whole)]
     return F.coalesce(trim_population(sec["PATIENTS"]), trim_population(sec["SETTING"]), *found, F.lit(""))
 
 
 def intervention() -> Column:
     first = X.snippet(F.regexp_replace(_before(F.col("sec")["INTERVENTIONS"], r"(?<=[.;])\s"), _STRIP, ""), 60)
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("source"))
-    return F.coalesce(F.when(F.col("sec")["INTERVENTIONS"].isNotNull(), F.nullif(first, F.lit(""))), X.snippet(F.regexp_extract(text, INTERVENTION, 1), 50))
+    return F.coalesce(F.when(F.col("sec")["INTERVENTIONS"].isNotNull(), F.nullif(first, F.lit(""))), X.let(F.regexp_extract(text, INTERVENTION, 1), lambda x: X.snippet(x, 50)))
 
 
 def primary_outcome(sentences: Column | None = None) -> Column:
     seg = F.col("sec")["OUTCOMES"]
     first = F.when(seg.isNotNull(), F.nullif(X.snippet(strip_label(_before(seg, r"(?<=[.;])\s")), 200), F.lit("")))
     sents = X.sentences(F.col("source")) if sentences is None else sentences
-    named = F.filter(sents, lambda s: s.rlike(PRIMARY))
-    defined = F.filter(named, lambda s: s.rlike(r"(?i)\b(?:was|were|is|are|defined\s+as)\b"))
+    # sentences are passed over once for a pattern
+    defined = lambda a: F.get(F.filter(a, lambda s: s.rlike(r"(?i)\b(?:was|were|is|are|defined\s+as)\b")), F.lit(0))
+    best = X.let(F.filter(sents, lambda s: s.rlike(PRIMARY)), lambda a: F.coalesce(defined(a), F.get(a, F.lit(0))))
     hint = F.get(F.filter(sents, lambda s: s.rlike(OUTCOME_HINT)), F.lit(0))
     note = F.when(F.col("has_fulltext"), "（原文未标注主要终点）").otherwise("（摘要未标注主要终点）")
-    best = F.coalesce(F.get(defined, F.lit(0)), F.get(named, F.lit(0)))
-    return F.coalesce(first, F.when(best.isNotNull(), X.snippet(strip_label(best), 200)), F.when(hint.isNotNull(), F.concat(note, X.snippet(strip_label(hint), 180))), F.lit(""))
+    named = X.let(best, lambda x: F.when(x.isNotNull(), X.snippet(strip_label(x), 200)))
+    hinted = X.let(hint, lambda x: F.when(x.isNotNull(), F.concat(note, X.snippet(strip_label(x), 180))))
+    return F.coalesce(first, named, hinted, F.lit(""))
 
 
 #: Fixed patterns of follow-up times.
@@ -324,10 +338,14 @@ FOLLOW_ZH = r"随访[^。；\n]{0,25}?(\d+(?:\.\d+)?)\s*(天|周|个月|月|年)
 def followup(text: Column) -> Column:
     """Struct ``(text, months)`` of the first follow-up time; '' and null without one."""
     def one(p):
-        v, unit = F.regexp_extract(text, p, 1).try_cast("double"), F.lower(F.regexp_extract(text, p, 2))
+        # groups are taken from what was found, which the pattern finds whole again, not from the text
+        return X.let(F.regexp_extract(text, p, 0), lambda x: of(x, p))
+
+    def of(x, p):
+        v, unit = F.regexp_extract(x, p, 1).try_cast("double"), F.lower(F.regexp_extract(x, p, 2))
         m = (F.when(unit.isin("month", "mo", "个月", "月"), v).when(unit.isin("year", "yr", "年"), v * 12)
              .when(unit.isin("week", "周"), v / 4.345).otherwise(v / 30.44))
-        return F.when(v.isNotNull(), F.struct(X.snippet(F.regexp_extract(text, p, 0), 60).alias("text"), F.bround(m, 1).alias("months")))
+        return F.when(v.isNotNull(), F.struct(X.snippet(x, 60).alias("text"), F.bround(m, 1).alias("months")))
     return F.coalesce(one(X.ascii_bounds(FOLLOW_EN)), one(FOLLOW_ZH), F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("months")))
 
 
@@ -393,7 +411,7 @@ def profile(articles: DataFrame) -> DataFrame:
                        "design_evidence": F.col("design")["evidence"], "design": F.col("design")["label"], "conclusion_origin": F.col("conclusion")["origin"], "conclusion": F.col("conclusion")["text"]})
     a = a.withColumns({"polarity": polarity(F.coalesce(F.nullif("conclusion", F.lit("")), F.col("abstract")), F.col("direction"))})
     a = a.withColumns({"polarity_cue": F.col("polarity")["cue"], "polarity": F.col("polarity")["label"]})
-    a = a.join(F.broadcast(dimension(a.sparkSession)), "design", "left")
+    a = with_dimension(a)
     has = (F.size(F.col("effects")["CI"]) > 0) | (F.size(F.col("effects")["P"]) > 0)
     a = a.withColumns({"evidence": strength(F.col("base"), F.col("n"), has), "states": states({
         "样本量": F.col("n").isNotNull(), "人群": F.col("population") != "", "主要终点": F.col("primary_outcome") != "", "关键效应量": F.col("effects_text") != "", "结论": F.col("conclusion") != ""})})

@@ -218,6 +218,20 @@ def test_cues_are_looked_for_plainly_first(spark):
     assert "contains(" in plan(df.select(text.first_hit(F.col("low"), cues))).lower()
 
 
+def test_patterns_of_a_profile_run_once_a_text(spark):
+    """What a pattern finds is worked out once, however often it is named; articles are counted without their design."""
+    from evispark.operators import extract
+    from evispark.plans import fixtures
+
+    articles = fixtures.frame(spark, fixtures.ARTICLES, fixtures.ARTICLE_COLUMNS)
+    a = extract.with_sections(articles)
+    text = a.select(extract.population().alias("p"), extract.primary_outcome().alias("o"), extract.intervention().alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    # in sections and in the whole text
+    assert [text.count(p) for p in (*extract.POPULATIONS, extract.PRIMARY, extract.OUTCOME_HINT, extract.INTERVENTION)] == [2, 2, 2, 2, 1, 1, 1]
+    counted = extract.profile(articles).groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in counted and "\u547d\u4e2d" not in counted
+
+
 def test_locate_shuffles_only_rows_with_a_wanted_key(spark):
     dealt = spark.range(1000).selectExpr("'term' as kind", "cast(id as string) as f", "id as pos")
     wanted = spark.range(995, 1200).selectExpr("'term' as kind", "cast(id as string) as f", "1 as query_id")
